@@ -75,5 +75,64 @@ c AS (SELECT k.doc_id, k.o, k.x, keeper IS NOT NULL AND keeper <> k.doc_id AS cu
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_cut_lines, sha256(CASE WHEN coalesce(n, 0) = 0 THEN text ELSE coalesce(t, '') END) AS text_sha256
 FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE cut) AS n, string_agg(x, chr(10) ORDER BY o) FILTER (WHERE NOT cut) AS t FROM c GROUP BY doc_id) USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_line_frequency, op8_line_spread)}
-ORACLE = {"op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL}
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import fold
+    from tidemark.llm.quality import fit_quality, score_quality
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels")
+    blob = fit_quality(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
+    out = score_quality(docs, blob)
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import scratch
+    from tidemark.llm.warc import read_archives, write_archives
+
+    path = scratch(spark)
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM m"""
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import fold
+    from tidemark.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest)}
+ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL}
