@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The index is fitted on at most SAMPLE vectors (smallest hashes of the id); all vectors are indexed.
-SAMPLE, MOST_LISTS, PROBES, BLOCK, EPSILON, CHUNK = 8192, 1024, 0.5, 16, 2.1, 4096
+SAMPLE, MOST_LISTS, PROBES, BLOCK, EPSILON, CHUNK = 8192, 1024, 0.8, 16, 2.1, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,8 +57,9 @@ def scan(rows: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, epsilon: f
     if n <= k:
         return np.arange(n)
     part = ((rows[:, :block] - q[:block]) ** 2).sum(1)
-    first = np.argpartition(part, k - 1)[:k]
-    limit = ((rows[first] - q) ** 2).sum(1).max()
+    # whole distances of the most promising rows bound the k-th best
+    first = np.argpartition(part, min(n, 4 * k) - 1)[: 4 * k]
+    limit = np.partition(((rows[first] - q) ** 2).sum(1), k - 1)[k - 1]
     alive = np.arange(n)
     for seen in range(block, dims + block, block):
         seen = min(seen, dims)
