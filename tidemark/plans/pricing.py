@@ -31,7 +31,7 @@ def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latenc
     horizon. Quotes may be stale_us old, entries wait_us late. Only signals with an answer to every
     horizon of a latency have rows for it.
     """
-    late = signals.withColumn("latency_us", F.explode(F.array(*[F.lit(int(x)) for x in latencies_us])).cast("long"))
+    late = signals.withColumn("latency_us", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in latencies_us])))
     when = F.col("when_us")
     looks = {"pre": when - pre_us, "at": when} | {f"x{h}": when + F.col("latency_us") + h * minute_us for h in horizons}
     back = bounded_asof(tape, probes(late, looks, ("latency_us",)), stale_us, BACKWARD, values=("bid", "ask"))
