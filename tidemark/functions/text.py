@@ -244,13 +244,17 @@ def tickers(title: Column, body: Column | None = None, limit: int = 24) -> Colum
     symbol = "[A-Z0-9\\u4e00-\\u9fff]{2,12}"
     patterns = (rf"\(({symbol})\)", rf"(?<![A-Z0-9])({symbol})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(?<![A-Z0-9/])({symbol}?)(?:USDT|USDC)\b")
 
+    def placed(between: Column, whole: Column, length):
+        return lambda n, i: length(between, i + 1) + length(whole, i)
+
     def found(text: Column) -> Column:
         # splitting at matches gives the text between them, whose lengths give the positions
         rows = []
         for p in patterns:
             names, whole = F.regexp_extract_all(text, F.lit(p), 1), F.regexp_extract_all(text, F.lit(p), 0)
             between = F.split(text, p, -1)
-            at = F.transform(names, lambda n, i, whole=whole, between=between: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda s, x: s + F.length(x)))
+            length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+            at = F.transform(names, placed(between, whole, length))
             rows.append(F.arrays_zip(at.alias("at"), F.transform(names, lambda n: F.regexp_replace(n, "^(?:1000000|1000|1M)(?=[A-Z])", "")).alias("name")))
         return F.transform(F.sort_array(F.concat(*[F.transform(r, lambda x: F.struct(x["at"].alias("at"), x["name"].alias("name"))) for r in rows])), lambda x: x["name"])
 

@@ -531,15 +531,15 @@ def src16_table_cells(spark, sf_dir):
 
 
 def fills_of(spark, sf_dir):
-    """Line items as fills of one run for each ship mode: sign from the return flag, in order of keys."""
+    """Line items as fills on seven symbols by supplier: sign from the return flag, in order of keys."""
     li = table(spark, sf_dir, "lineitem")
     from tidemark.schema import numbered
 
-    rows = li.select(F.col("l_shipmode").alias("symbol"), "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), (F.col("l_linestatus") == "O").alias("informed"))
-    return numbered(rows, "symbol", ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 10_000))
+    rows = li.select(F.concat(F.lit("S"), F.col("l_suppkey") % 7).alias("symbol"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), (F.col("l_linestatus") == "O").alias("informed"))
+    return numbered(rows, "symbol", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"], F.floor(F.col("l_orderkey") / 10_000))
 
 
-FILLS_SQL = "WITH fills AS (SELECT l_shipmode AS symbol, row_number() OVER (PARTITION BY l_shipmode ORDER BY l_orderkey, l_linenumber) - 1 AS seq, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_quantity::DOUBLE AS size, (l_extendedprice / l_quantity)::DOUBLE AS price, l_linestatus = 'O' AS informed FROM lineitem)"
+FILLS_SQL = "WITH fills AS (SELECT 'S' || l_suppkey % 7 AS symbol, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS seq, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_quantity::DOUBLE AS size, (l_extendedprice / l_quantity)::DOUBLE AS price, l_linestatus = 'O' AS informed FROM lineitem)"
 
 
 @query(FILLS_SQL + ", r AS (SELECT symbol, seq, sum(side * size) OVER w AS inventory, sum(-side * size * price) OVER w AS cash FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY seq))" + near("symbol seq", "inventory cash", "FROM r", 3))
@@ -624,13 +624,13 @@ def agg14_percentiles(spark, sf_dir):
     return rounded(e.select("event_type", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "i95"))
 
 
-@query("WITH w AS (SELECT l_shipmode AS arm, count(*) FILTER (WHERE l_returnflag = 'R') AS wins, 40 AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_shipmode ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 40 GROUP BY 1), z AS (SELECT arm, wins, least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, least(wins, n - wins) + 1) r(i))) AS p FROM w)" + near("arm wins", "p", "FROM z", 9))
+@query("WITH w AS (SELECT 'S' || l_suppkey % 7 AS arm, count(*) FILTER (WHERE l_returnflag = 'R') AS wins, 40 AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS r FROM lineitem) WHERE r <= 40 GROUP BY 1), z AS (SELECT arm, wins, least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, least(wins, n - wins) + 1) r(i))) AS p FROM w)" + near("arm wins", "p", "FROM z", 9))
 def agg24_sign_test(spark, sf_dir):
     f = fills_of(spark, sf_dir).filter("seq < 40").groupBy(F.col("symbol").alias("arm")).agg(F.count_if(F.col("side") < 0).alias("wins"), F.count(F.lit(1)).alias("n"))
     return rounded(f.select("arm", "wins", S.sign_test(F.col("wins"), F.col("n")).alias("p")), 9)
 
 
-@query("WITH l AS (SELECT p_brand AS meeting, p_size / 8.0 AS level, count(*) AS n FROM part GROUP BY ALL), z AS (SELECT meeting, quantile_cont(p_size / 8.0, 0.5) AS median FROM part GROUP BY 1), r AS (SELECT meeting, median, sign(median) * floor(abs(median) * 10 + 0.5) / 10 AS printed FROM z)" + near("meeting", "median printed", "FROM r"))
+@query("WITH z AS (SELECT p_brand AS meeting, quantile_cont(p_size / 8.0::DOUBLE, 0.5) AS median FROM part GROUP BY 1), r AS (SELECT meeting, median, sign(median) * floor(abs(median) * 10 + 0.5) / 10 AS printed FROM z)" + near("meeting", "median printed", "FROM r"))
 def agg22_weighted_median(spark, sf_dir):
     c = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("meeting"), (F.col("p_size") / 8).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     m = c.groupBy("meeting").agg(S.weighted_median(F.col("level"), F.col("n")).alias("median"))
@@ -670,12 +670,12 @@ def srt3_seeded_sample(spark, sf_dir):
 
 
 DECISION_SQL = FEATURES_SQL + """, a AS (SELECT symbol, seq, greatest(0, least(1, 0.5 + move_z / 4)) AS p_up, greatest(0, least(1, 0.5 - move_z / 4)) AS p_down, abs(imbalance) AS confidence, trend_efficiency AS p_continue, 1 - trend_efficiency AS p_reverse, up_fraction AS conviction, (seq % 10) / 10.0 AS liquidity, (seq % 13) / 13.0 AS hazard, (seq % 17) / 17.0 AS cut, ((seq % 3) - 1) * 0.05 AS position FROM x),
-b AS (SELECT *, p_up - p_down AS edge, greatest(-1, least(1, (p_up - p_down) * conviction * greatest(0.25, least(1.5, 1 + 0.45 * p_continue - 0.6 * p_reverse)) * (0.5 + 0.5 * confidence) * 1.6)) * 0.1 AS i0 FROM a),
-g AS (SELECT *, CASE WHEN hazard > 0.7 THEN 'disorderly' WHEN cut > 0.65 THEN 'cut_position' WHEN confidence < 0.2 THEN 'low_confidence' WHEN conviction < 0.3 THEN 'weak_setup' WHEN abs(edge) < 0.1 THEN 'no_edge' WHEN liquidity < 0.4 AND abs(i0) > abs(position) THEN 'illiquid' ELSE '' END AS gate FROM b),
-h AS (SELECT *, CASE gate WHEN '' THEN i0 WHEN 'illiquid' THEN position ELSE 0 END AS ideal FROM g), t AS (SELECT symbol, seq, gate, edge, CASE WHEN abs(ideal - position) < 0.018 AND NOT (ideal = 0 AND position <> 0) THEN position ELSE ideal END AS target FROM h)"""
+b_ AS (SELECT *, p_up - p_down AS edge, greatest(-1, least(1, (p_up - p_down) * conviction * greatest(0.25, least(1.5, 1 + 0.45 * p_continue - 0.6 * p_reverse)) * (0.5 + 0.5 * confidence) * 1.6)) * 0.1 AS i0 FROM a),
+g_ AS (SELECT *, CASE WHEN hazard > 0.7 THEN 'disorderly' WHEN cut > 0.65 THEN 'cut_position' WHEN confidence < 0.2 THEN 'low_confidence' WHEN conviction < 0.3 THEN 'weak_setup' WHEN abs(edge) < 0.1 THEN 'no_edge' WHEN liquidity < 0.4 AND abs(i0) > abs(position) THEN 'illiquid' ELSE '' END AS gate FROM b_),
+h_ AS (SELECT *, CASE gate WHEN '' THEN i0 WHEN 'illiquid' THEN position ELSE 0 END AS ideal FROM g_), t_ AS (SELECT symbol, seq, gate, edge, CASE WHEN abs(ideal - position) < 0.018 AND NOT (ideal = 0 AND position <> 0) THEN position ELSE ideal END AS target FROM h_)"""
 
 
-@query(DECISION_SQL + near("symbol seq gate", "edge target", "FROM t"))
+@query(DECISION_SQL + near("symbol seq gate", "edge target", "FROM t_"))
 def fn34_decisions(spark, sf_dir):
     c = F.col
     f = W.tape_features(ticks_of(spark, sf_dir))
