@@ -59,7 +59,7 @@ def place(u: Column, knots) -> Column:
     for (t0, m0), (t1, m1), a0 in reversed(list(zip(knots, knots[1:], areas, strict=False))):
         rest, slope = u * area - a0, (m1 - m0) / (t1 - t0)
         # m0*x + slope*x^2/2 = rest, in the form that stays exact where the slope is 0
-        x = 2 * rest / (m0 + F.sqrt(F.greatest(F.lit(0.0), m0 * m0 + 2 * slope * rest)))
+        x = 2 * rest / F.nullif(m0 + F.sqrt(F.greatest(F.lit(0.0), m0 * m0 + 2 * slope * rest)), F.lit(0.0))
         end = a0 + (t1 - t0) * (m0 + m1) / 2
         out = F.when(u * area <= end, t0 + F.coalesce(x, F.lit(0.0))).otherwise(out)
     return out
@@ -94,7 +94,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int
 
     def copy(e: Column) -> Column:
         taken = F.when(e < full, F.col("mix_size")).otherwise(part)
-        u = F.least(F.lit(1.0), (e * all_ + cum + taken / 2) / want)
+        # a source without words has no demand and no positions
+        u = F.least(F.lit(1.0), (e * all_ + cum + taken / 2) / F.nullif(want, F.lit(0)))
         at = F.lit(None).cast("double")
         for i, knots in enumerate(schedules):
             at = F.when(F.col("mix_kind") % len(schedules) == i, place(u, knots)).otherwise(at)

@@ -132,7 +132,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards
         group = group.sort_values("h", kind="stable")
         data = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for a, x in zip(group["at"], group["x"], strict=True)]
         m = Machine(blob=blob)
-        m.fit(data, group["y"].to_numpy(np.float64), epochs)
+        # small shards go round more often, for some thirty steps at least
+        m.fit(data, group["y"].to_numpy(np.float64), max(epochs, -(-30 // -(-len(group) // 128))))
         return pd.DataFrame({"n": [len(group)], "blob": [m.blob()]})
 
     for _ in range(rounds):
