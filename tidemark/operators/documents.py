@@ -178,7 +178,7 @@ def turns(transcripts: DataFrame, marker: str = r"(?m)^([A-Z][A-Z .'-]{2,40})[.:
     names = F.regexp_extract_all("text", F.lit(marker), 1)
     parts = F.slice(F.split("text", marker), 2, 1_000_000)
     rows = transcripts.select("doc", F.posexplode(F.arrays_zip(names.alias("speaker"), parts.alias("said"))).alias("idx", "t"))
-    said = F.trim("t.said")
+    said = F.btrim(F.col("t.said"), F.lit(" \t\r\n"))
     style = F.when(said.contains("?"), "question").when(F.length(said) < 120, "moderator").otherwise("reporter")
     return rows.select("doc", "idx", F.col("t.speaker").alias("speaker"), said.alias("text"), style.alias("style"))
 
