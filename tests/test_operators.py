@@ -254,14 +254,14 @@ def test_text_rules(spark):
     assert one(spark, T.word_lean(L("raised rates, cutting")))[0][:] == ("neutral", 1, 1, 0.0)
     assert one(spark, T.currency(L("the hyena")), T.currency(L("dollar and yen")), T.about_fx(L("bitcoin dollar")))[:] == ("none", "JPY", False)
     assert one(spark, T.rate_value(L("3-3/4")), T.rate_value(L("1/4")), T.rate_value(L("4.00")), T.range_top(L("3-1/2 to 3-3/4")))[:] == (3.75, 0.25, 4.0, 3.75)
-    assert one(spark, T.announced_rate(L("Bank Rate at 4.25%"), L("")), T.announced_rate(L("x"), L("only 5 percent is named")), T.announced_rate(L("x"), L("3% or 4%")))[:] == (4.25, 5.0, None)
+    assert one(spark, T.announced_rate(L("Bank Rate maintained at 4.25%"), L("9% of it")), T.announced_rate(L("x"), L("only 5 percent is named")), T.announced_rate(L("x"), L("3% or 4%")), T.announced_rate(L("x"), L("inflation of 2%. It voted to raise the target range for the federal funds rate by 1/4 percentage point to 3-3/4 to 4 percent.")), T.announced_rate(L("x"), L("2% growth; target range for the federal funds rate at 0 to 1/4 percent")))[:] == (4.25, 5.0, None, 4.0, 0.25)
     assert one(spark, T.level_of(L("0.875")), T.level_of(L("0.38 - 0.62")), T.level_of(L("0 - 0.37")), T.level_of(L("-0.125")), T.level_of(L("rate")))[:] == (0.875, 0.5, 0.25, -0.125, None)
     assert one(spark, T.title_family(L("Minutes of the Committee, July 28-29, 2026")), T.title_side(L("Will delist; lists X")), T.slug(L("A  b/C!")))[:] == ("minutes of the committee", -1, "a-b-c")
     assert one(spark, T.tickers(L("Will list Foo (FOO) and BAR/USDT (UTC) BAZUSDT 1000PEPEUSDT (USDT)"), L("again (FOO) then (QUX)")))[0] == ["FOO", "BAR", "BAZ", "PEPE", "QUX"]
     assert one(spark, T.sentences(L("Governor Lorie K. Logan spoke at the event today. Share this page with your friends now. Too short. Rates were held by the bank vs. The market view of it.")))[0] == ["Governor Lorie K. Logan spoke at the event today.", "Rates were held by the bank vs. The market view of it."]
     assert one(spark, T.headline(L("word " * 60), L("")), T.headline(L(" "), L('Someone: "Hello there"')))[:] == (("word " * 24).rstrip() + "...", "Hello there")
     assert one(spark, T.is_chair(L("Chair Powell")), T.is_chair(L("Vice Chair X")), T.keyword_hit(L("a HACK!"), ["hack", "war"]), T.keyword_hit(L("warm"), ["war"]))[:] == (True, False, True, False)
-    assert one(spark, T.section(L("aa Staff view bb"), "Staff", limit=8), T.dominant_topic(L("inflation prices and growth")), T.intervention_level(L("one-sided moves")), T.versus(L("hawkish"), L("neutral")))[:] == ("Staff vi", "inflation", 2.0, "more hawkish")
+    assert one(spark, T.section(L("aa Staff view bb"), "Staff", limit=8), T.dominant_topic(L("inflation prices and growth")), T.intervention_level(L("one-sided moves")), T.versus(L("hawkish"), L("neutral")))[:] == ("Staff vi", "inflation", 2.0, "more_hawkish")
 
 
 def test_times(spark):
@@ -366,3 +366,48 @@ def test_labels(spark):
     at = spark.createDataFrame([(1, "s", 1950), (2, "s", 2100), (3, "s", 100), (4, "s", 9999)], "id long, symbol string, when_us long")
     got = {r.id: (r.moved, r.reactive, r.clean) for r in labels.labelled(bars, at, 1.0).collect()}
     assert got == {1: (True, False, True), 2: (False, True, False)}
+
+
+# ---------------------------------------------------------- arms, sentences
+
+
+def test_arms(spark):
+    from tidemark.plans import arms
+
+    d = spark.createDataFrame([(1, 5, "USD", "Statement", "raised rates"), (2, 6, "JPY", "Statement", "nothing"), (3, 7, "XXX", "x", "hike"), (4, 8, "GBP", "Bank rate at 4%", "")], "id long, ts_us long, currency string, title string, body string")
+    assert [(r.id, r.symbol, r.sign) for r in arms.keyword_arm(d).collect()] == [(1, "EURUSD", -1)]
+    assert [(r.id, r.symbol, r.sign) for r in arms.all_text_arm(d).orderBy("id").collect()] == [(1, "EURUSD", -1), (2, "USDJPY", -1), (4, "GBPUSD", 1)]
+    cal = spark.createDataFrame([("GBP", 9, "Official Bank Rate", "3.75%"), ("USD", 5, "Rate", "3-0-6%")], "currency string, ts_us long, title string, forecast string")
+    assert [(r.id, r.symbol, r.sign) for r in arms.surprise_arm(d, cal).collect()] == [(4, "GBPUSD", 1)]
+    w = spark.createDataFrame([(1, 5, "BoJ hike", ""), (2, 5, "bitcoin dollar hike", ""), (3, 5, "yuan hike", "")], "id long, ts_us long, title string, body string")
+    assert [(r.id, r.symbol, r.sign) for r in arms.wire_arm(w).collect()] == [(1, "USDJPY", -1)]
+    assert arms.sample_arm(w, 3).first().id == "sample:1"
+    n = spark.createDataFrame([(1, 5, "Will list Foo (FOO)", "and (BAR)"), (2, 5, "Removal of (BAZ)", ""), (3, 5, "Notice (X1)", "")], "id long, ts_us long, title string, body string")
+    assert [(r.id, r.symbol, r.sign) for r in arms.title_arm(n, True).orderBy("id", "symbol").collect()] == [(1, "BAR", 1), (1, "FOO", 1), (2, "BAZ", -1)]
+    s = [F.lit(x) for x in (1.0, 1.0, 0.5, 1.0, 0.0, 1.0)]
+    assert one(spark, arms.strength(*s), arms.context_strength(*s[:4]), arms.wire_strength(*s[:3], F.lit(1.0), F.lit(0.5)), arms.projection_strength(F.lit(-8)), arms.dollar_side(F.lit("USDJPY"), F.lit(1)))[:] == pytest.approx((0.175, 0.0, 0.25, 1.0, 1))
+
+
+def test_reversal_days(spark):
+    from tidemark.plans import arms
+
+    tape = spark.createDataFrame([("s", m * MINUTE, m, 100.0 + m, 100.0 + m) for m in range(200)], "symbol string, ts_us long, seq long, bid double, ask double")
+    r = spark.createDataFrame([(1, "s", 10 * MINUTE, 40 * MINUTE, "more_dovish", "consistent"), (2, "s", 10 * MINUTE, 40 * MINUTE, "consistent", "consistent")], "id long, symbol string, statement_us long, start_us long, remarks_vs_statement string, qa_vs_remarks string")
+    got = arms.reversals(r, tape).collect()
+    assert [x.id for x in got] == [1] and got[0].statement_bps == pytest.approx(math.log(140 / 110) * 1e4) and got[0].presser_bps == pytest.approx(math.log(200 / 140) * 1e4)
+
+
+def test_sentences_of_numbers(spark):
+    from tidemark.functions import sentences as N
+
+    L = F.lit
+    got = one(spark, N.pricing_sentences(L(4.0), L(3.9), L("2026-07-01"), L(3.4), {"2y": (L(3.5), L(-14.0)), "10y": (L(4.1), L(None).cast("double"))}, L("2026-06-10")))[0]
+    assert got == [
+        "The target range set at the last meeting tops out at 4.00 percent, and the effective funds rate printed 3.90 percent on 2026-07-01.",
+        "The six-month bill yields 3.40 percent against an overnight rate of 3.90: the market prices roughly 2 quarter-point cuts within six months.",
+        "The two-year yield is 14 bp lower than on 2026-06-10, at 3.50 percent: the market has moved dovish since then.",
+        "The ten-year yield is at 4.10 percent; there is no reading from the last meeting.",
+    ]
+    assert one(spark, N.plausible_target(L(1.0), L(0.12)), N.plausible_target(L(0.25), L(0.12)), N.priced_sentence(L(0.2), L(0.12)))[:] == (None, 0.25, "Policy is at the zero bound and the six-month bill yields 0.20 percent, so there is no room to price cuts; the bill prices no move away from the floor within six months.")
+    assert one(spark, N.projection_sentence(L("2027"), L(3.4), L(2.9), L("March")), N.projection_sentence(L("longer run"), L(3.0), L(3.0), L(None).cast("string")))[:] == ("Median projection for end-2027 moved to 3.4% from 2.9% in March: fewer cuts (2 quarter-point steps).", "Median projection for the longer run is unchanged at 3.0%.")
+    assert one(spark, N.drift_sentences(L("EURUSD"), L(1.1), L(-12.4), L(3.0)))[0] == ["EURUSD is at 1.10000, 12 bp lower than 24 hours before the release.", "In the fifteen minutes before the release it moved 3 bp up: the tape was quiet going in."]

@@ -46,26 +46,26 @@ CATEGORIES = (
 )
 TOPICS = (
     ("inflation", r"(?i)\binflation|\bprices?\b|\bPCE\b|\bCPI\b"),
-    ("labor market", r"(?i)\blabor|\blabour|\bemployment|\bjobs?\b|\bwages?\b"),
+    ("labor", r"(?i)\blabor|\blabour|\bemployment|\bjobs?\b|\bwages?\b"),
     ("growth", r"(?i)\bgrowth\b|\bGDP\b|\bdemand\b|\brecession\b"),
-    ("financial conditions", r"(?i)financial conditions|\bbanks?\b|\bcredit\b|\bmarkets?\b"),
-    ("balance sheet", r"(?i)balance sheet|\breserves\b|runoff|\bholdings\b|reinvest"),
-    ("rate path", r"(?i)\bpath\b|\bpace\b|next meeting|\bcuts?\b|\bhikes?\b|\bdots?\b"),
+    ("financial_conditions", r"(?i)financial conditions|\bbanks?\b|\bcredit\b|\bmarkets?\b"),
+    ("balance_sheet", r"(?i)balance sheet|\breserves\b|runoff|\bholdings\b|reinvest"),
+    ("path_of_rates", r"(?i)\bpath\b|\bpace\b|next meeting|\bcuts?\b|\bhikes?\b|\bdots?\b"),
 )
 KINDS = (
-    ("press conference", r"(?i)press conference|interview|q&a"),
+    ("press_conference_or_interview", r"(?i)press conference|interview|q&a"),
     ("minutes", r"(?i)minutes|summary of opinions|account of"),
-    ("speech or testimony", r"(?i)speech|remarks|testimony|lecture|address"),
-    ("rate decision", r"(?i)fomc statement|monetary policy statement|guideline for money market|bank rate|policy rate|monetary policy (summary|decision)|issues fomc"),
-    ("fx comment", r"(?i)exchange rate|intervention|foreign exchange"),
-    ("data or survey", r"(?i)survey|statistics|projections|forecast|results"),
-    ("operational", r"(?i)enforcement|supervis|regulat|appointment|payment system"),
+    ("speech_or_testimony", r"(?i)speech|remarks|testimony|lecture|address"),
+    ("rate_decision", r"(?i)fomc statement|monetary policy statement|guideline for money market|bank rate|policy rate|monetary policy (summary|decision)|issues fomc"),
+    ("fx_or_intervention_comment", r"(?i)exchange rate|intervention|foreign exchange"),
+    ("data_or_survey", r"(?i)survey|statistics|projections|forecast|results"),
+    ("operational_or_regulatory", r"(?i)enforcement|supervis|regulat|appointment|payment system"),
 )
 CHANNELS = (
-    ("dots", r"(?i)\bdots?\b|projections?|median projection|dot plot"),
-    ("vote", r"(?i)dissent\w*|voted against|voting against"),
-    ("balance sheet", r"(?i)balance sheet|securities holdings|reinvest\w*|runoff|purchases?"),
-    ("guidance", r"(?i)forward guidance|anticipates?|in determining the (extent|timing)"),
+    ("projections_or_dots", r"(?i)\bdots?\b|projections?|median projection|dot plot"),
+    ("vote_or_dissent", r"(?i)dissent\w*|voted against|voting against"),
+    ("balance_sheet", r"(?i)balance sheet|securities holdings|reinvest\w*|runoff|purchases?"),
+    ("forward_guidance", r"(?i)forward guidance|anticipates?|in determining the (extent|timing)"),
 )
 INTERVENTION = (
     (4.0, r"(?i)\b(interven\w+|entered the market|conducted .{0,20}operations? in the foreign exchange)\b"),
@@ -78,6 +78,15 @@ BULLISH_TITLE = r"(?i)\b(will list|lists?|will add|adds?|will launch|launch\w*|w
 DECIDED = r"(?i)decided to\s+([^.]{0,200})"
 DID_HIKE = r"(?i)\b(?:raise|raised|raises|increase|increased)\s+the\s+target\s+range|\braise\s+the\s+target\b"
 DID_CUT = r"(?i)\b(?:lower|lowered|lowers|reduce|reduced|cut|cuts)\s+the\s+target\s+range"
+PERCENT = r"(\d+(?:-\d+/\d+)?(?:\.\d+)?)\s*(?i:percent|per cent|%)"
+_RANGE = r"\d+(?:-\d+/\d+)?(?:\.\d+)?(?:\s+to\s+\d+(?:-\d+/\d+)?(?:\.\d+)?)?"
+TITLE_RATE = rf"(?i)\b(?:at|to)\s+({_RANGE})\s*(?:percent|per cent|%)"
+DECISION = (
+    r"(?i)\b(?:maintain|maintained|maintains|keep|kept|keeps|hold|held|holds|raise|raised|raises|increase|increased|increases|lower|lowered|lowers|cut|cuts|reduce|reduced|reduces)\s+"
+    r"(?:the\s+)?(?:target range for the federal funds rate|federal funds rate|bank rate|policy rate|uncollateralized overnight call rate|deposit facility rate|cash rate|official cash rate|policy interest rate|overnight rate target|overnight rate)\s+"
+    rf"(?:unchanged\s+)?(?:at|to|by\s+[^.]{{0,40}}?\bto)\s+({_RANGE})\s*(?:percent|per cent|%)"
+)
+TARGET = r"(?i)(?:target range|target rate|federal funds rate|bank rate|policy rate|uncollateralized overnight call rate)[^.]{0,160}?\bto\s+([^.]{0,60}?)(?:percent|per cent|%)"
 QUOTE = "USDT USDC FDUSD BUSD TUSD USD1 USDP DAI USDE USDS USD EUR TRY BRL ARS JPY GBP ZAR UAH PLN RON CZK MXN COP NGN KRW IDR VND AUD CAD CHF RUB BIDR BVND USDⓈ".split()
 STOP = "UTC AM PM APR APY VIP API P2P NFT ETF KYC FAQ OTC CM UM UID ID TBA TBD GMT NA AI USDS-M COIN-M LP TGE IPO IEO DEX CEX FDV ATH ATL EST PST CET SGT HKT JST KST PDT".split()
 ABBREVIATIONS = "mr mrs ms dr jr sr st no vs etc inc corp co approx fig al ca pp vol sen rep gov messrs prof".split()
@@ -123,11 +132,11 @@ def category(text: Column) -> Column:
 
 def title_kind(title: Column, feed_kind: Column | None = None) -> Column:
     kind = first_match(title, KINDS, "other")
-    return kind if feed_kind is None else F.when((kind == "other") & (feed_kind == "testimony"), "speech or testimony").otherwise(kind)
+    return kind if feed_kind is None else F.when((kind == "other") & (feed_kind == "testimony"), "speech_or_testimony").otherwise(kind)
 
 
 def channel(text: Column, rate_surprise: Column) -> Column:
-    return F.when(rate_surprise, "rate").otherwise(first_match(text, CHANNELS, "none"))
+    return F.when(rate_surprise, "rate_decision").otherwise(first_match(text, CHANNELS, "nothing_surprising"))
 
 
 def about_fx(text: Column) -> Column:
@@ -159,7 +168,7 @@ def action(text: Column) -> Column:
 def versus(later: Column, earlier: Column) -> Column:
     sign = lambda c: F.when(c == "hawkish", 1).when(c == "dovish", -1).otherwise(0)
     gap = sign(later) - sign(earlier)
-    return F.when(gap > 0, "more hawkish").when(gap < 0, "more dovish").otherwise("consistent")
+    return F.when(gap > 0, "more_hawkish").when(gap < 0, "more_dovish").otherwise("consistent")
 
 
 def title_family(title: Column) -> Column:
@@ -215,14 +224,12 @@ def range_top(text: Column) -> Column:
 
 
 def announced_rate(title: Column, body: Column) -> Column:
-    """The rate of a decision: in the title, else the decision sentence, else a target phrase, else the text's only percentage."""
-    percent = r"(\d+(?:-\d+/\d+)?(?:\.\d+)?)\s*(?i:percent|per cent|%)"
-    target = r"(?i)(?:target range|target rate|federal funds rate|bank rate|policy rate|uncollateralized overnight call rate)[^.]{0,160}?\bto\s+([^.]{0,60}?)(?:percent|per cent|%)"
+    """The rate of a decision: in the title, else the decision sentence, else a target phrase, else the text's only percentage; of a range the top."""
     t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    every = F.concat(t, F.lit("\n"), b)
     found = lambda s, p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
-    alone = F.array_distinct(F.regexp_extract_all(b, F.lit(percent), 1))
-    decided = r"(?i)decided to[^%]{0,200}?\b(?:at|to)\s+([^%]{0,60}?)(?:percent|per cent|%)"
-    return F.coalesce(rate_or_null(found(t, percent)), range_top(found(b, decided)), range_top(found(b, target)), F.when(F.size(alone) == 1, rate_or_null(F.get(alone, 0))))
+    alone = F.regexp_extract_all(every, F.lit(PERCENT), 1)
+    return F.coalesce(range_top(found(t, TITLE_RATE)), range_top(found(b, DECISION)), range_top(found(t, DECISION)), range_top(found(every, TARGET)), F.when(F.size(alone) == 1, rate_or_null(F.get(alone, F.lit(0)))))
 
 
 def rate_or_null(text: Column) -> Column:

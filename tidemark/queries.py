@@ -401,7 +401,7 @@ def salted_of(spark, sf_dir):
 SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT) + f"][doc_id % {len(_SALT)} + 1] || '. ' || left(text, 400) AS t FROM documents)"
 
 
-@query(SALTED_SQL + f", h AS (SELECT *, {hits_sql('t', T.HAWKISH)} AS hawks, {hits_sql('t', T.DOVISH)} AS doves, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS currency FROM s) SELECT doc_id, hawks, doves, CASE WHEN hawks = doves THEN 'neutral' WHEN hawks > doves THEN 'hawkish' ELSE 'dovish' END AS stance, CASE WHEN up = down THEN 'none' WHEN up > down THEN 'stronger' ELSE 'weaker' END AS direction, currency, {first_sql('t', T.CATEGORIES, 'other')} AS category, {first_sql('t', T.KINDS, 'other')} AS kind, {first_sql('t', T.CHANNELS, 'none')} AS channel, {first_sql('t', T.INTERVENTION, '0.0')}::DOUBLE AS level, NOT regexp_matches(t, '{T.NOT_FX}') AND currency <> 'none' AS about_fx, CASE WHEN regexp_matches(t, '{T.BEARISH_TITLE}') THEN -1 WHEN regexp_matches(t, '{T.BULLISH_TITLE}') THEN 1 ELSE 0 END AS side FROM h")
+@query(SALTED_SQL + f", h AS (SELECT *, {hits_sql('t', T.HAWKISH)} AS hawks, {hits_sql('t', T.DOVISH)} AS doves, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS currency FROM s) SELECT doc_id, hawks, doves, CASE WHEN hawks = doves THEN 'neutral' WHEN hawks > doves THEN 'hawkish' ELSE 'dovish' END AS stance, CASE WHEN up = down THEN 'none' WHEN up > down THEN 'stronger' ELSE 'weaker' END AS direction, currency, {first_sql('t', T.CATEGORIES, 'other')} AS category, {first_sql('t', T.KINDS, 'other')} AS kind, {first_sql('t', T.CHANNELS, 'nothing_surprising')} AS channel, {first_sql('t', T.INTERVENTION, '0.0')}::DOUBLE AS level, NOT regexp_matches(t, '{T.NOT_FX}') AND currency <> 'none' AS about_fx, CASE WHEN regexp_matches(t, '{T.BEARISH_TITLE}') THEN -1 WHEN regexp_matches(t, '{T.BULLISH_TITLE}') THEN 1 ELSE 0 END AS side FROM h")
 def fn_text_rules(spark, sf_dir):
     t = F.col("t")
     lean = T.word_lean(t)
