@@ -681,3 +681,79 @@ def fn34_decisions(spark, sf_dir):
     f = W.tape_features(ticks_of(spark, sf_dir))
     a = f.select("symbol", "seq", P.clamp(0.5 + c("move_z") / 4, 0.0, 1.0).alias("p_up"), P.clamp(0.5 - c("move_z") / 4, 0.0, 1.0).alias("p_down"), F.abs("imbalance").alias("confidence"), c("trend_efficiency").alias("p_continue"), (1 - c("trend_efficiency")).alias("p_reverse"), c("up_fraction").alias("conviction"), ((c("seq") % 10) / 10).alias("liquidity"), ((c("seq") % 13) / 13).alias("hazard"), ((c("seq") % 17) / 17).alias("cut"), (((c("seq") % 3) - 1) * 0.05).alias("position"))
     return rounded(R.decision(a).select("symbol", "seq", "gate", "edge", "target"))
+
+
+# ----------------------------------------------------- further study forms
+
+
+@query("WITH t AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS start, ts, event_id, value, json_extract_string(props, '$.k')::DOUBLE + 1 AS volume, json_extract_string(props, '$.k')::INT % 2 = 0 AS b FROM events), z AS (SELECT symbol, start, arg_max(value, {'t': ts, 'e': event_id}) AS last, sum(volume) AS volume, greatest(sum(CASE WHEN b THEN volume ELSE 0 END), 1e-6) AS bid_size, greatest(sum(CASE WHEN b THEN 0 ELSE volume END), 1e-6) AS ask_size FROM t GROUP BY ALL) SELECT symbol, epoch_us(start) AS start_us, last, volume, last - last * 0.00005::DOUBLE / 2 AS bid, bid_size, ask_size FROM z")
+def str1_trade_bars(spark, sf_dir):
+    """The streaming bars on a finished table."""
+    from tidemark.streaming.tapes import trade_bars
+
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    trades = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), F.col("value").alias("price"), (k + 1).cast("double").alias("volume"), F.when(k % 2 == 0, "b").otherwise("s").alias("side"))
+    b = trade_bars(trades, "1 hour")
+    return b.select("symbol", micros(F.col("start")).alias("start_us"), "last", "volume", "bid", "bid_size", "ask_size")
+
+
+@query(MARKS_SQL + ", z AS (SELECT f.symbol, count(*) AS fills, sum(price * size) AS notional, sum((mid - price) * side * size) AS pnl, avg(((mid - price) * side * size > 0)::INT::DOUBLE) AS hit FROM f JOIN t USING (symbol, seq) GROUP BY 1)" + near("symbol fills", "notional pnl hit", "FROM z", 4))
+def str7_running_stats(spark, sf_dir):
+    from tidemark.streaming.tapes import running_stats
+
+    t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
+    f = tape_fills(t).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
+    return rounded(running_stats(f.withColumn("pnl", (F.col("mid") - F.col("price")) * F.col("side") * F.col("size"))), 4)
+
+
+@query(SIGNALS_SQL + NULL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY try) AS n FROM cand WHERE try < 20) SELECT source_id AS signal_id, when_us FROM r WHERE n = 1")
+def evt7_unconditioned(spark, sf_dir):
+    return N.unconditioned(signals_of(spark, sf_dir), SPAN, EXCLUDE, 0, TRIES).select("signal_id", "when_us")
+
+
+@query(SIGNALS_SQL + outcome_sql((1_000_000,)) + " SELECT sig.signal_id, sig.signal_id IN (SELECT signal_id FROM o) AS priced FROM sig")
+def evt5_coverage(spark, sf_dir):
+    s = signals_of(spark, sf_dir)
+    done = outcomes_of(ticks_of(spark, sf_dir), s).select("signal_id", F.lit(True).alias("priced")).distinct()
+    return s.select("signal_id").join(done, "signal_id", "left").select("signal_id", F.coalesce("priced", F.lit(False)).alias("priced"))
+
+
+_MID_AT = "(SELECT arg_max((bid + ask) / 2, seq) FROM tape t WHERE t.symbol = s.symbol AND t.ts_us <= {0} AND t.ts_us >= {0} - %d)" % STALE  # noqa: UP031
+
+
+@query(SIGNALS_SQL + f", m AS (SELECT signal_id, {_MID_AT.format('s.when_us - 1000')} AS a, {_MID_AT.format(f's.when_us - {DAY}')} AS d, {_MID_AT.format(f's.when_us - {6 * HOUR}')} AS q FROM sig s), z AS (SELECT signal_id, ln(a / d) * 1e4 AS drift_0, ln(a / q) * 1e4 AS drift_1 FROM m)" + near("signal_id", "drift_0 drift_1", "FROM z"))
+def evt15_drift(spark, sf_dir):
+    s = signals_of(spark, sf_dir)
+    return rounded(E.drift(ticks_of(spark, sf_dir), s, (DAY, 6 * HOUR), STALE).select("signal_id", "drift_0", "drift_1"))
+
+
+@query(TAPE_SQL + ", r AS (SELECT symbol, seq, (bid + ask) / 2 AS mid, volume AS v, (seq % 21) - 10.0 AS inv FROM tape), q AS (SELECT symbol, seq, mid * (1 - greatest(-1, least(1, inv / 8)) * 2.5 / 1e4) AS res, 2 + 0.35 * v AS half, inv FROM r), z AS (SELECT symbol, seq, res * (1 - half * 1.5 / 1e4) AS quote_bid, res * (1 + half / 1e4) AS quote_ask, CASE WHEN inv >= 8 THEN 0.0 ELSE 1.0 END AS quote_bid_size, CASE WHEN inv <= -8 THEN 0.0 ELSE 0.5 END AS quote_ask_size FROM q)" + near("symbol seq", "quote_bid quote_ask quote_bid_size quote_ask_size", "FROM z", 9))
+def led8_quotes(spark, sf_dir):
+    t = ticks_of(spark, sf_dir)
+    r = t.select("symbol", "seq", P.mid(F.col("bid"), F.col("ask")).alias("mid"), F.col("volume").alias("vol_bps"), ((F.col("seq") % 21) - 10.0).alias("inventory"), F.lit(1.5).alias("bid_spread_mult"), F.lit(1.0).alias("ask_spread_mult"), F.lit(1.0).alias("bid_size_mult"), F.lit(0.5).alias("ask_size_mult"))
+    return rounded(B.quotes(r).select("symbol", "seq", "quote_bid", "quote_ask", "quote_bid_size", "quote_ask_size"), 9)
+
+
+@query(TAPE_SQL + ", z AS (SELECT symbol, seq, (seq % 10) / 10.0 AS m, (seq % 7) / 7.0 AS s, (seq % 3) / 3.0 AS f, (seq % 4) / 4.0 AS d, (seq % 11) / 22.0 AS i FROM tape), r AS (SELECT symbol, seq, greatest(m * s * (0.2 + 0.8 * f) * (1 - 0.93 * d), 0.85 * i) AS risk, m, d FROM z), y AS (SELECT symbol, seq, risk, CASE WHEN risk < 0.3 THEN 'normal' WHEN NOT (m >= 0.45 AND abs(m - d) > 0.2) THEN 'widen both' WHEN m - d > 0 THEN 'pull offer' ELSE 'pull bid' END AS stance FROM r)" + near("symbol seq stance", "risk", "FROM y"))
+def fn40_stances(spark, sf_dir):
+    c = F.col
+    z = ticks_of(spark, sf_dir).select("symbol", "seq", ((c("seq") % 10) / 10).alias("m"), ((c("seq") % 7) / 7).alias("s"), ((c("seq") % 3) / 3).alias("f"), ((c("seq") % 4) / 4).alias("d"), ((c("seq") % 11) / 22).alias("i"))
+    z = z.withColumn("risk", R.headline_risk(c("m"), c("s"), c("f"), c("d"), c("i")))
+    return rounded(z.select("symbol", "seq", R.stance(c("risk"), c("m"), c("d"), c("m"), F.lit(True), F.lit(0.0))["name"].alias("stance"), "risk"))
+
+
+@query(SALTED_SQL + f", h AS (SELECT doc_id, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS cur FROM s WHERE NOT regexp_matches(t, '{T.NOT_FX}')), p(cur, symbol, base) AS (VALUES ('USD', 'EURUSD', -1), ('EUR', 'EURUSD', 1), ('JPY', 'USDJPY', -1), ('GBP', 'GBPUSD', 1), ('AUD', 'AUDUSD', 1), ('CAD', 'USDCAD', -1), ('CHF', 'USDCHF', -1), ('NZD', 'NZDUSD', 1)) SELECT doc_id AS id, symbol, base * CASE WHEN up > down THEN 1 ELSE -1 END AS sign FROM h JOIN p USING (cur) WHERE up <> down")
+def evt10_wire_arm(spark, sf_dir):
+    from tidemark.plans.arms import wire_arm
+
+    s = salted_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("ts_us"), F.col("t").alias("title"), F.lit("").alias("body"))
+    return wire_arm(s).select("id", "symbol", "sign")
+
+
+@query("WITH r AS (SELECT p_partkey, p_size / 10.0 AS target, p_retailprice / 397 AS ff, p_retailprice / 397 + ((p_partkey % 9) - 4) * 0.2 AS bill FROM part), z AS (SELECT *, round_even((bill - ff) / 0.25, 0)::INT AS n FROM r) SELECT p_partkey, CASE WHEN n = 0 THEN printf('The six-month bill yields %.2f percent against an overnight rate of %.2f: the market prices roughly no change within six months.', bill, ff) ELSE printf('The six-month bill yields %.2f percent against an overnight rate of %.2f: the market prices roughly ', bill, ff) || abs(n) || ' quarter-point ' || CASE WHEN n > 0 THEN 'hike' ELSE 'cut' END || CASE WHEN abs(n) = 1 THEN '' ELSE 's' END || ' within six months.' END AS priced FROM z WHERE ff > 0.3")
+def fn28_priced(spark, sf_dir):
+    from tidemark.functions.sentences import priced_sentence
+
+    p = table(spark, sf_dir, "part").withColumn("ff", F.col("p_retailprice") / 397).filter("ff > 0.3")
+    return p.select("p_partkey", priced_sentence(F.col("ff") + ((F.col("p_partkey") % 9) - 4) * 0.2, F.col("ff")).alias("priced"))
