@@ -16,7 +16,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Stages 2 to 4 use SQL-expressible rules, but the classifier and the sketches of stages 1 and 3 have no SQL.
+#: SQL can express neither the fitted classifier of stage 1 nor the token ids of stage 5; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -474,6 +474,29 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= counts[-1]
 
 
+def test_pipeline_odd_rows(spark, docs, empty):
+    """Stages 2 to 5 against brute force on the corpus with nulls, blanks and long texts; all of them on no rows."""
+    import corpus_pipeline as p
+
+    rows = docs.select(*p.COLUMNS)
+    texts = {i: t for i, t, *_ in corpus()}
+    stages = dict(p.STAGES)
+    sf = "/root/testdata/sf0.001"
+    lines = stages["line dedup"](spark, rows, sf)
+    assert {r.doc_id: r.text for r in lines.collect()} == texts
+    kept = {r.doc_id for r in stages["n-gram Jaccard join"](spark, rows, sf).collect()}
+    assert kept == {i for i, (_, c) in components(corpus(), 5, 80).items() if i == c}
+    mixed = stages["mixing sources to target weights"](spark, rows, sf).collect()
+    assert {r.doc_id for r in mixed} <= set(texts) and all(r.text == texts[r.doc_id] and split(r.text) for r in mixed)
+    packed = stages["best-fit packing"](spark, rows, sf)
+    assert packed.select("doc_id").distinct().count() == len(texts)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "a b", None, None, None), (1, "a b", "en", "s", 3)], DOC)
+    for _, stage in p.STAGES:
+        assert stage(spark, odd, sf).count() >= 0
+
+
 def test_components(spark):
     from tidemark.llm.components import components as find
 
