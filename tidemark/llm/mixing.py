@@ -77,17 +77,20 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int
     replaced.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.withColumn("mix_size", F.size(words_col(F.col("text"))).cast("long")) if "mix_size" not in docs.columns else docs
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    sized = docs.withColumn("mix_size", F.size(words_col(F.col("text"))).cast("long"))
+    # a key without nulls, so that the window and the join below share one shuffle of the rows
+    sized = sized.withColumn("mix_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     sized = sized.withColumn("mix_key", key).withColumn("mix_bucket", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % buckets)
-    per = sized.groupBy(F.col("source").alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(F.sum("mix_size").alias("mix_sum"))
-    targets = source_targets(per.select(F.col("mix_s").alias("source"), F.col("mix_sum").alias("size")), weights, most, budget)
-    before = Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = sized.groupBy("source", "mix_src", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
+    targets = source_targets(per.select("source", F.col("mix_sum").alias("size")), weights, most, budget)
+    before = Window.partitionBy("mix_src").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = per.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(before), F.lit(0)))
-    base = base.join(targets.withColumnRenamed("source", "mix_t"), F.col("mix_s").eqNullSafe(F.col("mix_t")))
-    base = base.select("mix_s", "mix_b", "mix_before", F.col("kind").alias("mix_kind"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    within = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.join(targets.withColumnRenamed("source", "mix_t"), F.col("source").eqNullSafe(F.col("mix_t")))
+    base = base.select("mix_src", "mix_bucket", "mix_before", F.col("kind").alias("mix_kind"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    within = Window.partitionBy("mix_src", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("mix_cum", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
-    out = out.join(base, F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
+    out = out.join(base, ["mix_src", "mix_bucket"])
     cum, want, all_ = F.col("mix_cum") + F.col("mix_before"), F.round("mix_target").cast("long"), F.col("mix_source_size")
     full = F.when(all_ > 0, F.floor(want / all_)).otherwise(0).cast("int")
     part = F.greatest(F.lit(0), F.least(F.col("mix_size"), want - full * all_ - cum))
@@ -103,7 +106,7 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int
 
     out = out.withColumn("mix_taken", full * F.col("mix_size") + part)
     out = out.withColumn("mix_copies", F.filter(F.transform(F.sequence(F.lit(0), full), copy), lambda c: c["words"] > 0))
-    return out.drop("mix_key", "mix_bucket", "mix_s", "mix_b", "mix_before", "mix_kind", "mix_cum")
+    return out.drop("mix_key", "mix_bucket", "mix_src", "mix_before", "mix_kind", "mix_cum")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
