@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The index is fitted on at most SAMPLE vectors (smallest hashes of the id); all vectors are indexed.
-SAMPLE, MOST_LISTS, PROBES, BLOCK, EPSILON, CHUNK = 8192, 1024, 0.8, 16, 2.1, 4096
+SAMPLE, MOST_LISTS, PROBES, BLOCK, EPSILON, CHUNK = 8192, 1024, 0.8, 16, 1.0, 4096
+#: Queries that a task scans a chunk for at once.
+QUERIES = 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -51,25 +53,37 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     return c
 
 
-def scan(rows: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
-    """Indices of the rows that survive the tests for the k nearest to q (all of them up to k rows)."""
+def scan(rows: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in q, place in rows), by query, that survive the tests for each query's k nearest rows (all of up to k rows).
+
+    Distances grow block by block for all queries of a batch at once; when few pairs are left, only these are carried on.
+    """
     n, dims = rows.shape
     if n <= k:
-        return np.arange(n)
-    part = ((rows[:, :block] - q[:block]) ** 2).sum(1)
-    # whole distances of the most promising rows bound the k-th best
-    first = np.argpartition(part, min(n, 4 * k) - 1)[: 4 * k]
-    limit = np.partition(((rows[first] - q) ** 2).sum(1), k - 1)[k - 1]
-    alive = np.arange(n)
-    for seen in range(block, dims + block, block):
-        seen = min(seen, dims)
-        test = 1 + epsilon / np.sqrt(seen) if seen < dims else 1 + 1e-9
-        keep = part <= limit * (seen / dims) * test * test
-        alive, part = alive[keep], part[keep]
-        if seen == dims:
-            break
-        part = part + ((rows[alive, seen : seen + block] - q[seen : seen + block]) ** 2).sum(1)
-    return alive
+        return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
+    slack = 1e-9 * (rows * rows).sum(1).max()
+    pairs, part, limit = None, np.zeros((len(q), n)), np.full(len(q), np.inf)
+    for start in range(0, dims, block):
+        r, x, seen = rows[:, start : start + block], q[:, start : start + block], min(start + block, dims)
+        if pairs is None:
+            part += (x * x).sum(1)[:, None] + (r * r).sum(1) - 2 * (x @ r.T)
+        else:
+            part += ((r[pairs[1]] - x[pairs[0]]) ** 2).sum(1)
+        if pairs is None:
+            # whole distances of the rows most promising so far bound the k-th best
+            first = np.argpartition(part, k - 1, axis=1)[:, :k]
+            limit = np.minimum(limit, ((rows[first] - q[:, None]) ** 2).sum(2).max(1))
+        test = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dims else 1.0
+        bound = limit * (seen / dims) * test + slack
+        if pairs is None:
+            alive = part <= bound[:, None]
+            if seen == dims or alive.mean() < 0.1:
+                pairs = np.nonzero(alive)
+                part = part[pairs]
+        else:
+            alive = part <= bound[pairs[0]]
+            pairs, part = (pairs[0][alive], pairs[1][alive]), part[alive]
+    return pairs
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = PROBES, sample: int = SAMPLE, chunk: int = CHUNK, block: int = BLOCK, epsilon: float = EPSILON) -> DataFrame:
@@ -90,7 +104,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
     base, asked = (df.filter(F.size("embedding") == dims) for df in (base, asked))
     picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
     turn = rotation(dims + 1)
-    lists = int(min(MOST_LISTS, max(1, np.sqrt(n) / 2)))
+    lists = int(min(MOST_LISTS, max(1, np.sqrt(n) / 8)))
     center = centroids(lifted(np.array([r[0] for r in picked]), norm, turn), lists)
     visits = max(min(len(center), 4), int(np.ceil(probes * len(center))))
     shared = spark.sparkContext.broadcast((turn, center, norm))
@@ -119,22 +133,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
 
     def search(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         turn, _, norm = shared.value
-        out: list[tuple] = []
+        got: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if rows.num_rows and wanted.num_rows:
-            x, ids = (t := np.array(rows.column("embedding").to_pylist())), rows.column("vec_id").to_numpy()
+            x, ids = np.array(rows.column("embedding").to_pylist()), rows.column("vec_id").to_numpy()
             turned = lifted(x, norm, turn)
-            q = np.array(wanted.column("embedding").to_pylist())
-            q_turned = lifted(q, norm, turn, True)
-            for i, own in enumerate(wanted.column("vec_id").to_pylist()):
+            for at in range(0, wanted.num_rows, QUERIES):
+                part = wanted.slice(at, QUERIES)
+                q, own = np.array(part.column("embedding").to_pylist()), part.column("vec_id").to_numpy()
                 # one more than k: the query itself may be among them
-                at = scan(turned, q_turned[i], k + 1, block, epsilon)
-                at = at[ids[at] != own]
+                i, j = scan(turned, lifted(q, norm, turn, True), k + 1, block, epsilon)
+                other = ids[j] != own[i]
+                i, j = i[other], j[other]
                 # a sum per row, so that equal vectors get equal scores wherever they stand
-                score = (t[at] * q[i]).sum(1)
-                best = np.lexsort((ids[at], -score))[:k]
-                out += [(own, int(ids[at[j]]), float(score[j])) for j in best]
-        got = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+                score = (x[j] * q[i]).sum(1)
+                best = np.lexsort((ids[j], -score, i))
+                rank = np.arange(len(best)) - np.searchsorted(i[best], i[best])
+                best = best[rank < k]
+                for column, values in zip(got, (own[i[best]], ids[j[best]], score[best]), strict=True):
+                    column.append(values)
+        return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), got, strict=True)})
 
     found = listed.groupBy("list", "chunk").cogroup(visits_of.groupBy("list", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
