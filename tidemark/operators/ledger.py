@@ -38,38 +38,91 @@ def target_fills(targets: DataFrame, ticks: DataFrame, impact_bps: float = 2.0,
     return rows.select(*keys, "seq", "ts_us", "delta", "price", (F.col("price") * F.abs("delta") * fee_bps / 1e4).alias("fee"))
 
 
-def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:
-    """fills (keys, seq, delta, price, fee) with units, avg_price, realized and fees after each: average cost.
+def cost_fold(rows: DataFrame, parts: tuple[str, ...], every: bool) -> DataFrame:
+    """rows (parts, seq, delta, price, fee, and the state before a part: u, avg, realized0, fees0) in order of seq through the average-cost step, each part for itself.
 
-    Adding averages the price, reducing realises against it, going through flat starts again at the
-    fill's price. The fold is in order by nature; a key's fills stream through in sorted batches, with
-    a few numbers of state, so a long history needs no memory.
+    With u given, every step is affine in the average price before the part: the average is
+    a * avg + b, what was realised r0 + r1 * avg. every: the state after each row; else a row of
+    (a, b, r0, r1, fees) for each part.
     """
-    schema = fills.select(*keys, "seq", "delta", "price", "fee").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    names = [*parts, "seq", "delta", "price", "fee"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, units, avg, realized, fees = None, 0.0, 0.0, 0.0, 0.0
-        for b in batches:
+        part, u, a, b, r0, r1, fees = None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+        for batch in batches:
             out = []
-            for row in b.itertuples(index=False):
-                own = tuple(row[: len(keys)])
-                if own != state:
-                    state, units, avg, realized, fees = own, 0.0, 0.0, 0.0, 0.0
-                delta, price, before = row.delta, row.price, units
-                if before == 0 or (before > 0) == (delta > 0):
-                    avg = (avg * abs(before) + price * abs(delta)) / (abs(before) + abs(delta)) if delta else avg
+            for row in batch.itertuples(index=False):
+                own = tuple(row[: len(parts)])
+                if own != part:
+                    if not every and part is not None:
+                        out.append((*part, a, b, r0, r1, fees))
+                    part, u = own, row.u
+                    a, b, r0, r1, fees = (0.0, row.avg, row.realized0, 0.0, row.fees0) if every else (1.0, 0.0, 0.0, 0.0, 0.0)
+                delta, price = row.delta, row.price
+                if u == 0 or (u > 0) == (delta > 0):
+                    if delta:
+                        a, b = a * abs(u) / (abs(u) + abs(delta)), (b * abs(u) + price * abs(delta)) / (abs(u) + abs(delta))
                 else:
-                    realized += (price - avg) * min(abs(before), abs(delta)) * (1 if before > 0 else -1)
-                    avg = price if abs(delta) > abs(before) else avg
-                units = before + delta
-                if abs(units) < LEAST:
-                    units = avg = 0.0
+                    closed = min(abs(u), abs(delta)) * (1 if u > 0 else -1)
+                    r0, r1 = r0 + (price - b) * closed, r1 - a * closed
+                    if abs(delta) > abs(u):
+                        a, b = 0.0, price
+                u += delta
+                if abs(u) < LEAST:
+                    u = a = b = 0.0
                 fees += row.fee
-                out.append((*row, units, avg, realized, fees))
-            yield pd.DataFrame(out, columns=[*b.columns, "units", "avg_price", "realized", "fees"])
+                if every:
+                    out.append((*row[: len(names)], u, b, r0, fees))
+            yield pd.DataFrame(out, columns=[*names, "units", "avg_price", "realized", "fees"] if every else [*parts, "a", "b", "r0", "r1", "fees"])
+        if not every and part is not None:
+            yield pd.DataFrame([(*part, a, b, r0, r1, fees)], columns=[*parts, "a", "b", "r0", "r1", "fees"])
+
+    given = rows.select(*names if every else parts).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    added = "units double, avg_price double, realized double, fees double" if every else "a double, b double, r0 double, r1 double, fees double"
+    before = ["u", "avg", "realized0", "fees0"] if every else ["u"]
+    return rows.select(*names, *before).repartition(*parts).sortWithinPartitions(*parts, "seq").mapInPandas(run, f"{given}, {added}")
+
 
-    rows = fills.select(*keys, "seq", "delta", "price", "fee").repartition(*keys).sortWithinPartitions(*keys, "seq")
-    return rows.mapInPandas(run, schema + ", units double, avg_price double, realized double, fees double")
+def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: int = 65536) -> DataFrame:
+    """fills (keys, seq, delta, price, fee) with units, avg_price, realized and fees after each: average cost.
+
+    Adding averages the price, reducing realises against it, going through flat starts again at the
+    fill's price. A key's history is cut into blocks of seq, which are folded in parallel: running sums
+    give the units before each block, a first fold each block's effect on the average price and the
+    realised sum (but for a key's last block), those are chained, one row a block, and a second fold
+    starts each block from its state. Deltas are summed as decimals of twelve places, so that blocks
+    agree on where a position is flat.
+    """
+    rows = fills.select(*keys, "seq", "delta", "price", "fee").withColumn("_b", F.floor(F.col("seq") / block))
+    parts, order = (*keys, "_b"), Window.partitionBy(*keys).orderBy("_b")
+    sums = rows.groupBy(*parts).agg(F.sum(F.col("delta").cast("decimal(38,12)")).alias("_d"))
+    units = F.coalesce(F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
+    blocks = sums.select(*parts, F.when(F.abs(units) < LEAST, 0.0).otherwise(units).alias("u"), F.lead("_b").over(order).isNull().alias("_last"))
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        right = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(parts)], *[c for c in right.columns if c not in parts])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(parts)]
+        return left.join(right, same, how).drop(*[f"_k{i}" for i in range(len(parts))])
+
+    effects = cost_fold(joined(rows, blocks.filter(~F.col("_last"))), parts, every=False)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, avg, realized, fees = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = tuple(row[: len(keys)])
+                if own != key:
+                    key, avg, realized, fees = own, 0.0, 0.0, 0.0
+                out.append((*row[: len(parts)], row.u, avg if row.u else 0.0, realized, fees))
+                if not row.last:
+                    avg, realized, fees = row.a * avg + row.b, realized + row.r0 + row.r1 * avg, fees + row.fees
+            yield pd.DataFrame(out, columns=[*parts, "u", "avg", "realized0", "fees0"])
+
+    linked = joined(blocks, effects, "left").select(*parts, "u", F.col("_last").alias("last"), "a", "b", "r0", "r1", "fees")
+    given = blocks.select(*parts).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    states = linked.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(chain, f"{given}, u double, avg double, realized0 double, fees0 double")
+    return cost_fold(joined(rows, states), parts, every=True).drop("_b")
 
 
 def marked(book: DataFrame, ticks: DataFrame, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:

@@ -567,6 +567,14 @@ def led3_ledger(spark, sf_dir):
     return rounded(last.select("symbol", "s.*"), 4)
 
 
+@query()
+def led3_whole_ledger(spark, sf_dir):
+    """led3_ledger over every fill: the average-cost state after each symbol's last one."""
+    f = fills_of(spark, sf_dir).select(F.lit("r").alias("run"), "symbol", "seq", F.when(F.col("seq") % 2 == 0, F.col("size")).otherwise(-F.col("size")).alias("delta"), "price", F.lit(0.0).alias("fee"))
+    last = B.ledger(f).groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.max_by(F.struct("units", "avg_price", "realized"), "seq").alias("s"))
+    return rounded(last.select("symbol", "fills", "s.*"), 4)
+
+
 @query(TAPE_SQL + ", t AS (SELECT *, (bid + ask) / 2 AS mid FROM tape), g AS (SELECT 'r' AS run, symbol, seq, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY seq), 0) AS delta FROM (SELECT symbol, seq, ((seq * 7919) % 5 - 2)::DOUBLE AS target FROM tape WHERE seq % 10 = 0)), f AS (SELECT g.*, CASE WHEN delta > 0 THEN ask * (1 + 2.0 * least(delta / ask_size, 5) / 1e4) ELSE bid * (1 - 2.0 * least(-delta / bid_size, 5) / 1e4) END AS price FROM g JOIN t USING (symbol, seq) WHERE abs(delta) >= 1e-9), z AS (SELECT symbol, seq, delta, price, price * abs(delta) / 1e4 AS fee FROM f)" + near("symbol seq delta", "price fee", "FROM z", 9))
 def led2_target_fills(spark, sf_dir):
     t = ticks_of(spark, sf_dir)
@@ -630,6 +638,13 @@ def agg24_sign_test(spark, sf_dir):
     return rounded(f.select("arm", "wins", S.sign_test(F.col("wins"), F.col("n")).alias("p")), 9)
 
 
+@query()
+def agg24_whole_sign_test(spark, sf_dir):
+    """agg24_sign_test over every fill."""
+    f = fills_of(spark, sf_dir).groupBy(F.col("symbol").alias("arm")).agg(F.count_if(F.col("side") < 0).alias("wins"), F.count(F.lit(1)).alias("n"))
+    return rounded(f.select("arm", "wins", "n", S.sign_test(F.col("wins"), F.col("n")).alias("p")), 9)
+
+
 @query("WITH z AS (SELECT p_brand AS meeting, quantile_cont(p_size / 8.0::DOUBLE, 0.5) AS median FROM part GROUP BY 1), r AS (SELECT meeting, median, sign(median) * floor(abs(median) * 10 + 0.5) / 10 AS printed FROM z)" + near("meeting", "median printed", "FROM r"))
 def agg22_weighted_median(spark, sf_dir):
     c = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("meeting"), (F.col("p_size") / 8).alias("level")).agg(F.count(F.lit(1)).alias("n"))
