@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.functions import text as T
 from tidemark.operators import ledger
+from tidemark.plans.arms import WIRE_PAIRS
 
 
 def plain_ledger(fills):
@@ -84,3 +87,75 @@ def test_whole_sign_test_counts_every_fill(spark, line_items):
         n, wins = len(fills), sum(r[5] == "R" for r in fills)
         p = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(wins, n - wins) + 1)) / 2**n)
         assert got[arm] == pytest.approx((wins, n, p), abs=1e-8)
+
+
+LATE = (
+    "payrolls beat and the dollar jumps", "ecb easing weighs on the euro", "bitcoin jumps", "wages and jobs and employment and labor", "a speech on the dot plot",
+    "the fed decided to lower the target range", "conducted large operations in the foreign exchange market", "delisting of pairs", "strong growth, gdp up, demand up, recession over", "",
+)
+
+
+@pytest.fixture(scope="module")
+def late_texts(spark, tmp_path_factory):
+    """A folder with documents of every residue whose words stand behind 600 characters of others, and the texts with their sentences."""
+    path = tmp_path_factory.mktemp("late")
+    rows = [(i, "plain words. " * 50 + LATE[(i // 10 + i) % 10] + f". Then they raised the bank rate to {i}.25 percent (ZZ{i}Q)" * (i % 3 > 0)) for i in range(100)] + [(100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(path / "documents.parquet"))
+    return str(path), {i: f"{queries._SALT[i % 10]}. {t or ''}" for i, t in rows}
+
+
+def first(text, table, otherwise):
+    return next((n for n, p in table if re.search(p, text)), otherwise)
+
+
+def count(text, pattern):
+    return sum(1 for _ in re.finditer(pattern, text))
+
+
+def test_whole_text_rules_read_past_the_start(spark, late_texts):
+    path, texts = late_texts
+    got = {r.doc_id: r for r in queries.QUERIES["fn_whole_text_rules"](spark, path).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        hawks, doves, up, down = (count(t, p) for p in (T.HAWKISH, T.DOVISH, T.HAWKISH_WIRE, T.DOVISH_WIRE))
+        r, currency = got[i], first(t, T.CURRENCIES, "none")
+        assert (r.hawks, r.doves, r.direction) == (hawks, doves, "none" if up == down else "stronger" if up > down else "weaker")
+        assert r.stance == ("neutral" if hawks == doves else "hawkish" if hawks > doves else "dovish")
+        assert (r.currency, r.category, r.kind) == (currency, first(t, T.CATEGORIES, "other"), first(t, T.KINDS, "other"))
+        assert (r.channel, r.level) == (first(t, T.CHANNELS, "nothing_surprising"), first(t, T.INTERVENTION, 0.0))
+        assert r.about_fx == (currency != "none" and not re.search(T.NOT_FX, t))
+        assert r.side == (-1 if re.search(T.BEARISH_TITLE, t) else 1 if re.search(T.BULLISH_TITLE, t) else 0)
+
+
+def test_whole_topic_and_action_read_past_the_start(spark, late_texts):
+    path, texts = late_texts
+    got = {r.doc_id: (r.topic, r.action) for r in queries.QUERIES["fn_whole_topic_and_action"](spark, path).collect()}
+    want = {}
+    for i, t in texts.items():
+        n, topic = max((count(t, p), name) for name, p in T.TOPICS)
+        m = re.search(T.DECIDED, t)
+        scope = m[1] if m else t
+        want[i] = (topic if n else "other", "hike" if re.search(T.DID_HIKE, scope) else "cut" if re.search(T.DID_CUT, scope) else "hold")
+    assert got == want
+
+
+def test_whole_rates_and_tickers_read_every_document(spark, late_texts):
+    path, texts = late_texts
+    rates = {r.doc_id: r.rate for r in queries.QUERIES["fn_whole_announced_rate"](spark, path).collect()}
+    names = {r.doc_id: r.tickers for r in queries.QUERIES["fn_whole_tickers"](spark, path).collect()}
+    assert set(rates) == set(names) == set(texts)
+    for i in texts:
+        late = i % 3 > 0 and i < 100
+        assert rates[i] == (i + 0.25 if late else {5: 4.0, 6: 0.25}.get(i % 10))
+        assert names[i] == ",".join([*{3: ["ABC", "XYZ"], 4: ["DEF"]}.get(i % 10, []), *[f"ZZ{i}Q"] * late])
+
+
+def test_whole_wire_arm_reads_past_the_start(spark, late_texts):
+    path, texts = late_texts
+    got = {(r.id, r.symbol, r.sign) for r in queries.QUERIES["evt10_whole_wire_arm"](spark, path).collect()}
+    want = set()
+    for i, t in texts.items():
+        up, down, currency = count(t, T.HAWKISH_WIRE), count(t, T.DOVISH_WIRE), first(t, T.CURRENCIES, "none")
+        if up != down and currency in WIRE_PAIRS and not re.search(T.NOT_FX, t):
+            want.add((i, WIRE_PAIRS[currency][0], WIRE_PAIRS[currency][1] * (1 if up > down else -1)))
+    assert want and got == want

@@ -393,9 +393,10 @@ def hits_sql(text: str, pattern: str) -> str:
 _SALT = ("the fed raised rates again and inflation remains elevated", "bank of japan ready to intervene, yen one-sided", "ecb cuts rates as growth weakens", "will list ABC (ABC) and XYZ/USDT", "delisting of DEFUSDT pairs", "decided to raise the target range to 3-3/4 to 4 percent", "decided to lower the target range to 0 to 1/4 percent", "bitcoin and stocks fall", "payrolls beat, dollar jumps", "nothing here")
 
 
-def salted_of(spark, sf_dir):
+def salted_of(spark, sf_dir, whole: bool = False):
+    """Each document behind one of the sentences: its first 400 characters, which is what the SQL reads, or its whole text."""
     salt = F.element_at(F.array(*[F.lit(s) for s in _SALT]), (F.col("doc_id") % len(_SALT)).cast("int") + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(salt, F.lit(". "), F.left("text", F.lit(400))).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(salt, F.lit(". "), F.coalesce("text", F.lit("")) if whole else F.left("text", F.lit(400))).alias("t"))
 
 
 SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT) + f"][doc_id % {len(_SALT)} + 1] || '. ' || left(text, 400) AS t FROM documents)"
@@ -403,14 +404,32 @@ SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT)
 
 @query(SALTED_SQL + f", h AS (SELECT *, {hits_sql('t', T.HAWKISH)} AS hawks, {hits_sql('t', T.DOVISH)} AS doves, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS currency FROM s) SELECT doc_id, hawks, doves, CASE WHEN hawks = doves THEN 'neutral' WHEN hawks > doves THEN 'hawkish' ELSE 'dovish' END AS stance, CASE WHEN up = down THEN 'none' WHEN up > down THEN 'stronger' ELSE 'weaker' END AS direction, currency, {first_sql('t', T.CATEGORIES, 'other')} AS category, {first_sql('t', T.KINDS, 'other')} AS kind, {first_sql('t', T.CHANNELS, 'nothing_surprising')} AS channel, {first_sql('t', T.INTERVENTION, '0.0')}::DOUBLE AS level, NOT regexp_matches(t, '{T.NOT_FX}') AND currency <> 'none' AS about_fx, CASE WHEN regexp_matches(t, '{T.BEARISH_TITLE}') THEN -1 WHEN regexp_matches(t, '{T.BULLISH_TITLE}') THEN 1 ELSE 0 END AS side FROM h")
 def fn_text_rules(spark, sf_dir):
+    return text_rules(salted_of(spark, sf_dir))
+
+
+@query()
+def fn_whole_text_rules(spark, sf_dir):
+    return text_rules(salted_of(spark, sf_dir, whole=True))
+
+
+def text_rules(s: DataFrame) -> DataFrame:
     t = F.col("t")
     lean = T.word_lean(t)
-    return salted_of(spark, sf_dir).select("doc_id", lean["hawks"].alias("hawks"), lean["doves"].alias("doves"), lean["stance"].alias("stance"), T.wire_direction(t).alias("direction"), T.currency(t).alias("currency"), T.category(t).alias("category"), T.title_kind(t).alias("kind"), T.channel(t, F.lit(False)).alias("channel"), T.intervention_level(t).alias("level"), T.about_fx(t).alias("about_fx"), T.title_side(t).alias("side"))
+    return s.select("doc_id", lean["hawks"].alias("hawks"), lean["doves"].alias("doves"), lean["stance"].alias("stance"), T.wire_direction(t).alias("direction"), T.currency(t).alias("currency"), T.category(t).alias("category"), T.title_kind(t).alias("kind"), T.channel(t, F.lit(False)).alias("channel"), T.intervention_level(t).alias("level"), T.about_fx(t).alias("about_fx"), T.title_side(t).alias("side"))
 
 
 @query(SALTED_SQL + ", c AS (SELECT doc_id, t, [" + ", ".join(f"{{'n': {hits_sql('t', p)}, 't': '{n}'}}" for n, p in T.TOPICS) + f"] AS c FROM s), r AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{T.DECIDED}') THEN regexp_extract(t, '{T.DECIDED}', 1) ELSE t END AS scope, list_reverse_sort(c)[1] AS b FROM c) SELECT doc_id, CASE WHEN b.n > 0 THEN b.t ELSE 'other' END AS topic, CASE WHEN regexp_matches(scope, '{T.DID_HIKE}') THEN 'hike' WHEN regexp_matches(scope, '{T.DID_CUT}') THEN 'cut' ELSE 'hold' END AS action FROM r")
 def fn_topic_and_action(spark, sf_dir):
-    return salted_of(spark, sf_dir).select("doc_id", T.dominant_topic(F.col("t")).alias("topic"), T.action(F.col("t")).alias("action"))
+    return topic_and_action(salted_of(spark, sf_dir))
+
+
+@query()
+def fn_whole_topic_and_action(spark, sf_dir):
+    return topic_and_action(salted_of(spark, sf_dir, whole=True))
+
+
+def topic_and_action(s: DataFrame) -> DataFrame:
+    return s.select("doc_id", T.dominant_topic(F.col("t")).alias("topic"), T.action(F.col("t")).alias("action"))
 
 
 @query(SALTED_SQL + ", f AS (SELECT doc_id, CASE doc_id % 10 WHEN 5 THEN 4.0 WHEN 6 THEN 0.25 END AS rate FROM s) SELECT doc_id, rate::DOUBLE AS rate FROM f WHERE doc_id % 10 IN (5, 6)")
@@ -419,12 +438,24 @@ def fn_announced_rate(spark, sf_dir):
     return s.select("doc_id", T.announced_rate(F.lit(""), F.col("t")).alias("rate"))
 
 
+@query()
+def fn_whole_announced_rate(spark, sf_dir):
+    """The rate of every document, null where none is announced."""
+    return salted_of(spark, sf_dir, whole=True).select("doc_id", T.announced_rate(F.lit(""), F.col("t")).alias("rate"))
+
+
 @query(SALTED_SQL + " SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'ABC,XYZ' ELSE 'DEF' END AS tickers FROM s WHERE doc_id % 10 IN (3, 4)")
 def fn_tickers(spark, sf_dir):
     s = salted_of(spark, sf_dir).filter((F.col("doc_id") % 10).isin(3, 4))
     return s.select("doc_id", F.array_join(T.tickers(F.substring_index("t", ". ", 1)), ",").alias("tickers"))
 
 
+@query()
+def fn_whole_tickers(spark, sf_dir):
+    """The tickers of every document's whole text."""
+    return salted_of(spark, sf_dir, whole=True).select("doc_id", F.array_join(T.tickers(F.col("t")), ",").alias("tickers"))
+
+
 FAMILY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\b(19|20)\\d{2}\\b', ' ', 'g'), '\\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\\b', ' ', 'g'), '[\\d–—-]+', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -760,9 +791,18 @@ def fn40_stances(spark, sf_dir):
 
 @query(SALTED_SQL + f", h AS (SELECT doc_id, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS cur FROM s WHERE NOT regexp_matches(t, '{T.NOT_FX}')), p(cur, symbol, base) AS (VALUES ('USD', 'EURUSD', -1), ('EUR', 'EURUSD', 1), ('JPY', 'USDJPY', -1), ('GBP', 'GBPUSD', 1), ('AUD', 'AUDUSD', 1), ('CAD', 'USDCAD', -1), ('CHF', 'USDCHF', -1), ('NZD', 'NZDUSD', 1)) SELECT doc_id AS id, symbol, base * CASE WHEN up > down THEN 1 ELSE -1 END AS sign FROM h JOIN p USING (cur) WHERE up <> down")
 def evt10_wire_arm(spark, sf_dir):
+    return wire_signals(salted_of(spark, sf_dir))
+
+
+@query()
+def evt10_whole_wire_arm(spark, sf_dir):
+    return wire_signals(salted_of(spark, sf_dir, whole=True))
+
+
+def wire_signals(docs: DataFrame) -> DataFrame:
     from tidemark.plans.arms import wire_arm
 
-    s = salted_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("ts_us"), F.col("t").alias("title"), F.lit("").alias("body"))
+    s = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("ts_us"), F.col("t").alias("title"), F.lit("").alias("body"))
     return wire_arm(s).select("id", "symbol", "sign")
 
 
