@@ -3,15 +3,25 @@
 import math
 import random
 import re
+import sys
+from pathlib import Path
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries
 from tidemark.functions import text as T
 from tidemark.operators import ledger
+from tidemark.plans import nulls
 from tidemark.plans.arms import WIRE_PAIRS
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
+from compare import normal  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
 
 def plain_ledger(fills):
     """fills (delta, price, fee) in order -> (units, avg, realized, fees) after each."""
@@ -159,3 +169,21 @@ def test_whole_wire_arm_reads_past_the_start(spark, late_texts):
         if up != down and currency in WIRE_PAIRS and not re.search(T.NOT_FX, t):
             want.add((i, WIRE_PAIRS[currency][0], WIRE_PAIRS[currency][1] * (1 if up > down else -1)))
     assert want and got == want
+
+
+@pytest.mark.parametrize("name", ["jn7_whole_rates_before", "led2_whole_target_fills", "agg12_whole_calibration", "agg13_whole_hit_rates", "agg18_whole_curves", "agg19_whole_markouts", "str7_whole_running_stats", "agg30_whole_merged_posts", "evt14_whole_context"])
+def test_whole_forms_equal_their_sql_without_cuts(spark, name):
+    con, sql = duckdb.connect(), queries.ORACLE[name]
+    for t in ("orders", "events", "documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    assert not re.search(r"WHERE (seq|event_id|o_orderkey) %|left\(text", sql)
+    got, want = normal(queries.QUERIES[name](spark, SMALL).toPandas()), normal(con.sql(sql).df())
+    assert len(got)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-12)
+
+
+def test_matched_excursions_draw_500_trials(spark, monkeypatch):
+    seen, draw = [], nulls.trial_times
+    monkeypatch.setattr(nulls, "trial_times", lambda span, trials, *a: seen.append(trials) or draw(span, trials, *a))
+    queries.QUERIES["evt9_matched_excursions"](spark, SMALL)
+    assert seen == [500]

@@ -366,7 +366,7 @@ def evt8_null_rate(spark, sf_dir):
 def evt9_matched_excursions(spark, sf_dir):
     s = signals_of(spark, sf_dir)
     span = s.groupBy("symbol").agg(F.min("when_us").alias("lo"), F.max("when_us").alias("hi"))
-    return rounded(N.matched_excursions(L.sigma_bars(bars_of(spark, sf_dir)), span, 0.0, 0.7, DRAWS, TRIALS))
+    return rounded(N.matched_excursions(L.sigma_bars(bars_of(spark, sf_dir)), span, 0.0, 0.7, DRAWS))
 
 
 # ---------------------------------------------------------------- documents
@@ -472,9 +472,9 @@ def agg31_near_duplicate_headlines(spark, sf_dir):
 
 
 @query("WITH r AS (SELECT doc_id % 400 AS id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 20) END AS text, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE source END AS url FROM documents) SELECT id, count(*) AS copies, arg_min(text, ord) FILTER (WHERE trim(coalesce(text, '')) <> '') AS text, arg_min(url, ord) FILTER (WHERE trim(coalesce(url, '')) <> '') AS url FROM r GROUP BY id")
-def agg30_merged_posts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    rows = d.select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.left("text", F.lit(20))).alias("text"), F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("url"))
+def agg30_merged_posts(spark, sf_dir, whole: bool = False):
+    d, text = table(spark, sf_dir, "documents"), F.col("text") if whole else F.left("text", F.lit(20))
+    rows = d.select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(text).alias("text"), F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("url"))
     return D.merged(rows, fields=("text", "url")).select("id", "copies", "text", "url")
 
 
@@ -517,20 +517,25 @@ RATES_SQL = "WITH rates AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalp
 
 @query(RATES_SQL + " SELECT event_id, (SELECT max(date) FROM rates WHERE date < day) AS before, (SELECT max(date) FROM rates WHERE date <= day) AS upto FROM e")
 def jn7_rates_before(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
-    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2500).cast("int")).alias("day"))
+    return rates_before(table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), table(spark, sf_dir, "events").filter("event_id % 5 = 0"))
+
+
+def rates_before(orders: DataFrame, events: DataFrame) -> DataFrame:
+    o = orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    e = events.select("event_id", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2500).cast("int")).alias("day"))
     a = range_lookup(e, o, "day", "date", True, "b_")
     b = range_lookup(a.select("event_id", "day", F.col("b_date").alias("before")), o, "day", "date", False, "u_")
     return b.select("event_id", "before", F.col("u_date").alias("upto"))
 
 
 @query("WITH r AS (SELECT conv_id AS id, max(turn) AS n FROM conversations GROUP BY 1), i AS (SELECT conv_id AS id, role, turn, text, n FROM conversations JOIN r ON conv_id = id WHERE turn < n), c AS (SELECT id, string_agg(role || ': ' || left(text, 50), chr(10) ORDER BY CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END, turn, role, text) AS t, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM i GROUP BY id) SELECT r.id, left(t, 300) AS context, u AS has_user, a AS has_assistant FROM r LEFT JOIN c USING (id)")
-def evt14_context(spark, sf_dir):
+def evt14_context(spark, sf_dir, whole: bool = False):
     """Every conversation's last turn as the release, earlier turns as its context."""
+    text, budget = (F.col("text"), 6000) if whole else (F.left("text", F.lit(50)), 300)
     c = table(spark, sf_dir, "conversations")
     rel = c.groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("ts_us"))
-    items = c.join(rel, F.col("conv_id") == F.col("id")).filter("turn < ts_us").select(F.col("conv_id").alias("release_id"), F.col("role").alias("kind"), F.col("role").alias("label"), F.col("turn").alias("ts_us"), F.lit(False).alias("concurrent"), F.left("text", F.lit(50)).alias("text"))
-    return D.context(rel, items, ("system", "user", "assistant"), 300).select("id", "context", "has_user", "has_assistant")
+    items = c.join(rel, F.col("conv_id") == F.col("id")).filter("turn < ts_us").select(F.col("conv_id").alias("release_id"), F.col("role").alias("kind"), F.col("role").alias("label"), F.col("turn").alias("ts_us"), F.lit(False).alias("concurrent"), text.alias("text"))
+    return D.context(rel, items, ("system", "user", "assistant"), budget).select("id", "context", "has_user", "has_assistant")
 
 
 # ------------------------------------------------------------------- pages
@@ -609,7 +614,11 @@ def led3_whole_ledger(spark, sf_dir):
 @query(TAPE_SQL + ", t AS (SELECT *, (bid + ask) / 2 AS mid FROM tape), g AS (SELECT 'r' AS run, symbol, seq, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY seq), 0) AS delta FROM (SELECT symbol, seq, ((seq * 7919) % 5 - 2)::DOUBLE AS target FROM tape WHERE seq % 10 = 0)), f AS (SELECT g.*, CASE WHEN delta > 0 THEN ask * (1 + 2.0 * least(delta / ask_size, 5) / 1e4) ELSE bid * (1 - 2.0 * least(-delta / bid_size, 5) / 1e4) END AS price FROM g JOIN t USING (symbol, seq) WHERE abs(delta) >= 1e-9), z AS (SELECT symbol, seq, delta, price, price * abs(delta) / 1e4 AS fee FROM f)" + near("symbol seq delta", "price fee", "FROM z", 9))
 def led2_target_fills(spark, sf_dir):
     t = ticks_of(spark, sf_dir)
-    targets = t.filter("seq % 10 = 0").select(F.lit("r").alias("run"), "symbol", "seq", ((F.col("seq") * 7919) % 5 - 2).cast("double").alias("target"))
+    return targets_filled(t, t.filter("seq % 10 = 0"))
+
+
+def targets_filled(t: DataFrame, at: DataFrame) -> DataFrame:
+    targets = at.select(F.lit("r").alias("run"), "symbol", "seq", ((F.col("seq") * 7919) % 5 - 2).cast("double").alias("target"))
     return rounded(B.target_fills(targets, t).select("symbol", "seq", "delta", "price", "fee"), 9)
 
 
@@ -617,22 +626,22 @@ MARKS_SQL = TAPE_SQL + """, t AS (SELECT symbol, seq, (bid + ask) / 2 AS mid, la
 f AS (SELECT symbol, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last * CASE WHEN seq % 3 = 0 THEN 1.0001 ELSE 0.9999 END AS price, 1.0 + seq % 4 AS size, seq % 5 = 0 AS informed FROM t WHERE seq % 2 = 0)"""
 
 
-def tape_fills(t):
+def tape_fills(t, every: int = 2):
     side = F.when(F.col("seq") % 3 == 0, -1).otherwise(1)
     price = F.col("last") * F.when(F.col("seq") % 3 == 0, 1.0001).otherwise(0.9999)
-    return t.filter("seq % 2 = 0").select("symbol", "seq", side.alias("side"), price.alias("price"), (1.0 + F.col("seq") % 4).alias("size"), (F.col("seq") % 5 == 0).alias("informed"))
+    return t.filter(F.col("seq") % every == 0).select("symbol", "seq", side.alias("side"), price.alias("price"), (1.0 + F.col("seq") % 4).alias("size"), (F.col("seq") % 5 == 0).alias("informed"))
 
 
 @query(MARKS_SQL + ", h AS (SELECT f.*, h, t.mid AS m0, u.mid AS m1 FROM f JOIN n USING (symbol) CROSS JOIN (VALUES (4), (20), (80)) v(h) JOIN t ON t.symbol = f.symbol AND t.seq = f.seq JOIN t u ON u.symbol = f.symbol AND u.seq = least(f.seq + h, hi)), c AS (SELECT *, unnest(['all', CASE WHEN informed THEN 'informed' ELSE 'benign' END]) AS class FROM h), z AS (SELECT class, h AS horizon, count(*) AS fills, sum(price * size) AS notional, sum((m0 - price) * side * size) AS capture, sum((m1 - m0) * side * size) AS adverse FROM c GROUP BY ALL)" + near("class horizon fills", "notional capture adverse", "FROM z", 4))
-def agg19_markouts(spark, sf_dir):
+def agg19_markouts(spark, sf_dir, every: int = 2):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    return rounded(S.markouts(tape_fills(t), t), 4)
+    return rounded(S.markouts(tape_fills(t, every), t), 4)
 
 
 @query(MARKS_SQL + ", e AS (SELECT symbol, seq, sum(-side * size * price) OVER w + sum(side * size) OVER w * mid AS equity FROM f JOIN t USING (symbol, seq) WINDOW w AS (PARTITION BY symbol ORDER BY seq)), d AS (SELECT symbol, seq, equity, max(equity) OVER (PARTITION BY symbol ORDER BY seq) - equity AS down, equity - lag(equity) OVER (PARTITION BY symbol ORDER BY seq) AS step FROM e), z AS (SELECT symbol, max(down) AS max_drawdown, avg(step) / stddev_pop(step) * sqrt(31536000) AS sharpe, arg_max(equity, seq) AS final FROM d GROUP BY symbol)" + near("symbol", "max_drawdown sharpe final", "FROM z", 3))
-def agg18_curves(spark, sf_dir):
+def agg18_curves(spark, sf_dir, every: int = 2):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    b = B.running_book(tape_fills(t)).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
+    b = B.running_book(tape_fills(t, every)).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
     return rounded(S.curve_stats(b.withColumn("equity", F.col("cash") + F.col("inventory") * F.col("mid")), ("symbol",)), 3)
 
 
@@ -640,21 +649,21 @@ DECIDE_SQL = TAPE_SQL + """, t AS (SELECT symbol, seq, (bid + ask) / 2 AS mid FR
 j AS (SELECT d.*, p_up - p_down AS edge, m0.mid AS m0, m1.mid AS m1, a0.mid AS a0, a1.mid AS a1 FROM d LEFT JOIN t m0 ON m0.symbol = d.symbol AND m0.seq = d.seq LEFT JOIN t m1 ON m1.symbol = d.symbol AND m1.seq = d.seq + 5 LEFT JOIN t a0 ON a0.symbol = d.symbol AND a0.seq = arrival LEFT JOIN t a1 ON a1.symbol = d.symbol AND a1.seq = arrival + 5)"""
 
 
-def decisions_scored(spark, sf_dir):
+def decisions_scored(spark, sf_dir, every: int = 3):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    d = t.filter("seq % 3 = 0").select("symbol", "seq", (F.col("seq") + 1 + F.col("seq") % 3).alias("arrival"), ((F.col("seq") % 11) / 11).alias("p_up"), ((F.col("seq") % 7) / 14).alias("p_down"))
+    d = t.filter(F.col("seq") % every == 0).select("symbol", "seq", (F.col("seq") + 1 + F.col("seq") % 3).alias("arrival"), ((F.col("seq") % 11) / 11).alias("p_up"), ((F.col("seq") % 7) / 14).alias("p_down"))
     return S.direction_scores(d.withColumn("edge", F.col("p_up") - F.col("p_down")), t)
 
 
 @query(DECIDE_SQL + ", z AS (SELECT symbol, avg(CASE WHEN m1 <> m0 AND abs(edge) >= 0.05 THEN ((edge > 0) = (m1 > m0))::INT::DOUBLE END) AS hit, avg(CASE WHEN m1 <> m0 AND abs(edge) >= 0.05 AND a1 <> a0 THEN ((edge > 0) = (a1 > a0))::INT::DOUBLE END) AS executed_hit FROM j GROUP BY symbol)" + near("symbol", "hit executed_hit", "FROM z"))
-def agg13_hit_rates(spark, sf_dir):
-    s = decisions_scored(spark, sf_dir)
+def agg13_hit_rates(spark, sf_dir, every: int = 3):
+    s = decisions_scored(spark, sf_dir, every)
     return rounded(s.groupBy("symbol").agg(F.avg(F.col("formed").cast("double")).alias("hit"), F.avg(F.col("executed").cast("double")).alias("executed_hit")))
 
 
 @query(DECIDE_SQL + ", p AS (SELECT p_up / (p_up + p_down) AS p, m1 > m0 AS up FROM j WHERE m1 <> m0 AND p_up + p_down > 1e-9), b AS (SELECT least(floor(p * 5), 4) AS bin, count(*) AS n, avg(p) AS predicted, avg(up::INT::DOUBLE) AS realized FROM p GROUP BY 1), z AS (SELECT bin / 5 AS low, (bin + 1) / 5 AS high, n, predicted, realized FROM b)" + near("n", "low high predicted realized", "FROM z"))
-def agg12_calibration(spark, sf_dir):
-    return rounded(S.calibration(decisions_scored(spark, sf_dir), F.col("p"), F.col("up")))
+def agg12_calibration(spark, sf_dir, every: int = 3):
+    return rounded(S.calibration(decisions_scored(spark, sf_dir, every), F.col("p"), F.col("up")))
 
 
 @query("WITH z AS (SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, list_sort(list(value))[least(floor(0.95 * count(*)), count(*) - 1)::INT + 1] AS i95 FROM events GROUP BY 1)" + near("event_type", "p50 p95 p99 i95", "FROM z"))
@@ -745,11 +754,11 @@ def str1_trade_bars(spark, sf_dir):
 
 
 @query(MARKS_SQL + ", z AS (SELECT f.symbol, count(*) AS fills, sum(price * size) AS notional, sum((mid - price) * side * size) AS pnl, avg(((mid - price) * side * size > 0)::INT::DOUBLE) AS hit FROM f JOIN t USING (symbol, seq) GROUP BY 1)" + near("symbol fills", "notional pnl hit", "FROM z", 4))
-def str7_running_stats(spark, sf_dir):
+def str7_running_stats(spark, sf_dir, every: int = 2):
     from tidemark.streaming.tapes import running_stats
 
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    f = tape_fills(t).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
+    f = tape_fills(t, every).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
     return rounded(running_stats(f.withColumn("pnl", (F.col("mid") - F.col("price")) * F.col("side") * F.col("size"))), 4)
 
 
@@ -812,3 +821,61 @@ def fn28_priced(spark, sf_dir):
 
     p = table(spark, sf_dir, "part").withColumn("ff", F.col("p_retailprice") / 397).filter("ff > 0.3")
     return p.select("p_partkey", priced_sentence(F.col("ff") + ((F.col("p_partkey") % 9) - 4) * 0.2, F.col("ff")).alias("priced"))
+
+
+# ------------------------------------------- whole forms of cut queries
+
+
+def uncut(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query that reads a part of its rows, without the cuts."""
+    sql = ORACLE[name]
+    for cut, full in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, full)
+    return sql
+
+
+@query(uncut("jn7_rates_before", (" WHERE o_orderkey % 3 = 0", ""), (" WHERE event_id % 5 = 0", "")))
+def jn7_whole_rates_before(spark, sf_dir):
+    return rates_before(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
+
+
+@query(uncut("led2_target_fills", (" WHERE seq % 10 = 0", "")))
+def led2_whole_target_fills(spark, sf_dir):
+    t = ticks_of(spark, sf_dir)
+    return targets_filled(t, t)
+
+
+@query(uncut("agg19_markouts", (" WHERE seq % 2 = 0", "")))
+def agg19_whole_markouts(spark, sf_dir):
+    return agg19_markouts(spark, sf_dir, 1)
+
+
+@query(uncut("agg18_curves", (" WHERE seq % 2 = 0", "")))
+def agg18_whole_curves(spark, sf_dir):
+    return agg18_curves(spark, sf_dir, 1)
+
+
+@query(uncut("agg13_hit_rates", (" WHERE seq % 3 = 0", "")))
+def agg13_whole_hit_rates(spark, sf_dir):
+    return agg13_hit_rates(spark, sf_dir, 1)
+
+
+@query(uncut("agg12_calibration", (" WHERE seq % 3 = 0", "")))
+def agg12_whole_calibration(spark, sf_dir):
+    return agg12_calibration(spark, sf_dir, 1)
+
+
+@query(uncut("str7_running_stats", (" WHERE seq % 2 = 0", "")))
+def str7_whole_running_stats(spark, sf_dir):
+    return str7_running_stats(spark, sf_dir, 1)
+
+
+@query(uncut("agg30_merged_posts", ("left(text, 20)", "text")))
+def agg30_whole_merged_posts(spark, sf_dir):
+    return agg30_merged_posts(spark, sf_dir, whole=True)
+
+
+@query(uncut("evt14_context", ("left(text, 50)", "text"), ("left(t, 300)", "left(t, 6000)")))
+def evt14_whole_context(spark, sf_dir):
+    return evt14_context(spark, sf_dir, whole=True)
