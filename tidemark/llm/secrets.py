@@ -2,8 +2,9 @@
 
 Every whole text is searched for the base patterns and for candidate tokens. Base findings are the
 labelled positives and the other candidates the negatives of a small network in numpy (character
-embedding, one convolution, max and mean pooling, logistic output). Its threshold is the largest
-that keeps the wanted recall on a calibration part. Candidates above it are added to the base spans.
+embedding, one convolution, max and mean pooling, logistic output), which sees a long candidate in
+overlapping windows, the highest score counting. Its threshold is the largest that keeps the wanted
+recall on all positives held out. Candidates above it are added to the base spans.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
-#: A candidate: a token of the secrets' alphabet with a digit, or what stands behind a key word's separator.
+#: A candidate: a token of the secrets' alphabet, or what stands behind a key word's separator.
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 KEYED = re.compile(r"(?i:key|pwd|pass|auth|bearer|credential|private)[a-z_]*[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})", re.ASCII)
 
 LEFT, INSIDE, RIGHT = 16, 48, 8
 WIDTH = LEFT + INSIDE + RIGHT
-#: Bounds of the fitted sample (findings of either label, smallest hashes first), and the recall to keep.
+#: Windows of a long candidate start STEP characters apart.
+STEP = INSIDE // 2
+#: Bounds of the fitted sample (views of either label, smallest hashes first), and the recall to keep.
 SAMPLE, RECALL = 4000, 0.99
 DIM, FILTERS, KERNEL = 8, 24, 5
 
@@ -49,19 +52,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def window(text: str, start: int, end: int) -> str:
-    """What the network sees of a candidate: LEFT before, INSIDE of it and RIGHT after, padded with NUL."""
+    """What the network sees of a candidate of at most INSIDE characters: LEFT before, all of it and RIGHT after, padded with NUL."""
     inside = text[start : min(end, start + INSIDE)]
     return text[max(0, start - LEFT) : start].rjust(LEFT, "\0") + inside.ljust(INSIDE, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")
 
 
-_DIGIT = re.compile("[0-9]")
+def windows(text: str, start: int, end: int) -> list[str]:
+    """The views that cover a candidate of any length: each of INSIDE characters at most, the last one at its end."""
+    starts = [*range(start, max(start, end - INSIDE), STEP), max(start, end - INSIDE)]
+    return [window(text, s, min(end, s + INSIDE)) for s in starts]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
     """(start, end, found by a base pattern) of every candidate, base findings first; no two of the others overlap a finding."""
     out = [(s, e, True) for s, _, e in base]
     taken = sorted((s, e) for s, _, e in base)
-    spans = {(m.start(), m.end()) for m in TOKEN.finditer(text) if _DIGIT.search(m[0])}
+    spans = {(m.start(), m.end()) for m in TOKEN.finditer(text)}
     spans |= {m.span(1) for m in KEYED.finditer(text)}
     last = -1
     for s, e in sorted(spans):
@@ -83,14 +89,14 @@ def findings(docs: DataFrame) -> DataFrame:
                 for _, kind, _ in spans:
                     n[kind, i] += 1
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                cands.append([{"start": s, "end": e, "found": f, "view": window(text, s, e)} for s, e, f in candidates(text, spans)])
+                cands.append([{"start": s, "end": e, "found": f, "views": windows(text, s, e)} for s, e, f in candidates(text, spans)])
             span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-            cand = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("found", pa.bool_()), ("view", pa.string())])
+            cand = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("found", pa.bool_()), ("views", pa.list_(pa.string()))])
             arrays = [b.column("doc_id"), *(pa.array(x) for x in n), pa.array(base, pa.list_(span)), pa.array(cands, pa.list_(cand))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base", "candidates"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,found:boolean,view:string>>"
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,found:boolean,views:array<string>>>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -122,6 +128,13 @@ class Network:
     def margins(self, views: list[str]) -> np.ndarray:
         return np.concatenate([np.empty(0), *(self.forward(encoded(views[k : k + 512]))[4] for k in range(0, len(views), 512))])
 
+    def scores(self, candidates: list[list[str]]) -> np.ndarray:
+        """The probability of each candidate, given its views: the highest, rounded, so that batches don't matter."""
+        if not candidates:
+            return np.empty(0)
+        starts = np.cumsum([0, *(len(v) for v in candidates[:-1])])
+        return np.round(self.probability(np.maximum.reduceat(self.margins([v for views in candidates for v in views]), starts)), 9)
+
     def fit(self, views: list[str], y: np.ndarray, steps: int = 600, rate: float = 3e-3, batch: int = 128, seed: int = 9) -> None:
         rng, c = np.random.default_rng(seed), encoded(views)
         m, v, t = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
@@ -162,21 +175,48 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
 
 
+def smallest(values: DataFrame, k: int, n: int, accuracy: int = 10_000) -> float:
+    """The k-th smallest (from 0) of the n values z, exactly: an approximate quantile on either side, then counts between them."""
+    near = [min(1.0, max(0.0, k / n + d / accuracy)) for d in (-2, 2)]
+    low, high = values.agg(F.percentile_approx("z", near, accuracy).alias("q")).first().q
+    at = values.filter(F.col("z") < low).count()
+    for r in values.filter(F.col("z").between(low, high)).groupBy("z").count().orderBy("z").collect():
+        at += r["count"]
+        if at > k:
+            return r.z
+    return high
+
+
 def fit_network(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
-    """A network fitted on at most `sample` findings of each label with different views; None without both labels."""
-    views = found.select(F.explode("candidates").alias("c")).select("c.view", "c.found")
-    views = views.groupBy("view").agg(F.max("found").alias("found")).withColumn("h", F.xxhash64("view"))
-    rows = [r for y in (True, False) for r in views.filter(F.col("found") == y).orderBy("h", "view").limit(sample).collect()]
-    y = np.array([r.found for r in rows], np.float64)
+    """A network fitted on at most `sample` views of each label; None without both labels.
+
+    A quarter of the candidates, by hash, is held out, and with them every view they have. A bounded
+    sample of their views scales the output; all positives among them set the threshold. Where no
+    positive is held out, or none is left to learn from, all serve for both.
+    """
+    every = found.select(F.explode("candidates").alias("c")).select("c.views", "c.found")
+    every = every.withColumn("held", F.pmod(F.xxhash64(F.get("views", F.lit(0))), F.lit(4)) == 0)
+    views = every.select(F.explode("views").alias("view"), "found", "held").groupBy("view").agg(F.max("found").alias("found"), F.max("held").alias("held"))
+    views = stored(views.withColumn("h", F.xxhash64("view")))
+    part = {(y, h): views.filter((F.col("found") == y) & (F.col("held") == h)).orderBy("h", "view").limit(sample).collect() for y in (True, False) for h in (True, False)}
+    whole = not all(part[True, h] for h in (True, False))
+    learn, check = ([r for y in (True, False) for h in ((True, False) if whole else (own,)) for r in part[y, h]] for own in (False, True))
+    y = np.array([r.found for r in learn], np.float64)
     if not 0 < y.sum() < len(y):
         return None
-    held = np.array([r.h % 4 == 0 for r in rows])
-    if not 0 < y[held].sum() or not 0 < y[~held].sum():
-        held[:] = False
     net = Network()
-    net.fit([r.view for r, h in zip(rows, held, strict=True) if not h], y[~held])
-    part = held if held.any() else ~held
-    net.calibrate([r.view for r, p in zip(rows, part, strict=True) if p], y[part], recall)
+    net.fit([r.view for r in learn], y)
+    net.calibrate([r.view for r in check], np.array([r.found for r in check], np.float64), recall)
+    shared = found.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores(b.column("views").to_pylist()))], ["z"])
+
+    positives = every.filter("found") if whole else every.filter("found AND held")
+    values = stored(positives.select("views").mapInArrow(run, "z double"))
+    n = values.count()
+    net.threshold = smallest(values, int((1 - recall) * n), n)
     return net
 
 
@@ -201,7 +241,7 @@ def scan_secrets(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL)
             more = [(i, x) for i, row in enumerate(b.column("candidates").to_pylist()) for x in row if not x["found"]]
             added: list[list] = [[] for _ in base]
             if net is not None and more:
-                for (i, x), p in zip(more, net.probability(net.margins([x["view"] for _, x in more])), strict=True):
+                for (i, x), p in zip(more, net.scores([x["views"] for _, x in more]), strict=True):
                     if p >= net.threshold:
                         added[i].append((x["start"], 3, x["end"]))
             digest = [hashlib.sha256(shown(s).encode()).hexdigest() for s in base]
