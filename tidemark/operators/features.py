@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.prices import mid, spread_bps
+from tidemark.functions.prices import log_bps, mid, spread_bps
 
 SIZE, WARMUP, SHORT, MEDIUM, LONG, DECAY = 120, 60, 5, 15, 60, 0.94
 
@@ -20,32 +20,45 @@ def blocked(ticks: DataFrame, size: int = 4096, halo: int = 640) -> DataFrame:
 def tape_features(ticks: DataFrame, size: int = 4096, halo: int = 640) -> DataFrame:
     """A feature row for each tick from the WARMUP-th of its symbol on.
 
-    ticks: symbol, seq (dense), ts_us, bid, ask, last, volume, bid_size, ask_size. Ticks without a
-    positive mid must be filtered before. The decayed variance is a weighted prefix sum within a
-    block: 0.94^640 is far below double precision, so the halo makes it exact.
+    ticks: symbol, seq (dense), ts_us, bid, ask, last, volume, bid_size, ask_size. A tick without a
+    positive mid counts as a tick, and there is no return into or out of it: windows of returns reach
+    over it to earlier returns, and the latest return stands again, in the decayed variance too. The
+    variance is a weighted prefix sum within a block: 0.94^640 is far below double precision, so the
+    halo makes it exact, as long as a halo holds SIZE returns.
     """
     w = Window.partitionBy("symbol", "block").orderBy("seq")
     back = lambda n: w.rowsBetween(1 - n, 0)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = blocked(ticks, size, halo).withColumn("mid", mid(F.col("bid"), F.col("ask"))).withColumn("spread_bps", spread_bps(F.col("bid"), F.col("ask")))
-    rows = rows.withColumn("r", F.ln(F.col("mid") / F.lag("mid").over(w))).withColumn("i", F.row_number().over(w) - 1)
-    weight = F.when(F.col("seq") == 1, 1.0).otherwise(1 - DECAY) * F.pow(F.lit(DECAY), -F.col("i"))
-    total = F.sum(weight * F.col("r") * F.col("r")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("vol", F.sqrt(F.coalesce(F.pow(F.lit(DECAY), F.col("i")) * total, F.lit(0.0))))
-    sign = F.signum("r")
-    rows = rows.withColumn("sign", sign).withColumn("turned", F.when(F.coalesce(F.lag("sign").over(w), F.lit(9.0)) != F.col("sign"), F.col("seq")))
-    run = F.least(F.col("seq") - F.last("turned", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(SIZE))
+    rows = rows.withColumn("r", log_bps(F.lag("mid").over(w), F.col("mid")) / 1e4).withColumn("i", F.row_number().over(w) - 1)
+    rows = rows.withColumn("priced", F.col("r").isNotNull())
+    # rows with a return have windows of their own, whose values are carried to those without; both lie in one shuffle
+    own = Window.partitionBy("symbol", "block", "priced").orderBy("seq")
+    past = lambda n: own.rowsBetween(1 - n, 0)
+    rows = rows.withColumn("nth", F.row_number().over(own)).withColumn("sign", F.signum("r"))
+    rows = rows.withColumn("turned", F.when(F.coalesce(F.lag("sign").over(own), F.lit(9.0)) != F.col("sign"), F.col("nth")))
+    run = F.least(F.col("nth") - F.last("turned", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(SIZE))
+    of_returns = F.struct(
+        F.col("r").alias("r"), F.sum("r").over(past(SHORT)).alias("ret_5"), F.sum("r").over(past(MEDIUM)).alias("ret_15"),
+        F.stddev_pop("r").over(past(MEDIUM)).alias("short_vol"), F.stddev_pop("r").over(past(LONG)).alias("long_vol"),
+        F.avg((F.col("r") > 0).cast("double")).over(past(10)).alias("up_fraction"), F.sum(F.abs("r")).over(past(MEDIUM)).alias("gross"),
+        F.when(F.col("sign") == 0, 0).otherwise(F.col("sign") * run).cast("int").alias("run_length"),
+    )
+    rows = rows.withColumn("known", F.when(F.col("priced"), of_returns))
+    rows = rows.withColumn("known", F.last("known", ignorenulls=True).over(so_far))
+    squared = F.col("known.r") * F.col("known.r")
+    weight = F.when(F.col("priced") & (F.col("nth") == 1), 1.0).otherwise(1 - DECAY) * F.pow(F.lit(DECAY), -F.col("i"))
+    rows = rows.withColumn("vol", F.sqrt(F.coalesce(F.pow(F.lit(DECAY), F.col("i")) * F.sum(weight * squared).over(so_far), F.lit(0.0))))
     size_ = F.col("bid_size") + F.col("ask_size")
     rows = rows.withColumn("depth", size_)
-    sums = lambda n: F.coalesce(F.sum("r").over(back(n)), F.lit(0.0))
+    known = lambda c, none: F.coalesce(F.col("known." + c), F.lit(none))
     rows = rows.withColumn("imbalance_", F.when(size_ > 0, (F.col("bid_size") - F.col("ask_size")) / size_).otherwise(0.0))
     rows = rows.select(
         "symbol", "seq", "ts_us", "halo", "mid", "spread_bps", "vol", "imbalance_", "depth", "volume",
-        (F.coalesce("r", F.lit(0.0)) * 1e4).alias("ret_1_bps"), sums(SHORT).alias("ret_5"), sums(MEDIUM).alias("ret_15"),
-        F.stddev_pop("r").over(back(MEDIUM)).alias("short_vol"), F.stddev_pop("r").over(back(LONG)).alias("long_vol"),
-        F.coalesce(F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).over(back(10)), F.lit(0.5)).alias("up_fraction"),
-        F.when(F.coalesce(F.col("sign"), F.lit(0.0)) == 0, 0).otherwise(F.col("sign") * run).cast("int").alias("run_length"),
+        (known("r", 0.0) * 1e4).alias("ret_1_bps"), known("ret_5", 0.0).alias("ret_5"), known("ret_15", 0.0).alias("ret_15"),
+        "known.short_vol", "known.long_vol", known("up_fraction", 0.5).alias("up_fraction"), known("run_length", 0).alias("run_length"), "known.gross",
         F.avg("volume").over(back(SIZE)).alias("v_mean"), F.stddev_pop("volume").over(back(SIZE)).alias("v_sd"), F.percentile("volume", F.lit(0.5)).over(back(SIZE)).alias("v_median"),
-        F.percentile("depth", F.lit(0.5)).over(back(SIZE)).alias("d_median"), F.sum(F.abs("r")).over(back(MEDIUM)).alias("gross"),
+        F.percentile("depth", F.lit(0.5)).over(back(SIZE)).alias("d_median"),
         F.sum(F.col("last") * F.col("volume")).over(back(SIZE)).alias("turnover"), F.sum("volume").over(back(SIZE)).alias("traded"), F.max("mid").over(back(SIZE)).alias("high"),
     )
     vwap = F.when(F.col("traded") > 0, F.col("turnover") / F.col("traded")).otherwise(F.col("mid"))
@@ -69,10 +82,11 @@ def tape_features(ticks: DataFrame, size: int = 4096, halo: int = 640) -> DataFr
 def volatility_spikes(ticks: DataFrame, window: int = 24, trigger: float = 2.0, history: int = 400, least: int = 120) -> DataFrame:
     """Rows (symbol, seq, recent, typical, spike): mean absolute return against twice the median of past means.
 
-    Means come from the ticks at which `window` mids are known; a spike needs `least` of them.
+    Means come from the ticks at which `window` mids are known; a spike needs `least` of them. Returns
+    into and out of a tick without a positive mid are left out of the means.
     """
     w = Window.partitionBy("symbol", "block").orderBy("seq")
-    rows = blocked(ticks).withColumn("mid", mid(F.col("bid"), F.col("ask"))).withColumn("a", F.abs(F.ln(F.col("mid") / F.lag("mid").over(w))))
+    rows = blocked(ticks).withColumn("mid", mid(F.col("bid"), F.col("ask"))).withColumn("a", F.abs(log_bps(F.lag("mid").over(w), F.col("mid"))) / 1e4)
     rows = rows.withColumn("recent", F.when(F.col("seq") >= window - 1, F.avg("a").over(w.rowsBetween(1 - window, 0))))
     past = w.rowsBetween(1 - history, 0)
     rows = rows.withColumn("typical", F.percentile("recent", F.lit(0.5)).over(past)).withColumn("known", F.count("recent").over(past))

@@ -203,20 +203,24 @@ def threshold_sweep(spark, sf_dir):
 
 FEATURE_COLS = "mid spread_bps ret_1_bps ret_5_bps ret_15_bps vol_bps vol_ratio move_z up_fraction volume_z volume_ratio imbalance depth_ratio trend_efficiency dist_vwap_bps drawdown_bps"
 FEATURES_SQL = TAPE_SQL + """,
-m AS (SELECT *, (bid + ask) / 2 AS mid, ln((bid + ask) / 2 / lag((bid + ask) / 2) OVER (PARTITION BY symbol ORDER BY seq)) AS r, bid_size + ask_size AS depth FROM tape),
-g AS (SELECT *, sign(r) AS s, CASE WHEN sign(r) IS DISTINCT FROM lag(sign(r)) OVER (PARTITION BY symbol ORDER BY seq) THEN seq END AS turned FROM m),
-v AS (SELECT a.symbol, a.seq, sqrt(sum(CASE WHEN b.seq = 1 THEN 1 ELSE 0.06 END * power(0.94::DOUBLE, a.seq - b.seq) * b.r * b.r)) AS vol FROM m a JOIN m b ON a.symbol = b.symbol AND b.seq BETWEEN a.seq - 640 AND a.seq AND b.r IS NOT NULL GROUP BY ALL),
-f AS (SELECT g.*, vol, last_value(turned IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island,
-  sum(r) OVER w5 AS ret_5, sum(r) OVER w15 AS ret_15, stddev_pop(r) OVER w15 AS short_vol, stddev_pop(r) OVER w60 AS long_vol, sum(abs(r)) OVER w15 AS gross,
-  avg(CASE WHEN r IS NOT NULL THEN (r > 0)::INT END) OVER w10 AS up_fraction,
+m0 AS (SELECT *, (bid + ask) / 2 AS mid, lag((bid + ask) / 2) OVER (PARTITION BY symbol ORDER BY seq) AS mid0, bid_size + ask_size AS depth FROM tape),
+m AS (SELECT *, CASE WHEN mid > 0 AND mid0 > 0 THEN ln(mid / mid0) END AS r FROM m0),
+g0 AS (SELECT symbol, seq, r, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS nth, sign(r) AS s FROM m WHERE r IS NOT NULL),
+g1 AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (PARTITION BY symbol ORDER BY nth) THEN nth END AS turned FROM g0),
+g2 AS (SELECT symbol, seq, nth, s, r AS r1, last_value(turned IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island,
+  sum(r) OVER w5 AS ret_5, sum(r) OVER w15 AS ret_15, stddev_pop(r) OVER w15 AS short_vol, stddev_pop(r) OVER w60 AS long_vol, sum(abs(r)) OVER w15 AS gross, avg((r > 0)::INT) OVER w10 AS up_fraction
+  FROM g1 WINDOW w5 AS (PARTITION BY symbol ORDER BY nth ROWS 4 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY nth ROWS 9 PRECEDING), w15 AS (PARTITION BY symbol ORDER BY nth ROWS 14 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY nth ROWS 59 PRECEDING)),
+g AS (SELECT m.*, k.* EXCLUDE (symbol, seq), CASE WHEN k.nth = 1 AND m.r IS NOT NULL THEN 1 ELSE 0.06 END AS weight FROM m ASOF LEFT JOIN g2 k ON m.symbol = k.symbol AND m.seq >= k.seq),
+v AS (SELECT a.symbol, a.seq, sqrt(sum(b.weight * power(0.94::DOUBLE, a.seq - b.seq) * b.r1 * b.r1)) AS vol FROM g a JOIN g b ON a.symbol = b.symbol AND b.seq BETWEEN a.seq - 640 AND a.seq AND b.r1 IS NOT NULL GROUP BY ALL),
+f AS (SELECT g.*, vol,
   avg(volume) OVER w120 AS v_mean, stddev_pop(volume) OVER w120 AS v_sd, quantile_cont(volume, 0.5) OVER w120 AS v_median, quantile_cont(depth, 0.5) OVER w120 AS d_median,
   sum(last * volume) OVER w120 / sum(volume) OVER w120 AS vwap, max(mid) OVER w120 AS high
-  FROM g LEFT JOIN v USING (symbol, seq) WINDOW w5 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 4 PRECEDING), w10 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 9 PRECEDING), w15 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 14 PRECEDING), w60 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 59 PRECEDING), w120 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 119 PRECEDING)),
-x AS (SELECT symbol, seq, ts_us, mid, (ask - bid) / mid * 1e4 AS spread_bps, r * 1e4 AS ret_1_bps, ret_5 * 1e4 AS ret_5_bps, ret_15 * 1e4 AS ret_15_bps, vol * 1e4 AS vol_bps,
-  CASE WHEN long_vol > 0 THEN short_vol / long_vol ELSE 1 END AS vol_ratio, CASE WHEN vol > 0 THEN ret_5 / (vol * sqrt(5)) ELSE 0 END AS move_z, up_fraction,
-  CASE WHEN s = 0 THEN 0 ELSE s * least(seq - island + 1, 120) END::INT AS run_length, CASE WHEN v_sd > 0 THEN (volume - v_mean) / v_sd ELSE 0 END AS volume_z, CASE WHEN v_median > 0 THEN volume / v_median ELSE 1 END AS volume_ratio,
+  FROM g LEFT JOIN v USING (symbol, seq) WINDOW w120 AS (PARTITION BY g.symbol ORDER BY g.seq ROWS 119 PRECEDING)),
+x AS (SELECT symbol, seq, ts_us, mid, CASE WHEN mid > 0 THEN (ask - bid) / mid * 1e4 ELSE 0 END AS spread_bps, coalesce(r1, 0) * 1e4 AS ret_1_bps, coalesce(ret_5, 0) * 1e4 AS ret_5_bps, coalesce(ret_15, 0) * 1e4 AS ret_15_bps, coalesce(vol, 0) * 1e4 AS vol_bps,
+  CASE WHEN long_vol > 0 THEN short_vol / long_vol ELSE 1 END AS vol_ratio, CASE WHEN vol > 0 THEN ret_5 / (vol * sqrt(5)) ELSE 0 END AS move_z, coalesce(up_fraction, 0.5) AS up_fraction,
+  CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE s * least(nth - island + 1, 120) END::INT AS run_length, CASE WHEN v_sd > 0 THEN (volume - v_mean) / v_sd ELSE 0 END AS volume_z, CASE WHEN v_median > 0 THEN volume / v_median ELSE 1 END AS volume_ratio,
   (bid_size - ask_size) / depth AS imbalance, CASE WHEN d_median > 0 THEN depth / d_median ELSE 1 END AS depth_ratio, CASE WHEN gross > 0 THEN abs(ret_15) / gross ELSE 0 END AS trend_efficiency,
-  (mid - vwap) / vwap * 1e4 AS dist_vwap_bps, (mid - high) / high * 1e4 AS drawdown_bps FROM f WHERE seq >= 59)"""
+  CASE WHEN vwap > 0 THEN (mid - vwap) / vwap * 1e4 ELSE 0 END AS dist_vwap_bps, CASE WHEN high > 0 THEN (mid - high) / high * 1e4 ELSE 0 END AS drawdown_bps FROM f WHERE seq >= 59)"""
 
 
 @query(FEATURES_SQL + near("symbol seq ts_us run_length", FEATURE_COLS, "FROM x", 5))
@@ -239,7 +243,8 @@ def rule_signals(spark, sf_dir):
     return rounded(f.select("symbol", "seq", *[P.SIGNALS[n]().alias(n) for n in ("momentum", "mean_reversion", "imbalance", "flat", "buy_and_hold")]))
 
 
-@query(TAPE_SQL + """, m AS (SELECT symbol, seq, abs(ln((bid + ask) / lag(bid + ask) OVER (PARTITION BY symbol ORDER BY seq))) AS a FROM tape),
+@query(TAPE_SQL + """, m0 AS (SELECT symbol, seq, bid + ask AS x, lag(bid + ask) OVER (PARTITION BY symbol ORDER BY seq) AS y FROM tape),
+m AS (SELECT symbol, seq, CASE WHEN x > 0 AND y > 0 THEN abs(ln(x / y)) END AS a FROM m0),
 r AS (SELECT symbol, seq, CASE WHEN seq >= 23 THEN avg(a) OVER (PARTITION BY symbol ORDER BY seq ROWS 23 PRECEDING) END AS recent FROM m),
 t AS (SELECT *, quantile_cont(recent, 0.5) OVER w AS typical, count(recent) OVER w AS known FROM r WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS 399 PRECEDING)),
 s AS (SELECT *, known >= 120 AND typical > 0 AND recent > 2 * typical AS spike FROM t WHERE recent IS NOT NULL)""" + near("symbol seq spike", "recent typical", "FROM s", 8))
