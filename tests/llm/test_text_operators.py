@@ -316,8 +316,14 @@ def test_mixing_shares_and_order(spark, docs, empty):
     for r in rows:
         assert r.mix_target == pytest.approx(target[r.source]) and r.mix_source_size == per[r.source]
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
-    ordered = [r.position for r in training_order(mixed).collect()]
+    uses = training_order(mixed).collect()
+    ordered = [r.position for r in uses]
     assert ordered == sorted(ordered) and len(ordered) == sum(len(r.mix_copies) for r in rows)
+    text = {r.doc_id: r.text for r in rows}
+    assert all(text[r.doc_id].startswith(r.text) for r in uses) and sum(len(split(r.text)) for r in uses) == sum(taken.values())
+    assert any(0 < len(split(r.text)) < r.mix_size for r in uses)
+    fine = curriculum(docs, buckets=8, rows_a_bucket=1).select("doc_id", "mix_taken").collect()
+    assert sorted(map(str, fine)) == sorted(map(str, mixed.select("doc_id", "mix_taken").collect()))
     again = {r.doc_id: r.mix_copies for r in curriculum(docs.repartition(7), buckets=8).collect()}
     assert again == {r.doc_id: r.mix_copies for r in rows}
     assert curriculum(empty).count() == 0
@@ -384,13 +390,15 @@ def test_packing(docs, empty, spark):
     from tidemark.llm.packing import pack_documents
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x, *_ in corpus()}
+    texts = [*((i, x) for i, x, *_ in corpus()), (900, "hello <|endoftext|> world"), (901, "<|endoftext|><|endoftext|>"), (902, "a <|endof <|endoftext|" * 30 + "<|endoftext|>")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(texts[-3:], "doc_id long, text string")).withColumn("at", F.lit("clash"))
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts}
+    assert ids[900][2] == 50256
     got = pack_documents(docs, capacity=64, open_bins=8).collect()
     bins, own = defaultdict(list), defaultdict(list)
     for r in got:
         part = ids[r.doc_id][r.start : r.start + r.length]
-        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and 0 < r.length <= 64
+        assert np.frombuffer(r.ids, "<u4").tolist() == part and 0 < r.length <= 64
         bins[r.sequence_id].append((r.offset, r.length))
         own[r.doc_id].append((r.piece, r.start, r.length))
     for spans in bins.values():
@@ -407,6 +415,13 @@ def test_packing(docs, empty, spark):
     assert len(own) == len(ids)
     assert len(bins) <= 1.15 * sum(map(len, ids.values())) / 64 + 4
     assert pack_documents(empty).count() == 0
+    # pieces of a task are near each other in the order asked for
+    ordered = pack_documents(docs.withColumn("p", -F.coalesce(F.col("doc_id"), F.lit(0))), capacity=64, pieces_a_task=100, order=F.col("p")).collect()
+    spans = defaultdict(list)
+    for r in ordered:
+        spans[r.sequence_id >> 32].append(r.doc_id)
+    ends = sorted((min(v), max(v)) for v in spans.values())
+    assert len(ends) > 2 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
     assert pack_documents(spark.createDataFrame([(None, " " * 50_000, "", "", 1), (1, None, "", "", 1), (1, None, "", "", 1)], DOC)).count() >= 3
 
 
@@ -487,7 +502,7 @@ def test_pipeline_odd_rows(spark, docs, empty):
     kept = {r.doc_id for r in stages["n-gram Jaccard join"](spark, rows, sf).collect()}
     assert kept == {i for i, (_, c) in components(corpus(), 5, 80).items() if i == c}
     mixed = stages["mixing sources to target weights"](spark, rows, sf).collect()
-    assert {r.doc_id for r in mixed} <= set(texts) and all(r.text == texts[r.doc_id] and split(r.text) for r in mixed)
+    assert {r.doc_id for r in mixed} <= set(texts) and all(texts[r.doc_id].startswith(r.text) and split(r.text) for r in mixed)
     packed = stages["best-fit packing"](spark, rows, sf)
     assert packed.select("doc_id").distinct().count() == len(texts)
     for name, stage in p.STAGES:

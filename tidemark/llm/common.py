@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, U+0009 to U+000D and the space: what separates words everywhere here.
 BLANK = " \t\n\x0b\f\r"
-SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
+BLANK_CLASS = " \\t\\n\\x0B\\f\\r"
+SPLIT = f"[{BLANK_CLASS}]+"
 
 
 def words_col(text: Column) -> Column:
@@ -41,21 +42,44 @@ def ascii_lower(text: str) -> bytes:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the folder all executors share; a temporary one only where none is configured."""
+    """A new path below the folder that all executors share, spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine takes a temporary folder; on a cluster every executor
+    would write to a disk of its own, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder and read again: a cut in the lineage that outlives executors."""
+    """The rows as a table written to the shared folder and read again: a cut in the lineage that outlives executors.
+
+    Results are lazy and read these tables when they run, so the tables stay until removed() is called.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def removed(spark: SparkSession) -> int:
+    """Deletes the tables that this application stored so far, for callers whose results are written; returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def parts(spark: SparkSession) -> int:
     """How many parts a keyed shuffle should have: the session's own figure."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_col
+from tidemark.llm.common import BLANK_CLASS, words_col
 
 WEIGHTS = (5, 2, 1)
+BUCKETS, ROWS_A_BUCKET = 1024, 65_536
 #: Knots (progress, multiplier) by the source's place in the repeating weights: one kind early, one even, one late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
 
@@ -65,13 +66,15 @@ def place(u: Column, knots) -> Column:
     return out
 
 
-def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, budget: float = 1.0, buckets: int = 1024) -> DataFrame:
+def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, budget: float = 1.0, buckets: int = BUCKETS, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """All rows of docs with mix_size, mix_source_size, mix_target, mix_taken and mix_copies.
 
     mix_copies is an array of (epoch, words, position), one for each time the document is used: whole
     epochs first, then the rest of the target by hash order, the last document cut at the target.
     The running sum over a source is a sum over hash buckets plus a sum within the bucket, so a
-    source with a third of all rows spreads over tasks. Every order is by md5 of the id, then id,
+    source with a third of all rows spreads over tasks; buckets are split by the hash's first digits
+    until one holds about `rows_a_bucket` rows at most, which leaves the order as it is. Sources are
+    rows of a small table that some windows hold in one task: some tens of bytes each. Every order is by md5 of the id, then id,
     then size: reruns agree, and equal rows get equal sums in some order. Null texts have size 0, a
     null source is a source of its own, and a null id hashes as ''. Columns of docs called mix_* are
     replaced.
@@ -81,7 +84,13 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int
     sized = docs.withColumn("mix_size", F.size(words_col(F.col("text"))).cast("long"))
     # a key without nulls, so that the window and the join below share one shuffle of the rows
     sized = sized.withColumn("mix_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    sized = sized.withColumn("mix_key", key).withColumn("mix_bucket", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % buckets)
+    bucket = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % buckets
+    digits, n = 0, docs.count()
+    while n > rows_a_bucket * buckets * 16**digits:
+        digits += 1
+    if digits:
+        bucket = bucket * 16**digits + F.conv(F.substring("mix_key", 1, digits), 16, 10).cast("long")
+    sized = sized.withColumn("mix_key", key).withColumn("mix_bucket", bucket)
     per = sized.groupBy("source", "mix_src", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
     targets = source_targets(per.select("source", F.col("mix_sum").alias("size")), weights, most, budget)
     before = Window.partitionBy("mix_src").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +118,14 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int
     return out.drop("mix_key", "mix_bucket", "mix_src", "mix_before", "mix_kind", "mix_cum")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word, white space as it was."""
+    ends = f"(?<=[^{BLANK_CLASS}])(?=[{BLANK_CLASS}])"
+    return F.array_join(F.slice(F.split(text, ends), F.lit(1), n), "")
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that curriculum() planned, range-sorted by training position."""
+    """One row for each copy that curriculum() planned, range-sorted by training position; the text of a copy taken in part ends after its words."""
     rows = mixed.withColumn("mix_copy", F.explode("mix_copies"))
-    return rows.select("*", "mix_copy.position", "mix_copy.epoch").drop("mix_copy").orderBy("position", "doc_id", "epoch")
+    cut = F.when(F.col("mix_copy.words") < F.col("mix_size"), first_words(F.col("text"), F.col("mix_copy.words").cast("int"))).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select("*", "mix_copy.position", "mix_copy.epoch").drop("mix_copy").orderBy("position", "doc_id", "epoch")

@@ -89,7 +89,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    out = pack_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
