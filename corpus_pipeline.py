@@ -5,7 +5,8 @@ Counted as part of tidemark.llm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, scratch
@@ -43,13 +44,27 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document in the mix, in training order (operator 5); what the mix leaves out goes."""
-    return training_order(curriculum(docs)).select(*COLUMNS)
+    """A row for each use of a document in the mix, in training order (operator 5); what the mix leaves out goes.
+
+    A copy that the mix takes only in part has its text cut after the words taken.
+    """
+    return training_order(curriculum(docs)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def file_order(docs: DataFrame) -> Column | None:
+    """The place of each row of a written table: number of its file, then place there; None for rows that no file holds."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    return F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens placed into sequences (operator 9)."""
-    return pack_documents(docs)
+    """Pieces of at most 2048 tokens placed into sequences (operator 9), in the order of the rows: that of the files, then within them."""
+    packed = pack_documents(docs, order=file_order(docs))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 STAGES = [
