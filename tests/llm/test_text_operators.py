@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-import zlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -284,6 +284,79 @@ def test_network_learns_and_keeps_recall():
     assert (p[y[~part] == 1] >= net.threshold).mean() >= 0.99 and (p[y[~part] == 0] >= net.threshold).mean() < 0.05
 
 
+def test_secret_candidates_are_whole_and_of_every_kind():
+    from tidemark.llm import secrets
+
+    text = "x " + "a/" * 40 + "Q7" * 30 + " lettersonlykeyabc"
+    (s, e, _), (s2, e2, _) = secrets.candidates(text, [])
+    assert (text[s2:e2], e - s) == ("lettersonlykeyabc", 140)
+    views = secrets.windows(text, s, e)
+    assert all(len(v) == secrets.WIDTH for v in views)
+    inside = [v[secrets.LEFT : secrets.LEFT + secrets.INSIDE] for v in views]
+    assert all(any(text[k : k + secrets.STEP] in v for v in inside) for k in range(s, e - secrets.STEP + 1, secrets.STEP))
+    assert text[e - secrets.INSIDE : e] == inside[-1]
+    assert [len(secrets.windows("y" * n, 0, n)) for n in (8, 48, 49, 72, 73)] == [1, 1, 2, 2, 3]
+
+
+def test_secret_behind_48_characters_is_scored(spark):
+    from tidemark.llm import secrets
+
+    rng = random.Random(4)
+    key = lambda: f"{rng.randrange(16**20):020x}"
+    texts = [f"token={key()} end" for _ in range(300)] + [f"see path/of/many/ordinary/words/{rng.choice('abcdef')}/{rng.choice('ghij')}/here now" for _ in range(300)]
+    late = "path/of/many/ordinary/words/and/more/ordinary/words/in/it/token=" + "G".join(key()[:10] for _ in range(5))
+    df = spark.createDataFrame([*enumerate(texts), (1000, f"see {late} now")], "doc_id long, text string")
+    assert not secrets.base_spans(late.replace("token=", "")) and secrets.window(late, 0, len(late))[secrets.LEFT :].find("token") < 0
+    net = secrets.fit_network(secrets.findings(df))
+    views = secrets.windows(late, 0, len(late))
+    assert net.scores([views])[0] > 0.9 > 0.1 > net.scores([views[:1]])[0]
+
+
+def test_kth_smallest_is_exact(spark):
+    from tidemark.llm.secrets import smallest
+
+    rng = random.Random(8)
+    z = [round(rng.random(), 3) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in z], "z double").repartition(5)
+    for k in (0, 50, 2500, 4999):
+        assert smallest(df, k, len(z), 100) == sorted(z)[k]
+
+
+
+def test_secrets_of_many_findings_in_a_long_text():
+    from tidemark.llm import secrets
+
+    line = "password=abcdefghijkl12 someordinaryword 0123456789abcdef0 another-long-token-here\n"
+    text = line * (10_000_000 // len(line))
+    began = time.time()
+    base = secrets.base_spans(text)
+    found = secrets.candidates(text, base)
+    assert len(base) == 2 * text.count("\n") and len(found) == 2 * len(base) and time.time() - began < 30
+    few = secrets.candidates(line * 3, secrets.base_spans(line * 3))
+    brute = [(m.start(), m.end()) for m in secrets.TOKEN.finditer(line * 3) if not any(s < m.end() and m.start() < e for s, _, e in secrets.base_spans(line * 3))]
+    assert [(s, e) for s, e, k in few if k < 0] == brute
+
+
+def test_network_finds_kinds_it_never_saw(spark):
+    """Learned from the base patterns, it finds keys that none of them match, and leaves long ordinary words alone."""
+    from tidemark.llm import secrets
+
+    rng = random.Random(12)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low, alnum = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [f"the words token={pick(alnum, 28)} and {pick('0123456789abcdef', 32)} stand in it" for _ in range(300)]
+    rows += [f"ordinary {pick(low, 14)} words and {'-'.join(pick(low, 5) for _ in range(4))} and www.{pick(low, 9)}.org/{pick(low, 6)} here" for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    net = secrets.fit_network(secrets.findings(df))
+    unseen = [f"we wrote {pick(alnum, 30)} on the board" for _ in range(60)]
+    plain = [f"we wrote {pick(low, 13)}-{pick(low, 7)} on www.{pick(low, 11)}.org/{pick(low, 4)} once" for _ in range(60)]
+    hits = [[net.scores([secrets.windows(t, s, e) for s, e, _ in secrets.candidates(t, [])]).max() >= net.threshold for t in texts] for texts in (unseen, plain)]
+    assert sum(hits[0]) >= 48 and sum(hits[1]) <= 6
+    assert sum(r.n_network > 0 for r in secrets.scan_secrets(df).collect()) <= 20
+    n, hit = secrets.kind_recall(df, 2)
+    assert n >= 300 and 0 <= hit <= n
+
+
 # --------------------------------------------------------------- 5
 
 

@@ -63,16 +63,30 @@ def windows(text: str, start: int, end: int) -> list[str]:
     return [window(text, s, min(end, s + INSIDE)) for s in starts]
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
-    """(start, end, found by a base pattern) of every candidate, base findings first; no two of the others overlap a finding."""
-    out = [(s, e, True) for s, _, e in base]
-    taken = sorted((s, e) for s, _, e in base)
+def bare(view: str) -> str:
+    """A view without what stands around the candidate."""
+    return "\0" * LEFT + view[LEFT : LEFT + INSIDE] + "\0" * RIGHT
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kind of the base pattern that found it or -1) of every candidate, base findings first; no two of the others overlap a finding."""
+    # of an assignment the network judges the value; the key word is context
+    out = [(ASSIGN.match(text, s).start(2) if k == 0 else s, e, k) for s, k, e in base]
+    starts, ends = [], []  # the findings' union, as ascending spans apart from each other
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     spans = {(m.start(), m.end()) for m in TOKEN.finditer(text)}
     spans |= {m.span(1) for m in KEYED.finditer(text)}
-    last = -1
+    last, at = -1, 0
     for s, e in sorted(spans):
-        if s >= last and not any(a < e and s < b for a, b in taken):
-            out.append((s, e, False))
+        while at < len(ends) and ends[at] <= s:
+            at += 1
+        if s >= last and not (at < len(ends) and starts[at] < e):
+            out.append((s, e, -1))
             last = e
     return out
 
@@ -89,14 +103,14 @@ def findings(docs: DataFrame) -> DataFrame:
                 for _, kind, _ in spans:
                     n[kind, i] += 1
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                cands.append([{"start": s, "end": e, "found": f, "views": windows(text, s, e)} for s, e, f in candidates(text, spans)])
+                cands.append([{"start": s, "end": e, "kind": k, "views": windows(text, s, e)} for s, e, k in candidates(text, spans)])
             span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-            cand = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("found", pa.bool_()), ("views", pa.list_(pa.string()))])
+            cand = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("views", pa.list_(pa.string()))])
             arrays = [b.column("doc_id"), *(pa.array(x) for x in n), pa.array(base, pa.list_(span)), pa.array(cands, pa.list_(cand))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base", "candidates"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,found:boolean,views:array<string>>>"
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,kind:int,views:array<string>>>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -187,14 +201,18 @@ def smallest(values: DataFrame, k: int, n: int, accuracy: int = 10_000) -> float
     return high
 
 
-def fit_network(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
+def fit_network(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL, kinds: tuple[int, ...] = (0, 1, 2)) -> Network | None:
     """A network fitted on at most `sample` views of each label; None without both labels.
 
+    Findings of `kinds` are the positives; those of other kinds are left out, so that what the network
+    makes of a kind it never saw can be measured (kind_recall).
+
     A quarter of the candidates, by hash, is held out, and with them every view they have. A bounded
-    sample of their views scales the output; all positives among them set the threshold. Where no
+    sample of their views scales the output; all positives among them, with and without their
+    surroundings, set the threshold. Where no
     positive is held out, or none is left to learn from, all serve for both.
     """
-    every = found.select(F.explode("candidates").alias("c")).select("c.views", "c.found")
+    every = found.select(F.explode("candidates").alias("c")).filter(F.col("c.kind").isin(-1, *kinds)).select("c.views", (F.col("c.kind") >= 0).alias("found"))
     every = every.withColumn("held", F.pmod(F.xxhash64(F.get("views", F.lit(0))), F.lit(4)) == 0)
     views = every.select(F.explode("views").alias("view"), "found", "held").groupBy("view").agg(F.max("found").alias("found"), F.max("held").alias("held"))
     views = stored(views.withColumn("h", F.xxhash64("view")))
@@ -204,14 +222,16 @@ def fit_network(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL)
     y = np.array([r.found for r in learn], np.float64)
     if not 0 < y.sum() < len(y):
         return None
+    # every view is learned with and without its surroundings, else the key words of the patterns would decide alone
     net = Network()
-    net.fit([r.view for r in learn], y)
-    net.calibrate([r.view for r in check], np.array([r.found for r in check], np.float64), recall)
+    net.fit([v for r in learn for v in (r.view, bare(r.view))], np.repeat(y, 2))
+    net.calibrate([v for r in check for v in (r.view, bare(r.view))], np.repeat(np.array([r.found for r in check], np.float64), 2), recall)
     shared = found.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores(b.column("views").to_pylist()))], ["z"])
+            views = b.column("views").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores([*views, *([bare(v) for v in own] for own in views)]))], ["z"])
 
     positives = every.filter("found") if whole else every.filter("found AND held")
     values = stored(positives.select("views").mapInArrow(run, "z double"))
@@ -220,6 +240,24 @@ def fit_network(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL)
     return net
 
 
+def kind_recall(docs: DataFrame, kind: int, sample: int = SAMPLE, recall: float = RECALL) -> tuple[int, int]:
+    """(findings of a base pattern, how many of them a network finds that learned from the other patterns only)."""
+    found = stored(findings(docs))
+    net = fit_network(found, sample, recall, tuple(k for k in (0, 1, 2) if k != kind))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for b in batches:
+            views = b.column("views").to_pylist()
+            hit = net.scores(views) >= net.threshold if net is not None else np.zeros(len(views), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.bool_())], ["hit"])
+
+    own = found.select(F.explode("candidates").alias("c")).filter(F.col("c.kind") == kind).select("c.views").mapInArrow(run, "hit boolean")
+    got = own.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+    return got[0], got[1]
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -238,7 +276,7 @@ def scan_secrets(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL)
         net = shared.value
         for b in batches:
             base = [[(x["start"], x["kind"], x["end"]) for x in row] for row in b.column("base").to_pylist()]
-            more = [(i, x) for i, row in enumerate(b.column("candidates").to_pylist()) for x in row if not x["found"]]
+            more = [(i, x) for i, row in enumerate(b.column("candidates").to_pylist()) for x in row if x["kind"] < 0]
             added: list[list] = [[] for _ in base]
             if net is not None and more:
                 for (i, x), p in zip(more, net.scores([x["views"] for _, x in more]), strict=True):
