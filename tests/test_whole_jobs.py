@@ -187,41 +187,3 @@ def test_matched_excursions_draw_500_trials(spark, monkeypatch):
     monkeypatch.setattr(nulls, "trial_times", lambda span, trials, *a: seen.append(trials) or draw(span, trials, *a))
     queries.QUERIES["evt9_matched_excursions"](spark, SMALL)
     assert seen == [500]
-
-
-def test_secret_candidates_are_whole_and_of_every_kind():
-    from tidemark.llm import secrets
-
-    text = "x " + "a/" * 40 + "Q7" * 30 + " lettersonlykeyabc"
-    (s, e, _), (s2, e2, _) = secrets.candidates(text, [])
-    assert (text[s2:e2], e - s) == ("lettersonlykeyabc", 140)
-    views = secrets.windows(text, s, e)
-    assert all(len(v) == secrets.WIDTH for v in views)
-    inside = [v[secrets.LEFT : secrets.LEFT + secrets.INSIDE] for v in views]
-    assert all(any(text[k : k + secrets.STEP] in v for v in inside) for k in range(s, e - secrets.STEP + 1, secrets.STEP))
-    assert text[e - secrets.INSIDE : e] == inside[-1]
-    assert [len(secrets.windows("y" * n, 0, n)) for n in (8, 48, 49, 72, 73)] == [1, 1, 2, 2, 3]
-
-
-def test_secret_behind_48_characters_is_scored(spark):
-    from tidemark.llm import secrets
-
-    rng = random.Random(4)
-    key = lambda: f"{rng.randrange(16**20):020x}"
-    texts = [f"token={key()} end" for _ in range(300)] + [f"see path/of/many/ordinary/words/{rng.choice('abcdef')}/{rng.choice('ghij')}/here now" for _ in range(300)]
-    late = "path/of/many/ordinary/words/and/more/ordinary/words/in/it/token=" + "G".join(key()[:10] for _ in range(5))
-    df = spark.createDataFrame([*enumerate(texts), (1000, f"see {late} now")], "doc_id long, text string")
-    assert not secrets.base_spans(late.replace("token=", "")) and secrets.window(late, 0, len(late))[secrets.LEFT :].find("token") < 0
-    net = secrets.fit_network(secrets.findings(df))
-    views = secrets.windows(late, 0, len(late))
-    assert net.scores([views])[0] > 0.9 > 0.1 > net.scores([views[:1]])[0]
-
-
-def test_kth_smallest_is_exact(spark):
-    from tidemark.llm.secrets import smallest
-
-    rng = random.Random(8)
-    z = [round(rng.random(), 3) for _ in range(5000)]
-    df = spark.createDataFrame([(v,) for v in z], "z double").repartition(5)
-    for k in (0, 50, 2500, 4999):
-        assert smallest(df, k, len(z), 100) == sorted(z)[k]
