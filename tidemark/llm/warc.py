@@ -68,7 +68,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, split, nth, value): what stands between magic strings, numbered in order within each split."""
+    """Rows (file, split, nth, value): what stands between magic strings, numbered in order within each split.
+
+    Splits and numbers are those of one scan: another one may cut the files elsewhere, so the rows must
+    be stored before they are used twice.
+    """
     rows = spark.read.text(path, lineSep=MAGIC)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), "value")
 
@@ -151,6 +155,28 @@ def reachable(cands: DataFrame) -> DataFrame:
     return cands.groupBy("file", "split").cogroup(entries.groupBy("file", "split")).applyInArrow(on_chain, "file string, at long")
 
 
+def joined_again(found: DataFrame, rows: DataFrame, broken: DataFrame) -> DataFrame:
+    """broken records, whose payload holds the magic string, with their payload's size and digest: their segments put together.
+
+    Records don't overlap, so a segment belongs to the last broken record that starts at or before it,
+    if it ends after the segment starts: a last value within each split, carried over from the splits before.
+    """
+    keys = [c for c in broken.columns if c not in ("file", "at")]
+    starts = broken.select("file", "at", F.struct("at", *keys).alias("b"))
+    segs = rows.select("file", "split", "nth", "at").join(starts, ["file", "at"], "left")
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    segs = segs.withColumn("b", F.last("b", ignorenulls=True).over(so_far))
+    ends = segs.groupBy("file", "split").agg(F.max_by("b", "at").alias("end"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "split", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    segs = segs.join(ends, ["file", "split"]).withColumn("b", F.coalesce("b", "carried")).filter(F.col("at") < F.col("b.next"))
+    parts = found.join(segs.select("file", "split", "nth", "at", "b"), ["file", "split", "nth"]).withColumn("piece", F.struct("at", "value"))
+    parts = parts.groupBy("file", "b").agg(F.collect_list("piece").alias("pieces")).select("file", "b.*", "pieces")
+    text = F.array_join(F.transform(F.sort_array("pieces"), lambda p: p["value"]), MAGIC)
+    parts = parts.withColumn("bytes", text.cast("binary")).filter(F.octet_length("bytes") >= F.col("block_at") + F.col("block_size"))
+    return with_payload(parts.withColumn("block", F.substring("bytes", F.col("block_at") + 1, F.col("block_size").cast("int"))))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Per record: file, at (offset), page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -158,7 +184,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     fields. Truncated last records and records of other types are left out; a file that doesn't start
     with a record has none. No files: no rows.
     """
-    rows = stored(located(parsed(segments(spark, path))))
+    found = stored(segments(spark, path))
+    rows = stored(located(parsed(found)))
     following = F.col("at") + len(MAGIC) + F.col("block_at") + F.col("block_size") + 4
     cands = rows.filter((F.col("at") >= 0) & (F.col("block_size") >= 0)).withColumn("next", following)
     true = stored(reachable(cands.select("file", "split", "at", "next")))
@@ -166,17 +193,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = cands.join(true.hint("merge"), ["file", "at"])
     columns = ["file", "at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "told_digest", "told_bytes"]
     out = records.filter("whole").select(*columns)
-    broken = records.filter("not whole").select(F.col("file").alias("f"), F.col("at").alias("a"), "next", "block_at", "block_size", *columns[2:3], *columns[5:])
+    broken = stored(records.filter("not whole").select("file", "at", "next", "block_at", "block_size", *columns[2:3], *columns[5:]))
     if broken.take(1):
-        # a payload with the magic string in it: its segments are put together again
-        parts = rows.select("file", "split", "nth", "at").join(stored(broken), (F.col("file") == F.col("f")) & (F.col("at") >= F.col("a")) & (F.col("at") < F.col("next")))
-        parts = segments(spark, path).join(parts, ["file", "split", "nth"]).withColumn("piece", F.struct("at", "value"))
-        keys = ["f", "a", "block_at", "block_size", "page_id", "record_type", "refers_to", "told_digest", "told_bytes"]
-        text = F.array_join(F.transform(F.sort_array("pieces"), lambda p: p["value"]), MAGIC)
-        parts = parts.groupBy(*keys).agg(F.collect_list("piece").alias("pieces")).withColumn("bytes", text.cast("binary"))
-        parts = parts.filter(F.octet_length("bytes") >= F.col("block_at") + F.col("block_size"))
-        parts = parts.withColumn("block", F.substring("bytes", F.col("block_at") + 1, F.col("block_size").cast("int")))
-        out = out.unionByName(with_payload(parts).withColumnRenamed("f", "file").withColumnRenamed("a", "at").select(*columns))
+        out = out.unionByName(joined_again(found, rows, broken).select(*columns))
     out = out.filter(F.col("record_type").isin("response", "revisit"))
     again = F.col("record_type") == "revisit"
     out = out.withColumn("payload_bytes", F.when(again, F.col("told_bytes")).otherwise(F.col("payload_bytes")))
