@@ -89,6 +89,36 @@ def test_features_are_the_same_in_any_block(spark):
             assert g.run_length == run == b[i + 1].run_length
 
 
+def test_features_pass_over_ticks_without_a_price(spark):
+    """Zero and negative mids: no return into or out of them, the latest return stands again."""
+    rng, rows, x = random.Random(5), [], 100.0
+    for i in range(400):
+        x *= math.exp(rng.gauss(0, 0.001))
+        m = x if i % 11 or i < 3 else rng.choice([0.0, -1.0])
+        rows.append(("s", i, i * S, m - 0.001, m + 0.001, m, 1.0 + i % 3, 1.0, 2.0))
+    t = spark.createDataFrame(rows, "symbol string, seq long, ts_us long, bid double, ask double, last double, volume double, bid_size double, ask_size double")
+    got = {r.seq: r for r in features.tape_features(t).collect()}
+    known, var = [], None
+    for i, r in enumerate(rows):
+        before = (rows[i - 1][3] + rows[i - 1][4]) / 2 if i else 0.0
+        now = (r[3] + r[4]) / 2
+        if before > 0 and now > 0:
+            known.append(math.log(now / before))
+        if known:
+            var = known[-1] ** 2 if var is None else 0.94 * var + 0.06 * known[-1] ** 2
+        if i >= 59:
+            g = got[i]
+            assert g.ret_1_bps == pytest.approx(known[-1] * 1e4) and g.ret_15_bps == pytest.approx(sum(known[-15:]) * 1e4)
+            assert g.vol_bps == pytest.approx(math.sqrt(var) * 1e4) and g.up_fraction == pytest.approx(sum(v > 0 for v in known[-10:]) / 10)
+            run = 0
+            for v in reversed(known[-120:]):
+                if run and (v > 0) != (run > 0):
+                    break
+                run += 1 if v > 0 else -1
+            assert g.run_length == run
+    assert features.volatility_spikes(t).count() > 0
+
+
 def test_bands_and_phrases(spark):
     assert one(spark, *[P.band(F.lit(x), "move") for x in (-2.0, -2.1, 0.3, 2.0, 1.99)])[:] == ("falling", "falling hard", "drifting up", "rising hard", "rising")
     assert one(spark, P.band(F.lit(None).cast("double"), "move"), P.streak(F.lit(0)), P.streak(F.lit(-1)), P.streak(F.lit(3)))[:] == (None, "no streak", "1 consecutive down tick", "3 consecutive up ticks")
@@ -160,7 +190,7 @@ def test_no_edge_in_no_edge_out(spark):
     tape = spark.createDataFrame(rows, "symbol string, ts_us long, seq long, bid double, ask double")
     sig = spark.createDataFrame([(i, "s", rng.randrange(20 * 60, 15 * 3600) * S, rng.choice([1, -1]), "arm") for i in range(300)], "signal_id long, symbol string, when_us long, sign int, arm string")
     out = pricing.tick_outcomes(tape, sig, (5,)).join(sig.select("signal_id", "arm"), "signal_id")
-    null = nulls.tick_nulls(tape, sig, lambda s: pricing.tick_outcomes(tape, s, (5,)), exclude_us=600 * S, span_us=3 * 3600 * S).withColumn("arm", F.lit("arm"))
+    null = nulls.with_nulls(sig, lambda s, c: pricing.tick_outcomes(tape, s, (5,), carry=c), exclude_us=600 * S, span_us=3 * 3600 * S)[1].withColumn("arm", F.lit("arm"))
     r = stats.arm_summary(sig, out, null).first()
     assert abs(r.z) < 3 and r.spread_mean == 0 and r.null_n > 300
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.schema import DAY
+
 BACKWARD, FORWARD = "backward", "forward"
 
 
@@ -57,13 +59,32 @@ def following(bars: DataFrame, probes: DataFrame, values: tuple[str, ...], day_u
     return got.select(*probes.columns, *[F.when(near, F.col(prefix + v)).alias(prefix + v) for v in ("ts_us", "seq", *values)])
 
 
+def carried_asof(tape: DataFrame, probes: DataFrame, values: tuple[str, ...] = ("close",), prefix: str = "q_", bucket_us: int = 30 * DAY) -> DataFrame:
+    """probes (symbol, when_us, ...) with the last row of the tape at or before them, however old; null before the first.
+
+    A bucket's last row is carried over to the buckets after it, one row for each (symbol, bucket); within a
+    bucket one sort answers all probes.
+    """
+    found = F.struct(F.col("ts_us"), F.col("seq"), *[F.col(v) for v in values])
+    kind = probes.select(F.struct("*")).schema[0].dataType
+    ticks = tape.filter(F.col("symbol").isNotNull()).select("symbol", F.col("ts_us").alias("_t"), F.lit(0).alias("_kind"), F.col("seq").alias("_seq"), found.alias("_q"), F.lit(None).cast(kind).alias("_p"))
+    asked = probes.select("symbol", F.col("when_us").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_seq"), F.lit(None).cast(ticks.schema["_q"].dataType).alias("_q"), F.struct("*").alias("_p"))
+    both = ticks.unionByName(asked).withColumn("_bucket", F.coalesce(F.floor(F.col("_t") / bucket_us), F.lit(0)))
+    key = [F.col("symbol").eqNullSafe(F.col("_s")), F.col("_bucket") == F.col("_b")]
+    ends = both.groupBy(F.col("symbol").alias("_s"), F.col("_bucket").alias("_b")).agg(F.max_by("_q", F.when(F.col("_kind") == 0, F.struct("_t", "_seq"))).alias("_end"))
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_s", "_b", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    own = Window.partitionBy("symbol", "_bucket").orderBy("_t", "_kind", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_a", F.last("_q", ignorenulls=True).over(own)).filter(F.col("_p").isNotNull()).join(ends, key, "left")
+    answer = F.when(F.col("_t").isNotNull(), F.coalesce("_a", "_carry"))
+    return out.withColumn("_a", answer).select("_p.*", *[F.col(f"_a.{v}").alias(prefix + v) for v in ("ts_us", "seq", *values)])
+
+
 def clamped(bars: DataFrame, probes: DataFrame, values: tuple[str, ...] = ("close",), prefix: str = "q_") -> DataFrame:
     """probes with the last bar at or before them, null outside the first and last bar of their symbol."""
-    span = bars.groupBy("symbol").agg(F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"), (F.max("ts_us") - F.min("ts_us")).alias("_w"))
-    widest = bars.select("symbol", "ts_us", F.lead("ts_us").over(Window.partitionBy("symbol").orderBy("ts_us")).alias("_n")).agg(F.max(F.col("_n") - F.col("ts_us"))).first()[0] or 1
-    got = bounded_asof(bars, probes, int(widest), BACKWARD, values=values, prefix=prefix)
-    got = got.join(F.broadcast(span.drop("_w")), "symbol", "left")
-    inside = (F.col("when_us") >= F.col("_lo")) & (F.col("when_us") <= F.col("_hi"))
+    last = bars.groupBy(F.col("symbol").alias("_s")).agg(F.max("ts_us").alias("_hi"))
+    got = carried_asof(bars, probes, values, prefix).join(last, F.col("symbol") == F.col("_s"), "left")
+    inside = F.col("when_us") <= F.col("_hi")
     return got.select(*probes.columns, *[F.when(inside, F.col(prefix + v)).alias(prefix + v) for v in ("ts_us", "seq", *values)])
 
 

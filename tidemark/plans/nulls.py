@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import bounded_asof, clamped
+from tidemark.operators.asof import clamped
 from tidemark.operators.labels import SIGMAS, excursion
-from tidemark.schema import DAY, HOUR
+from tidemark.schema import DAY, HOUR, stored
 
 
 def uniform(*parts: Column) -> Column:
@@ -16,12 +16,13 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def draws(signals: DataFrame, per: int = 2, tries: int = 40, span_us: int = 5 * DAY, exclude_us: int = 3 * HOUR, seed: int = 0) -> DataFrame:
+def draws(signals: DataFrame, per: int = 2, tries: int = 40, span_us: int = 5 * DAY, exclude_us: int = 3 * HOUR, seed: int = 0, low: int = 0, high: int | None = None) -> DataFrame:
     """per * tries candidate moments for each signal, uniform in +-span but not within +-exclude: its columns, plus try and when_us.
 
-    Each signal has a stream of its own, keyed by seed, id and try.
+    Each signal has a stream of its own, keyed by seed, id and try; low and high pick tries from it.
     """
-    rows = signals.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(per * tries - 1))))
+    last = per * tries if high is None else high
+    rows = signals.withColumn("try", F.explode(F.sequence(F.lit(low), F.lit(last - 1))))
     offset = F.round((2 * uniform(F.lit(seed), F.col("signal_id"), F.col("try")) - 1) * span_us).cast("long")
     rows = rows.withColumn("_off", offset).filter(F.abs("_off") >= exclude_us)
     return rows.withColumn("when_us", F.col("when_us") + F.col("_off")).drop("_off")
@@ -34,20 +35,49 @@ def first_measurable(candidates: DataFrame, covered: DataFrame, per: int = 2) ->
     return fine.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per).drop("_r")
 
 
-def tick_nulls(tape: DataFrame, signals: DataFrame, measure, per: int = 2, tries: int = 40, span_us: int = 5 * DAY, exclude_us: int = 3 * HOUR, seed: int = 0, stale_us: int = 300_000_000) -> DataFrame:
-    """The measured outcomes of each signal's first `per` measurable draws, same symbol and side.
+def rounds(total: int, first: int) -> list[tuple[int, int]]:
+    """Spans of tries, each three times as long as the one before."""
+    out, low, size = [], 0, first
+    while low < total:
+        out.append((low, min(total, low + size)))
+        low, size = low + size, 3 * size
+    return out
 
-    measure: signals -> outcomes (tidemark.plans.pricing). A draw without a quote is dropped by one cheap
-    look-up before the others are measured in full. Rows carry `source_id`, the signal they control.
+
+def with_nulls(signals: DataFrame, measure, per: int = 2, tries: int = 40, span_us: int = 5 * DAY, exclude_us: int = 3 * HOUR, seed: int = 0, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(outcomes of the signals, outcomes of each measured signal's first `per` measurable draws, same symbol and side).
+
+    every: draws of signals that could not be measured themselves, too.
+
+    measure(signals, carry) -> outcomes with the columns named in carry, which are the signals' own beyond
+    id, symbol, moment and side, and source_id (the signal) and try. The signals and their first draws
+    are priced together; only signals that lack measurable draws after that go into a further round,
+    with three times as many draws, until the per * tries are used up. Every round's outcomes are stored.
     """
-    cand = draws(signals, per, tries, span_us, exclude_us, seed)
-    cand = bounded_asof(tape, cand, stale_us, values=("bid",)).filter(F.col("q_ts_us").isNotNull()).drop("q_ts_us", "q_seq", "q_bid")
-    cand = cand.withColumn("source_id", F.col("signal_id")).withColumn("signal_id", F.concat(F.lit("null:"), F.col("source_id"), F.lit(":"), F.col("try")))
-    got = measure(cand)
-    kept = cand.select("signal_id", "source_id", "try").join(got.select("signal_id").distinct(), "signal_id", "left_semi")
+    extra = tuple(c for c in signals.columns if c not in ("signal_id", "symbol", "when_us", "sign"))
+    carry = (*extra, "source_id", "try")
+    named = lambda rows: rows.withColumn("source_id", F.col("signal_id")).withColumn("signal_id", F.concat_ws(":", F.lit("null"), "source_id", "try"))
+    left, priced, outcomes = signals, None, None
+    for low, high in rounds(per * tries, 2 * per):
+        asked = named(draws(left, per, tries, span_us, exclude_us, seed, low, high))
+        if outcomes is None:
+            asked = asked.unionByName(named(signals.withColumn("try", F.lit(-1))))
+        got = stored(measure(asked, carry))
+        if outcomes is None:
+            outcomes = got.filter(F.col("try") < 0).withColumn("signal_id", F.col("source_id")).drop("source_id", "try")
+            left = signals if every else signals.join(outcomes.select("signal_id").distinct(), "signal_id", "left_semi")
+        got = got.filter(F.col("try") >= 0)
+        priced = got if priced is None else priced.unionByName(got)
+        enough = priced.groupBy(F.col("source_id").alias("signal_id")).agg(F.countDistinct("try").alias("_n")).filter(F.col("_n") >= per)
+        left = stored(left.join(enough.select("signal_id"), "signal_id", "left_anti"))
+        if not left.take(1):
+            break
+    tried = priced.select("source_id", "try").distinct()
+    if not every:
+        tried = tried.join(outcomes.select(F.col("signal_id").alias("source_id")).distinct(), "source_id", "left_semi")
     order = Window.partitionBy("source_id").orderBy("try")
-    kept = kept.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per)
-    return got.join(kept.select("signal_id", "source_id", "try"), "signal_id")
+    picked = tried.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per).drop("_r")
+    return outcomes, priced.join(picked, ["source_id", "try"])
 
 
 def unconditioned(signals: DataFrame, span_us: int = 5 * DAY, exclude_us: int = 3 * HOUR, seed: int = 0, tries: int = 40) -> DataFrame:
@@ -61,7 +91,8 @@ def trial_times(span: DataFrame, trials: int, n: int, seed: int = 0) -> DataFram
     """Rows (symbol, trial, draw, when_us): n uniform moments for each trial within a one-row span (symbol, lo, hi)."""
     ids = span.sparkSession.range(trials * n).select((F.col("id") / n).cast("long").alias("trial"), (F.col("id") % n).alias("draw"))
     u = uniform(F.lit(seed), F.col("trial"), F.col("draw"))
-    return ids.join(F.broadcast(span)).withColumn("when_us", (F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo")))).cast("long")).drop("lo", "hi")
+    # one row: a span of one symbol's signals
+    return ids.join(F.broadcast(span.limit(1))).withColumn("when_us", (F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo")))).cast("long")).drop("lo", "hi")
 
 
 def trial_spread(values: DataFrame, value: Column) -> DataFrame:

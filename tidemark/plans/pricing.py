@@ -23,8 +23,8 @@ def probes(signals: DataFrame, moments: dict[str, Column], carry: tuple[str, ...
     return signals.select("signal_id", "symbol", *carry, rows.alias("p")).select("signal_id", "symbol", *carry, "p.*")
 
 
-def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latencies_us=(SECOND,), pre_us: int = 15 * MINUTE, minute_us: int = MINUTE, stale_us: int = 300 * SECOND, wait_us: int = 120 * SECOND) -> DataFrame:
-    """Rows (signal_id, symbol, sign, latency_us, horizon, entry_ts_us, entry_px, entry_mid, pre_bps, rush_bps, spread_bps, fwd_bps, fwd_mid_bps).
+def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latencies_us=(SECOND,), pre_us: int = 15 * MINUTE, minute_us: int = MINUTE, stale_us: int = 300 * SECOND, wait_us: int = 120 * SECOND, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (signal_id, symbol, sign, latency_us, horizon, entry_ts_us, entry_px, entry_mid, pre_bps, rush_bps, spread_bps, fwd_bps, fwd_mid_bps), and the signals' columns named in carry.
 
     pre: mid pre_us before to mid at the moment, unsigned. Entry: the first tick at or after moment +
     latency, at the ask for a long and the bid for a short. Exit: the mid quoted at moment + latency +
@@ -37,7 +37,7 @@ def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latenc
     back = bounded_asof(tape, probes(late, looks, ("latency_us",)), stale_us, BACKWARD, values=("bid", "ask"))
     quoted = back.filter(F.col("q_ts_us").isNotNull()).withColumn("m", mid(F.col("q_bid"), F.col("q_ask")))
     mids = quoted.groupBy("signal_id", "symbol", "latency_us").agg(*[F.max(F.when(F.col("probe") == n, F.col("m"))).alias(f"m_{n}") for n in looks])
-    ahead = bounded_asof(tape, late.select("signal_id", "symbol", "latency_us", "sign", (when + F.col("latency_us")).alias("when_us")), wait_us, FORWARD, values=("bid", "ask"))
+    ahead = bounded_asof(tape, late.select("signal_id", "symbol", "latency_us", "sign", *carry, (when + F.col("latency_us")).alias("when_us")), wait_us, FORWARD, values=("bid", "ask"))
     entry = ahead.filter((F.col("q_ask") >= F.col("q_bid")) & (F.col("q_bid") > 0))
     rows = entry.join(mids, ["signal_id", "symbol", "latency_us"])
     rows = rows.withColumn("entry_px", F.when(F.col("sign") > 0, F.col("q_ask")).otherwise(F.col("q_bid"))).withColumn("entry_mid", mid(F.col("q_bid"), F.col("q_ask")))
@@ -45,7 +45,7 @@ def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latenc
     rows = rows.withColumn("spread_bps", (F.col("q_ask") - F.col("q_bid")) / F.col("entry_mid") * 1e4)
     exits = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.col("sign") * log_bps(F.col("entry_px"), F.col(f"m_x{h}"))).alias("fwd_bps"), (F.col("sign") * log_bps(F.col("entry_mid"), F.col(f"m_x{h}"))).alias("fwd_mid_bps")) for h in horizons])
     rows = rows.withColumn("x", exits).filter(F.col("pre_bps").isNotNull() & F.col("rush_bps").isNotNull() & F.forall("x", lambda x: x["fwd_bps"].isNotNull()))
-    return rows.withColumn("x", F.explode("x")).select("signal_id", "symbol", "sign", "latency_us", F.col("q_ts_us").alias("entry_ts_us"), "entry_px", "entry_mid", "pre_bps", "rush_bps", "spread_bps", "x.*")
+    return rows.withColumn("x", F.explode("x")).select("signal_id", "symbol", "sign", "latency_us", F.col("q_ts_us").alias("entry_ts_us"), "entry_px", "entry_mid", "pre_bps", "rush_bps", "spread_bps", "x.*", *carry)
 
 
 def two_sided(bid: DataFrame, ask: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.operators.asof import BACKWARD, FORWARD, bounded_asof, range_looku
 from tidemark.plans import nulls as N
 from tidemark.plans import pricing as E
 from tidemark.plans import scoring as R
-from tidemark.schema import DAY, HOUR, TAPE_SQL, micros, table, tape
+from tidemark.schema import DAY, HOUR, TAPE_SQL, micros, numbered, stored, table, tape
 from tidemark.sources import tapes as K
 from tidemark.sources import texts as X
 
@@ -129,14 +129,16 @@ cand AS (SELECT 'null:' || signal_id || ':' || try AS signal_id, symbol, when_us
 NULL_PICK_SQL = f""", pick AS (SELECT signal_id, source_id, arm FROM (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY try) AS r FROM cand c WHERE signal_id IN (SELECT signal_id FROM o)) WHERE r <= {PER})"""
 
 
-def nulls_of(t: DataFrame, signals: DataFrame) -> DataFrame:
-    return N.tick_nulls(t, signals, lambda s: outcomes_of(t, s), PER, TRIES, SPAN, EXCLUDE, 0, STALE)
+def with_nulls_of(t: DataFrame, signals: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    t = stored(t)
+    measure = lambda s, carry: E.tick_outcomes(t, s, HZ, (1_000_000,), PRE, H, STALE, WAIT, carry)
+    return N.with_nulls(signals, measure, PER, TRIES, SPAN, EXCLUDE, 0, every)
 
 
 @query(SIGNALS_SQL + NULL_SQL + outcome_sql((1_000_000,), "cand") + NULL_PICK_SQL + near("signal_id source_id symbol horizon", "fwd_bps", "FROM o JOIN pick USING (signal_id)"))
 def evt6_nulls(spark, sf_dir):
-    s = signals_of(spark, sf_dir)
-    return rounded(nulls_of(ticks_of(spark, sf_dir), s).select("signal_id", "source_id", "symbol", "horizon", "fwd_bps"))
+    _, nulls = with_nulls_of(ticks_of(spark, sf_dir), signals_of(spark, sf_dir), every=True)
+    return rounded(nulls.select("signal_id", "source_id", "symbol", "horizon", "fwd_bps"))
 
 
 _SUMMARY = "pre_mean pre_se spread_mean spread_se rush_mean rush_se fwd_mean fwd_se mid_mean mid_se hit share"
@@ -162,12 +164,9 @@ y AS (SELECT *, CASE WHEN fwd_se * fwd_se + null_se * null_se > 0 THEN (fwd_mean
 @query(STUDY_SQL)
 def study_summary(spark, sf_dir):
     """The flagship: signals priced on ticks, matched nulls of those measured, and a summary by arm and horizon."""
-    t, s = ticks_of(spark, sf_dir), signals_of(spark, sf_dir)
-    out = outcomes_of(t, s)
-    measured = s.join(out.select("signal_id").distinct(), "signal_id", "left_semi")
-    arms = s.select("signal_id", "arm")
-    nulls = nulls_of(t, measured).join(arms.withColumnRenamed("signal_id", "source_id"), "source_id")
-    return rounded(S.arm_summary(s, out.join(arms, "signal_id"), nulls))
+    s = signals_of(spark, sf_dir)
+    outcomes, nulls = with_nulls_of(ticks_of(spark, sf_dir), s)
+    return rounded(S.arm_summary(s, outcomes, nulls))
 
 
 LATENCIES = (0, HOUR, 4 * HOUR)
@@ -574,8 +573,6 @@ def src16_table_cells(spark, sf_dir):
 def fills_of(spark, sf_dir):
     """Line items as fills on seven symbols by supplier: sign from the return flag, in order of keys."""
     li = table(spark, sf_dir, "lineitem")
-    from tidemark.schema import numbered
-
     rows = li.select(F.concat(F.lit("S"), F.col("l_suppkey") % 7).alias("symbol"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), (F.col("l_linestatus") == "O").alias("informed"))
     return numbered(rows, "symbol", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"], F.floor(F.col("l_orderkey") / 10_000))
 

@@ -6,6 +6,9 @@ results. A tape has symbol, ts_us, seq (dense per symbol), bid, ask, last, volum
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table written below spark.checkpoint.dir, which all executors share, and read again: made once, however often it is used.
+
+    Without that setting a session on one machine takes a temporary folder; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, key: str, order: list[str], bucket: Column, name: str = "seq") -> DataFrame:
     """rows with a dense number from 0 per key in the given order; bucket must be monotone in the order.
 
