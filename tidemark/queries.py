@@ -366,7 +366,11 @@ def evt8_null_rate(spark, sf_dir):
     return rounded(N.trial_spread(got, F.col("clean").cast("double")))
 
 
-@query()
+@query(SIGMA_SQL + f""", sp AS (SELECT min(when_us) AS lo, max(when_us) AS hi FROM sig), tr AS (SELECT i // {8 * DRAWS} AS trial, i % {8 * DRAWS} AS draw FROM range({500 * 8 * DRAWS}) r(i)),
+tm AS (SELECT trial, draw, 'purchase' AS symbol, lo + floor({_TRIAL_U} * (hi - lo))::BIGINT AS when_us FROM tr, sp),
+ta AS (SELECT trial, draw, abs(ln(n.close / b3)) / (sigma * sqrt(3)) AS before, abs(ln(a1 / n.close)) / sigma AS after_ FROM tm t JOIN sg ON sg.symbol = t.symbol AND t.when_us BETWEEN sg.lo AND sg.hi ASOF JOIN n ON n.symbol = t.symbol AND n.ts_us <= t.when_us WHERE b3 IS NOT NULL AND a3 IS NOT NULL AND a1 IS NOT NULL AND b1 IS NOT NULL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY draw) AS r FROM ta WHERE before >= 0 AND before < 0.7),
+rt AS (SELECT trial, avg(after_) AS m FROM pk WHERE r <= {DRAWS} GROUP BY trial HAVING count(*) = {DRAWS}), z AS (SELECT coalesce(avg(m), 0.0) AS null_rate, coalesce(stddev_pop(m), 0.0) AS null_sd FROM rt)""" + near("", "null_rate null_sd", "FROM z"))
 def evt9_matched_excursions(spark, sf_dir):
     s = signals_of(spark, sf_dir)
     span = s.groupBy("symbol").agg(F.min("when_us").alias("lo"), F.max("when_us").alias("hi"))
@@ -397,67 +401,59 @@ def hits_sql(text: str, pattern: str) -> str:
 _SALT = ("the fed raised rates again and inflation remains elevated", "bank of japan ready to intervene, yen one-sided", "ecb cuts rates as growth weakens", "will list ABC (ABC) and XYZ/USDT", "delisting of DEFUSDT pairs", "decided to raise the target range to 3-3/4 to 4 percent", "decided to lower the target range to 0 to 1/4 percent", "bitcoin and stocks fall", "payrolls beat, dollar jumps", "nothing here")
 
 
-def salted_of(spark, sf_dir, whole: bool = False):
-    """Each document behind one of the sentences: its first 400 characters, which is what the SQL reads, or its whole text."""
+def salted_of(spark, sf_dir):
+    """Each document's whole text behind one of the sentences."""
     salt = F.element_at(F.array(*[F.lit(s) for s in _SALT]), (F.col("doc_id") % len(_SALT)).cast("int") + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(salt, F.lit(". "), F.coalesce("text", F.lit("")) if whole else F.left("text", F.lit(400))).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(salt, F.lit(". "), F.coalesce("text", F.lit(""))).alias("t"))
 
 
-SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT) + f"][doc_id % {len(_SALT)} + 1] || '. ' || left(text, 400) AS t FROM documents)"
+SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT) + f"][doc_id % {len(_SALT)} + 1] || '. ' || coalesce(text, '') AS t FROM documents)"
 
 
 @query(SALTED_SQL + f", h AS (SELECT *, {hits_sql('t', T.HAWKISH)} AS hawks, {hits_sql('t', T.DOVISH)} AS doves, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS currency FROM s) SELECT doc_id, hawks, doves, CASE WHEN hawks = doves THEN 'neutral' WHEN hawks > doves THEN 'hawkish' ELSE 'dovish' END AS stance, CASE WHEN up = down THEN 'none' WHEN up > down THEN 'stronger' ELSE 'weaker' END AS direction, currency, {first_sql('t', T.CATEGORIES, 'other')} AS category, {first_sql('t', T.KINDS, 'other')} AS kind, {first_sql('t', T.CHANNELS, 'nothing_surprising')} AS channel, {first_sql('t', T.INTERVENTION, '0.0')}::DOUBLE AS level, NOT regexp_matches(t, '{T.NOT_FX}') AND currency <> 'none' AS about_fx, CASE WHEN regexp_matches(t, '{T.BEARISH_TITLE}') THEN -1 WHEN regexp_matches(t, '{T.BULLISH_TITLE}') THEN 1 ELSE 0 END AS side FROM h")
 def fn_text_rules(spark, sf_dir):
-    return text_rules(salted_of(spark, sf_dir))
-
-
-@query()
-def fn_whole_text_rules(spark, sf_dir):
-    return text_rules(salted_of(spark, sf_dir, whole=True))
-
-
-def text_rules(s: DataFrame) -> DataFrame:
     t = F.col("t")
     lean = T.word_lean(t)
-    return s.select("doc_id", lean["hawks"].alias("hawks"), lean["doves"].alias("doves"), lean["stance"].alias("stance"), T.wire_direction(t).alias("direction"), T.currency(t).alias("currency"), T.category(t).alias("category"), T.title_kind(t).alias("kind"), T.channel(t, F.lit(False)).alias("channel"), T.intervention_level(t).alias("level"), T.about_fx(t).alias("about_fx"), T.title_side(t).alias("side"))
+    return salted_of(spark, sf_dir).select("doc_id", lean["hawks"].alias("hawks"), lean["doves"].alias("doves"), lean["stance"].alias("stance"), T.wire_direction(t).alias("direction"), T.currency(t).alias("currency"), T.category(t).alias("category"), T.title_kind(t).alias("kind"), T.channel(t, F.lit(False)).alias("channel"), T.intervention_level(t).alias("level"), T.about_fx(t).alias("about_fx"), T.title_side(t).alias("side"))
 
 
 @query(SALTED_SQL + ", c AS (SELECT doc_id, t, [" + ", ".join(f"{{'n': {hits_sql('t', p)}, 't': '{n}'}}" for n, p in T.TOPICS) + f"] AS c FROM s), r AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{T.DECIDED}') THEN regexp_extract(t, '{T.DECIDED}', 1) ELSE t END AS scope, list_reverse_sort(c)[1] AS b FROM c) SELECT doc_id, CASE WHEN b.n > 0 THEN b.t ELSE 'other' END AS topic, CASE WHEN regexp_matches(scope, '{T.DID_HIKE}') THEN 'hike' WHEN regexp_matches(scope, '{T.DID_CUT}') THEN 'cut' ELSE 'hold' END AS action FROM r")
 def fn_topic_and_action(spark, sf_dir):
-    return topic_and_action(salted_of(spark, sf_dir))
+    return salted_of(spark, sf_dir).select("doc_id", T.dominant_topic(F.col("t")).alias("topic"), T.action(F.col("t")).alias("action"))
 
 
-@query()
-def fn_whole_topic_and_action(spark, sf_dir):
-    return topic_and_action(salted_of(spark, sf_dir, whole=True))
+def rate_sql(v: str) -> str:
+    """rate_value() in SQL, of a text that holds a number."""
+    part = lambda p, i: f"TRY_CAST(regexp_extract({v}, '{p}', {i}) AS DOUBLE)"
+    mixed, bare = r"(\d+)-(\d+)/(\d+)", r"^\s*(\d+)/(\d+)\s*$"
+    return f"CASE WHEN regexp_matches({v}, '{mixed}') THEN CASE WHEN {part(mixed, 3)} > 0 THEN {part(mixed, 1)} + {part(mixed, 2)} / {part(mixed, 3)} ELSE {part(mixed, 1)} END WHEN regexp_matches({v}, '{bare}') THEN CASE WHEN {part(bare, 2)} > 0 THEN {part(bare, 1)} / {part(bare, 2)} END ELSE {part(r'(-?\d+(?:\.\d+)?)', 1)} END"
 
 
-def topic_and_action(s: DataFrame) -> DataFrame:
-    return s.select("doc_id", T.dominant_topic(F.col("t")).alias("topic"), T.action(F.col("t")).alias("action"))
+def top_sql(x: str) -> str:
+    """range_top() in SQL."""
+    return f"list_max(list_transform(regexp_extract_all({x}, '(\\d+-\\d+/\\d+|\\d+/\\d+|\\d+(?:\\.\\d+)?)', 1), lambda v: {rate_sql('v')}))"
 
 
-@query(SALTED_SQL + ", f AS (SELECT doc_id, CASE doc_id % 10 WHEN 5 THEN 4.0 WHEN 6 THEN 0.25 END AS rate FROM s) SELECT doc_id, rate::DOUBLE AS rate FROM f WHERE doc_id % 10 IN (5, 6)")
+@query(SALTED_SQL + f", f AS (SELECT doc_id, nullif(regexp_extract(t, '{T.DECISION}', 1), '') AS decision, nullif(regexp_extract(chr(10) || t, '{T.TARGET}', 1), '') AS target, regexp_extract_all(chr(10) || t, '{T.PERCENT}', 1) AS alone FROM s) SELECT doc_id, coalesce({top_sql('decision')}, {top_sql('target')}, CASE WHEN len(alone) = 1 THEN {rate_sql('alone[1]')} END) AS rate FROM f")
 def fn_announced_rate(spark, sf_dir):
-    s = salted_of(spark, sf_dir).filter(F.col("doc_id") % 10 >= 5).filter(F.col("doc_id") % 10 <= 6)
-    return s.select("doc_id", T.announced_rate(F.lit(""), F.col("t")).alias("rate"))
+    """The rate of every document's whole text, null where none is announced."""
+    return salted_of(spark, sf_dir).select("doc_id", T.announced_rate(F.lit(""), F.col("t")).alias("rate"))
 
 
-@query()
-def fn_whole_announced_rate(spark, sf_dir):
-    """The rate of every document, null where none is announced."""
-    return salted_of(spark, sf_dir, whole=True).select("doc_id", T.announced_rate(F.lit(""), F.col("t")).alias("rate"))
+_SYMBOL = "[A-Z0-9\u4e00-\u9fff]{2,12}"
+# without a look-behind the sign before a symbol belongs to the match; positions come from the text between matches
+_TICKER_SQL = (rf"(\()({_SYMBOL})\)", rf"(^|[^A-Z0-9])({_SYMBOL})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(^|[^A-Z0-9/])({_SYMBOL}?)(?:USDT|USDC)\b")
 
 
-@query(SALTED_SQL + " SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'ABC,XYZ' ELSE 'DEF' END AS tickers FROM s WHERE doc_id % 10 IN (3, 4)")
+@query(SALTED_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT doc_id, regexp_extract_all(t, '{p}', 2) AS names, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', 1) AS lead, string_split_regex(t, '{p}') AS between FROM s" for p in _TICKER_SQL) + f"""),
+u AS (SELECT doc_id, names[i] AS n, list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) + CASE WHEN lead[i] = '(' THEN 0 ELSE length(lead[i]) END AS pos FROM m, unnest(range(1, len(names) + 1)) r(i)),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(n, '^(1000000|1000|1M)[A-Z]') THEN regexp_replace(n, '^(1000000|1000|1M)', '') ELSE n END AS n, pos FROM u),
+d AS (SELECT doc_id, n, min(pos) AS pos FROM c WHERE n NOT IN ({', '.join(f"'{x}'" for x in [*T.QUOTE, *T.STOP])}) AND NOT regexp_matches(n, '^[0-9:.-]+$') GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, n) AS r FROM d), g AS (SELECT doc_id, string_agg(n, ',' ORDER BY r) AS tickers FROM e WHERE r <= 24 GROUP BY doc_id)
+SELECT s.doc_id, coalesce(tickers, '') AS tickers FROM s LEFT JOIN g USING (doc_id)""")
 def fn_tickers(spark, sf_dir):
-    s = salted_of(spark, sf_dir).filter((F.col("doc_id") % 10).isin(3, 4))
-    return s.select("doc_id", F.array_join(T.tickers(F.substring_index("t", ". ", 1)), ",").alias("tickers"))
-
-
-@query()
-def fn_whole_tickers(spark, sf_dir):
     """The tickers of every document's whole text."""
-    return salted_of(spark, sf_dir, whole=True).select("doc_id", F.array_join(T.tickers(F.col("t")), ",").alias("tickers"))
+    return salted_of(spark, sf_dir).select("doc_id", F.array_join(T.tickers(F.col("t")), ",").alias("tickers"))
 
 
 FAMILY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\b(19|20)\\d{2}\\b', ' ', 'g'), '\\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\\b', ' ', 'g'), '[\\d–—-]+', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -475,10 +471,9 @@ def agg31_near_duplicate_headlines(spark, sf_dir):
     return D.near_duplicate_headlines(docs_of(spark, sf_dir)).select("id")
 
 
-@query("WITH r AS (SELECT doc_id % 400 AS id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 20) END AS text, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE source END AS url FROM documents) SELECT id, count(*) AS copies, arg_min(text, ord) FILTER (WHERE trim(coalesce(text, '')) <> '') AS text, arg_min(url, ord) FILTER (WHERE trim(coalesce(url, '')) <> '') AS url FROM r GROUP BY id")
-def agg30_merged_posts(spark, sf_dir, whole: bool = False):
-    d, text = table(spark, sf_dir, "documents"), F.col("text") if whole else F.left("text", F.lit(20))
-    rows = d.select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(text).alias("text"), F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("url"))
+@query("WITH r AS (SELECT doc_id % 400 AS id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE source END AS url FROM documents) SELECT id, count(*) AS copies, arg_min(text, ord) FILTER (WHERE trim(coalesce(text, '')) <> '') AS text, arg_min(url, ord) FILTER (WHERE trim(coalesce(url, '')) <> '') AS url FROM r GROUP BY id")
+def agg30_merged_posts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("url"))
     return D.merged(rows, fields=("text", "url")).select("id", "copies", "text", "url")
 
 
@@ -516,12 +511,12 @@ def jn10_calendar(spark, sf_dir):
     return D.match_calendar(d.select("id", F.col("issuer").alias("currency"), "ts_us"), cal).select("id", "cal_title")
 
 
-RATES_SQL = "WITH rates AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), e AS (SELECT event_id, DATE '1992-01-01' + (event_id % 2500)::INT AS day FROM events WHERE event_id % 5 = 0)"
+RATES_SQL = "WITH rates AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1), e AS (SELECT event_id, DATE '1992-01-01' + (event_id % 2500)::INT AS day FROM events)"
 
 
 @query(RATES_SQL + " SELECT event_id, (SELECT max(date) FROM rates WHERE date < day) AS before, (SELECT max(date) FROM rates WHERE date <= day) AS upto FROM e")
 def jn7_rates_before(spark, sf_dir):
-    return rates_before(table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), table(spark, sf_dir, "events").filter("event_id % 5 = 0"))
+    return rates_before(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
 
 
 def rates_before(orders: DataFrame, events: DataFrame) -> DataFrame:
@@ -532,14 +527,13 @@ def rates_before(orders: DataFrame, events: DataFrame) -> DataFrame:
     return b.select("event_id", "before", F.col("u_date").alias("upto"))
 
 
-@query("WITH r AS (SELECT conv_id AS id, max(turn) AS n FROM conversations GROUP BY 1), i AS (SELECT conv_id AS id, role, turn, text, n FROM conversations JOIN r ON conv_id = id WHERE turn < n), c AS (SELECT id, string_agg(role || ': ' || left(text, 50), chr(10) ORDER BY CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END, turn, role, text) AS t, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM i GROUP BY id) SELECT r.id, left(t, 300) AS context, u AS has_user, a AS has_assistant FROM r LEFT JOIN c USING (id)")
-def evt14_context(spark, sf_dir, whole: bool = False):
+@query("WITH r AS (SELECT conv_id AS id, max(turn) AS n FROM conversations GROUP BY 1), i AS (SELECT conv_id AS id, role, turn, text, n FROM conversations JOIN r ON conv_id = id WHERE turn < n), c AS (SELECT id, string_agg(role || ': ' || text, chr(10) ORDER BY CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END, turn, role, text) AS t, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM i GROUP BY id) SELECT r.id, left(t, 6000) AS context, u AS has_user, a AS has_assistant FROM r LEFT JOIN c USING (id)")
+def evt14_context(spark, sf_dir):
     """Every conversation's last turn as the release, earlier turns as its context."""
-    text, budget = (F.col("text"), 6000) if whole else (F.left("text", F.lit(50)), 300)
     c = table(spark, sf_dir, "conversations")
     rel = c.groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("ts_us"))
-    items = c.join(rel, F.col("conv_id") == F.col("id")).filter("turn < ts_us").select(F.col("conv_id").alias("release_id"), F.col("role").alias("kind"), F.col("role").alias("label"), F.col("turn").alias("ts_us"), F.lit(False).alias("concurrent"), text.alias("text"))
-    return D.context(rel, items, ("system", "user", "assistant"), budget).select("id", "context", "has_user", "has_assistant")
+    items = c.join(rel, F.col("conv_id") == F.col("id")).filter("turn < ts_us").select(F.col("conv_id").alias("release_id"), F.col("role").alias("kind"), F.col("role").alias("label"), F.col("turn").alias("ts_us"), F.lit(False).alias("concurrent"), "text")
+    return D.context(rel, items, ("system", "user", "assistant")).select("id", "context", "has_user", "has_assistant")
 
 
 # ------------------------------------------------------------------- pages
@@ -590,82 +584,74 @@ def win17_flow(spark, sf_dir):
     return rounded(B.flow_imbalance(fills_of(spark, sf_dir)).select("symbol", "seq", "flow"))
 
 
-LEDGER_SQL = FILLS_SQL + """, f AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END * size AS delta FROM fills WHERE seq < 60),
-l AS (SELECT symbol, list({'d': delta, 'p': price} ORDER BY seq) AS x FROM f GROUP BY symbol),
-z AS (SELECT symbol, list_reduce(x, lambda s, r: CASE WHEN s.u = 0 OR (s.u > 0) = (r.d > 0) THEN {'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'u': s.u + r.d, 'a': (s.a * abs(s.u) + r.p * abs(r.d)) / (abs(s.u) + abs(r.d)), 'g': s.g}
+LEDGER_SQL = FILLS_SQL + """, f AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END * size AS delta FROM fills),
+l AS (SELECT symbol, list({'d': delta, 'p': price, 'u': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'g': 0.0::DOUBLE} ORDER BY seq) AS x, count(*) AS fills FROM f GROUP BY symbol),
+z AS (SELECT symbol, fills, list_reduce(x, lambda s, r: CASE WHEN s.u = 0 OR (s.u > 0) = (r.d > 0) THEN {'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'u': s.u + r.d, 'a': (s.a * abs(s.u) + r.p * abs(r.d)) / (abs(s.u) + abs(r.d)), 'g': s.g}
   ELSE {'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'u': CASE WHEN abs(s.u + r.d) < 1e-9 THEN 0 ELSE s.u + r.d END, 'a': CASE WHEN abs(s.u + r.d) < 1e-9 THEN 0 WHEN abs(r.d) > abs(s.u) THEN r.p ELSE s.a END, 'g': s.g + (r.p - s.a) * least(abs(s.u), abs(r.d)) * CASE WHEN s.u > 0 THEN 1 ELSE -1 END} END,
-  {'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'g': 0.0::DOUBLE}) AS s FROM (SELECT symbol, list_transform(x, lambda r: {'d': r.d, 'p': r.p, 'u': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'g': 0.0::DOUBLE}) AS x FROM l)), y AS (SELECT symbol, s.u AS units, s.a AS avg_price, s.g AS realized FROM z)"""
+  {'d': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'g': 0.0::DOUBLE}) AS s FROM l), y AS (SELECT symbol, fills, s.u AS units, s.a AS avg_price, s.g AS realized FROM z)"""
 
 
-@query(LEDGER_SQL + near("symbol", "units avg_price realized", "FROM y", 4))
-def led3_ledger(spark, sf_dir):
-    """The average-cost state after the first sixty fills of each symbol, buys and sells in turn."""
-    f = fills_of(spark, sf_dir).filter("seq < 60").select(F.lit("r").alias("run"), "symbol", "seq", F.when(F.col("seq") % 2 == 0, F.col("size")).otherwise(-F.col("size")).alias("delta"), "price", F.lit(0.0).alias("fee"))
-    last = B.ledger(f).groupBy("symbol").agg(F.max_by(F.struct("units", "avg_price", "realized"), "seq").alias("s"))
-    return rounded(last.select("symbol", "s.*"), 4)
+def signed_fills(spark, sf_dir) -> DataFrame:
+    """Every fill as a ledger step, buys and sells in turn."""
+    return fills_of(spark, sf_dir).select(F.lit("r").alias("run"), "symbol", "seq", F.when(F.col("seq") % 2 == 0, F.col("size")).otherwise(-F.col("size")).alias("delta"), "price", F.lit(0.0).alias("fee"))
 
 
-@query()
-def led3_whole_ledger(spark, sf_dir):
-    """led3_ledger over every fill: the average-cost state after each symbol's last one."""
-    f = fills_of(spark, sf_dir).select(F.lit("r").alias("run"), "symbol", "seq", F.when(F.col("seq") % 2 == 0, F.col("size")).otherwise(-F.col("size")).alias("delta"), "price", F.lit(0.0).alias("fee"))
-    last = B.ledger(f).groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.max_by(F.struct("units", "avg_price", "realized"), "seq").alias("s"))
+@query(LEDGER_SQL + near("symbol fills", "units avg_price realized", "FROM y", 4))
+def led3_ledger(spark, sf_dir):
+    """The average-cost state after each symbol's last fill."""
+    last = B.ledger(signed_fills(spark, sf_dir)).groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.max_by(F.struct("units", "avg_price", "realized"), "seq").alias("s"))
     return rounded(last.select("symbol", "fills", "s.*"), 4)
 
 
-@query(TAPE_SQL + ", t AS (SELECT *, (bid + ask) / 2 AS mid FROM tape), g AS (SELECT 'r' AS run, symbol, seq, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY seq), 0) AS delta FROM (SELECT symbol, seq, ((seq * 7919) % 5 - 2)::DOUBLE AS target FROM tape WHERE seq % 10 = 0)), f AS (SELECT g.*, CASE WHEN delta > 0 THEN ask * (1 + 2.0 * least(delta / ask_size, 5) / 1e4) ELSE bid * (1 - 2.0 * least(-delta / bid_size, 5) / 1e4) END AS price FROM g JOIN t USING (symbol, seq) WHERE abs(delta) >= 1e-9), z AS (SELECT symbol, seq, delta, price, price * abs(delta) / 1e4 AS fee FROM f)" + near("symbol seq delta", "price fee", "FROM z", 9))
+@query(TAPE_SQL + ", t AS (SELECT *, (bid + ask) / 2 AS mid FROM tape), g AS (SELECT 'r' AS run, symbol, seq, target, target - coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY seq), 0) AS delta FROM (SELECT symbol, seq, ((seq * 7919) % 5 - 2)::DOUBLE AS target FROM tape)), f AS (SELECT g.*, CASE WHEN delta > 0 THEN ask * (1 + 2.0 * least(delta / ask_size, 5) / 1e4) ELSE bid * (1 - 2.0 * least(-delta / bid_size, 5) / 1e4) END AS price FROM g JOIN t USING (symbol, seq) WHERE abs(delta) >= 1e-9), z AS (SELECT symbol, seq, delta, price, price * abs(delta) / 1e4 AS fee FROM f)" + near("symbol seq delta", "price fee", "FROM z", 9))
 def led2_target_fills(spark, sf_dir):
     t = ticks_of(spark, sf_dir)
-    return targets_filled(t, t.filter("seq % 10 = 0"))
-
-
-def targets_filled(t: DataFrame, at: DataFrame) -> DataFrame:
-    targets = at.select(F.lit("r").alias("run"), "symbol", "seq", ((F.col("seq") * 7919) % 5 - 2).cast("double").alias("target"))
+    targets = t.select(F.lit("r").alias("run"), "symbol", "seq", ((F.col("seq") * 7919) % 5 - 2).cast("double").alias("target"))
     return rounded(B.target_fills(targets, t).select("symbol", "seq", "delta", "price", "fee"), 9)
 
 
 MARKS_SQL = TAPE_SQL + """, t AS (SELECT symbol, seq, (bid + ask) / 2 AS mid, last FROM tape), n AS (SELECT symbol, max(seq) AS hi FROM tape GROUP BY 1),
-f AS (SELECT symbol, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last * CASE WHEN seq % 3 = 0 THEN 1.0001 ELSE 0.9999 END AS price, 1.0 + seq % 4 AS size, seq % 5 = 0 AS informed FROM t WHERE seq % 2 = 0)"""
+f AS (SELECT symbol, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last * CASE WHEN seq % 3 = 0 THEN 1.0001 ELSE 0.9999 END AS price, 1.0 + seq % 4 AS size, seq % 5 = 0 AS informed FROM t)"""
 
 
-def tape_fills(t, every: int = 2):
+def tape_fills(t):
     side = F.when(F.col("seq") % 3 == 0, -1).otherwise(1)
     price = F.col("last") * F.when(F.col("seq") % 3 == 0, 1.0001).otherwise(0.9999)
-    return t.filter(F.col("seq") % every == 0).select("symbol", "seq", side.alias("side"), price.alias("price"), (1.0 + F.col("seq") % 4).alias("size"), (F.col("seq") % 5 == 0).alias("informed"))
+    return t.select("symbol", "seq", side.alias("side"), price.alias("price"), (1.0 + F.col("seq") % 4).alias("size"), (F.col("seq") % 5 == 0).alias("informed"))
 
 
 @query(MARKS_SQL + ", h AS (SELECT f.*, h, t.mid AS m0, u.mid AS m1 FROM f JOIN n USING (symbol) CROSS JOIN (VALUES (4), (20), (80)) v(h) JOIN t ON t.symbol = f.symbol AND t.seq = f.seq JOIN t u ON u.symbol = f.symbol AND u.seq = least(f.seq + h, hi)), c AS (SELECT *, unnest(['all', CASE WHEN informed THEN 'informed' ELSE 'benign' END]) AS class FROM h), z AS (SELECT class, h AS horizon, count(*) AS fills, sum(price * size) AS notional, sum((m0 - price) * side * size) AS capture, sum((m1 - m0) * side * size) AS adverse FROM c GROUP BY ALL)" + near("class horizon fills", "notional capture adverse", "FROM z", 4))
-def agg19_markouts(spark, sf_dir, every: int = 2):
+def agg19_markouts(spark, sf_dir):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    return rounded(S.markouts(tape_fills(t, every), t), 4)
+    return rounded(S.markouts(tape_fills(t), t), 4)
 
 
 @query(MARKS_SQL + ", e AS (SELECT symbol, seq, sum(-side * size * price) OVER w + sum(side * size) OVER w * mid AS equity FROM f JOIN t USING (symbol, seq) WINDOW w AS (PARTITION BY symbol ORDER BY seq)), d AS (SELECT symbol, seq, equity, max(equity) OVER (PARTITION BY symbol ORDER BY seq) - equity AS down, equity - lag(equity) OVER (PARTITION BY symbol ORDER BY seq) AS step FROM e), z AS (SELECT symbol, max(down) AS max_drawdown, avg(step) / stddev_pop(step) * sqrt(31536000) AS sharpe, arg_max(equity, seq) AS final FROM d GROUP BY symbol)" + near("symbol", "max_drawdown sharpe final", "FROM z", 3))
-def agg18_curves(spark, sf_dir, every: int = 2):
+def agg18_curves(spark, sf_dir):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    b = B.running_book(tape_fills(t, every)).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
+    b = B.running_book(tape_fills(t)).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
     return rounded(S.curve_stats(b.withColumn("equity", F.col("cash") + F.col("inventory") * F.col("mid")), ("symbol",)), 3)
 
 
-DECIDE_SQL = TAPE_SQL + """, t AS (SELECT symbol, seq, (bid + ask) / 2 AS mid FROM tape), d AS (SELECT symbol, seq, seq + 1 + seq % 3 AS arrival, (seq % 11) / 11.0 AS p_up, (seq % 7) / 14.0 AS p_down FROM tape WHERE seq % 3 = 0),
+DECIDE_SQL = TAPE_SQL + """, t AS (SELECT symbol, seq, (bid + ask) / 2 AS mid FROM tape), d AS (SELECT symbol, seq, seq + 1 + seq % 3 AS arrival, (seq % 11) / 11.0 AS p_up, (seq % 7) / 14.0 AS p_down FROM tape),
 j AS (SELECT d.*, p_up - p_down AS edge, m0.mid AS m0, m1.mid AS m1, a0.mid AS a0, a1.mid AS a1 FROM d LEFT JOIN t m0 ON m0.symbol = d.symbol AND m0.seq = d.seq LEFT JOIN t m1 ON m1.symbol = d.symbol AND m1.seq = d.seq + 5 LEFT JOIN t a0 ON a0.symbol = d.symbol AND a0.seq = arrival LEFT JOIN t a1 ON a1.symbol = d.symbol AND a1.seq = arrival + 5)"""
 
 
-def decisions_scored(spark, sf_dir, every: int = 3):
+def decisions_scored(spark, sf_dir):
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    d = t.filter(F.col("seq") % every == 0).select("symbol", "seq", (F.col("seq") + 1 + F.col("seq") % 3).alias("arrival"), ((F.col("seq") % 11) / 11).alias("p_up"), ((F.col("seq") % 7) / 14).alias("p_down"))
+    d = t.select("symbol", "seq", (F.col("seq") + 1 + F.col("seq") % 3).alias("arrival"), ((F.col("seq") % 11) / 11).alias("p_up"), ((F.col("seq") % 7) / 14).alias("p_down"))
     return S.direction_scores(d.withColumn("edge", F.col("p_up") - F.col("p_down")), t)
 
 
 @query(DECIDE_SQL + ", z AS (SELECT symbol, avg(CASE WHEN m1 <> m0 AND abs(edge) >= 0.05 THEN ((edge > 0) = (m1 > m0))::INT::DOUBLE END) AS hit, avg(CASE WHEN m1 <> m0 AND abs(edge) >= 0.05 AND a1 <> a0 THEN ((edge > 0) = (a1 > a0))::INT::DOUBLE END) AS executed_hit FROM j GROUP BY symbol)" + near("symbol", "hit executed_hit", "FROM z"))
-def agg13_hit_rates(spark, sf_dir, every: int = 3):
-    s = decisions_scored(spark, sf_dir, every)
+def agg13_hit_rates(spark, sf_dir):
+    s = decisions_scored(spark, sf_dir)
     return rounded(s.groupBy("symbol").agg(F.avg(F.col("formed").cast("double")).alias("hit"), F.avg(F.col("executed").cast("double")).alias("executed_hit")))
 
 
 @query(DECIDE_SQL + ", p AS (SELECT p_up / (p_up + p_down) AS p, m1 > m0 AS up FROM j WHERE m1 <> m0 AND p_up + p_down > 1e-9), b AS (SELECT least(floor(p * 5), 4) AS bin, count(*) AS n, avg(p) AS predicted, avg(up::INT::DOUBLE) AS realized FROM p GROUP BY 1), z AS (SELECT bin / 5 AS low, (bin + 1) / 5 AS high, n, predicted, realized FROM b)" + near("n", "low high predicted realized", "FROM z"))
-def agg12_calibration(spark, sf_dir, every: int = 3):
-    return rounded(S.calibration(decisions_scored(spark, sf_dir, every), F.col("p"), F.col("up")))
+def agg12_calibration(spark, sf_dir):
+    return rounded(S.calibration(decisions_scored(spark, sf_dir), F.col("p"), F.col("up")))
 
 
 @query("WITH z AS (SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, list_sort(list(value))[least(floor(0.95 * count(*)), count(*) - 1)::INT + 1] AS i95 FROM events GROUP BY 1)" + near("event_type", "p50 p95 p99 i95", "FROM z"))
@@ -674,15 +660,8 @@ def agg14_percentiles(spark, sf_dir):
     return rounded(e.select("event_type", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "i95"))
 
 
-@query("WITH w AS (SELECT 'S' || l_suppkey % 7 AS arm, count(*) FILTER (WHERE l_returnflag = 'R') AS wins, 40 AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS r FROM lineitem) WHERE r <= 40 GROUP BY 1), z AS (SELECT arm, wins, least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, least(wins, n - wins) + 1) r(i))) AS p FROM w)" + near("arm wins", "p", "FROM z", 9))
+@query("WITH w AS (SELECT 'S' || l_suppkey % 7 AS arm, count(*) FILTER (WHERE l_returnflag = 'R') AS wins, count(*) AS n FROM lineitem GROUP BY 1), z AS (SELECT arm, wins, n, least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, least(wins, n - wins) + 1) r(i))) AS p FROM w)" + near("arm wins n", "p", "FROM z", 9))
 def agg24_sign_test(spark, sf_dir):
-    f = fills_of(spark, sf_dir).filter("seq < 40").groupBy(F.col("symbol").alias("arm")).agg(F.count_if(F.col("side") < 0).alias("wins"), F.count(F.lit(1)).alias("n"))
-    return rounded(f.select("arm", "wins", S.sign_test(F.col("wins"), F.col("n")).alias("p")), 9)
-
-
-@query()
-def agg24_whole_sign_test(spark, sf_dir):
-    """agg24_sign_test over every fill."""
     f = fills_of(spark, sf_dir).groupBy(F.col("symbol").alias("arm")).agg(F.count_if(F.col("side") < 0).alias("wins"), F.count(F.lit(1)).alias("n"))
     return rounded(f.select("arm", "wins", "n", S.sign_test(F.col("wins"), F.col("n")).alias("p")), 9)
 
@@ -756,11 +735,11 @@ def str1_trade_bars(spark, sf_dir):
 
 
 @query(MARKS_SQL + ", z AS (SELECT f.symbol, count(*) AS fills, sum(price * size) AS notional, sum((mid - price) * side * size) AS pnl, avg(((mid - price) * side * size > 0)::INT::DOUBLE) AS hit FROM f JOIN t USING (symbol, seq) GROUP BY 1)" + near("symbol fills", "notional pnl hit", "FROM z", 4))
-def str7_running_stats(spark, sf_dir, every: int = 2):
+def str7_running_stats(spark, sf_dir):
     from tidemark.streaming.tapes import running_stats
 
     t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    f = tape_fills(t, every).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
+    f = tape_fills(t).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
     return rounded(running_stats(f.withColumn("pnl", (F.col("mid") - F.col("price")) * F.col("side") * F.col("size"))), 4)
 
 
@@ -802,18 +781,9 @@ def fn40_stances(spark, sf_dir):
 
 @query(SALTED_SQL + f", h AS (SELECT doc_id, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS cur FROM s WHERE NOT regexp_matches(t, '{T.NOT_FX}')), p(cur, symbol, base) AS (VALUES ('USD', 'EURUSD', -1), ('EUR', 'EURUSD', 1), ('JPY', 'USDJPY', -1), ('GBP', 'GBPUSD', 1), ('AUD', 'AUDUSD', 1), ('CAD', 'USDCAD', -1), ('CHF', 'USDCHF', -1), ('NZD', 'NZDUSD', 1)) SELECT doc_id AS id, symbol, base * CASE WHEN up > down THEN 1 ELSE -1 END AS sign FROM h JOIN p USING (cur) WHERE up <> down")
 def evt10_wire_arm(spark, sf_dir):
-    return wire_signals(salted_of(spark, sf_dir))
-
-
-@query()
-def evt10_whole_wire_arm(spark, sf_dir):
-    return wire_signals(salted_of(spark, sf_dir, whole=True))
-
-
-def wire_signals(docs: DataFrame) -> DataFrame:
     from tidemark.plans.arms import wire_arm
 
-    s = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("ts_us"), F.col("t").alias("title"), F.lit("").alias("body"))
+    s = salted_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("ts_us"), F.col("t").alias("title"), F.lit("").alias("body"))
     return wire_arm(s).select("id", "symbol", "sign")
 
 
@@ -823,61 +793,3 @@ def fn28_priced(spark, sf_dir):
 
     p = table(spark, sf_dir, "part").withColumn("ff", F.col("p_retailprice") / 397).filter("ff > 0.3")
     return p.select("p_partkey", priced_sentence(F.col("ff") + ((F.col("p_partkey") % 9) - 4) * 0.2, F.col("ff")).alias("priced"))
-
-
-# ------------------------------------------- whole forms of cut queries
-
-
-def uncut(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query that reads a part of its rows, without the cuts."""
-    sql = ORACLE[name]
-    for cut, full in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, full)
-    return sql
-
-
-@query(uncut("jn7_rates_before", (" WHERE o_orderkey % 3 = 0", ""), (" WHERE event_id % 5 = 0", "")))
-def jn7_whole_rates_before(spark, sf_dir):
-    return rates_before(table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"))
-
-
-@query(uncut("led2_target_fills", (" WHERE seq % 10 = 0", "")))
-def led2_whole_target_fills(spark, sf_dir):
-    t = ticks_of(spark, sf_dir)
-    return targets_filled(t, t)
-
-
-@query(uncut("agg19_markouts", (" WHERE seq % 2 = 0", "")))
-def agg19_whole_markouts(spark, sf_dir):
-    return agg19_markouts(spark, sf_dir, 1)
-
-
-@query(uncut("agg18_curves", (" WHERE seq % 2 = 0", "")))
-def agg18_whole_curves(spark, sf_dir):
-    return agg18_curves(spark, sf_dir, 1)
-
-
-@query(uncut("agg13_hit_rates", (" WHERE seq % 3 = 0", "")))
-def agg13_whole_hit_rates(spark, sf_dir):
-    return agg13_hit_rates(spark, sf_dir, 1)
-
-
-@query(uncut("agg12_calibration", (" WHERE seq % 3 = 0", "")))
-def agg12_whole_calibration(spark, sf_dir):
-    return agg12_calibration(spark, sf_dir, 1)
-
-
-@query(uncut("str7_running_stats", (" WHERE seq % 2 = 0", "")))
-def str7_whole_running_stats(spark, sf_dir):
-    return str7_running_stats(spark, sf_dir, 1)
-
-
-@query(uncut("agg30_merged_posts", ("left(text, 20)", "text")))
-def agg30_whole_merged_posts(spark, sf_dir):
-    return agg30_merged_posts(spark, sf_dir, whole=True)
-
-
-@query(uncut("evt14_context", ("left(text, 50)", "text"), ("left(t, 300)", "left(t, 6000)")))
-def evt14_whole_context(spark, sf_dir):
-    return evt14_context(spark, sf_dir, whole=True)
