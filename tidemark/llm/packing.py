@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-CAPACITY, OPEN_BINS, PIECES_A_TASK = 2048, 1024, 50_000
+CAPACITY, OPEN_BINS, PIECES_A_TASK = 2048, 1024, 16_000
 END = 0
 
 
