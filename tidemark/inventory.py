@@ -1,0 +1,429 @@
+"""Further registered queries: sources, joins, scores, words, books and streams on the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+import lzma
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import prices as P
+from tidemark.functions import sentences as N
+from tidemark.functions import text as T
+from tidemark.functions import times as C
+from tidemark.operators import documents as D
+from tidemark.operators import ledger as B
+from tidemark.operators import stats as S
+from tidemark.operators.asof import bounded_asof, carried_asof, valid_for
+from tidemark.plans import arms as A
+from tidemark.plans import pricing as E
+from tidemark.plans import scoring as R
+from tidemark.queries import BARS_SQL, DOCS_SQL, FILLS_SQL, H, HZ, SIGNALS_SQL, STALE, bars_of, docs_of, near, outcome_sql, outcomes_of, query, rounded, signals_of, signed_fills, ticks_of
+from tidemark.schema import DAY, HOUR, MINUTE, TAPE_SQL, micros, scratch, table
+from tidemark.sources import tapes as K
+from tidemark.sources import texts as X
+
+# ----------------------------------------------------------------- sources
+
+
+@query(TAPE_SQL + " SELECT symbol, seq, (round(ts_us / 1000.0) * 1000)::BIGINT AS ts_us, volume, bid_size, ask_size, true AS near FROM tape")
+def src2_tick_csv(spark, sf_dir):
+    """Ticks written as CSV and read again: moments to the millisecond, sizes as they were, prices within half of the sixth place."""
+    t, path = ticks_of(spark, sf_dir), scratch(spark)
+    K.write_ticks(t, path)
+    got = K.read_ticks(spark, path).join(t.select("symbol", "seq", *[F.col(c).alias("_" + c) for c in ("bid", "ask", "last")]), ["symbol", "seq"])
+    close = [F.abs(F.col(c) - F.col("_" + c)) < 5.01e-7 for c in ("bid", "ask", "last")]
+    return got.select("symbol", "seq", "ts_us", "volume", "bid_size", "ask_size", (close[0] & close[1] & close[2]).alias("near"))
+
+
+@query(TAPE_SQL + " SELECT a.symbol, b.ts_us - a.ts_us AS interval_us FROM tape a JOIN tape b ON a.symbol = b.symbol AND a.seq = 0 AND b.seq = 1")
+def src1_interval(spark, sf_dir):
+    return K.interval_us(ticks_of(spark, sf_dir))
+
+
+def packed(rows: DataFrame, keys: list[str], kind: np.dtype, schema: str) -> DataFrame:
+    """rows (keys, and the record's fields as whole numbers) as one packed file for each key."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(list(kind.names), kind="stable")
+        raw = np.empty(len(group), kind)
+        for c in kind.names:
+            raw[c] = group[c].to_numpy()
+        return pd.DataFrame([(*key, lzma.compress(raw.tobytes()))], columns=[*keys, "content"])
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, content binary")
+
+
+_HOUR_SQL = "(ts_us // 3600000000) * 3600000000"
+
+
+@query(TAPE_SQL + f" SELECT symbol, {_HOUR_SQL} + ((ts_us - {_HOUR_SQL}) // 1000) * 1000 AS ts_us, floor(bid * 1e5 + 0.5) / 1e5 AS bid, floor(ask * 1e5 + 0.5) / 1e5 AS ask, ask_size AS ask_volume, bid_size AS bid_volume FROM tape")
+def src3_packed_ticks(spark, sf_dir):
+    """Ticks packed into hourly files of big-endian records and unpacked again."""
+    start = (F.floor(F.col("ts_us") / HOUR) * HOUR).cast("long")
+    whole = lambda c: F.floor(F.col(c) * 1e5 + 0.5).alias(c)
+    rows = ticks_of(spark, sf_dir).select("symbol", start.alias("start"), F.floor((F.col("ts_us") - start) / 1000).alias("ms"), whole("ask"), whole("bid"), F.col("ask_size").alias("ask_volume"), F.col("bid_size").alias("bid_volume"))
+    return K.unpacked_ticks(packed(rows, ["symbol", "start"], K.TICK, "symbol string, start long").select("content", "symbol", "start"))
+
+
+@query(BARS_SQL + " SELECT symbol, 'bid' AS side, ts_us, " + ", ".join(f"floor({c} * 1e5 + 0.5) / 1e5 AS {c}" for c in ("open", "close", "low", "high")) + ", volume FROM bars")
+def src4_packed_minutes(spark, sf_dir):
+    """Bars packed into daily files and unpacked again."""
+    start = (F.floor(F.col("ts_us") / DAY) * DAY).cast("long")
+    rows = bars_of(spark, sf_dir).select("symbol", F.lit("bid").alias("side"), start.alias("start"), ((F.col("ts_us") - start) / 1_000_000).cast("long").alias("s"), *[F.floor(F.col(c) * 1e5 + 0.5).alias(c) for c in ("open", "close", "low", "high")], "volume")
+    return K.unpacked_minutes(packed(rows, ["symbol", "side", "start"], K.BAR, "symbol string, side string, start long").select("content", "symbol", "side", "start"))
+
+
+@query(BARS_SQL + " SELECT symbol, ts_us, open, close FROM bars WHERE open > 0 AND close > 0 AND trades % 5 <> 0")
+def src6_chart_bars(spark, sf_dir):
+    """Bars as chart JSON, one text for each symbol and day, some prints null; and back."""
+    b = bars_of(spark, sf_dir).withColumn("open", F.when(F.col("trades") % 5 != 0, F.col("open")))
+    rows = F.sort_array(F.collect_list(F.struct((F.col("ts_us") / 1_000_000).cast("long").alias("t"), "open", "close")))
+    day = b.groupBy("symbol", F.floor(F.col("ts_us") / DAY).alias("d")).agg(rows.alias("r"))
+    quote = F.array(F.struct(F.col("r.open").alias("open"), F.col("r.close").alias("close")))
+    one = F.struct(F.struct("symbol").alias("meta"), F.col("r.t").alias("timestamp"), F.struct(quote.alias("quote")).alias("indicators"))
+    text = F.to_json(F.struct(F.struct(F.array(one).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
+    return K.chart_bars(day.select(text.alias("value")))
+
+
+_POSTS_SQL = "SELECT doc_id::VARCHAR AS id, nullif(trim(CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END), '') AS text, 'u' || doc_id AS url, CASE WHEN doc_id % 5 > 0 THEN '2024-01-01' END AS published FROM documents"
+
+
+def posts_of(spark, sf_dir):
+    """Documents written as JSON lines in two shapes, read as one archive: posts, and the row of counts."""
+    d, path = table(spark, sf_dir, "documents"), scratch(spark)
+    text = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
+    dated = F.when(F.col("doc_id") % 5 > 0, "2024-01-01")
+    d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("status_id"), text.alias("text"), F.concat(F.lit("u"), "doc_id").alias("original_url"), dated.alias("date_published")).write.json(path + "/a")
+    d.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("post_id"), text.alias("article_body"), F.concat(F.lit("u"), "doc_id").alias("url"), dated.alias("date_published")).write.json(path + "/b")
+    d.filter("doc_id % 50 = 0").select(F.lit("{ not json").alias("value")).write.text(path + "/c")
+    return X.read_posts(spark, [path + "/a", path + "/b", path + "/c"])
+
+
+@query(_POSTS_SQL)
+def src8_posts(spark, sf_dir):
+    return posts_of(spark, sf_dir)[0].select("id", "text", "url", "published")
+
+
+@query(f"WITH p AS ({_POSTS_SQL}) SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS rows, (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS unreadable, 0::BIGINT AS without_id, count(*) FILTER (WHERE text IS NULL) AS empty, count(*) FILTER (WHERE published IS NULL) AS no_time, median(length(text))::DOUBLE AS median_chars FROM p")
+def agg11_coverage(spark, sf_dir):
+    posts, counts = posts_of(spark, sf_dir)
+    ts = C.moment(F.concat("published", F.lit("T00:00:00Z")))
+    return counts.crossJoin(X.coverage(posts, ts, ts.isNotNull()).select("empty", "no_time", "median_chars"))  # one row each
+
+
+def escaped(c):
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+_TITLE_SQL = "trim(regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(DOCS_SQL + f" SELECT issuer AS source, {_TITLE_SQL} AS title, make_timestamp(1704067200000000 + ts_us) AS ts FROM docs WHERE id % 4 <> 0 AND {_TITLE_SQL} <> ''")
+def src9_feed_items(spark, sf_dir):
+    """A feed for each document, RSS or Atom; a quarter of the items have no stamp."""
+    ts = F.timestamp_micros(F.col("ts_us") + 1704067200000000)
+    rss = F.concat(F.lit("<rss><item><title>"), escaped(F.col("title")), F.lit("</title><pubDate>"), F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title type='html'><![CDATA["), escaped(F.col("title")), F.lit("]]></title><updated>"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry></feed>"))
+    bare = F.concat(F.lit("<rss><item><title>"), escaped(F.col("title")), F.lit("</title></item></rss>"))
+    kind = F.col("id") % 4
+    feeds = docs_of(spark, sf_dir).select(F.col("issuer").alias("source"), F.when(kind == 0, bare).when(kind == 1, atom).otherwise(rss).alias("xml"))
+    return X.feed_items(feeds)
+
+
+@query(DOCS_SQL + " SELECT 'speech' AS kind, id, make_timestamp(1704067200000000 + ts_us) AS ts, CASE WHEN id % 2 = 0 THEN 'S' || id ELSE 'P' END AS speaker FROM docs WHERE id % 9 <> 0 AND id % 4 <> 0")
+def src10_archive(spark, sf_dir):
+    """An archive's index: trailers without a link go, stamps that are dates alone are refused."""
+    ts = F.timestamp_micros(F.col("ts_us") + 1704067200000000)
+    when = F.when(F.col("id") % 4 == 0, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    raw = docs_of(spark, sf_dir).select(when.alias("d"), F.col("id").cast("string").alias("t"), F.lit("P").alias("pt"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("S"), "id")).alias("s"), F.when(F.col("id") % 9 != 0, F.concat(F.lit("/l/"), "id")).alias("l"))
+    rows, _ = X.archive_rows(raw, "speech")
+    return rows.select("kind", F.col("title").cast("long").alias("id"), "ts", "speaker")
+
+
+_RATES_SQL = """WITH d AS (SELECT o_orderdate::DATE AS date, round(min(o_totalprice), 2) AS a, round(max(o_totalprice), 2) AS b, count(*) AS n FROM orders GROUP BY 1),
+r AS (SELECT date, unnest([{'t': '2y', 'v': CASE WHEN n % 3 > 0 THEN a END}, {'t': '10y', 'v': CASE WHEN n % 2 > 0 THEN b END}]) AS x FROM d), r1 AS (SELECT date, x.t AS tenor, x.v AS value FROM r WHERE x.v IS NOT NULL)"""
+
+
+def rate_lines(spark, sf_dir):
+    """Daily figures of orders as the lines of a rate file, with a byte order mark, blanks and ND."""
+    d = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.round(F.min("o_totalprice"), 2).alias("a"), F.round(F.max("o_totalprice"), 2).alias("b"), F.count(F.lit(1)).alias("n"))
+    line = F.concat_ws(",", F.col("date").cast("string"), F.when(F.col("n") % 2 > 0, F.format_string("%.2f", "b")).otherwise("ND"), F.when(F.col("n") % 3 > 0, F.format_string("%.2f", "a")).otherwise(""))
+    head = spark.range(1).select(F.lit("﻿\"Series Description\",\"Ten years, constant\",\"Two years\"").alias("value"))
+    rows = d.select(line.alias("value")).unionByName(head)
+    return K.rates(rows, {"Two years": "2y", "Ten years, constant": "10y"}, F.col("value").contains("Series Description")), d
+
+
+@query(_RATES_SQL + " SELECT date, tenor, value FROM r1")
+def src11_rates(spark, sf_dir):
+    return rate_lines(spark, sf_dir)[0]
+
+
+@query(_RATES_SQL + ", m AS (SELECT date, tenor, value, 0 AS p FROM r1 UNION ALL SELECT date, unnest(['2y', '5y']), n::DOUBLE, 1 FROM d) SELECT date, tenor, arg_min(value, p) AS value FROM m GROUP BY ALL")
+def jn14_merged_rates(spark, sf_dir):
+    """Two rate tables as one: the first that has a cell gives it."""
+    first, d = rate_lines(spark, sf_dir)
+    second = d.select("date", F.explode(F.array(F.lit("2y"), F.lit("5y"))).alias("tenor"), F.col("n").cast("double").alias("value"))
+    return K.merged_rates([first, second])
+
+
+@query(DOCS_SQL + " SELECT 'rate ' || id AS title, issuer AS country, make_timestamp(1704067200000000 + ts_us) AS ts, CASE WHEN id % 3 = 0 THEN 'revised' ELSE 'first' END AS forecast FROM docs")
+def src12_calendar(spark, sf_dir):
+    """Two snapshots of a calendar, appended by week; of a row in both the later one counts."""
+    path = scratch(spark)
+    rows = docs_of(spark, sf_dir).select(F.concat(F.lit("rate "), "id").alias("title"), F.col("issuer").alias("country"), F.timestamp_micros(F.col("ts_us") + 1704067200000000).alias("ts"), F.lit("first").alias("forecast"), "id")
+    X.add_calendar(rows.drop("id"), path, F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    X.add_calendar(rows.filter("id % 3 = 0").drop("id").withColumn("forecast", F.lit("revised")), path, F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    return X.calendar(spark, path).select("title", "country", "ts", "forecast")
+
+
+_UNESCAPE = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_BARE_SQL = "regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
+
+
+@query(f"WITH m AS (SELECT page_id, {_UNESCAPE(f'''regexp_replace(regexp_replace({_BARE_SQL}, '(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g')''')} AS t FROM pages) SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM m")
+def src15_cms_text(spark, sf_dir):
+    return X.cms_text(table(spark, sf_dir, "pages").withColumnRenamed("html", "body")).select("page_id", "text")
+
+
+def cells_of(spark, sf_dir):
+    """A page with one table for each order: levels down, years across, counts of line items, blank where none."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.groupBy("l_orderkey", (F.round(F.col("l_tax") * 100).cast("int") * 25).alias("level")).agg(*[F.count_if(F.year("l_shipdate") % 3 == i).alias(f"n{i}") for i in range(3)])
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    level = F.format_string("%.2f", F.col("level") / 100)
+    body = F.concat(F.lit("<tr>"), cell(level), *[cell(F.when(F.col(f"n{i}") > 0, F.col(f"n{i}").cast("string")).otherwise("")) for i in range(3)], F.lit("</tr>"))
+    head = "<table><tr><th>Level</th><th>2024</th><th>2025</th><th>Longer run</th></tr>"
+    # at most a handful of line items belong to an order
+    pages = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(body)), ""), F.lit("</table>")).alias("html"))
+    return X.table_cells(pages)
+
+
+_HIST_SQL = "WITH h AS (SELECT l_orderkey AS page_id, (round(l_tax * 100)::INT * 25) / 100 AS level, unnest(['2024', '2025', 'Longer run']) AS year, unnest([count(*) FILTER (WHERE year(l_shipdate) % 3 = 0), count(*) FILTER (WHERE year(l_shipdate) % 3 = 1), count(*) FILTER (WHERE year(l_shipdate) % 3 = 2)]) AS n FROM lineitem GROUP BY l_orderkey, (round(l_tax * 100)::INT * 25) / 100)"
+
+
+@query(_HIST_SQL + ", r AS (SELECT DISTINCT page_id, level FROM h) SELECT page_id, 4 * (count(*) + 1) AS cells, (SELECT count(*) FROM h WHERE h.page_id = r.page_id AND n = 0) AS blank FROM r GROUP BY page_id")
+def src16_table_cells(spark, sf_dir):
+    """Tables of line items: cells, and how many of them are blank."""
+    return cells_of(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("text") == "").alias("blank"))
+
+
+@query(_HIST_SQL + " SELECT page_id, year, level, n::INT AS n FROM h WHERE n > 0")
+def fn31_histogram(spark, sf_dir):
+    return X.histogram(cells_of(spark, sf_dir)).select("page_id", "year", "level", "n")
+
+
+@query("WITH u AS (SELECT url || '/2024-W' || lpad((page_id % 52 + 1)::VARCHAR, 2, '0') AS url, '2024-01-0' || (page_id % 9 + 1) AS lastmod FROM pages) SELECT url, max(lastmod) AS lastmod, regexp_extract(url, '(\\d{4})-W(\\d{2})', 1)::INT AS year, regexp_extract(url, '(\\d{4})-W(\\d{2})', 2)::INT AS week FROM u GROUP BY url")
+def src17_sitemap(spark, sf_dir):
+    """A site map for each page, most with one entry twice."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/2024-W"), F.lpad((F.col("page_id") % 52 + 1).cast("string"), 2, "0")).alias("u"), F.concat(F.lit("2024-01-0"), F.col("page_id") % 9 + 1).alias("m"))
+    entry = F.concat(F.lit("<url>\n <loc> "), "u", F.lit(" </loc><lastmod>"), "m", F.lit("</lastmod></url>"))
+    maps = p.select(F.concat(F.lit("<urlset>"), entry, F.when(F.col("page_id") % 3 > 0, entry).otherwise(""), F.lit("</urlset>")).alias("xml"))
+    return X.sitemap_links(maps)
+
+
+@query(SIGNALS_SQL + outcome_sql((1_000_000,)) + near("signal_id symbol horizon", "fwd_bps", "FROM o"))
+def src18_report(spark, sf_dir):
+    """Outcomes as a JSON report in a run's folder, read again."""
+    path = f"{scratch(spark)}/run_id=one"
+    out = outcomes_of(ticks_of(spark, sf_dir), signals_of(spark, sf_dir)).select("signal_id", "symbol", "horizon", "fwd_bps")
+    out.write.json(path)
+    return rounded(spark.read.schema(out.schema).json(path))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS value FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+def src19_register(spark, sf_dir):
+    """A register of every second order, and a run that brings every third with new values."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    return D.merge_register(o.filter("key % 2 = 0"), o.filter("key % 3 = 0").withColumn("value", F.col("value") * 2), ["key"], "key")
+
+
+# ------------------------------------------------------ filters and joins
+
+
+@query(DOCS_SQL + " SELECT count(*) FILTER (WHERE ts_us BETWEEN 60000000 AND 6000000000) AS inside, count(*) FILTER (WHERE ts_us NOT BETWEEN 60000000 AND 6000000000) AS outside, count(*) FILTER (WHERE regexp_matches(title, '(?i)statement|minutes|the')) AS titled FROM docs")
+def prj7_window(spark, sf_dir):
+    d, inside = docs_of(spark, sf_dir), F.col("ts_us").between(MINUTE, 100 * MINUTE)
+    return d.agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"), F.count_if(F.regexp_like("title", F.lit("(?i)statement|minutes|the"))).alias("titled"))
+
+
+_GATE_SQL = "WITH s AS (SELECT event_id AS id, event_id % 3 - 1 AS sign, (event_id % 11) / 10.0::DOUBLE AS strength, (event_id % 7) / 6.0::DOUBLE AS confidence, value AS tokens FROM events)"
+
+
+def gate_rows(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i.alias("id"), (i % 3 - 1).alias("sign"), ((i % 11) / 10).alias("strength"), ((i % 7) / 6).alias("confidence"), F.col("value").alias("tokens"))
+
+
+@query(_GATE_SQL + " SELECT id, sign, strength FROM s WHERE sign <> 0 AND strength > 0 AND strength >= 0.3 AND confidence >= 0.5")
+def prj9_signal_gate(spark, sf_dir):
+    return R.signal_gate(gate_rows(spark, sf_dir), 0.3).select("id", "sign", "strength")
+
+
+@query(_GATE_SQL + near("sign", "usd", "FROM (SELECT sign, sum(tokens * 0.042e-6::DOUBLE) AS usd FROM s GROUP BY 1)", 9))
+def prj11_cost(spark, sf_dir):
+    return rounded(gate_rows(spark, sf_dir).groupBy("sign").agg(R.cost(F.col("tokens")).alias("usd")), 9)
+
+
+_PREV = "max(CASE WHEN {0} THEN {{'t': ts_us, 'i': id}} END) OVER (PARTITION BY {1} ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ONE_FAMILY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\b(19|20)\\d{2}\\b', ' ', 'g'), '\\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\\b', ' ', 'g'), '[\\d–—-]+', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(DOCS_SQL + f", f AS (SELECT *, {_ONE_FAMILY} AS family FROM docs), g AS (SELECT id, {_PREV.format('length(body) > 0', 'issuer, kind, family')} AS a, {_PREV.format('length(body) > 0 AND id % 5 = 0', 'issuer')} AS b FROM f) SELECT id, coalesce(a.i, b.i) AS prev_id, coalesce(a.t, b.t) AS prev_ts_us FROM g")
+def jn9_previous_with_fallback(spark, sf_dir):
+    """The edition before of the same title family, else the issuer's latest earlier statement (every fifth document)."""
+    return D.previous_with_fallback(docs_of(spark, sf_dir), F.col("id") % 5 == 0).select("id", "prev_id", "prev_ts_us")
+
+
+@query(DOCS_SQL + """, r AS (SELECT id AS release_id, issuer, ts_us AS hi, lag(ts_us) OVER (PARTITION BY issuer ORDER BY ts_us) AS lo FROM docs WHERE (id // 20) % 3 = 0),
+m AS (SELECT id AS remark_id, issuer, ts_us, id % 7 < 3 AS is_chair, body FROM docs WHERE (id // 20) % 3 <> 0),
+j AS (SELECT release_id::VARCHAR AS release_id, remark_id, is_chair, row_number() OVER (PARTITION BY release_id, is_chair ORDER BY ts_us DESC, remark_id) AS rank, CASE WHEN is_chair THEN left(body, 700) END AS body FROM m JOIN r ON m.issuer = r.issuer AND ts_us > lo AND ts_us < hi WHERE NOT is_chair OR length(body) > 0)
+SELECT * FROM j WHERE rank <= CASE WHEN is_chair THEN 3 ELSE 8 END""")
+def jn11_between_releases(spark, sf_dir):
+    """Some of the documents as releases, the others as remarks between them."""
+    d = docs_of(spark, sf_dir)
+    block = F.floor(F.col("id") / 20) % 3
+    return D.between_releases(d.filter(block == 0), d.filter(block != 0), F.col("id") % 7 < 3)
+
+
+@query(DOCS_SQL + " SELECT d.id, (SELECT arg_max(m.id, (m.ts_us, m.id)) FROM docs m WHERE m.issuer = d.issuer AND m.id % 4 = 0 AND m.ts_us < d.ts_us) AS minutes_id FROM docs d")
+def jn12_minutes_before(spark, sf_dir):
+    """The issuer's last minutes (every fourth document) strictly before each document."""
+    d = docs_of(spark, sf_dir)
+    minutes = d.filter("id % 4 = 0").select(F.col("issuer").alias("symbol"), "ts_us", F.col("id").alias("seq"))
+    asked = d.select("id", F.col("issuer").alias("symbol"), (F.col("ts_us") - 1).alias("when_us"))
+    return carried_asof(minutes, asked, ()).select("id", F.col("q_seq").alias("minutes_id"))
+
+
+_VENUES = ("north", "south", "east")
+
+
+@query(BARS_SQL + f""", v AS (SELECT symbol, ts_us, ['north', 'south', 'east'][(seq % 3) + 1] AS venue FROM bars WHERE symbol = 'purchase'), sig AS (SELECT event_id AS signal_id, ts_us AS when_us FROM k WHERE event_type = 'error'),
+n AS (SELECT signal_id, venue, count(*) AS n, min(v.ts_us - when_us) AS first FROM sig JOIN v ON abs(v.ts_us - when_us) <= {6 * HOUR} GROUP BY ALL HAVING count(*) >= 3 AND min(v.ts_us - when_us) <= 0)
+SELECT sig.signal_id, (SELECT arg_min(venue, CASE venue WHEN 'north' THEN 1 WHEN 'south' THEN 2 ELSE 3 END) FROM n WHERE n.signal_id = sig.signal_id) AS venue FROM sig""")
+def jn13_ordered_source(spark, sf_dir):
+    """The first venue in order that has three bars around a signal."""
+    bars = bars_of(spark, sf_dir).withColumn("venue", F.element_at(F.array(*[F.lit(v) for v in _VENUES]), (F.col("seq") % 3 + 1).cast("int")))
+    return E.ordered_source(bars, signals_of(spark, sf_dir), list(_VENUES), 6 * HOUR).select("signal_id", "venue")
+
+
+@query("SELECT doc_id, sha1('[\"' || source || '\",\"' || n_chars || '\"]') AS digest, CASE WHEN n_chars % 2 = 0 THEN n_chars ELSE 2 * n_chars END AS score FROM documents")
+def jn15_scored(spark, sf_dir):
+    """Documents scored by a user's function behind a cache that holds the even lengths: only the others go to the scorer, each digest once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", R.digest(F.col("source"), F.col("n_chars")).alias("digest"))
+    cache = d.filter("n_chars % 2 = 0").select("digest", F.col("n_chars").alias("score")).distinct()
+
+    def scorer(batches):
+        for b in batches:
+            yield pd.DataFrame({"digest": b["digest"], "score": 2 * b["n_chars"]})
+
+    every, _ = R.scored(d, cache, scorer, "digest string, score long")
+    return every.select("doc_id", "digest", "score")
+
+
+@query(SIGNALS_SQL + outcome_sql((1_000_000,)) + """, a AS (SELECT event_id AS signal_id, CASE WHEN user_id % 3 = 0 THEN 'calm' ELSE 'loud' END AS mood FROM events WHERE event_id % 4 <> 0),
+j AS (SELECT coalesce(mood, 'unread') AS key, fwd_bps FROM o LEFT JOIN a USING (signal_id) WHERE horizon = 6), g AS (SELECT 'mood' AS by_, key, count(*) AS fwd_n, avg(fwd_bps) AS fwd_mean FROM j GROUP BY key)""" + near("by_ key fwd_n", "fwd_mean", "FROM g"))
+def jn16_by_reading(spark, sf_dir):
+    """Outcomes by an attribute of the reading they came from; without one they are unread."""
+    read = table(spark, sf_dir, "events").filter("event_id % 4 <> 0").select(F.col("event_id").alias("signal_id"), F.when(F.col("user_id") % 3 == 0, "calm").otherwise("loud").alias("mood"))
+    out = outcomes_of(ticks_of(spark, sf_dir), signals_of(spark, sf_dir)).filter("horizon = 6").join(read, "signal_id", "left")
+    return rounded(S.breakdown(out, {"mood": F.coalesce("mood", F.lit("unread"))}).select(F.col("by").alias("by_"), "key", "fwd_n", "fwd_mean"))
+
+
+def said_sql(text: str) -> str:
+    return f"CASE WHEN regexp_matches({text}, '{T.DID_HIKE}') THEN 'hike' WHEN regexp_matches({text}, '{T.DID_CUT}') THEN 'cut' ELSE 'hold' END"
+
+
+_SAID = ("", "They decided to raise the target range for rates. ", "They decided to lower the target range for rates. ", "No decision was taken. ")
+_CONFUSED_SQL = DOCS_SQL + ", d AS (SELECT id, issuer, ts_us, [" + ", ".join(f"'{x}'" for x in _SAID) + "][(id * 7) % 4 + 1] || body AS body FROM docs), p AS (SELECT id, body, max({'t': ts_us, 'i': id, 'b': body}) OVER (PARTITION BY issuer ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).b AS prev FROM d), x AS (SELECT *, CASE WHEN regexp_matches(body, '" + T.DECIDED + "') THEN regexp_extract(body, '" + T.DECIDED + "', 1) ELSE body END AS scope, CASE WHEN regexp_matches(prev, '" + T.DECIDED + "') THEN regexp_extract(prev, '" + T.DECIDED + "', 1) ELSE prev END AS scope0 FROM p)"
+
+
+@query(_CONFUSED_SQL + f", y AS (SELECT {said_sql('scope')} AS parsed, CASE WHEN prev IS NULL THEN 'unparseable' ELSE {said_sql('scope0')} END AS before, CASE quality WHEN 1 THEN 'hike' WHEN 0 THEN 'cut' ELSE 'hold' END AS model FROM x LEFT JOIN labels ON id = doc_id) SELECT parsed, before, model, count(*) AS n FROM y GROUP BY ALL")
+def jn19_confusion(spark, sf_dir):
+    """The action a document's text says against the one said in the issuer's edition before and a model's answer (the quality label)."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), ((F.col("id") * 7) % 4 + 1).cast("int"))
+    d = docs_of(spark, sf_dir).withColumns({"body": F.concat(said, "body"), "title": F.lit("edition"), "kind": F.lit("statement")})
+    d = D.previous_edition(d).join(table(spark, sf_dir, "labels"), F.col("id") == F.col("doc_id"), "left")
+    model = F.when(F.col("quality") == 1, "hike").when(F.col("quality") == 0, "cut").otherwise("hold")
+    before = F.when(F.col("prev_body").isNull(), "unparseable").otherwise(T.action(F.col("prev_body")))
+    return d.groupBy(T.action(F.col("body")).alias("parsed"), before.alias("before"), model.alias("model")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MEDIANS_SQL = "WITH md AS (SELECT p_size AS meeting, 2020 + p_partkey % 4 AS year, quantile_cont(p_retailprice / 1000.0::DOUBLE, 0.5) AS median FROM part GROUP BY ALL), mt AS (SELECT meeting, lag(meeting) OVER (ORDER BY meeting) AS prev_meeting FROM (SELECT DISTINCT meeting FROM md)), mv AS (SELECT md.meeting, mt.prev_meeting, md.year, md.median, b.median AS prev_median, round_even((md.median - b.median) / 0.25, 0)::INT AS steps FROM md JOIN mt USING (meeting) JOIN md b ON b.meeting = mt.prev_meeting AND b.year = md.year)"
+
+
+def medians_of(spark, sf_dir):
+    """Parts as printed projections: meetings by size, year columns by key."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("meeting"), (2020 + F.col("p_partkey") % 4).alias("year"), (F.col("p_retailprice") / 1000).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return p.groupBy("meeting", "year").agg(S.weighted_median(F.col("level"), F.col("n")).alias("median"))
+
+
+@query(_MEDIANS_SQL + near("meeting prev_meeting year steps", "median prev_median strength", "FROM (SELECT *, least(1.0, abs(steps) / 4) AS strength FROM mv)", 9))
+def jn20_projection_moves(spark, sf_dir):
+    m = D.projection_moves(medians_of(spark, sf_dir))
+    return rounded(m.select("meeting", "prev_meeting", "year", "steps", "median", "prev_median", A.projection_strength(F.col("steps")).alias("strength")), 9)
+
+
+@query(TAPE_SQL + " SELECT symbol, seq, seq + greatest(1, ceil((seq % 5000) * 1000 / 1000000.0))::BIGINT AS arrival FROM tape")
+def jn21_arrivals(spark, sf_dir):
+    d = ticks_of(spark, sf_dir).select("symbol", "seq")
+    return B.arrivals(d, (F.col("seq") % 5000) * 1000, 1_000_000)
+
+
+# ------------------------------------------------------------- aggregates
+
+
+@query(SIGNALS_SQL + outcome_sql((1_000_000,)) + near("arm", "abstained", "FROM (SELECT arm, 1 - avg((signal_id IN (SELECT signal_id FROM o))::INT::DOUBLE) AS abstained FROM sig GROUP BY arm)", 9))
+def agg8_abstention(spark, sf_dir):
+    """Per arm, the share of signals that no price could be had for."""
+    s = signals_of(spark, sf_dir)
+    done = outcomes_of(ticks_of(spark, sf_dir), s).select("signal_id", F.lit(True).alias("traded")).distinct()
+    rows = s.join(done, "signal_id", "left").withColumn("traded", F.coalesce("traded", F.lit(False)))
+    return rounded(rows.groupBy("arm").agg(S.abstention(F.col("traded")).alias("abstained")), 9)
+
+
+
+
+@query("WITH z AS (SELECT count(*) FILTER (WHERE a AND m) AS hits, count(*) FILTER (WHERE NOT a AND m) AS misses, count(*) FILTER (WHERE a AND NOT m) AS false_alarms, count(*) FILTER (WHERE NOT a AND NOT m) AS quiet FROM (SELECT length(text) > 1000 AS a, quality = 1 AS m FROM documents JOIN labels USING (doc_id)))" + near("hits misses false_alarms quiet", "precision recall", "FROM (SELECT *, hits / (hits + false_alarms) AS precision, hits / (hits + misses) AS recall FROM z)", 9))
+def agg21_precision_recall(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rounded(d.agg(*S.precision_recall(F.length("text") > 1000, F.col("quality") == 1)), 9)
+
+
+@query(FILLS_SQL + ", g AS (SELECT symbol, sum(-side * size * price) AS gross, sum(size * price) AS turnover, arg_min(price, seq) AS p0, arg_max(price, seq) AS p1 FROM fills GROUP BY 1)" + near("symbol", "break_even_bps return_on_capital held", "FROM (SELECT symbol, gross / turnover * 1e4 AS break_even_bps, (gross - turnover * 1e-4) / 1e6 AS return_on_capital, (p1 - p0) / p0 * 1e6 AS held FROM g)"))
+def agg16_run_ratios(spark, sf_dir):
+    f = fills_rows(spark, sf_dir).groupBy("symbol").agg(F.sum(-F.col("side") * F.col("size") * F.col("price")).alias("gross"), F.sum(F.col("size") * F.col("price")).alias("turnover"), F.min_by("price", "seq").alias("p0"), F.max_by("price", "seq").alias("p1"))
+    c = F.col
+    return rounded(f.select("symbol", *S.run_ratios(c("gross"), c("turnover"), c("gross") - c("turnover") * 1e-4, F.lit(1e6), c("p0"), c("p1"))))
+
+
+def fills_rows(spark, sf_dir):
+    from tidemark.queries import fills_of
+
+    return fills_of(spark, sf_dir)
+
+
+_MOODS = "CASE {0} % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'more_hawkish' ELSE 'more_dovish' END"
+
+
+@query(SIGNALS_SQL + f""", r AS (SELECT signal_id AS id, symbol, when_us, {_MOODS.format('signal_id')} AS a, {_MOODS.format('(signal_id // 3)')} AS b FROM sig),
+q AS (SELECT id, a, b, """ + ", ".join(f"(SELECT arg_max((bid + ask) / 2, seq) FROM tape t WHERE t.symbol = r.symbol AND t.ts_us <= {w} AND t.ts_us >= {w} - {STALE}) AS {n}" for n, w in (("m0", f"when_us - {2 * H}"), ("m1", "when_us"), ("m2", f"when_us + {4 * H}"))) + " FROM r WHERE a <> 'consistent' OR b <> 'consistent')" + near("id a b", "statement_bps presser_bps", "FROM (SELECT *, ln(m1 / m0) * 1e4 AS statement_bps, ln(m2 / m1) * 1e4 AS presser_bps FROM q)"))
+def agg33_reversals(spark, sf_dir):
+    """Readings that do not agree throughout, with the moves before and after their start."""
+    mood = lambda x: F.when(x % 3 == 0, "consistent").when(x % 3 == 1, "more_hawkish").otherwise("more_dovish")
+    s = signals_of(spark, sf_dir)
+    r = s.select(F.col("signal_id").alias("id"), "symbol", (F.col("when_us") - 2 * H).alias("statement_us"), F.col("when_us").alias("start_us"), mood(F.col("signal_id")).alias("remarks_vs_statement"), mood(F.floor(F.col("signal_id") / 3)).alias("qa_vs_remarks"))
+    got = A.reversals(r, ticks_of(spark, sf_dir), 4 * H, STALE)
+    return rounded(got.select("id", F.col("remarks_vs_statement").alias("a"), F.col("qa_vs_remarks").alias("b"), "statement_bps", "presser_bps"))
+
+
+@query("SELECT * FROM (SELECT 'latest' AS part, o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) UNION ALL SELECT * FROM (SELECT 'next', o_orderkey FROM orders WHERE o_orderdate > DATE '1995-06-01' ORDER BY o_orderdate, o_orderkey LIMIT 20)")
+def srt2_latest_and_next(spark, sf_dir):
+    """The latest fifty orders, and the next twenty after a date."""
+    o = table(spark, sf_dir, "orders")
+    latest = o.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(50).select(F.lit("latest").alias("part"), "o_orderkey")
+    return latest.unionByName(o.filter("o_orderdate > DATE'1995-06-01'").orderBy("o_orderdate", "o_orderkey").limit(20).select(F.lit("next").alias("part"), "o_orderkey"))

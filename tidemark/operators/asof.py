@@ -110,3 +110,13 @@ def range_lookup(rows: DataFrame, dated: DataFrame, when: str, date: str, strict
     own = Window.partitionBy("_m").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     out = both.join(month, "_m").withColumn("_d", F.coalesce(F.last("_d", ignorenulls=True).over(own), F.col("_carry"))).filter(F.col("_r").isNotNull())
     return out.select("_r.*", *[F.col(f"_d.{c}").alias(prefix + c) for c in cols])
+
+
+def valid_for(ticks: DataFrame, stances: DataFrame, ttl: int, values: tuple[str, ...], prefix: str = "s_") -> DataFrame:
+    """ticks (symbol, seq, ...) with the stance in force: the latest that arrived at or before the tick, for ttl ticks from its arrival; null otherwise.
+
+    stances: symbol, arrival (a seq), nth (order of equal arrivals), and the values. Seqs serve as moments.
+    """
+    tape = stances.select("symbol", F.col("arrival").alias("ts_us"), F.col("nth").alias("seq"), *values)
+    got = bounded_asof(tape, ticks.withColumn("when_us", F.col("seq")), ttl - 1, values=values, prefix=prefix)
+    return got.drop("when_us", prefix + "ts_us", prefix + "seq")

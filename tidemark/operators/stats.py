@@ -149,3 +149,9 @@ def precision_recall(acted: Column, material: Column) -> list[Column]:
 def abstention(traded: Column) -> Column:
     """1 - traded / read."""
     return 1 - F.avg(traded.cast("double"))
+
+
+def run_ratios(gross: Column, turnover: Column, net: Column, capital: Column, first_mid: Column, last_mid: Column) -> list[Column]:
+    """break_even_bps (the fee that eats the gross result), return_on_capital, and what holding would have earned on the same capital; 0 where undefined."""
+    share = lambda a, b: F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
+    return [(share(gross, turnover) * 1e4).alias("break_even_bps"), share(net, capital).alias("return_on_capital"), (share(last_mid - first_mid, first_mid) * capital).alias("held")]

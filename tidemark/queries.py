@@ -482,13 +482,6 @@ def fn16_headline(spark, sf_dir):
     return docs_of(spark, sf_dir).select("id", T.headline(F.col("body"), F.lit("")).alias("headline"))
 
 
-@query(DOCS_SQL + ", v AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'hawkish' WHEN id % 3 = 1 THEN 'dovish' ELSE 'neutral' END AS model, CASE WHEN length(body) % 2 = 0 THEN 'hawkish' ELSE 'dovish' END AS parsed FROM docs) SELECT parsed, model, count(*) AS n FROM v GROUP BY ALL")
-def jn19_confusion(spark, sf_dir):
-    d = docs_of(spark, sf_dir)
-    m = F.when(F.col("id") % 3 == 0, "hawkish").when(F.col("id") % 3 == 1, "dovish").otherwise("neutral")
-    return d.groupBy(F.when(F.length("body") % 2 == 0, "hawkish").otherwise("dovish").alias("parsed"), m.alias("model")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("WITH s AS (SELECT doc_id AS doc, 'a' AS arm, 'S' || doc_id % 3 AS symbol, 1 AS sign FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b', 'S' || doc_id % 3, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 1 END FROM documents WHERE doc_id % 4 <> 3), l AS (SELECT doc, list_sort(list({'symbol': symbol, 'sign': sign}) FILTER (WHERE arm = 'a')) AS a, list_sort(list({'symbol': symbol, 'sign': sign}) FILTER (WHERE arm = 'b')) AS b FROM s GROUP BY doc) SELECT doc, coalesce(len(a), 0) AS n_a, coalesce(len(b), 0) AS n_b FROM l WHERE a IS DISTINCT FROM b")
 def jn17_disagreements(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -556,11 +549,6 @@ def src14_body_text(spark, sf_dir):
     return X.body_text(table(spark, sf_dir, "pages"))
 
 
-@query("WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1)) AS r FROM pages), c AS (SELECT page_id, len(regexp_extract_all(r, '(?is)<t[hd]\\b')) AS n FROM t) SELECT page_id, sum(n)::BIGINT AS cells FROM c WHERE n > 0 GROUP BY 1")
-def src16_table_cells(spark, sf_dir):
-    return X.table_cells(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("cells"))
-
-
 # ------------------------------------------------------------------ ledger
 
 

@@ -24,19 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table written below spark.checkpoint.dir, which all executors share, and read again: made once, however often it is used.
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, the folder that all executors share.
 
     Without that setting a session on one machine takes a temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder and read again: made once, however often it is used."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -59,7 +59,11 @@ def read_tick_files(spark: SparkSession, path: str) -> DataFrame:
     """Hourly tick files .../SYMBOL/yyyy/MM/dd/HHh_ticks.bi5, month from zero: symbol, ts_us, bid, ask, volumes."""
     files = _named(spark, path, r"/([A-Z]{6})/(\d{4})/(\d{2})/(\d{2})/(\d{2})h_ticks\.bi5$", ("symbol", "y", "m", "d", "h"))
     start = F.make_timestamp(F.col("y").cast("int"), F.col("m").cast("int") + 1, F.col("d").cast("int"), F.col("h").cast("int"), F.lit(0), F.lit(0), F.lit("UTC"))
-    files = files.select("content", "symbol", F.unix_micros(start).alias("start"))
+    return unpacked_ticks(files.select("content", "symbol", F.unix_micros(start).alias("start")))
+
+
+def unpacked_ticks(files: DataFrame) -> DataFrame:
+    """The ticks of packed files (content, symbol, start in microseconds)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,7 +78,11 @@ def read_minute_files(spark: SparkSession, path: str) -> DataFrame:
     """Daily one-sided minute files .../SYMBOL/yyyy/MM/dd/SIDE_candles_min_1.bi5, month from zero: symbol, side, ts_us, open, close, low, high, volume."""
     files = _named(spark, path, r"/([A-Z]{6})/(\d{4})/(\d{2})/(\d{2})/(BID|ASK)_candles_min_1\.bi5$", ("symbol", "y", "m", "d", "side"))
     start = F.make_timestamp(F.col("y").cast("int"), F.col("m").cast("int") + 1, F.col("d").cast("int"), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
-    files = files.select("content", "symbol", F.lower("side").alias("side"), F.unix_micros(start).alias("start"))
+    return unpacked_minutes(files.select("content", "symbol", F.lower("side").alias("side"), F.unix_micros(start).alias("start")))
+
+
+def unpacked_minutes(files: DataFrame) -> DataFrame:
+    """The bars of packed files (content, symbol, side, start in microseconds)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -62,7 +62,12 @@ def unescaped(x: Column) -> Column:
 
 def archive_index(spark: SparkSession, path: str, kind: str, zone: str = "America/New_York") -> tuple[DataFrame, DataFrame]:
     """(rows kind, ts, title, speaker, link; one row of refused date-only ones) of an archive's JSON index; rows without a link are trailers."""
-    raw = spark.read.schema("d string, t string, pt string, s string, l string, lo string").json(path, multiLine=True).filter(F.col("l").isNotNull())
+    return archive_rows(spark.read.schema("d string, t string, pt string, s string, l string, lo string").json(path, multiLine=True), kind, zone)
+
+
+def archive_rows(raw: DataFrame, kind: str, zone: str = "America/New_York") -> tuple[DataFrame, DataFrame]:
+    """archive_index() of rows that are read already (d, t, pt, s, l)."""
+    raw = raw.filter(F.col("l").isNotNull())
     rows = raw.select(F.lit(kind).alias("kind"), moment(F.col("d"), zone).alias("ts"), "t", F.coalesce("s", "pt").alias("speaker"), F.col("l").alias("link"))
     return rows.filter(F.col("ts").isNotNull()).withColumnRenamed("t", "title"), rows.agg(F.count_if(F.col("ts").isNull()).alias("date_only"))
 
