@@ -445,11 +445,15 @@ _SYMBOL = "[A-Z0-9\u4e00-\u9fff]{2,12}"
 _TICKER_SQL = (rf"(\()({_SYMBOL})\)", rf"(^|[^A-Z0-9])({_SYMBOL})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(^|[^A-Z0-9/])({_SYMBOL}?)(?:USDT|USDC)\b")
 
 
-@query(SALTED_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT doc_id, regexp_extract_all(t, '{p}', 2) AS names, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', 1) AS lead, string_split_regex(t, '{p}') AS between FROM s" for p in _TICKER_SQL) + f"""),
+#: The tickers of every text in order, as the CTE e.
+TICKERS_SQL = SALTED_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT doc_id, regexp_extract_all(t, '{p}', 2) AS names, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', 1) AS lead, string_split_regex(t, '{p}') AS between FROM s" for p in _TICKER_SQL) + f"""),
 u AS (SELECT doc_id, names[i] AS n, list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) + CASE WHEN lead[i] = '(' THEN 0 ELSE length(lead[i]) END AS pos FROM m, unnest(range(1, len(names) + 1)) r(i)),
 c AS (SELECT doc_id, CASE WHEN regexp_matches(n, '^(1000000|1000|1M)[A-Z]') THEN regexp_replace(n, '^(1000000|1000|1M)', '') ELSE n END AS n, pos FROM u),
 d AS (SELECT doc_id, n, min(pos) AS pos FROM c WHERE n NOT IN ({', '.join(f"'{x}'" for x in [*T.QUOTE, *T.STOP])}) AND NOT regexp_matches(n, '^[0-9:.-]+$') GROUP BY ALL),
-e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, n) AS r FROM d), g AS (SELECT doc_id, string_agg(n, ',' ORDER BY r) AS tickers FROM e WHERE r <= 24 GROUP BY doc_id)
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, n) AS r FROM d)"""
+
+
+@query(TICKERS_SQL + """, g AS (SELECT doc_id, string_agg(n, ',' ORDER BY r) AS tickers FROM e WHERE r <= 24 GROUP BY doc_id)
 SELECT s.doc_id, coalesce(tickers, '') AS tickers FROM s LEFT JOIN g USING (doc_id)""")
 def fn_tickers(spark, sf_dir):
     """The tickers of every document's whole text."""
@@ -544,7 +548,29 @@ def prj12_permitted(spark, sf_dir):
     return X.permitted(table(spark, sf_dir, "pages"), rules, path).select("page_id", "allowed")
 
 
-@query()
+def unescape_sql(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
+def bare_sql(x: str) -> str:
+    """HTML without scripts, styles and comments; without back references each tag is written out."""
+    return f"regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
+
+
+def plain_sql(x: str) -> str:
+    tagless = f"regexp_replace({bare_sql(x)}, '(?s)<[^>]+>', ' ', 'g')"
+    return f"trim(regexp_replace({unescape_sql(tagless)}, '\\s+', ' ', 'g'))"
+
+
+_BLOCK = "(?is)<article\\b[^>]*>(.*?)</article>|<main\\b[^>]*>(.*?)</main>"
+_TAILED = "p.t"
+for _t in ("For media inquiries", "Last Update", "Related information"):
+    _TAILED = f"string_split({_TAILED}, '{_t}')[1]"
+
+
+@query(f"""WITH b AS (SELECT page_id, html, regexp_extract(html, '{_BLOCK}', 1) || regexp_extract(html, '{_BLOCK}', 2) AS inside FROM pages),
+p AS (SELECT page_id, {plain_sql('inside')} AS t, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {plain_sql('x')}), lambda x: length(x) >= 40), ' ') AS joined FROM b),
+q AS (SELECT page_id, CASE WHEN length({_TAILED}) >= length(joined) THEN trim({_TAILED}) ELSE joined END AS body FROM p) SELECT page_id, body, length(body) < 200 AS short FROM q""")
 def src14_body_text(spark, sf_dir):
     return X.body_text(table(spark, sf_dir, "pages"))
 

@@ -9,19 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import prices as P
-from tidemark.functions import sentences as N
 from tidemark.functions import text as T
 from tidemark.functions import times as C
 from tidemark.operators import documents as D
 from tidemark.operators import ledger as B
 from tidemark.operators import stats as S
-from tidemark.operators.asof import bounded_asof, carried_asof, valid_for
+from tidemark.operators.asof import carried_asof
 from tidemark.plans import arms as A
 from tidemark.plans import pricing as E
 from tidemark.plans import scoring as R
-from tidemark.queries import BARS_SQL, DOCS_SQL, FILLS_SQL, H, HZ, SIGNALS_SQL, STALE, bars_of, docs_of, near, outcome_sql, outcomes_of, query, rounded, signals_of, signed_fills, ticks_of
-from tidemark.schema import DAY, HOUR, MINUTE, TAPE_SQL, micros, scratch, table
+from tidemark.queries import BARS_SQL, DOCS_SQL, FILLS_SQL, H, SIGNALS_SQL, STALE, bare_sql, bars_of, docs_of, fills_of, near, outcome_sql, outcomes_of, query, rounded, signals_of, ticks_of, unescape_sql
+from tidemark.schema import DAY, HOUR, MINUTE, TAPE_SQL, scratch, table
 from tidemark.sources import tapes as K
 from tidemark.sources import texts as X
 
@@ -181,11 +179,11 @@ def src12_calendar(spark, sf_dir):
     return X.calendar(spark, path).select("title", "country", "ts", "forecast")
 
 
-_UNESCAPE = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
-_BARE_SQL = "regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
+_BLOCKS = "(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article)\\b[^>]*>"
+_LINED = unescape_sql(f"regexp_replace(regexp_replace({bare_sql('html')}, '{_BLOCKS}', chr(10), 'g'), '(?s)<[^>]+>', '', 'g')")
 
 
-@query(f"WITH m AS (SELECT page_id, {_UNESCAPE(f'''regexp_replace(regexp_replace({_BARE_SQL}, '(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g')''')} AS t FROM pages) SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM m")
+@query(f"WITH m AS (SELECT page_id, {_LINED} AS t FROM pages) SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM m")
 def src15_cms_text(spark, sf_dir):
     return X.cms_text(table(spark, sf_dir, "pages").withColumnRenamed("html", "body")).select("page_id", "text")
 
@@ -396,17 +394,11 @@ def agg21_precision_recall(spark, sf_dir):
 
 @query(FILLS_SQL + ", g AS (SELECT symbol, sum(-side * size * price) AS gross, sum(size * price) AS turnover, arg_min(price, seq) AS p0, arg_max(price, seq) AS p1 FROM fills GROUP BY 1)" + near("symbol", "break_even_bps return_on_capital held", "FROM (SELECT symbol, gross / turnover * 1e4 AS break_even_bps, (gross - turnover * 1e-4) / 1e6 AS return_on_capital, (p1 - p0) / p0 * 1e6 AS held FROM g)"))
 def agg16_run_ratios(spark, sf_dir):
-    f = fills_rows(spark, sf_dir).groupBy("symbol").agg(F.sum(-F.col("side") * F.col("size") * F.col("price")).alias("gross"), F.sum(F.col("size") * F.col("price")).alias("turnover"), F.min_by("price", "seq").alias("p0"), F.max_by("price", "seq").alias("p1"))
+    f = fills_of(spark, sf_dir).groupBy("symbol").agg(F.sum(-F.col("side") * F.col("size") * F.col("price")).alias("gross"), F.sum(F.col("size") * F.col("price")).alias("turnover"), F.min_by("price", "seq").alias("p0"), F.max_by("price", "seq").alias("p1"))
     c = F.col
     return rounded(f.select("symbol", *S.run_ratios(c("gross"), c("turnover"), c("gross") - c("turnover") * 1e-4, F.lit(1e6), c("p0"), c("p1"))))
 
 
-def fills_rows(spark, sf_dir):
-    from tidemark.queries import fills_of
-
-    return fills_of(spark, sf_dir)
-
-
 _MOODS = "CASE {0} % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'more_hawkish' ELSE 'more_dovish' END"
 
 

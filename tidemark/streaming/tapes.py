@@ -56,31 +56,36 @@ def live_volume(ticks: DataFrame, late: str = LATE) -> DataFrame:
 
 
 class Features(StatefulProcessor):
-    """The last 120 ticks of a symbol and its decayed variance; rows appear from the 60th tick on."""
+    """The last 120 ticks and returns of a symbol and its decayed variance; rows appear from the 60th tick on.
+
+    There is no return into or out of a tick without a positive mid; the latest return stands again.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ticks = handle.getListState("ticks", "mid double, volume double")
+        self.returns = handle.getListState("returns", "r double")
         self.state = handle.getValueState("state", "var double, seen long")
 
     def handleInputRows(self, key, rows, timerValues):
         got = _ordered(rows)
-        held = [tuple(x) for x in self.ticks.get()]
+        held, rets = [tuple(x) for x in self.ticks.get()], [x[0] for x in self.returns.get()]
         var, seen = self.state.get() if self.state.exists() else (None, 0)
         out = []
         for ts, bid, ask, volume in zip(got["ts"], got["bid"], got["ask"], got["volume"], strict=True):
             mid = (bid + ask) / 2
-            if held:
-                r = np.log(mid / held[-1][0])
-                var = r * r if var is None else 0.94 * var + 0.06 * r * r
-            held = [*held, (float(mid), float(volume))][-121:]
+            if held and mid > 0 and held[-1][0] > 0:
+                rets = [*rets, float(np.log(mid / held[-1][0]))][-120:]
+            if rets:
+                var = rets[-1] ** 2 if var is None else 0.94 * var + 0.06 * rets[-1] ** 2
+            held = [*held, (float(mid), float(volume))][-120:]
             seen += 1
             if seen >= 60:
-                m = np.array([x for x, _ in held])
-                v = np.array([x for _, x in held])[-120:]
-                r = np.diff(np.log(m))[-120:]
-                sd, top = v.std(), m[-120:].max()
-                out.append((key[0], ts, mid, r[-1] * 1e4, r[-5:].sum() * 1e4, np.sqrt(var or 0.0) * 1e4, (r[-10:] > 0).mean(), (volume - v.mean()) / sd if sd > 0 else 0.0, (mid - top) / top * 1e4, seen))
+                m, v = np.array(held).T
+                r = np.array(rets)
+                sd, top = v.std(), m.max()
+                out.append((key[0], ts, mid, r[-1] * 1e4 if len(r) else 0.0, r[-5:].sum() * 1e4, np.sqrt(var or 0.0) * 1e4, (r[-10:] > 0).mean() if len(r) else 0.5, (volume - v.mean()) / sd if sd > 0 else 0.0, (mid - top) / top * 1e4 if top > 0 else 0.0, seen))
         self.ticks.put(held)
+        self.returns.put([(x,) for x in rets])
         self.state.update((float(var) if var is not None else None, int(seen)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
@@ -89,7 +94,7 @@ class Features(StatefulProcessor):
 
 
 def live_features(ticks: DataFrame, late: str = LATE) -> DataFrame:
-    """Feature rows of ticks (symbol, seq, ts, bid, ask, volume), with at most 121 ticks of state a symbol."""
+    """Feature rows of ticks (symbol, seq, ts, bid, ask, volume), with at most 120 ticks and returns of state a symbol."""
     return ticks.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Features(), FEATURES, "Append", "None")
 
 
