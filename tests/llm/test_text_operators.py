@@ -434,7 +434,13 @@ def test_line_rules(spark, docs, empty):
     assert all(got[i].kept and got[i].n_host_words == 3 for i in range(30))
     assert not got[100].kept and got[100].n_dup_lines == 8 and got[100].n_host_words == 27
     assert got[101].n_repeat_words == 45 and got[101].base_failed and not got[101].kept
-    assert got[102].base_failed and got[102].n_words == 0
+    assert got[102].base_failed and got[102].n_words == 0 and got[102].text is None
+    assert got[5].text == rows[5][1].split("\n")[1] and got[100].text == "rest" and got[101].text == rows[31][1]
+    assert {r.n_symbols for r in line_frequency_rules(spark.createDataFrame([(1, "a # b * $ <x> | & % é", "", "h", 1)], DOC)).collect()} == {8}
+    # rows of one id, and rows without one, are judged each by its own lines
+    twins = rows + [(5, " ".join(WORDS[40:65]), "", "h", 1), (None, "common line here\n" + " ".join(WORDS[:25]), "", "h", 1), (None, " ".join(WORDS[3:28]), "", "h", 1)]
+    two = [(r.doc_id, r.n_words, r.n_host_words, r.kept) for r in line_frequency_rules(spark.createDataFrame(twins, DOC)).collect() if r.doc_id in (5, None)]
+    assert sorted(two, key=str) == sorted([(5, 32, 3, True), (5, 25, 0, True), (None, 28, 3, True), (None, 25, 0, True)], key=str)
     for r in line_frequency_rules(docs).collect():
         text = next(t for i, t, *_ in corpus() if i == r.doc_id)
         w = split(text)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lines_col, normal_line, words_col
+from tidemark.llm.common import BLANK, lines_col, normal_line, stored, words_col
 
 WINDOW = 8
 #: A line is boilerplate of a host from more than LEAST_DOCS documents and more than HOST_SHARE of the host's documents.
@@ -69,35 +69,49 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("lf_words", "lf_lines", "lf_hash", "lf_keys", "lf_pairs", "lf_at")
 
 
+def line_keys(text: Column) -> Column:
+    """Hashes of the normalised lines that hold a word, in order."""
+    return F.transform(lines_col(text), lambda x: F.xxhash64(normal_line(x)))
+
+
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Rows (doc_id, host, key, words, times): the distinct normalised lines of each row of docs, with their words and how often they occur."""
-    lines = F.transform(lines_col(F.col("text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("key"), F.size(words_col(x)).alias("words")))
-    rows = docs.select("doc_id", F.col(host).alias("host"), F.explode(lines).alias("line"))
-    return rows.groupBy("doc_id", "host", F.col("line.key").alias("key")).agg(F.sum("line.words").alias("words"))
+    """Rows (doc, host, key): the distinct normalised lines of each row of docs. doc: the doc_id as text; a row without one is a document of its own."""
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    return docs.select(doc.alias("doc"), F.col(host).alias("host"), F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
 
 
-def frequent_lines(rows: DataFrame, docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = HOST_SHARE) -> DataFrame:
-    """Rows (host, key) of the lines found in more than `least` and more than `share` of the host's documents."""
-    size = docs.groupBy(F.col(host).alias("host")).agg(F.countDistinct("doc_id").alias("host_docs"))
-    # rows has a document's line once, so a plain count is the number of distinct documents
-    seen = rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-    seen = seen.join(size.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    return seen.filter(F.col("n") > share * F.col("host_docs")).select("host", "key")
+def frequent_lines(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = HOST_SHARE) -> DataFrame:
+    """Rows (host, keys): the lines found in more than `least` and more than `share` of a host's documents, as one array.
+
+    Such lines number less than 1 / share times the lines of the host's average document, so a row is
+    small, however large the host.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    size = docs.select(F.col(host).alias("h"), doc.alias("doc")).groupBy("h").agg(F.countDistinct("doc").alias("host_docs"))
+    seen = host_lines(docs, host).groupBy("host", "key").agg(F.countDistinct("doc").alias("n")).filter(F.col("n") > least)
+    seen = seen.join(size, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > share * F.col("host_docs"))
+    return seen.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
 def line_frequency_rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = HOST_SHARE, left: float = LEFT_SHARE) -> DataFrame:
-    """Per row of docs: doc_id, the base rules' columns, n_host_words (words in lines above the limit) and kept.
+    """Per row of docs: doc_id, text without the host's frequent lines, the base rules' columns (of the whole text), n_host_words (words in lines taken away) and kept.
 
     kept is false if base_failed, else whether the words outside frequent lines are at least `left` of
-    all. A null host is a host of its own. Rows of one doc_id count as one document, whose lines are
-    those of all its rows. An empty table gives an empty result.
+    all. A null host is a host of its own. Rows of one doc_id count as one document of their host, and
+    each row is judged by its own lines. Texts without a frequent line, null ones included, stay byte
+    for byte. An empty table gives an empty result.
     """
-    rows = host_lines(docs, host)
-    often = frequent_lines(rows, docs, host, least, share).select(F.col("host").alias("h"), F.col("key").alias("k"))
-    cut = rows.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
-    cut = cut.groupBy(F.col("doc_id").alias("cut_id")).agg(F.sum("words").alias("n_host_words"))
-    base = base_rules(docs.select("doc_id", "text")).drop("text")
-    out = base.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left").drop("cut_id")
-    out = out.withColumn("n_host_words", F.coalesce("n_host_words", F.lit(0)).cast("long"))
+    # a written table has a known size: small ones are broadcast, larger ones joined by shuffle
+    often = stored(frequent_lines(docs.select("doc_id", "text", host), host, least, share)).select(F.col("host").alias("lf_host"), "keys")
+    rows = docs.select("doc_id", "text", F.col(host).alias("lf_source")).join(often, F.col("lf_source").eqNullSafe(F.col("lf_host")), "left")
+    # the few frequent lines that a row has, found by hash; most rows have none and are not looked at line by line
+    hit = F.array_intersect(F.when(F.col("keys").isNotNull(), F.array_distinct(line_keys(F.col("text")))), "keys")
+    rows = base_rules(rows.withColumn("lf_hit", hit).drop("keys", "lf_host", "lf_source"))
+    found = F.size("lf_hit") > 0
+    cut = lambda x: F.array_contains(F.col("lf_hit"), F.xxhash64(normal_line(x))) & (F.btrim(x, F.lit(BLANK)) != "")
+    parts = F.split("text", "\n")
+    gone = F.aggregate(F.filter(parts, cut), F.lit(0), lambda n, x: n + F.size(words_col(x)))
+    rows = rows.withColumn("n_host_words", F.when(found, gone).otherwise(0).cast("long"))
+    rows = rows.withColumn("text", F.when(found, F.array_join(F.filter(parts, lambda x: ~cut(x)), "\n")).otherwise(F.col("text")))
     enough = F.col("n_words") - F.col("n_host_words") >= F.lit(left) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & enough)
+    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("lf_hit")
