@@ -518,6 +518,12 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
 # -------------------------------------------------------------- 10
 
 
+def brute_lists(n):
+    from tidemark.llm import nearest
+
+    return int(min(nearest.LISTS_A_ROOT * n**0.5, n // 4))
+
+
 def brute(vectors, k):
     want = {}
     for i, v in vectors.items():
@@ -538,11 +544,20 @@ def test_nearest(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit("clash"))
     want = brute(x, 20)
     exact = defaultdict(list)
-    for r in nearest(df, df.filter("vec_id % 20 = 0"), 20, probes=1.0, chunk=64, epsilon=50.0).orderBy("query_id", "rank").collect():
+    for r in nearest(df, df.filter("vec_id % 20 = 0"), 20, recall=1.0, chunk=64, epsilon=50.0).orderBy("query_id", "rank").collect():
         exact[r.query_id].append(r.vec_id)
     assert dict(exact) == want
     found = sum(r.vec_id in want[r.query_id] for r in nearest(df, df.filter("vec_id % 20 = 0"), 20).collect())
     assert found / (20 * len(want)) >= 0.9
+    assert brute_lists(800) >= 30
+    # repeated ids count once, with the least vector; other dimensions are a search of their own
+    more = spark.createDataFrame([(0, [9.0] * 24), (7, [-99.0] * 24), (6000, [1.0, 2.0]), (6001, [2.0, 1.0]), (6020, [1.0, 1.0]), (6040, [3.0])], "vec_id long, embedding array<double>")
+    y = {i: min(v.tolist(), [9.0] * 24) if i == 0 else v.tolist() for i, v in x.items()} | {7: [-99.0] * 24}
+    want = brute({i: np.array(v) for i, v in y.items()}, 20)
+    both, exact = df.select("vec_id", "embedding").union(more), defaultdict(list)
+    for r in nearest(both, both.filter("vec_id % 20 = 0"), 20, recall=1.0, chunk=64, epsilon=50.0).orderBy("query_id", "rank").collect():
+        exact[r.query_id].append(r.vec_id)
+    assert dict(exact) == want | {6000: [6001, 6020], 6020: [6000, 6001]}
     few = df.filter("vec_id < 5")
     assert [(r.rank, r.vec_id) for r in nearest(few, few.filter("vec_id = 0"), 20).collect()] == [(i + 1, j) for i, j in enumerate(sorted(range(1, 5), key=lambda j: -(x[0] * x[j]).sum()))]
     assert nearest(df.filter("vec_id > 9000"), df, 20).count() == 0
