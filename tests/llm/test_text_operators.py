@@ -93,6 +93,24 @@ def test_jaccard_through_pairs_of_frequent_shingles(spark, monkeypatch):
     assert got == components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("batch", ["7", "25", "10000"])
+def test_jaccard_with_a_key_in_all_sets(spark, batch):
+    """One passage in every document, long within a batch, between batches or both; equal ids of large groups."""
+    from tidemark.llm.jaccard import jaccard_components
+
+    rng, passage = random.Random(8), [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = rng.choices(WORDS, k=rng.choice([0, 2, 5, 30]))
+        rows.append((i, " ".join(passage[: rng.choice([40, 40, 38])] + own), "en", "s", 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, DOC).repartition(2), 4, 85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == components(rows, 4, 85) and len({c for _, c in got.values()}) > 5
+
+
 def test_prefixes_of_linked_sets_share_a_key():
     from tidemark.llm.jaccard import index_keys, linked
 

@@ -24,10 +24,14 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from tidemark.llm.common import ascii_lower, mixed, pack, parts, stored, unpack
 from tidemark.llm.components import components
 
-#: A shingle of more documents than RARE is frequent; the limit rises until at most MOST_FREQUENT shingles are.
-RARE, MOST_FREQUENT = 8, 1_000_000
-#: Bits of a shingle's hash by which documents are counted (equal bits only raise a count).
-COUNT_BITS = 40
+#: A shingle of more documents than RARE is frequent.
+RARE = 8
+#: The frequent class is a bitmap over hash prefixes of at most so many bits (16 MB). Any function of the
+#: hash serves, as long as all documents use the same: shingles that share a bit with a frequent one
+#: count as frequent and are indexed in pairs.
+CLASS_BITS = 27
+#: Bits of the ids' bitmap that picks the texts to be read again, at most (64 MB).
+SPOT_BITS = 29
 #: Key lists of up to this many sets give pairs.
 SHORT = 8
 #: Sets, and shingles, of a block of a candidate cluster.
@@ -106,18 +110,39 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def bits_for(n: int, most: int, spare: int = 4) -> int:
+    """Exponent of a bitmap with 2^spare bits for each of n members, at most `most`."""
+    return min(most, max(16, (n << spare).bit_length()))
+
+
+def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap (64-bit words) of a column `at` of places below 2^bits: words are put together where the rows are."""
+    words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def inside(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places of the bitmap are set."""
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The frequent class: ascending COUNT_BITS-bit prefixes, at most MOST_FREQUENT of them.
+    """The frequent class as a bitmap over hash prefixes.
 
-    All shingles of all documents are counted: batches send each distinct prefix once, packed by hash
-    range, with its count where that is above one.
+    All shingles of all documents are counted by a prefix of their hash, long enough for the corpus
+    that few share one (equal prefixes only raise a count): batches send each distinct prefix once,
+    packed by hash range, with its count where that is above one.
     """
     n_ranges = 8 * max(parts(docs.sparkSession), docs.rdd.getNumPartitions())
-    edges = (np.arange(n_ranges + 1, dtype=np.float64) / n_ranges * 2.0**COUNT_BITS).astype(np.uint64)
+    chars = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    count_bits = max(32, min(62, chars.bit_length() + 11))
+    edges = (np.arange(n_ranges + 1, dtype=np.float64) / n_ranges * 2.0**count_bits).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), size) >> np.uint64(64 - COUNT_BITS) for t in b.column("text")]
+            sets = [shingles(t.as_py(), size) >> np.uint64(64 - count_bits) for t in b.column("text")]
             values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             cuts = np.searchsorted(values, edges)
             rows = [(i, pack(values[a:z] - edges[i]), (m := np.flatnonzero(n[a:z] > 1)).astype(np.int32).tobytes(), n[a:z][m].astype(np.int32).tobytes()) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
@@ -132,21 +157,13 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             one[np.frombuffer(at, np.int32)] = np.frombuffer(more, np.int32)
             n.append(one)
         values, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(n)).astype(np.int64)
-        often = total > RARE
-        return pa.table({"key": pa.array((values[often] + edges[rows.column("part")[0].as_py()]).astype(np.int64)), "n": pa.array(total[often])})
+        often = np.bincount(back, np.concatenate(n)).astype(np.int64) > RARE
+        return pa.table({"key": pa.array((values[often] + edges[rows.column("part")[0].as_py()]).astype(np.int64))})
 
-    counted = docs.select("text").mapInArrow(run, "part int, keys binary, at binary, more binary").groupBy("part").applyInArrow(add, "key long, n long")
+    counted = docs.select("text").mapInArrow(run, "part int, keys binary, at binary, more binary").groupBy("part").applyInArrow(add, "key long")
     counted = stored(counted)
-    # different counts: fewer than the square root of twice the number of shingle occurrences
-    limit, total = RARE, 0
-    for n, k in sorted(((r["n"], r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True):
-        total += k
-        if total > MOST_FREQUENT:
-            limit = n
-            break
-    table = counted.filter(F.col("n") > limit).select("key").toArrow()
-    return np.sort(table.column("key").to_numpy().astype(np.uint64))
+    bits = bits_for(counted.count(), min(CLASS_BITS, count_bits), 7)
+    return bitmap_of(counted.select(F.shiftright("key", count_bits - bits).alias("at")), bits)
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -156,15 +173,12 @@ def indexed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
+        shift = np.uint64(64 - (len(often) * 64).bit_length() + 1)
         for b in batches:
             n, digests, keys, maps = [], [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), size)
-                short = s >> np.uint64(64 - COUNT_BITS)
-                at = np.searchsorted(often, short)
-                flag = np.zeros(len(s), bool)
-                inside = at < len(often)
-                flag[inside] = often[at[inside]] == short[inside]
+                flag = inside(often, s >> shift)
                 n.append(len(s))
                 digests.append(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64))
                 keys.append(index_keys(s[~flag], s[flag], percent).tobytes() if len(s) else b"")
@@ -175,29 +189,49 @@ def indexed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, keys binary, bits binary").withColumn("node", F.monotonically_increasing_id())
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal sorted keys starts, and its length."""
+    opens = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return opens, np.diff(np.append(opens, len(keys)))
+
+
 def key_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, long): candidate pairs a < b of short key lists, and the edges to the first member of long ones."""
+    """Rows (a, b, long): candidate pairs a < b of short key lists, and the edges to the first member of long ones.
+
+    A key that is long within a batch already is sent with its first member only, marked as long, and
+    the edges to the batch's other members go along in any range: so a key of very many sets sends one
+    entry a batch, and no task holds all of them.
+    """
     n_ranges = 4 * max(parts(sets.sparkSession), sets.rdd.getNumPartitions())
+    most = np.iinfo(np.int32).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [np.frombuffer(k, np.uint64) for k in b.column("keys").to_pylist()]
             lens = np.fromiter(map(len, keys), np.int64, len(keys))
             flat, node, n = np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(b.column("node").to_numpy(), lens), np.repeat(b.column("n").to_numpy(), lens)
-            order = np.argsort(flat)
+            order = np.lexsort((node, flat))
             flat, node, n = flat[order], node[order], n[order]
+            opens, length = runs(flat)
+            first, of = np.repeat(opens, length), np.repeat(length, length)
+            rest = (of > SHORT) & (first != np.arange(len(flat)))
+            edges = np.unique(np.column_stack([node[first[rest]], node[rest]]), axis=0)
+            n = np.where(of > SHORT, most, n)  # the mark of a key that is long already
+            flat, node, n = flat[~rest], node[~rest], n[~rest]
             part = ((flat >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
             used, first = np.unique(part, return_index=True)
             cuts = list(zip(first, [*first[1:], len(part)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (flat, node, n.astype(np.int32)))], ["part", "keys", "nodes", "sizes"])
+            dealt = np.array_split(edges, len(used)) if len(used) else []
+            columns = [[x[a:z].tobytes() for a, z in cuts] for x in (flat, node, n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns), pa.array([e.tobytes() for e in dealt], pa.binary())], ["part", "keys", "nodes", "sizes", "edges"])
 
     def lists(rows: pa.Table) -> pa.Table:
         keys, node, n = (np.concatenate([np.frombuffer(x, k) for x in rows.column(c).to_pylist()]) for c, k in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
         order = np.lexsort((node, keys))
         keys, node, n = keys[order], node[order], n[order].astype(np.int64)
-        opens = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-        length = np.diff(np.append(opens, len(keys)))
-        first, of = np.repeat(opens, length), np.repeat(length, length)
+        opens, length = runs(keys)
+        length = np.where(np.maximum.reduceat(n, opens) == most, SHORT + length, length) if len(opens) else length
+        first, of = np.repeat(opens, np.diff(np.append(opens, len(keys)))), np.repeat(length, np.diff(np.append(opens, len(keys))))
         found = [np.empty((0, 3), np.int64)]
         for d in range(1, SHORT):
             i = np.arange(len(keys) - d)
@@ -206,10 +240,12 @@ def key_lists(sets: DataFrame, percent: int) -> DataFrame:
             found.append(np.column_stack([node[i], node[i + d], np.zeros(len(i), np.int64)]))
         i = np.flatnonzero((of > SHORT) & (first != np.arange(len(keys))))
         found.append(np.column_stack([node[first[i]], node[i], np.ones(len(i), np.int64)]))
+        local = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("edges").to_pylist()]).reshape(-1, 2)
+        found.append(np.column_stack([local, np.ones(len(local), np.int64)]))
         got = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1]), "long": pa.array(got[:, 2] == 1)})
 
-    sent = sets.select("node", "n", "keys").mapInArrow(run, "part int, keys binary, nodes binary, sizes binary")
+    sent = sets.select("node", "n", "keys").mapInArrow(run, "part int, keys binary, nodes binary, sizes binary, edges binary")
     return sent.groupBy("part").applyInArrow(lists, "a long, b long, long boolean").distinct()
 
 
@@ -236,21 +272,15 @@ def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int) -
     So that other texts are not shuffled, a bit array of the wanted ids' hashes (of fixed size at most)
     goes to the scan; ids that only share a bit are dropped by the join on the digest.
     """
-    spark = docs.sparkSession
     nodes = stored(sets.join(wanted.select("node").distinct(), "node").select("node", "doc_id", "n", "d1", "d2", "bits"))
-    bits = min(26, max(16, (16 * nodes.count()).bit_length()))
+    bits = bits_for(nodes.count(), SPOT_BITS)
     spot = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
-    words = nodes.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(xxhash64(doc_id) & 63 as int)))").alias("v")).collect()
-    array = np.zeros(1 << (bits - 6), np.uint64)
-    for r in words:
-        array[r.w] = r.v & ((1 << 64) - 1)
-    shared = spark.sparkContext.broadcast(array)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select(spot.alias("at")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = shared.value
         for b in batches:
-            at = b.column("spot").to_numpy().astype(np.uint64)
-            hit = np.flatnonzero(bit[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            hit = np.flatnonzero(inside(bit, b.column("spot").to_numpy().astype(np.uint64)))
             made = [shingles(b.column("text")[int(i)].as_py(), size) for i in hit]
             d = np.array([np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in made], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in made], pa.binary())], ["d1", "d2", "shingles"])
@@ -324,5 +354,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     joined = components(stored(links))
     named = sets.select("doc_id", "n", "d1", "d2", "node").join(firsts, ["d1", "d2"], "left").join(joined.withColumnRenamed("node", "first"), "first", "left")
     named = stored(named.select("doc_id", "n", F.coalesce("component", "first", "node").alias("root")))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return smallest_ids(named).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def smallest_ids(named: DataFrame) -> DataFrame:
+    """named (root, doc_id, ..) with component_id, the least doc_id of each root.
+
+    Roots with more than a quarter of a partition's share of rows are at most four for each partition:
+    their ids are broadcast, so that their rows need not come together. All others join by shuffle.
+    """
+    n_parts = parts(named.sparkSession)
+    share = max(64, named.count() // (4 * n_parts))
+    least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    large = least.filter(F.col("members") > share).select("root", "component_id")
+    small = least.filter(F.col("members") <= share).select("root", "component_id")
+    first = named.join(F.broadcast(large), "root")
+    rest = named.join(F.broadcast(large.select("root")), "root", "left_anti").join(small, "root")
+    return first.unionByName(rest)
