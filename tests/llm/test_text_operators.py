@@ -139,9 +139,17 @@ def test_jaccard_odd_rows(spark, empty):
 # --------------------------------------------------------------- 3
 
 
-def test_katz_is_normalised_and_equals_brute_force(docs):
+@pytest.mark.parametrize("small", [False, True])
+def test_katz_is_normalised_and_equals_brute_force(docs, monkeypatch, small):
+    """small: nearly all histories are split by word, and most words are outside the broadcast head."""
+    from tidemark.llm import katz
     from tidemark.llm.katz import K, discounts, katz_scores
 
+    if small:
+        monkeypatch.setattr(katz, "LEAST_HOT", 3)
+        monkeypatch.setattr(katz, "PARTITION", 300)
+        monkeypatch.setattr(katz, "HEAD", 9)
+
     rows = corpus()
     train = [r for r in rows if r[0] % 5]
     toks = lambda t: [x.translate({c: c + 32 for c in range(65, 91)}) for x in split(t)] + [""]

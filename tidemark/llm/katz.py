@@ -30,6 +30,10 @@ from tidemark.llm.common import ascii_lower, mixed, pack, parts, stored, unpack
 K = 5
 #: Tokens of a batch, and distinct bigrams of a partition, about.
 BATCH, PARTITION = 2_000_000, 2_000_000
+#: A history that is split by word has more tokens than this.
+LEAST_HOT = 1000
+#: Words, by descending count, whose numbers are broadcast (about a megabyte): they stand in every batch's dictionary.
+HEAD = 65_536
 #: Number of the history before the first token.
 START = (1 << 32) - 1
 
@@ -219,13 +223,20 @@ def backoff(stats: np.ndarray, d: np.ndarray):
     return count, total, np.log10(np.where(none, 1.0, free) / np.maximum(total, 1) / np.maximum(1 - stats[K + 1], 1e-300))
 
 
-def scored(words: Words, d: np.ndarray, hot_stats: dict, buckets: int, hot: int, hot_start: bool, names: list[str]):
+def scored(words: Words, d: np.ndarray, start_stats: list | None, buckets: int, hot: int, hot_start: bool, names: list[str]):
     """A function of one batch and the answers to it: a row for each document."""
-    hot_h = np.array(sorted(hot_stats), np.float64)
-    hot_s = np.array([hot_stats[h] for h in sorted(hot_stats)]).reshape(-1, STATS).T
+
+    def own_stats(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending frequent histories of the batch and their whole statistics, of which the partitions hold only parts."""
+        rows = opened(blob, np.float64).reshape(-1, STATS + 1) if blob else np.empty((0, STATS + 1))
+        if start_stats is not None:
+            rows = np.vstack([rows, [float(START), *start_stats]])
+        rows = rows[np.argsort(rows[:, 0])]
+        return rows[:, 0], rows[:, 1:].T
 
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {c: batch.column(c)[0].as_py() for c in ("batch", "sizes", "train", "codes", "numbers")}
+        row = {c: batch.column(c)[0].as_py() for c in ("batch", "sizes", "train", "codes", "numbers", "hot")}
+        hot_h, hot_s = own_stats(row["hot"])
         g = Bigrams(row, buckets, hot, hot_start)
         told = {b: (c, s) for b, c, s in zip(*(answers.column(x).to_pylist() for x in ("bucket", "counts", "stats")), strict=True)}
         value = np.empty(len(g.keys))
@@ -235,7 +246,7 @@ def scored(words: Words, d: np.ndarray, hot_stats: dict, buckets: int, hot: int,
             n = opened(told[int(b)][0], np.uint32).astype(np.int64)
             h, of = np.unique(g.keys[s] >> np.uint64(32), return_inverse=True)
             stats = opened(told[int(b)][1], np.float64).reshape(STATS, len(h)).copy()
-            if len(hot_h):  # the partitions hold only parts of these
+            if len(hot_h):
                 at = np.minimum(np.searchsorted(hot_h, h), len(hot_h) - 1)
                 found = hot_h[at] == h
                 stats[:, found] = hot_s[:, at[found]]
@@ -271,11 +282,14 @@ def katz_scores(docs: DataFrame, train) -> DataFrame:
     n_train = int(named.filter(F.col("key") == F.lit(np.uint64(xxh3_64_intdigest(b"")).astype(np.int64).item())).agg(F.sum("c")).first()[0] or 0)
     buckets = max(parts(spark), words.n // PARTITION + 1)
     # histories with more than a quarter of a partition's share are split by word
-    limit = max(1000, words.n / buckets / 4)
+    limit = max(LEAST_HOT, words.n / buckets / 4)
     hot, hot_start = int(words.first[int((words.count > limit).sum())]), n_train > limit
-    mine = entries.select("batch", "code", "key").join(named.select("key", "number"), "key")
-    mine = stored(mine.groupBy("batch").applyInArrow(numbers_of, "batch long, numbers binary"))
-    whole = batches.select("batch", "doc_ids", "sizes", "train", "codes").join(mine.hint("merge"), "batch")
+    # the commonest words are joined by broadcast, so that no key's rows of all batches come together
+    codes, head = entries.select("batch", "code", "key"), named.filter(F.col("number") < HEAD).select("key", "number")
+    tail = named.filter(F.col("number") >= HEAD).select("key", "number")
+    mine = codes.join(F.broadcast(head), "key").unionByName(codes.join(F.broadcast(head.select("key")), "key", "left_anti").join(tail, "key"))
+    numbers = stored(mine.groupBy("batch").applyInArrow(numbers_of, "batch long, numbers binary"))
+    whole = batches.select("batch", "doc_ids", "sizes", "train", "codes").join(numbers.hint("merge"), "batch")
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -292,11 +306,26 @@ def katz_scores(docs: DataFrame, train) -> DataFrame:
                 s = opened(stats, np.float64).reshape(STATS + 1, -1).T
                 yield pa.RecordBatch.from_arrays([pa.array([-1.0, *s[:, 0]]), pa.array([[*map(float, totals)], *map(list, s[:, 1:])], pa.list_(pa.float64()))], ["h", "s"])
 
-    # the totals, and one row for each of the frequent histories: at most 4 * buckets
-    sums = told.filter("batch = -1").mapInArrow(summaries, "h double, s array<double>").groupBy("h").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(STATS)]).alias("s")).collect()
-    totals = next((r.s for r in sums if r.h == -1.0), [0.0] * STATS)
-    d = discounts(np.array([0.0, *totals[1 : K + 2]]))
+    # whole statistics of the frequent histories: a table, of which each batch gets the rows of its own words
+    sums = stored(told.filter("batch = -1").mapInArrow(summaries, "h double, s array<double>").groupBy("h").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(STATS)]).alias("s")))
+    apart = {r.h: r.s for r in sums.filter(F.col("h").isin(-1.0, float(START))).collect()}
+    d = discounts(np.array([0.0, *apart.get(-1.0, [0.0] * STATS)[1 : K + 2]]))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    run = scored(words, d, {r.h: r.s for r in sums if r.h >= 0}, buckets, hot, hot_start, names)
+    run = scored(words, d, apart.get(float(START)), buckets, hot, hot_start, names)
+
+    def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for number, blob in zip(*(b.column(c).to_pylist() for c in ("batch", "numbers")), strict=True):
+                own = opened(blob, np.uint32)
+                own = own[own < hot].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own)], ["batch", "h"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        flat = np.column_stack([rows.column("h").to_numpy(), *(rows.column(f"s{i}").to_numpy() for i in range(STATS))])
+        return pa.table({"batch": rows.column("batch").slice(0, 1), "hot": pa.array([squeezed(flat)], pa.binary())})
+
+    wide = sums.select("h", *[F.col("s")[i].alias(f"s{i}") for i in range(STATS)])
+    stats = numbers.mapInArrow(held, "batch long, h double").join(wide, "h").groupBy("batch").applyInArrow(gathered, "batch long, hot binary")
     answers = told.filter("batch >= 0")
-    return whole.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told_all = whole.join(stats.hint("merge"), "batch", "left")
+    return told_all.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
