@@ -238,6 +238,36 @@ def test_pairwise_identity():
     assert m.margins(*joined([(at, x)]))[0][0] == pytest.approx(direct)
 
 
+def test_quality_scores_equal_a_plain_loop(spark, docs):
+    """Every score against the double sum over pairs, features made again from the text."""
+    from tidemark.llm import quality as q
+
+    m = q.Machine(seed=3)
+    m.w = np.random.default_rng(1).normal(0, 0.3, len(m.w))
+    m.bias[:] = 0.2
+    blob = m.blob()
+    m = q.Machine(blob=blob)
+    got = {r.doc_id: r.fm for r in q.score_quality(docs, blob, "fm").collect()}
+    sizes = {i: n for i, _, _, _, n in corpus()}
+    for i, text, *_ in corpus()[::9] + corpus()[-6:]:
+        pairs = list(zip(*q.features(text, sizes[i])))
+        if len(pairs) > 400:
+            continue
+        z = m.bias[0] + sum(m.w[a] * v for a, v in pairs)
+        z += sum(float(m.v[a] @ m.v[b]) * v * w for k, (a, v) in enumerate(pairs) for b, w in pairs[k + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+
+
+def test_quality_fit_ignores_the_order_of_rows(spark):
+    from tidemark.llm.quality import fit_quality
+
+    rng = random.Random(4)
+    rows = [(i // 2, " ".join(rng.choices(WORDS, k=20)), "en", "s", 100 + i % 2) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (fit_quality(spark.createDataFrame(x, DOC).repartition(n), labels, shards=1, rounds=1, epochs=1) for x, n in ((rows, 1), (rows[::-1], 3)))
+    assert one == two
+
+
 # --------------------------------------------------------------- 2
 
 
@@ -433,6 +463,16 @@ def test_mixing_shares_and_order(spark, docs, empty):
     assert [(r.mix_taken, r.mix_target, len(r.mix_copies)) for r in curriculum(blank).collect()] == [(0, 0.0, 0)] * 3
 
 
+def test_mixing_of_thousands_of_sources(spark):
+    from tidemark.llm.mixing import curriculum
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "", f"s{i % 3000:05d}", 1) for i in range(6000)]
+    got = curriculum(spark.createDataFrame(rows, DOC)).groupBy("source").agg(F.sum("mix_taken").alias("taken"), F.max("mix_target").alias("target"), F.max("mix_source_size").alias("size")).collect()
+    assert len(got) == 3000 and all(abs(r.taken - r.target) <= 1 and r.target <= 3 * r.size + 1e-6 for r in got)
+    assert sum(r.target for r in got) == pytest.approx(sum(r.size for r in got))
+
+
 def test_place_inverts_the_integral(spark):
     from tidemark.llm.mixing import place
 
@@ -488,6 +528,15 @@ def test_line_dedup_keeps_the_first_and_counts_exactly(spark, docs, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_spread_is_exact_around_the_threshold(spark):
+    """Lines on 3 to 25 sites and a sketch of 16 buckets: estimates are far off, the counted band decides."""
+    from tidemark.llm.line_spread import line_dedup
+
+    rows = [(site * 100 + k, f"line {k} of many\nown {site} {k}", "", f"s{site}", 1) for k in range(3, 26) for site in range(k)]
+    got = {r.doc_id: r.n_cut_lines for r in line_dedup(spark.createDataFrame(rows, DOC), sites=10, lg=4).collect()}
+    assert got == {i: int(i % 100 >= 10 and i >= 100) for i, *_ in rows}
+
+
 # --------------------------------------------------------------- 9
 
 

@@ -121,15 +121,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [features(t, c) for t, c in zip(b["text"], b["n_chars"], strict=True)]
-            yield pd.DataFrame({"shard": b["shard"], "y": b["fm_y"], "h": b["h"], "at": [a.astype(np.int32).tobytes() for a, _ in got], "x": [x.astype(np.float32).tobytes() for _, x in got]})
+            yield pd.DataFrame({"shard": b["shard"], "y": b["fm_y"], "h": b["h"], "t": b["t"], "at": [a.astype(np.int32).tobytes() for a, _ in got], "x": [x.astype(np.float32).tobytes() for _, x in got]})
 
     h = F.xxhash64("doc_id", F.lit(1))
-    rows = rows.select("text", "n_chars", "fm_y", h.alias("h"), F.pmod(h, F.lit(shards)).alias("shard"))
-    rows = stored(rows.mapInPandas(extract, "shard long, y int, h long, at binary, x binary"))
+    rows = rows.select("text", "n_chars", "fm_y", h.alias("h"), F.xxhash64("text", "n_chars").alias("t"), F.pmod(h, F.lit(shards)).alias("shard"))
+    rows = stored(rows.mapInPandas(extract, "shard long, y int, h long, t long, at binary, x binary"))
     blob = Machine().blob()
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("h", kind="stable")
+        group = group.sort_values(["h", "t"], kind="stable")  # rows of one id in the order of their texts, so that reruns agree
         data = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for a, x in zip(group["at"], group["x"], strict=True)]
         m = Machine(blob=blob)
         # small shards go round more often, for some thirty steps at least
