@@ -90,6 +90,11 @@ TARGET = r"(?i)(?:target range|target rate|federal funds rate|bank rate|policy r
 QUOTE = "USDT USDC FDUSD BUSD TUSD USD1 USDP DAI USDE USDS USD EUR TRY BRL ARS JPY GBP ZAR UAH PLN RON CZK MXN COP NGN KRW IDR VND AUD CAD CHF RUB BIDR BVND USDⓈ".split()
 STOP = "UTC AM PM APR APY VIP API P2P NFT ETF KYC FAQ OTC CM UM UID ID TBA TBD GMT NA AI USDS-M COIN-M LP TGE IPO IEO DEX CEX FDV ATH ATL EST PST CET SGT HKT JST KST PDT".split()
 ABBREVIATIONS = "mr mrs ms dr jr sr st no vs etc inc corp co approx fig al ca pp vol sen rep gov messrs prof".split()
+SENTENCE_END = r"(?<=[.!?])\s+(?=[\"“‘(\[]?[A-Z0-9])"
+INITIALS = r"^(?:[A-Za-z]\.){1,4}$"
+YEARS = r"\b(19|20)\d{2}\b"
+MONTHS = r"\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\b"
+CHAIR, VICE = r"(?i)\bchair(man|woman)?\b", r"(?i)\bvice\b"
 CHROME = r"(?i)^(share|menu|home|print|last update|return to text|for media inquiries|skip to|back to)\b"
 
 
@@ -173,8 +178,8 @@ def versus(later: Column, earlier: Column) -> Column:
 
 def title_family(title: Column) -> Column:
     """A title without years, months and numbers, so that editions fall together."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\b(19|20)\d{2}\b", " ")
-    t = F.regexp_replace(t, r"\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\b", " ")
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), YEARS, " ")
+    t = F.regexp_replace(t, MONTHS, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[\d–—-]+", " "), r"[^a-z ]+", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -182,12 +187,12 @@ def title_family(title: Column) -> Column:
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of a text: not split after initials and abbreviations, furniture and short ones dropped."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    parts = F.split(flat, r"(?<=[.!?])\s+(?=[\"“‘(\[]?[A-Z0-9])")
+    parts = F.split(flat, SENTENCE_END)
 
     def glued(done: Column, part: Column) -> Column:
         tail = F.element_at(done, -1)
         last = F.element_at(F.split(tail, " "), -1)
-        short = F.regexp_like(last, F.lit(r"^(?:[A-Za-z]\.){1,4}$")) | F.lower(F.rtrim(last, F.lit("."))).isin(ABBREVIATIONS)
+        short = F.regexp_like(last, F.lit(INITIALS)) | F.lower(F.rtrim(last, F.lit("."))).isin(ABBREVIATIONS)
         again = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(tail, F.lit(" "), part)))
         return F.when((F.size(done) > 0) & short, again).otherwise(F.concat(done, F.array(part)))
 
@@ -280,7 +285,7 @@ def section(text: Column, heading: str, tail: Column | None = None, limit: int =
 
 
 def is_chair(name: Column) -> Column:
-    return F.regexp_like(name, F.lit(r"(?i)\bchair(man|woman)?\b")) & ~F.regexp_like(name, F.lit(r"(?i)\bvice\b"))
+    return F.regexp_like(name, F.lit(CHAIR)) & ~F.regexp_like(name, F.lit(VICE))
 
 
 def slug(text: Column, limit: int = 60) -> Column:

@@ -162,9 +162,12 @@ def surprise(rows: DataFrame) -> DataFrame:
 
 
 def projection_moves(medians: DataFrame) -> DataFrame:
-    """medians (meeting, year, median) with prev_meeting and steps, quarter points against the same year column a meeting earlier."""
+    """medians (meeting, year, median) with prev_meeting and steps, quarter points against the same year column a meeting earlier.
+
+    Meetings are a few a year; their order is found in one task.
+    """
     meetings = medians.select("meeting").distinct().withColumn("prev_meeting", F.lag("meeting").over(Window.orderBy("meeting")))
-    rows = medians.join(F.broadcast(meetings), "meeting")
+    rows = medians.join(meetings, "meeting")
     before = medians.select(F.col("meeting").alias("_m"), F.col("year").alias("_y"), F.col("median").alias("prev_median"))
     rows = rows.join(before, (F.col("prev_meeting") == F.col("_m")) & (F.col("year") == F.col("_y"))).drop("_m", "_y")
     return rows.withColumn("steps", F.bround((F.col("median") - F.col("prev_median")) / 0.25).cast("int"))

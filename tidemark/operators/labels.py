@@ -24,7 +24,7 @@ def sigma_bars(bars: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("block") == F.col("_own")).drop("block", "_own")
     r = F.when((F.col("close") > 0) & (F.col("b1") > 0), F.ln(F.col("close") / F.col("b1")))
     per = rows.groupBy("symbol").agg(F.coalesce(F.stddev_pop(r), F.lit(0.0)).alias("sigma"))
-    return rows.join(F.broadcast(per), "symbol")
+    return rows.join(per, "symbol")
 
 
 def in_sigmas(a: Column, b: Column, steps: int, sigma: Column) -> Column:

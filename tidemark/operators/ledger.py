@@ -128,7 +128,7 @@ def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: i
 def marked(book: DataFrame, ticks: DataFrame, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:
     """ticks of each run with unrealized, gross and equity (net of fees), from the last ledger row at or before each."""
     runs = book.select(*keys).distinct()
-    rows = ticks.select("symbol", "seq", "mid").join(F.broadcast(runs), "symbol").select(*keys, "seq", "mid", F.lit(None).cast("struct<units:double,avg_price:double,realized:double,fees:double>").alias("_s"), F.lit(1).alias("_k"))
+    rows = ticks.select("symbol", "seq", "mid").join(runs, "symbol").select(*keys, "seq", "mid", F.lit(None).cast("struct<units:double,avg_price:double,realized:double,fees:double>").alias("_s"), F.lit(1).alias("_k"))
     fills = book.select(*keys, "seq", F.lit(None).cast("double").alias("mid"), F.struct("units", "avg_price", "realized", "fees").alias("_s"), F.lit(0).alias("_k"))
     both = rows.unionByName(fills).withColumn("_b", F.floor(F.col("seq") / 65536))
     ends = both.groupBy(*keys, "_b").agg(F.max_by("_s", F.when(F.col("_k") == 0, F.col("seq"))).alias("_end"))

@@ -105,7 +105,7 @@ def markouts(fills: DataFrame, ticks: DataFrame, horizons=(4, 20, 80)) -> DataFr
     """
     mids = ticks.select(F.col("symbol").alias("_s"), F.col("seq").alias("_q"), F.col("mid").alias("_m"))
     ends = ticks.groupBy(F.col("symbol").alias("_e")).agg(F.max("seq").alias("_last"))
-    rows = fills.join(F.broadcast(ends), F.col("symbol") == F.col("_e")).drop("_e")
+    rows = fills.join(ends, F.col("symbol") == F.col("_e")).drop("_e")
     rows = rows.join(mids.withColumnRenamed("_m", "mid0"), (F.col("symbol") == F.col("_s")) & (F.col("seq") == F.col("_q"))).drop("_s", "_q")
     rows = rows.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("_at", F.least(F.col("seq") + F.col("horizon"), F.col("_last")))
     rows = rows.join(mids.withColumnRenamed("_m", "mid1"), (F.col("symbol") == F.col("_s")) & (F.col("_at") == F.col("_q"))).drop("_s", "_q", "_at")

@@ -26,7 +26,7 @@ def read_ticks(spark: SparkSession, path: str, limit: int | None = None) -> Data
 def interval_us(ticks: DataFrame) -> DataFrame:
     """One row per symbol: the gap between its first two ticks."""
     firsts = ticks.groupBy("symbol").agg(F.min(F.struct("seq", "ts_us")).alias("a"))
-    rest = ticks.join(F.broadcast(firsts), "symbol").filter(F.col("seq") > F.col("a.seq"))
+    rest = ticks.join(firsts, "symbol").filter(F.col("seq") > F.col("a.seq"))
     return rest.groupBy("symbol").agg((F.min_by("ts_us", "seq") - F.first("a.ts_us")).alias("interval_us"))
 
 
@@ -141,6 +141,7 @@ def rates(lines: DataFrame, described: dict[str, str], header: Column) -> DataFr
     named = F.create_map(*[F.lit(x) for kv in described.items() for x in kv])
     heads = lines.filter(header).limit(1).select(F.posexplode(cells(clean)).alias("pos", "name")).select("pos", F.element_at(named, F.col("name")).alias("tenor")).filter(F.col("tenor").isNotNull())
     body = lines.select(cells(clean).alias("c")).withColumn("date", F.to_date(F.get("c", 0).try_cast("date"))).filter(F.col("date").isNotNull())
+    # one row for each column of the file
     rows = body.select("date", F.posexplode("c").alias("pos", "cell")).join(F.broadcast(heads), "pos")
     return rows.select("date", "tenor", F.col("cell").try_cast("double").alias("value")).filter(F.col("value").isNotNull())
 
