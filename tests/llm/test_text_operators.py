@@ -68,7 +68,7 @@ def components(rows, size, percent):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (2, 60)])
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (2, 60)])
 def test_jaccard_equals_brute_force(docs, size, percent):
     from tidemark.llm.jaccard import jaccard_components
 
@@ -93,7 +93,7 @@ def test_jaccard_through_pairs_of_frequent_shingles(spark, monkeypatch):
     assert got == components(rows, 4, 85)
 
 
-@pytest.mark.parametrize("batch", ["7", "25", "10000"])
+@pytest.mark.parametrize("batch", ["12", "10000"])
 def test_jaccard_with_a_key_in_all_sets(spark, batch):
     """One passage in every document, long within a batch, between batches or both; equal ids of large groups."""
     from tidemark.llm.jaccard import jaccard_components
