@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -34,6 +35,8 @@ CLASS_BITS = 27
 SPOT_BITS = 29
 #: Key lists of up to this many sets give pairs.
 SHORT = 8
+#: Index keys that a task sorts at a time, about.
+KEYS = 1_000_000
 #: Sets, and shingles, of a block of a candidate cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 BITMAP = 512
@@ -205,25 +208,36 @@ def key_lists(sets: DataFrame, percent: int) -> DataFrame:
     n_ranges = 4 * max(parts(sets.sparkSession), sets.rdd.getNumPartitions())
     most = np.iinfo(np.int32).max
 
+    def entries(keys: list[np.ndarray], nodes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        row = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)))
+        flat = np.concatenate([np.empty(0, np.uint64), *keys])
+        order = np.argsort(flat, kind="stable")  # sets come in the order of their nodes
+        flat, row = flat[order], row[order]
+        opens, length = runs(flat)
+        first, of = np.repeat(opens, length), np.repeat(length, length)
+        rest = (of > SHORT) & (first != np.arange(len(flat)))
+        # an edge has many keys: its two places in the batch as one number
+        edges = np.unique(row[first[rest]] * len(keys) + row[rest])
+        edges = np.column_stack([nodes[edges // max(1, len(keys))], nodes[edges % max(1, len(keys))]])
+        n = np.where(of > SHORT, most, sizes[row]).astype(np.int32)[~rest]  # the mark of a key that is long already
+        flat, node = flat[~rest], nodes[row[~rest]]
+        part = ((flat >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+        used, first = np.unique(part, return_index=True)
+        cuts = list(zip(first, [*first[1:], len(part)], strict=True))
+        dealt = np.array_split(edges, len(used)) if len(used) else []
+        columns = [[x[a:z].tobytes() for a, z in cuts] for x in (flat, node, n)]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns), pa.array([e.tobytes() for e in dealt], pa.binary())], ["part", "keys", "nodes", "sizes", "edges"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [np.frombuffer(k, np.uint64) for k in b.column("keys").to_pylist()]
-            lens = np.fromiter(map(len, keys), np.int64, len(keys))
-            flat, node, n = np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(b.column("node").to_numpy(), lens), np.repeat(b.column("n").to_numpy(), lens)
-            order = np.lexsort((node, flat))
-            flat, node, n = flat[order], node[order], n[order]
-            opens, length = runs(flat)
-            first, of = np.repeat(opens, length), np.repeat(length, length)
-            rest = (of > SHORT) & (first != np.arange(len(flat)))
-            edges = np.unique(np.column_stack([node[first[rest]], node[rest]]), axis=0)
-            n = np.where(of > SHORT, most, n)  # the mark of a key that is long already
-            flat, node, n = flat[~rest], node[~rest], n[~rest]
-            part = ((flat >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
-            used, first = np.unique(part, return_index=True)
-            cuts = list(zip(first, [*first[1:], len(part)], strict=True))
-            dealt = np.array_split(edges, len(used)) if len(used) else []
-            columns = [[x[a:z].tobytes() for a, z in cuts] for x in (flat, node, n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns), pa.array([e.tobytes() for e in dealt], pa.binary())], ["part", "keys", "nodes", "sizes", "edges"])
+            b = b.sort_by("node")
+            held = np.cumsum(pc.binary_length(b.column("keys")).to_numpy()) // 8
+            begin = 0
+            while begin < len(b):  # about KEYS keys at a time
+                end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + KEYS, "right")))
+                few = b.slice(begin, end - begin)
+                yield entries([np.frombuffer(k, np.uint64) for k in few.column("keys").to_pylist()], few.column("node").to_numpy(), few.column("n").to_numpy())
+                begin = end
 
     def lists(rows: pa.Table) -> pa.Table:
         keys, node, n = (np.concatenate([np.frombuffer(x, k) for x in rows.column(c).to_pylist()]) for c, k in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))

@@ -23,6 +23,14 @@ CAPACITY, OPEN_BINS, PIECES_A_TASK = 2048, 1024, 16_000
 END = 0
 
 
+@lru_cache(maxsize=2)
+def whole_tokenizer(path: str):
+    """The tokenizer itself, which takes some hundred megabytes: loaded only where a text needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str | None = None):
     """A function text -> uint32 ids of a byte-level BPE given as a tokenizers JSON file.
@@ -35,7 +43,6 @@ def encoder(path: str | None = None):
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
@@ -47,13 +54,12 @@ def encoder(path: str | None = None):
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
         except Exception:  # the pattern engine's own limits, on texts such as a million blanks
-            return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(whole_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
