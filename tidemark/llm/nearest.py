@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts as shuffle_parts
 from tidemark.llm.common import stored
 
 #: The index is fitted on a sample of at most SAMPLE vectors (smallest hashes of the id), SAMPLE_A_LIST for each list; all vectors are indexed.
@@ -132,8 +131,6 @@ def searched(base: DataFrame, asked: DataFrame, dims: int, k: int, recall: float
     spark = base.sparkSession
     size = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
     n, norm = base.agg(F.count(F.lit(1)), F.sqrt(F.max(size))).first()
-    # a small table still gives every task some vectors
-    chunk = min(chunk, max(1024, n // (4 * shuffle_parts(spark))))
     wanted = int(max(1, min(lists_a_root * np.sqrt(n) // 1, n // 4, sample // SAMPLE_A_LIST)))
     hashed = F.xxhash64("vec_id")
     picked = base.orderBy(hashed, "vec_id").limit(min(sample, SAMPLE_A_LIST * wanted)).select("embedding").collect()
