@@ -135,5 +135,35 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest)}
-ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import merkle_proofs
+
+    return merkle_proofs(table(spark, sf_dir, "documents"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_LEFT, _RIGHT = "coalesce(array_to_string(nodes[8 * (c.at // 8) + 1 : c.at], ''), '')", "coalesce(array_to_string(nodes[c.at + 2 : 8 * (c.at // 8) + 8], ''), '')"
+_UP = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1 : 8 * i + 8], '')))"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, text, {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents),
+h AS (SELECT doc_id, lang, sha256(head || {_field("text")}) AS leaf,
+  sha256(head || {_field("CASE WHEN " + _CRC + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS low FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM h),
+tree AS (SELECT lang, 0 AS level, list(leaf ORDER BY p) AS nodes FROM l GROUP BY lang UNION ALL SELECT lang, level + 1, {_UP} FROM tree WHERE len(nodes) > 1),
+sub AS (SELECT lang, level AS depth, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM tree WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY g) AS nodes FROM sub UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(nodes) > 1),
+climb AS (SELECT lang, doc_id, leaf, p, p AS at, 0 AS level, low AS fold, '' AS sib FROM l UNION ALL
+  SELECT c.lang, doc_id, leaf, p, c.at // 8, c.level + 1, sha256({_LEFT} || fold || {_RIGHT}), sib || {_LEFT} || {_RIGHT}
+  FROM climb c JOIN tree t ON c.lang IS NOT DISTINCT FROM t.lang AND c.level = t.level WHERE len(nodes) > 1),
+high AS (SELECT doc_id, leaf, subroot, g AS at, 0 AS level, fold, sib FROM climb c JOIN sub ON c.lang IS NOT DISTINCT FROM sub.lang AND c.level = depth UNION ALL
+  SELECT doc_id, leaf, subroot, c.at // 8, c.level + 1, sha256({_LEFT} || fold || {_RIGHT}), sib || {_LEFT} || {_RIGHT} FROM high c JOIN top t ON c.level = t.level WHERE len(nodes) > 1)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = nodes[1] AS verified FROM high JOIN top ON high.level = top.level WHERE len(nodes) = 1"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest, op11_merkle)}
+ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL, "op11_merkle": OP11_SQL}
