@@ -165,5 +165,32 @@ high AS (SELECT doc_id, leaf, subroot, g AS at, 0 AS level, fold, sib FROM climb
 SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = nodes[1] AS verified FROM high JOIN top ON high.level = top.level WHERE len(nodes) = 1"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest, op11_merkle)}
-ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL, "op11_merkle": OP11_SQL}
+def op12_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vafile import vafile_clusters
+
+    return vafile_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(rounds: int = 3, k: int = 16) -> str:
+    """The plain form: every distance of every round."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT key, vec_id, v.q, c, {square} AS d FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, c) = 1)"""
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT p.c, coalesce(m.q, p.q) AS q FROM c{r} p LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS q FROM s{r} GROUP BY c) m USING (c))"""
+    return out + f"""
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(p.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} p ON a.c = p.c"""
+
+
+OP12_SQL = _clusters_sql()
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest, op11_merkle, op12_vafile)}
+ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL, "op11_merkle": OP11_SQL, "op12_vafile": OP12_SQL}
