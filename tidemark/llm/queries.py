@@ -192,5 +192,12 @@ FROM a{rounds} a JOIN c{rounds} p ON a.c = p.c"""
 OP12_SQL = _clusters_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest, op11_merkle, op12_vafile)}
+def op13_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.balanced import pack_balanced
+
+    out = pack_balanced(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "piece_cost")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_katz, op4_secrets, op5_mixing, op6_jaccard, op7_line_frequency, op8_line_spread, op9_packing, op10_nearest, op11_merkle, op12_vafile, op13_balanced)}
 ORACLE = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op7_line_frequency": OP7_SQL, "op8_line_spread": OP8_SQL, "op11_merkle": OP11_SQL, "op12_vafile": OP12_SQL}
