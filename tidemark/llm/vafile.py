@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-DIMENSIONS, CENTROIDS, ROUNDS, BITS = 64, 16, 3, 5
+DIMENSIONS, CENTROIDS, ROUNDS, BITS = 64, 16, 3, 6
+#: On the given vectors (integers with a deviation of 8) cells of 6 bits leave 1 to 2 % of the rows undecided, 5 bits 88 to 98 %.
 #: Boundaries of cells come from so many vectors, those with the smallest hashes; they affect the work, never a result.
 SAMPLE = 4096
 #: Components beyond this would overflow a long when squared and summed.
@@ -80,7 +81,7 @@ def first_centroids(vectors: DataFrame, k: int, dimensions: int) -> np.ndarray:
 def boundaries(vectors: DataFrame, bits: int, dimensions: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Per dimension and cell, the least and greatest integer it may hold: (dimensions, cells) each.
 
-    Inner boundaries part a bounded sample evenly; the outer cells end at the least and greatest value of all rows.
+    Cells are equally wide over the range of a bounded sample; the outer ones end at the least and greatest value of all rows.
     """
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +95,7 @@ def boundaries(vectors: DataFrame, bits: int, dimensions: int, sample: int = SAM
     cells = 1 << bits
     low = np.empty((dimensions, cells), np.int64)
     for d in range(dimensions):
-        values, counts = np.unique(some[:, d], return_counts=True)
-        if len(values) <= cells:  # a cell for each value seen
-            inner = values[1:]
-        else:
-            inner = np.unique(values[np.searchsorted(np.cumsum(counts), np.arange(1, cells) * len(some) / cells)])
+        inner = np.unique(np.round(np.linspace(some[:, d].min(), some[:, d].max() + 1, cells + 1)).astype(np.int64))[1:-1]
         low[d] = np.concatenate([[ends[d]["low"]], inner, np.full(cells - 1 - len(inner), ends[d]["high"] + 1)])
     high = np.concatenate([low[:, 1:] - 1, np.array([[e["high"]] for e in ends], np.int64)], axis=1)
     return low, np.maximum(high, low)
