@@ -119,6 +119,7 @@ def run(spark, tmp_path, batches, schema, make, mode="append", name="q"):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    run.late = live.late_rows(q)
     return spark.table(name).collect()
 
 
@@ -140,8 +141,12 @@ def test_state_streams(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     schema = "symbol string, seq long, ts timestamp, day_volume double"
     rows = [("s", i, at(i), float(i % 7)) for i in range(20)]
-    got = run(spark, tmp_path, [rows[:9], rows[9:]], schema, live.live_volume, name="vol")
+    late = [("s", 100, at(-98), 5.0)]
+    # out of order within and across batches; one row 98 s behind what others have passed
+    batches = [rows[3:9][::-1], [*rows[:3], *rows[9:14]], [rows[15], rows[14], *rows[16:]], [("~", 0, at(500), 0.0)], [*late, ("~", 1, at(501), 0.0)]]
+    got = [r for r in run(spark, tmp_path, batches, schema, live.live_volume, name="vol") if r.symbol == "s"]
     assert sorted((r.seq, r.traded) for r in got) == [(i, 0.0 if i % 7 == 0 else 1.0) for i in range(20)]
+    assert run.late == 1 and {r.seq: r.ts for r in got}[7] == at(7)
 
 
 def test_feature_stream_equals_batch(spark, tmp_path):
@@ -150,7 +155,8 @@ def test_feature_stream_equals_batch(spark, tmp_path):
 
     schema = "symbol string, seq long, ts timestamp, bid double, ask double, volume double"
     rows = [("s", i, at(i), 100 + (i * 37 % 11) * 0.01, 100.02 + (i * 37 % 11) * 0.01, float(i % 5 + 1)) for i in range(150)]
-    got = {r.ticks_seen - 1: r for r in run(spark, tmp_path, [rows[:70], rows[70:]], schema, live.live_features, name="feat")}
+    batches = [[*rows[:68], *rows[72:75]], [*rows[68:72], *rows[75:]], [("~", 0, at(900), 1.0, 1.0, 1.0)]]
+    got = {r.ticks_seen - 1: r for r in run(spark, tmp_path, batches, schema, live.live_features, name="feat") if r.symbol == "s"}
     batch = spark.createDataFrame(rows, schema).select("symbol", "seq", F.unix_micros("ts").alias("ts_us"), "bid", "ask", F.col("bid").alias("last"), "volume", F.lit(1.0).alias("bid_size"), F.lit(1.0).alias("ask_size"))
     want = {r.seq: r for r in tape_features(batch).collect()}
     assert set(got) == set(want)
@@ -163,12 +169,27 @@ def test_trigger_stream(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     schema = "symbol string, seq long, ts timestamp, headline string, flow double"
     rows = [("s", i, at(i), "news" if i == 2 else None, 0.9 if i in (5, 10, 30, 60) else 0.0) for i in range(70)]
-    got = run(spark, tmp_path, [rows[:20], rows[20:]], schema, live.stance_triggers, name="trig")
-    assert sorted((r.seq, r.why) for r in got) == [(2, "headline"), (5, "flow"), (30, "flow"), (60, "flow")]
+    # after an hour without rows the symbol starts anew: its flow trigger has no cooldown to wait for
+    batches = [rows[:20], rows[20:], [("~", 0, at(9000), None, 0.0)], [("~", 1, at(9001), None, 0.0)], [("s", 71, at(9500), None, 0.9)], [("~", 2, at(20_000), None, 0.0)]]
+    got = [r for r in run(spark, tmp_path, batches, schema, lambda x: live.stance_triggers(x, idle_ms=3_600_000), name="trig") if r.symbol == "s"]
+    assert sorted((r.seq, r.why) for r in got) == [(2, "headline"), (5, "flow"), (30, "flow"), (60, "flow"), (71, "flow")]
     said = {r.seq: r.described for r in got}
     assert said[30].endswith("news)") and said[60].startswith("(no headline")
 
 
+def test_upserts_count_a_repeated_batch_once(spark, tmp_path):
+    schema = "symbol string, price double, size double, pnl double"
+    one = live.running_stats(spark.createDataFrame([("s", 1.0, 2.0, 3.0)], schema))
+    two = live.running_stats(spark.createDataFrame([("s", 1.0, 2.0, 3.0), ("s", 1.0, 2.0, -1.0), ("t", 1.0, 1.0, 1.0)], schema))
+    put = live.upserts(str(tmp_path / "u"))
+    for batch, number in ((one, 0), (two, 1), (two, 1)):
+        put(batch, number)
+    got = live.upserted(spark, str(tmp_path / "u"), two.schema, ["symbol"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, two.collect()))
+    live.compacted(spark, str(tmp_path / "u"), str(tmp_path / "v"), two.schema, ["symbol"])
+    assert sorted(map(tuple, live.upserted(spark, str(tmp_path / "v"), two.schema, ["symbol"]).collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_event_quotes(spark, tmp_path):
     q = spark.createDataFrame([("s", at(i), i, 1.0 + i, 2.0 + i) for i in range(10)], "symbol string, ts timestamp, seq long, bid double, ask double")
     e = spark.createDataFrame([(1, "s", at(4.5)), (2, "s", at(400))], "event_id long, symbol string, when timestamp")

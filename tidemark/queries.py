@@ -736,27 +736,6 @@ def fn34_decisions(spark, sf_dir):
 # ----------------------------------------------------- further study forms
 
 
-@query("WITH t AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS start, ts, event_id, value, json_extract_string(props, '$.k')::DOUBLE + 1 AS volume, json_extract_string(props, '$.k')::INT % 2 = 0 AS b FROM events), z AS (SELECT symbol, start, arg_max(value, {'t': ts, 'e': event_id}) AS last, sum(volume) AS volume, greatest(sum(CASE WHEN b THEN volume ELSE 0 END), 1e-6) AS bid_size, greatest(sum(CASE WHEN b THEN 0 ELSE volume END), 1e-6) AS ask_size FROM t GROUP BY ALL) SELECT symbol, epoch_us(start) AS start_us, last, volume, last - last * 0.00005::DOUBLE / 2 AS bid, bid_size, ask_size FROM z")
-def str1_trade_bars(spark, sf_dir):
-    """The streaming bars on a finished table."""
-    from tidemark.streaming.tapes import trade_bars
-
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    trades = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), F.col("value").alias("price"), (k + 1).cast("double").alias("volume"), F.when(k % 2 == 0, "b").otherwise("s").alias("side"))
-    b = trade_bars(trades, "1 hour")
-    return b.select("symbol", micros(F.col("start")).alias("start_us"), "last", "volume", "bid", "bid_size", "ask_size")
-
-
-@query(MARKS_SQL + ", z AS (SELECT f.symbol, count(*) AS fills, sum(price * size) AS notional, sum((mid - price) * side * size) AS pnl, avg(((mid - price) * side * size > 0)::INT::DOUBLE) AS hit FROM f JOIN t USING (symbol, seq) GROUP BY 1)" + near("symbol fills", "notional pnl hit", "FROM z", 4))
-def str7_running_stats(spark, sf_dir):
-    from tidemark.streaming.tapes import running_stats
-
-    t = ticks_of(spark, sf_dir).withColumn("mid", P.mid(F.col("bid"), F.col("ask")))
-    f = tape_fills(t).join(t.select("symbol", "seq", "mid"), ["symbol", "seq"])
-    return rounded(running_stats(f.withColumn("pnl", (F.col("mid") - F.col("price")) * F.col("side") * F.col("size"))), 4)
-
-
 @query(SIGNALS_SQL + NULL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY try) AS n FROM cand WHERE try < 20) SELECT source_id AS signal_id, when_us FROM r WHERE n = 1")
 def evt7_unconditioned(spark, sf_dir):
     return N.unconditioned(signals_of(spark, sf_dir), SPAN, EXCLUDE, 0, TRIES).select("signal_id", "when_us")

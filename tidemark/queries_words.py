@@ -327,63 +327,3 @@ def led9_stances(spark, sf_dir):
     t = ticks_of(spark, sf_dir)
     s = t.filter("seq % 30 < 2").select("symbol", (F.col("seq") + F.col("seq") % 4).alias("arrival"), F.col("seq").alias("nth"), F.concat(F.lit("stance "), "seq").alias("name"))
     return valid_for(t.select("symbol", "seq"), s, 20, ("name",))
-
-
-# ----------------------------------------------------------------- streams
-
-
-def streamed(rows: DataFrame, build) -> DataFrame:
-    """rows written as files, read as a stream, through build(stream), and its whole output as a table."""
-    spark, path = rows.sparkSession, scratch(rows.sparkSession)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows.write.parquet(path + "/in")
-    out = build(spark.readStream.schema(rows.schema).parquet(path + "/in"))
-    run = out.writeStream.format("parquet").option("checkpointLocation", path + "/state").trigger(availableNow=True).start(path + "/out")
-    run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path + "/out")
-
-
-def live_ticks(spark, sf_dir):
-    return ticks_of(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us"))
-
-
-@query(TAPE_SQL + ", c AS (SELECT symbol, seq, (seq % 50) * volume AS day_volume FROM tape) SELECT symbol, seq, CASE WHEN lag(day_volume) OVER w IS NULL OR day_volume < lag(day_volume) OVER w THEN 0 ELSE day_volume - lag(day_volume) OVER w END AS traded FROM c WINDOW w AS (PARTITION BY symbol ORDER BY seq)")
-def str2_live_volume(spark, sf_dir):
-    from tidemark.streaming.tapes import live_volume
-
-    t = live_ticks(spark, sf_dir).select("symbol", "seq", "ts", ((F.col("seq") % 50) * F.col("volume")).alias("day_volume"))
-    return streamed(t, live_volume).select("symbol", "seq", "traded")
-
-
-@query(FEATURES_SQL + near("symbol ticks_seen", "mid ret_1_bps ret_5_bps vol_bps up_fraction volume_z drawdown_bps", "FROM (SELECT *, seq + 1 AS ticks_seen FROM x)", 5))
-def str3_live_features(spark, sf_dir):
-    """The features a stream of ticks gives are those of the batch form."""
-    from tidemark.streaming.tapes import live_features
-
-    t = live_ticks(spark, sf_dir).select("symbol", "seq", "ts", "bid", "ask", "volume")
-    return rounded(streamed(t, live_features).drop("ts"), 5)
-
-
-@query(TAPE_SQL + """, x AS (SELECT symbol, seq, CASE WHEN seq % 37 = 5 THEN 'news ' || seq END AS headline, ((seq * 31) % 201 - 100) / 100.0 AS flow FROM tape),
-r AS (WITH RECURSIVE f(symbol, seq, flow_seq, headline, headline_seq, why) AS (SELECT symbol, -1::BIGINT, -10000::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT symbol FROM x) UNION ALL SELECT f.symbol, x.seq, CASE WHEN x.headline IS NULL AND abs(x.flow) >= 0.55 AND x.seq - f.flow_seq >= 20 THEN x.seq ELSE f.flow_seq END, coalesce(x.headline, f.headline), CASE WHEN x.headline IS NULL THEN f.headline_seq ELSE x.seq END, CASE WHEN x.headline IS NOT NULL THEN 'headline' WHEN abs(x.flow) >= 0.55 AND x.seq - f.flow_seq >= 20 THEN 'flow' END FROM f JOIN x ON x.symbol = f.symbol AND x.seq = f.seq + 1) SELECT * FROM f)
-SELECT symbol, seq, why, CASE WHEN why = 'headline' THEN headline WHEN headline IS NOT NULL AND seq - headline_seq <= 40 THEN '(no new headline; the most recent one was: ' || headline || ')' ELSE '(no headline in the last few minutes)' END AS described FROM r WHERE why IS NOT NULL""")
-def str4_triggers(spark, sf_dir):
-    """Why a stance is asked for, with the headline remembered."""
-    from tidemark.streaming.tapes import stance_triggers
-
-    t = live_ticks(spark, sf_dir).select("symbol", "seq", "ts", F.when(F.col("seq") % 37 == 5, F.concat(F.lit("news "), "seq")).alias("headline"), (((F.col("seq") * 31) % 201 - 100) / 100).alias("flow"))
-    return streamed(t, stance_triggers).select("symbol", "seq", "why", "described")
-
-
-@query(TAPE_SQL + f", e AS (SELECT event_id, ts_us AS w FROM k WHERE event_type = 'error') SELECT e.event_id, t.ts_us AS quote_us, t.bid FROM e ASOF JOIN (SELECT * FROM tape WHERE symbol = 'purchase') t ON e.w >= t.ts_us WHERE e.w - t.ts_us <= {STALE}")
-def str6_event_quotes(spark, sf_dir):
-    """A stream of events joined with a stream of quotes up to three hours before; the last quote of each event."""
-    from tidemark.streaming.tapes import event_quotes, latest_quote
-
-    path = scratch(spark)
-    t = live_ticks(spark, sf_dir).select("symbol", "ts", "seq", "bid", "ask")
-    t.write.parquet(path)
-    quotes = spark.readStream.schema(t.schema).parquet(path)
-    e = signals_of(spark, sf_dir).select(F.col("signal_id").alias("event_id"), "symbol", F.timestamp_micros("when_us").alias("when"))
-    got = streamed(e, lambda events: event_quotes(events, quotes, "3 hours").select("event_id", "symbol", "when", "ts", "seq", "bid", "ask"))
-    return latest_quote(got).select("event_id", micros(F.col("ts")).alias("quote_us"), "bid")

@@ -1,17 +1,22 @@
-"""Structured Streaming forms of the tape operators. Late rows beyond the watermark are dropped and counted by Spark."""
+"""Structured Streaming forms of the tape operators.
+
+Stateful ones take their rows in order of event time, whatever order they arrive in: rows wait in
+state until the watermark has passed them, a timer then releases them sorted by (ts, seq) to a fold
+over the symbol's state. Rows behind the watermark are dropped and counted by Spark (late_rows()).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 LATE = "5 seconds"
-FEATURES = "symbol string, ts timestamp, mid double, ret_1_bps double, ret_5_bps double, vol_bps double, up_fraction double, volume_z double, drawdown_bps double, ticks_seen long"
+FEATURES = "symbol string, ts_us long, mid double, ret_1_bps double, ret_5_bps double, vol_bps double, up_fraction double, volume_z double, drawdown_bps double, ticks_seen long"
 
 
 def trade_bars(trades: DataFrame, width: str = "1 second", late: str = LATE) -> DataFrame:
@@ -25,53 +30,137 @@ def trade_bars(trades: DataFrame, width: str = "1 second", late: str = LATE) ->
     return got.select("symbol", F.col("w.start").alias("start"), "last", "volume", (F.col("last") - half).alias("bid"), (F.col("last") + half).alias("ask"), "bid_size", "ask_size")
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    got = pd.concat(list(rows))
-    return got.sort_values(["ts", "seq"], kind="stable")
+class Ordered(StatefulProcessor):
+    """Folds a symbol's rows in order of (ts_us, seq), each once the watermark has passed it.
 
+    held: the schema of the waiting rows, which starts with ts_us and seq. A symbol has one timer, at its
+    earliest waiting row; with nothing waiting, at its last row plus idle_ms, when its state is cleared.
+    """
 
-class IntervalVolume(StatefulProcessor):
-    """Traded volume from a daily counter: what it gained, 0 for the first row and after a reset."""
+    held = "ts_us long, seq long"
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.before = handle.getValueState("before", "v double")
+        self.handle = handle
+        self.columns = [c.split()[0] for c in self.held.split(", ")]
+        self.waiting = handle.getListState("waiting", self.held)
+        self.clock = handle.getValueState("clock", "timer long, last long")
+        self.states = self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> list:
+        """Makes the fold's own states, and names those that an idle symbol loses."""
+        return []
+
+    def fold(self, symbol, rows: list[tuple]) -> pd.DataFrame:
+        """Output for rows of self.columns in order; keeps what it needs in state."""
+        raise NotImplementedError
+
+    def _set(self, at: int | None, last: int | None, before: int | None) -> None:
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.clock.update((at, last))
 
     def handleInputRows(self, key, rows, timerValues):
-        got = _ordered(rows)
-        last = self.before.get()[0] if self.before.exists() else None
-        traded = []
-        for v in got["day_volume"]:
-            traded.append(0.0 if last is None or v < last else v - last)
-            last = v
-        self.before.update((float(last),))
-        yield pd.DataFrame({"symbol": key[0], "seq": got["seq"], "ts": got["ts"], "day_volume": got["day_volume"], "traded": traded})
+        earliest = None
+        for batch in rows:
+            got = list(zip(*(batch[c].tolist() for c in self.columns), strict=True))
+            if got:
+                self.waiting.appendList(got)
+                first = min(r[0] for r in got)
+                earliest = first if earliest is None else min(earliest, first)
+        timer, last = self.clock.get() if self.clock.exists() else (None, None)
+        if earliest is not None:
+            at = -(-earliest // 1000)
+            self._set(min(at, timer) if timer is not None else at, last, timer)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        n = sum(r[0] <= passed for r in rows)
+        self.waiting.put([tuple(r) for r in rows[n:]]) if n < len(rows) else self.waiting.clear()
+        last = self.clock.get()[1] if self.clock.exists() else None
+        if n:
+            last = rows[n - 1][0]
+            yield self.fold(key[0], [tuple(r) for r in rows[:n]])
+        if n < len(rows):
+            at = -(-rows[n][0] // 1000)
+        elif self.idle_ms is not None and last is not None:
+            at = last // 1000 + self.idle_ms
+            if at * 1000 <= passed:
+                for state in self.states:
+                    state.clear()
+                self.clock.clear()
+                return
+        else:
+            at = None
+        self._set(at, last, None)  # the timer that fired is gone
 
     def close(self) -> None:
         pass
 
 
+def ordered(rows: DataFrame, fold: Ordered, output: str, late: str = LATE) -> DataFrame:
+    """rows (symbol, seq, ts, ...) through a fold in event-time order; ts comes back from the output's ts_us.
+
+    Rows without symbol, seq or ts have no place in an order and are left out.
+    """
+    named = rows.filter("symbol IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts"))
+    got = named.groupBy("symbol").transformWithStateInPandas(fold, output, "Append", "EventTime")
+    return got.withColumn("ts_us", F.timestamp_micros("ts_us")).withColumnRenamed("ts_us", "ts")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished query has dropped behind the watermark, of the progress reports Spark keeps."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
+class IntervalVolume(Ordered):
+    """Traded volume from a daily counter: what it gained, 0 for the first row and after a reset."""
+
+    held = "ts_us long, seq long, day_volume double"
+
+    def open(self, handle):
+        self.before = handle.getValueState("before", "v double")
+        return [self.before]
+
+    def fold(self, symbol, rows):
+        last = self.before.get()[0] if self.before.exists() else None
+        out = []
+        for ts, seq, v in rows:
+            out.append((symbol, seq, ts, v, 0.0 if last is None or v < last else v - last))
+            last = v
+        self.before.update((last,))
+        return pd.DataFrame(out, columns=["symbol", "seq", "ts_us", "day_volume", "traded"])
+
+
 def live_volume(ticks: DataFrame, late: str = LATE) -> DataFrame:
     """ticks (symbol, seq, ts, day_volume) with traded."""
-    return ticks.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(IntervalVolume(), "symbol string, seq long, ts timestamp, day_volume double, traded double", "Append", "None")
+    return ordered(ticks, IntervalVolume(), "symbol string, seq long, ts_us long, day_volume double, traded double", late)
 
 
-class Features(StatefulProcessor):
+class Features(Ordered):
     """The last 120 ticks and returns of a symbol and its decayed variance; rows appear from the 60th tick on.
 
     There is no return into or out of a tick without a positive mid; the latest return stands again.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    held = "ts_us long, seq long, bid double, ask double, volume double"
+
+    def open(self, handle):
         self.ticks = handle.getListState("ticks", "mid double, volume double")
         self.returns = handle.getListState("returns", "r double")
         self.state = handle.getValueState("state", "var double, seen long")
+        return [self.ticks, self.returns, self.state]
 
-    def handleInputRows(self, key, rows, timerValues):
-        got = _ordered(rows)
+    def fold(self, symbol, rows):
         held, rets = [tuple(x) for x in self.ticks.get()], [x[0] for x in self.returns.get()]
         var, seen = self.state.get() if self.state.exists() else (None, 0)
         out = []
-        for ts, bid, ask, volume in zip(got["ts"], got["bid"], got["ask"], got["volume"], strict=True):
+        for ts, _, bid, ask, volume in rows:
             mid = (bid + ask) / 2
             if held and mid > 0 and held[-1][0] > 0:
                 rets = [*rets, float(np.log(mid / held[-1][0]))][-120:]
@@ -83,55 +172,56 @@ class Features(StatefulProcessor):
                 m, v = np.array(held).T
                 r = np.array(rets)
                 sd, top = v.std(), m.max()
-                out.append((key[0], ts, mid, r[-1] * 1e4 if len(r) else 0.0, r[-5:].sum() * 1e4, np.sqrt(var or 0.0) * 1e4, (r[-10:] > 0).mean() if len(r) else 0.5, (volume - v.mean()) / sd if sd > 0 else 0.0, (mid - top) / top * 1e4 if top > 0 else 0.0, seen))
+                out.append((symbol, ts, mid, r[-1] * 1e4 if len(r) else 0.0, r[-5:].sum() * 1e4, np.sqrt(var or 0.0) * 1e4, (r[-10:] > 0).mean() if len(r) else 0.5, (volume - v.mean()) / sd if sd > 0 else 0.0, (mid - top) / top * 1e4 if top > 0 else 0.0, seen))
         self.ticks.put(held)
-        self.returns.put([(x,) for x in rets])
+        self.returns.put([(x,) for x in rets]) if rets else self.returns.clear()
         self.state.update((float(var) if var is not None else None, int(seen)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
 def live_features(ticks: DataFrame, late: str = LATE) -> DataFrame:
-    """Feature rows of ticks (symbol, seq, ts, bid, ask, volume), with at most 120 ticks and returns of state a symbol."""
-    return ticks.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Features(), FEATURES, "Append", "None")
+    """Feature rows of ticks (symbol, seq, ts, bid, ask, volume), with at most 120 ticks and returns of state a symbol beside those that wait."""
+    return ordered(ticks, Features(), FEATURES, late)
 
 
-class Triggers(StatefulProcessor):
-    """Why a stance is asked for: a headline, or one-sided flow outside a cooldown; the last headline is remembered for a while."""
+class Triggers(Ordered):
+    """Why a stance is asked for: a headline, or one-sided flow outside a cooldown; the last headline is remembered for a while.
 
-    def __init__(self, threshold: float = 0.55, cooldown: int = 20, remembered: int = 40):
-        self.threshold, self.cooldown, self.remembered = threshold, cooldown, remembered
+    A symbol without rows for idle_ms of event time forgets both.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    held = "ts_us long, seq long, headline string, flow double"
+
+    def __init__(self, threshold: float = 0.55, cooldown: int = 20, remembered: int = 40, idle_ms: int | None = None):
+        self.threshold, self.cooldown, self.remembered, self.idle_ms = threshold, cooldown, remembered, idle_ms
+
+    def open(self, handle):
         self.state = handle.getValueState("state", "flow_seq long, headline string, headline_seq long")
+        return [self.state]
 
-    def handleInputRows(self, key, rows, timerValues):
-        got = _ordered(rows)
-        flow_seq, headline, headline_seq = self.state.get() if self.state.exists() else (-10_000, None, None)
+    def fold(self, symbol, rows):
+        flow_seq, headline, headline_seq = self.state.get() if self.state.exists() else (None, None, None)
         out = []
-        for seq, ts, text, flow in zip(got["seq"], got["ts"], got["headline"], got["flow"], strict=True):
+        for ts, seq, text, flow in rows:
             why, said = None, "(no headline in the last few minutes)"
-            if isinstance(text, str):
-                why, said, headline, headline_seq = "headline", text, text, int(seq)
+            if text is not None:
+                why, said, headline, headline_seq = "headline", text, text, seq
             else:
-                if abs(flow) >= self.threshold and seq - flow_seq >= self.cooldown:
-                    why, flow_seq = "flow", int(seq)
+                if abs(flow) >= self.threshold and (flow_seq is None or seq - flow_seq >= self.cooldown):
+                    why, flow_seq = "flow", seq
                 if headline is not None and seq - headline_seq <= self.remembered:
                     said = f"(no new headline; the most recent one was: {headline})"
             if why:
-                out.append((key[0], seq, ts, why, said))
-        self.state.update((int(flow_seq), headline, headline_seq))
-        yield pd.DataFrame(out, columns=["symbol", "seq", "ts", "why", "described"])
-
-    def close(self) -> None:
-        pass
+                out.append((symbol, seq, ts, why, said))
+        if headline is not None and rows[-1][1] - headline_seq > self.remembered:
+            headline = headline_seq = None  # no later row can name it
+        self.state.update((flow_seq, headline, headline_seq))
+        return pd.DataFrame(out, columns=["symbol", "seq", "ts_us", "why", "described"])
 
 
-def stance_triggers(rows: DataFrame, late: str = LATE) -> DataFrame:
+def stance_triggers(rows: DataFrame, late: str = LATE, idle_ms: int | None = None) -> DataFrame:
     """Trigger rows of observations (symbol, seq, ts, headline, flow)."""
-    return rows.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Triggers(), "symbol string, seq long, ts timestamp, why string, described string", "Append", "None")
+    return ordered(rows, Triggers(idle_ms=idle_ms), "symbol string, seq long, ts_us long, why string, described string", late)
 
 
 def event_quotes(events: DataFrame, quotes: DataFrame, bound: str = "300 seconds", late: str = LATE) -> DataFrame:
@@ -143,9 +233,38 @@ def event_quotes(events: DataFrame, quotes: DataFrame, bound: str = "300 seconds
 
 def latest_quote(joined: DataFrame) -> DataFrame:
     """The last quote of each event of one micro-batch, for foreachBatch."""
-    return joined.groupBy("event_id", "symbol", "when").agg(F.max_by(F.struct("ts", "bid", "ask"), F.struct("ts", "seq")).alias("q")).select("event_id", "symbol", "when", "q.*")
+    return joined.groupBy("event_id", "symbol", "when").agg(F.max_by(F.struct("ts", "seq", "bid", "ask"), F.struct("ts", "seq")).alias("q")).select("event_id", "symbol", "when", "q.*")
 
 
 def running_stats(fills: DataFrame) -> DataFrame:
     """Per symbol: fills, notional, pnl and hit rate so far; for update mode."""
     return fills.groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.sum(F.col("price") * F.col("size")).alias("notional"), F.sum("pnl").alias("pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit"))
+
+
+# ------------------------------------------------------- changing results
+
+
+def upserts(path: str, reduce: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for results that change: each batch's rows replace that batch's own folder.
+
+    A batch that runs again after a failure writes the same folder again, so nothing counts twice.
+    reduce is applied to each batch before it is written. upserted() gives the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def upserted(spark: SparkSession, path: str, schema, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """The rows an upserts() folder holds now: of each key the row of the latest batch, or of the greatest `by`."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    got = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(by or ["batch"]))).alias("_r"))
+    return got.select(*keys, "_r.*")
+
+
+def compacted(spark: SparkSession, path: str, to: str, schema, keys: list[str], by: list[str] | None = None) -> None:
+    """Writes what upserted() gives as the first batch of a new folder, for streams with many batches."""
+    upserted(spark, path, schema, keys, by).write.mode("overwrite").parquet(f"{to}/batch=-1")
