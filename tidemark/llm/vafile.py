@@ -135,9 +135,17 @@ def exact(ints: np.ndarray, maybe: np.ndarray, centroids: np.ndarray) -> tuple[n
     return nearest, len(several)
 
 
-def sums_rows(change: np.ndarray, counts: np.ndarray, fetched: int) -> list:
-    """A batch's sums and counts by centroid as one row: (sums, counts, fetched)."""
-    return [pa.array([change.ravel().tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([fetched], pa.int64())]
+def assigned_rows(b: pa.RecordBatch, cluster: np.ndarray) -> pa.RecordBatch:
+    """A batch's rows with their clusters."""
+    none = [pa.nulls(len(b), t) for t in (pa.list_(pa.int64()), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([b.column("key"), b.column("cells"), pa.array(cluster), *none], NAMES)
+
+
+def sums_rows(sums: np.ndarray, counts: np.ndarray, fetched: int) -> pa.RecordBatch:
+    """A batch's sums and counts, a row for each centroid; the first tells how many rows were decided by their vectors."""
+    k = len(counts)
+    told = pa.array([fetched] + [0] * (k - 1), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64())), pa.array(counts.tolist(), pa.int64()), told], NAMES)
 
 
 def added(x: np.ndarray, cluster: np.ndarray, k: int, sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -172,12 +180,13 @@ class Clustering:
 
     def moved(self, rows: DataFrame) -> None:
         """Adds the sums that the batches of a round left, and moves the centroids to the floor of their means."""
-        left = stored(rows.filter("sums IS NOT NULL").select("sums", "counts", "fetched"))
-        for r in left.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
-            self.sums[r["at"] // self.dimensions][r["at"] % self.dimensions] += r["x"]
-        for r in left.select(F.posexplode("counts").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
-            self.counts[r["at"]] += r["x"]
-        self.fetched.append(left.agg(F.sum("fetched")).first()[0] or 0)
+        sums = [F.sum(F.col("sums")[d]).alias(f"s{d}") for d in range(self.dimensions)]
+        for r in rows.filter("sums IS NOT NULL").groupBy("cluster").agg(F.sum("counts").alias("n"), F.sum("fetched").alias("f"), *sums).collect():
+            c = r["cluster"]
+            self.sums[c] = [s + r[f"s{d}"] for d, s in enumerate(self.sums[c])]
+            self.counts[c] += r["n"]
+            if c == 0:
+                self.fetched.append(r["f"])
         for c in range(self.k):
             if self.counts[c]:
                 self.centroids[c] = [s // self.counts[c] for s in self.sums[c]]
@@ -199,9 +208,8 @@ class Clustering:
                     distance = ((x - centroids[cluster]) ** 2).sum(axis=1)
                     yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cluster), pa.array(distance)], ["vec_id", "cluster", "distance"])
                 else:
-                    n = len(b)
-                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("cells"), pa.array(cluster), *[pa.nulls(n, t) for t in (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())]], NAMES)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int32())] + sums_rows(*added(x, cluster, k), fetched), NAMES)
+                    yield assigned_rows(b, cluster)
+                    yield sums_rows(*added(x, cluster, k), fetched)
 
         kind = dict(self.table.dtypes)["vec_id"]
         return stored(self.table.mapInArrow(run, f"vec_id {kind}, cluster int, distance long" if last else SCHEMA))
@@ -226,9 +234,8 @@ class Clustering:
                 cluster, fetched = exact(x, judged(unpacked(binary_rows(b.column("cells"), "u1"), bits, dimensions), least, most), centroids)
                 other = cluster != before
                 plus, minus = added(x[other], cluster[other], k), added(x[other], before[other], k, -1)
-                n = len(b)
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("cells"), pa.array(cluster), *[pa.nulls(n, t) for t in (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())]], NAMES)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int32())] + sums_rows(plus[0] + minus[0], plus[1] + minus[1], fetched), NAMES)
+                yield assigned_rows(b, cluster)
+                yield sums_rows(plus[0] + minus[0], plus[1] + minus[1], fetched)
 
         seen = stored(state.filter("key IS NOT NULL").select("key", "cells", "cluster").mapInArrow(judge, "key long, cells binary, cluster int, decided int"))
         stays = F.col("decided") == F.col("cluster")
@@ -238,7 +245,7 @@ class Clustering:
 
 
 NAMES = ["key", "cells", "cluster", "sums", "counts", "fetched"]
-SCHEMA = "key long, cells binary, cluster int, sums array<long>, counts array<long>, fetched long"
+SCHEMA = "key long, cells binary, cluster int, sums array<long>, counts long, fetched long"
 
 
 def vafile_clusters(rows: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, bits: int = BITS, dimensions: int = DIMENSIONS, report: list[int] | None = None) -> DataFrame:
