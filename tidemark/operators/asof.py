@@ -34,13 +34,11 @@ def bounded_asof(tape: DataFrame, probes: DataFrame, bound_us: int, direction: s
     first = (direction == BACKWARD) != strict
     ticks = ticks.withColumn("_kind", F.lit(0 if first else 1)).withColumn("_p", F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType))
     asked = probes.select("symbol", F.floor(F.col("when_us") / size).alias("_bucket"), F.col("when_us").alias("_t"), F.lit(None).cast("long").alias("_seq"), F.lit(None).cast(ticks.schema["_q"].dataType).alias("_q"), F.lit(1 if first else 0).alias("_kind"), F.struct("*").alias("_p"))
-    order = Window.partitionBy("symbol", "_bucket").orderBy("_t", "_kind", "_seq")
-    if direction == BACKWARD:
-        answer = F.last("_q", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        age = F.col("_t") - F.col("_a.ts_us")
-    else:
-        answer = F.first("_q", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-        age = F.col("_a.ts_us") - F.col("_t")
+    # looking ahead is looking back in the opposite order: a frame that only grows is one running value
+    order = ["_t", "_kind", "_seq"] if direction == BACKWARD else [F.desc("_t"), F.desc("_kind"), F.desc("_seq")]
+    so_far = Window.partitionBy("symbol", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    answer = F.last("_q", ignorenulls=True).over(so_far)
+    age = side * (F.col("_t") - F.col("_a.ts_us"))
     out = ticks.unionByName(asked).withColumn("_a", answer).filter(F.col("_p").isNotNull())
     out = out.withColumn("_a", F.when((age >= 0) & (age <= bound_us), F.col("_a")))
     return out.select("_p.*", *[F.col(f"_a.{v}").alias(prefix + v) for v in ("ts_us", "seq", *values)])

@@ -10,29 +10,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import sentences, title_family
-from tidemark.schema import SECOND
+from tidemark.operators.asof import carried_asof
+from tidemark.schema import DAY, SECOND
+
+
+def _latest_before(rows: DataFrame, keys: list[str], held: Column, name: str, bucket_us: int = 365 * DAY) -> DataFrame:
+    """rows with `name` = (ts_us, id) of the latest row of the same keys with a smaller stamp for which `held` is true.
+
+    Only stamps and ids are carried, over buckets of time, so an issuer with most of the documents spreads
+    over its years; equal stamps share their predecessor.
+    """
+    rows = rows.withColumn("_found", F.when(held, F.struct("ts_us", "id"))).withColumn("_bucket", F.coalesce(F.floor(F.col("ts_us") / bucket_us), F.lit(0)))
+    ends = rows.groupBy(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b")).agg(F.max("_found").alias("_end"))
+    before = Window.partitionBy(*[f"_k_{i}" for i in range(len(keys))]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carry", F.max("_end").over(before)).drop("_end")
+    own = Window.partitionBy(*keys, "_bucket").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    got = rows.withColumn("_own", F.max("_found").over(own)).join(ends, [*same, F.col("_bucket") == F.col("_b")], "left")
+    return got.withColumn(name, F.when(F.col("ts_us").isNotNull(), F.coalesce("_own", "_carry"))).drop("_found", "_bucket", "_own", "_carry", "_b", *[f"_k_{i}" for i in range(len(keys))])
+
+
+def _with_values(docs: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """docs with prev_id, prev_ts_us and prev_<value> from found (_row id, _p): texts meet by id, once each, after all order is known."""
+    bodies = docs.select(F.col("id").alias("_pid"), F.col("ts_us").alias("_pts"), F.col(value).alias("prev_" + value))
+    got = docs.join(found.select(F.col("id").alias("_id"), F.col("ts_us").alias("_ts"), "_p"), F.col("id").eqNullSafe(F.col("_id")) & F.col("ts_us").eqNullSafe(F.col("_ts")), "left")
+    got = got.join(bodies, (F.col("_p.id") == F.col("_pid")) & (F.col("_p.ts_us") == F.col("_pts")), "left")
+    return got.select(*docs.columns, F.col("_p.id").alias("prev_id"), F.col("_p.ts_us").alias("prev_ts_us"), "prev_" + value)
 
 
 def previous_edition(docs: DataFrame, keys: tuple[str, ...] = ("issuer", "kind"), title: str = "title", value: str = "body") -> DataFrame:
     """docs (id, ts_us, ...) with prev_id, prev_ts_us and prev_<value>: the latest earlier one of the same keys and title family that has a body.
 
-    Earlier means a smaller stamp: documents of one stamp share their predecessor.
+    Earlier means a smaller stamp: documents of one stamp share their predecessor. (id, ts_us) must be unique.
     """
-    rows = docs.withColumn("_family", title_family(F.col(title)))
-    found = F.when(F.coalesce(F.length(value), F.lit(0)) > 0, F.struct(F.col("ts_us").alias("ts_us"), F.col("id").alias("id"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys, "_family").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_p", F.max(found).over(w))
-    return rows.select(*docs.columns, F.col("_p.id").alias("prev_id"), F.col("_p.ts_us").alias("prev_ts_us"), F.col("_p.v").alias("prev_" + value))
+    rows = docs.select("id", "ts_us", *keys, title_family(F.col(title)).alias("_family"), (F.coalesce(F.length(value), F.lit(0)) > 0).alias("_has"))
+    return _with_values(docs, _latest_before(rows, [*keys, "_family"], F.col("_has"), "_p"), value)
 
 
 def previous_with_fallback(docs: DataFrame, statement: Column, keys: tuple[str, ...] = ("issuer",), value: str = "body") -> DataFrame:
-    """previous_edition, else the latest earlier statement of any family by the same keys."""
-    rows = previous_edition(docs, (*keys, "kind"), value=value)
-    found = F.when(statement & (F.coalesce(F.length(value), F.lit(0)) > 0), F.struct(F.col("ts_us").alias("ts_us"), F.col("id").alias("id"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_f", F.max(found).over(w))
-    pick = lambda a, b: F.coalesce(F.col(a), F.col(b)).alias(a)
-    return rows.select(*docs.columns, pick("prev_id", "_f.id"), pick("prev_ts_us", "_f.ts_us"), pick("prev_" + value, "_f.v"))
+    """previous_edition, else the latest earlier statement of any family by the same keys. (id, ts_us) must be unique."""
+    has = F.coalesce(F.length(value), F.lit(0)) > 0
+    rows = docs.select("id", "ts_us", *keys, "kind", title_family(F.col("title")).alias("_family"), has.alias("_has"), statement.alias("_statement"))
+    rows = _latest_before(rows, [*keys, "kind", "_family"], F.col("_has"), "_e")
+    rows = _latest_before(rows, list(keys), F.col("_has") & F.col("_statement"), "_f").withColumn("_p", F.coalesce("_e", "_f"))
+    return _with_values(docs, rows, value)
 
 
 def changed_sentences(docs: DataFrame, old: str = "prev_body", new: str = "body", limit: int = 12) -> DataFrame:
@@ -70,8 +91,8 @@ def near_duplicate_headlines(rows: DataFrame, title: str = "title", order: tuple
     """The first row, in time order, of each opening: the first seven words of the title in lower case without other signs."""
     key = F.trim(F.regexp_replace(F.lower(F.col(title)), "[^a-z0-9 ]", ""))
     opening = F.array_join(F.slice(F.split(key, r"\s+"), 1, 7), " ")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    return rows.withColumn("_key", opening).filter(F.col("_key") != "").withColumn("_r", first).filter("_r = 1").drop("_key", "_r")
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))  # combines before the shuffle, so a common opening is no hot group
+    return rows.withColumn("_key", opening).filter(F.col("_key") != "").groupBy("_key").agg(first.alias("_r")).select("_r.*")
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -106,19 +127,18 @@ def between_releases(releases: DataFrame, remarks: DataFrame, chair: Column, cha
 
     The chair's last n_chair with a body, cut, and the last n_other of the others without.
     """
-    w = Window.partitionBy("issuer").orderBy("ts_us")
-    spans = releases.select(F.col("id").alias("release_id"), "issuer", F.col("ts_us").alias("hi"), F.lag("ts_us").over(w).alias("lo"))
-    said = remarks.withColumn("is_chair", chair).select(F.col("id").alias("remark_id"), "issuer", "ts_us", "is_chair", "body")
-    # the next release at or after a remark is its only candidate, found by one ordered pass
-    both = said.select("issuer", "ts_us", F.lit(0).alias("_k"), F.struct("remark_id", "ts_us", "is_chair", "body").alias("_m"), F.lit(None).cast("struct<release_id:string,lo:long,hi:long>").alias("_r")).unionByName(
-        spans.select("issuer", F.col("hi").alias("ts_us"), F.lit(-1).alias("_k"), F.lit(None).cast("struct<remark_id:string,ts_us:long,is_chair:boolean,body:string>").alias("_m"), F.struct(F.col("release_id").cast("string").alias("release_id"), "lo", "hi").alias("_r"))
-    )
-    ahead = Window.partitionBy("issuer").orderBy("ts_us", "_k").rowsBetween(0, Window.unboundedFollowing)
-    rows = both.withColumn("_n", F.first("_r", ignorenulls=True).over(ahead)).filter(F.col("_m").isNotNull() & (F.col("_m.ts_us") > F.col("_n.lo")) & (F.col("_m.ts_us") < F.col("_n.hi")))
-    rows = rows.select("_n.release_id", "_m.*").filter(~F.col("is_chair") | (F.coalesce(F.length("body"), F.lit(0)) > 0))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("release_id", "is_chair").orderBy(F.col("ts_us").desc(), "remark_id")))
+    w = Window.partitionBy("issuer").orderBy("ts_us")  # an issuer's releases, a few a year
+    spans = releases.select(F.col("id").alias("release_id"), F.col("issuer").alias("symbol"), F.col("ts_us"), F.lit(0).cast("long").alias("seq"), F.lag("ts_us").over(w).alias("lo"))
+    said = remarks.withColumn("is_chair", chair).select(F.col("id").alias("remark_id"), F.col("issuer").alias("symbol"), F.col("ts_us").alias("when_us"), "is_chair", (F.coalesce(F.length("body"), F.lit(0)) > 0).alias("_has"))
+    # the next release at or after a remark is its only candidate: the first of them from the other end of time
+    back = spans.withColumn("ts_us", -F.col("ts_us"))
+    got = carried_asof(back, said.withColumn("when_us", -F.col("when_us")), ("release_id", "lo"), "r_", 365 * DAY).withColumn("when_us", -F.col("when_us"))
+    rows = got.filter((F.col("when_us") > F.col("r_lo")) & (F.col("when_us") < -F.col("r_ts_us")) & (~F.col("is_chair") | F.col("_has")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("r_release_id", "is_chair").orderBy(F.col("when_us").desc(), "remark_id")))
     rows = rows.filter(F.col("rank") <= F.when(F.col("is_chair"), n_chair).otherwise(n_other))
-    return rows.select("release_id", "remark_id", "is_chair", "rank", F.when(F.col("is_chair"), F.substring("body", 1, chars)).alias("body"))
+    rows = rows.select(F.col("r_release_id").cast("string").alias("release_id"), "remark_id", "is_chair", "rank")
+    bodies = remarks.select(F.col("id").alias("remark_id"), F.substring("body", 1, chars).alias("body"))
+    return rows.join(bodies, "remark_id").select("release_id", "remark_id", "is_chair", "rank", F.when(F.col("is_chair"), F.col("body")).alias("body"))
 
 
 def context(releases: DataFrame, items: DataFrame, order: tuple[str, ...], budget: int = 6000, on_violation: str = "fail") -> DataFrame:
@@ -133,10 +153,16 @@ def context(releases: DataFrame, items: DataFrame, order: tuple[str, ...], budge
     if on_violation == "fail":
         rows = rows.filter(F.assert_true(fine, F.concat(F.lit("not yet known at its release: "), F.col("label"))).isNull())
     rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
-    kept = F.sort_array(F.collect_list(F.when(fine, F.struct(rank.alias("r"), "ts_us", "label", "text"))))
-    got = rows.groupBy("release_id").agg(kept.alias("_k"), *[F.coalesce(F.bool_or(fine & (F.col("kind") == k)), F.lit(False)).alias("has_" + k) for k in order], F.count_if(~fine).alias("violations"))
-    text = F.substring(F.array_join(F.transform("_k", lambda x: F.concat(x["label"], F.lit(": "), x["text"])), "\n"), 1, budget)
-    return releases.join(got.select(F.col("release_id").alias("id"), "violations", *["has_" + k for k in order], text.alias("context")), "id", "left")
+    got = rows.groupBy("release_id").agg(*[F.coalesce(F.bool_or(fine & (F.col("kind") == k)), F.lit(False)).alias("has_" + k) for k in order], F.count_if(~fine).alias("violations"))
+    # of a release's items only those that begin within the budget are brought together
+    line = F.concat(F.col("label"), F.lit(": "), F.col("text"))
+    lines = rows.filter(fine).select("release_id", rank.alias("r"), "ts_us", "label", F.substring(line, 1, budget).alias("line"), F.length(line).alias("_n"))
+    before = Window.partitionBy("release_id").orderBy("r", "ts_us", "label", "line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_from", F.coalesce(F.sum(F.coalesce(F.col("_n") + 1, F.lit(0))).over(before), F.lit(0))).filter(F.col("_from") < budget)
+    texts = lines.groupBy("release_id").agg(F.sort_array(F.collect_list(F.struct("r", "ts_us", "label", "line"))).alias("_k"))
+    text = F.substring(F.array_join(F.transform("_k", lambda x: x["line"]), "\n"), 1, budget)
+    out = got.join(texts, "release_id", "left").select(F.col("release_id").alias("id"), "violations", *["has_" + k for k in order], F.coalesce(text, F.lit("")).alias("context"))
+    return releases.join(out, "id", "left")
 
 
 def disagreements(signals: DataFrame, a: str, b: str) -> DataFrame:
@@ -179,7 +205,7 @@ def turns(transcripts: DataFrame, marker: str = r"(?m)^([A-Z][A-Z .'-]{2,40})[.:
     A question has a question mark, a moderator's turn is short (under 120 characters), others are reporters'.
     """
     names = F.regexp_extract_all("text", F.lit(marker), 1)
-    parts = F.slice(F.split("text", marker), 2, 1_000_000)
+    parts = F.slice(F.split("text", marker), F.lit(2), F.greatest(F.size(F.split("text", marker)) - 1, F.lit(0)))
     rows = transcripts.select("doc", F.posexplode(F.arrays_zip(names.alias("speaker"), parts.alias("said"))).alias("idx", "t"))
     said = F.btrim(F.col("t.said"), F.lit(" \t\r\n"))
     style = F.when(said.contains("?"), "question").when(F.length(said) < 120, "moderator").otherwise("reporter")

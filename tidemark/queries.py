@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicons as V
 from tidemark.functions import prices as P
 from tidemark.functions import text as T
 from tidemark.functions import times as C
@@ -412,14 +413,14 @@ SALTED_SQL = "WITH s AS (SELECT doc_id, [" + ", ".join(f"'{s}'" for s in _SALT)
 
 @query(SALTED_SQL + f", h AS (SELECT *, {hits_sql('t', T.HAWKISH)} AS hawks, {hits_sql('t', T.DOVISH)} AS doves, {hits_sql('t', T.HAWKISH_WIRE)} AS up, {hits_sql('t', T.DOVISH_WIRE)} AS down, {first_sql('t', T.CURRENCIES, 'none')} AS currency FROM s) SELECT doc_id, hawks, doves, CASE WHEN hawks = doves THEN 'neutral' WHEN hawks > doves THEN 'hawkish' ELSE 'dovish' END AS stance, CASE WHEN up = down THEN 'none' WHEN up > down THEN 'stronger' ELSE 'weaker' END AS direction, currency, {first_sql('t', T.CATEGORIES, 'other')} AS category, {first_sql('t', T.KINDS, 'other')} AS kind, {first_sql('t', T.CHANNELS, 'nothing_surprising')} AS channel, {first_sql('t', T.INTERVENTION, '0.0')}::DOUBLE AS level, NOT regexp_matches(t, '{T.NOT_FX}') AND currency <> 'none' AS about_fx, CASE WHEN regexp_matches(t, '{T.BEARISH_TITLE}') THEN -1 WHEN regexp_matches(t, '{T.BULLISH_TITLE}') THEN 1 ELSE 0 END AS side FROM h")
 def fn_text_rules(spark, sf_dir):
-    t = F.col("t")
-    lean = T.word_lean(t)
-    return salted_of(spark, sf_dir).select("doc_id", lean["hawks"].alias("hawks"), lean["doves"].alias("doves"), lean["stance"].alias("stance"), T.wire_direction(t).alias("direction"), T.currency(t).alias("currency"), T.category(t).alias("category"), T.title_kind(t).alias("kind"), T.channel(t, F.lit(False)).alias("channel"), T.intervention_level(t).alias("level"), T.about_fx(t).alias("about_fx"), T.title_side(t).alias("side"))
+    """All lexicons over every whole text, in one pass."""
+    got = V.text_rules(salted_of(spark, sf_dir), "t")
+    return got.select("doc_id", "hawks", "doves", "stance", "direction", "currency", "category", "kind", "channel", "level", "about_fx", "side")
 
 
 @query(SALTED_SQL + ", c AS (SELECT doc_id, t, [" + ", ".join(f"{{'n': {hits_sql('t', p)}, 't': '{n}'}}" for n, p in T.TOPICS) + f"] AS c FROM s), r AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{T.DECIDED}') THEN regexp_extract(t, '{T.DECIDED}', 1) ELSE t END AS scope, list_reverse_sort(c)[1] AS b FROM c) SELECT doc_id, CASE WHEN b.n > 0 THEN b.t ELSE 'other' END AS topic, CASE WHEN regexp_matches(scope, '{T.DID_HIKE}') THEN 'hike' WHEN regexp_matches(scope, '{T.DID_CUT}') THEN 'cut' ELSE 'hold' END AS action FROM r")
 def fn_topic_and_action(spark, sf_dir):
-    return salted_of(spark, sf_dir).select("doc_id", T.dominant_topic(F.col("t")).alias("topic"), T.action(F.col("t")).alias("action"))
+    return V.text_rules(salted_of(spark, sf_dir), "t").select("doc_id", "topic", T.action(F.col("t")).alias("action"))
 
 
 def rate_sql(v: str) -> str:
