@@ -85,6 +85,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def attached(rows: DataFrame, names: DataFrame, keys: list[str], share: int | None = None) -> DataFrame:
+    """rows joined with names, a row for each key that has `members`: how many of rows have that key.
+
+    Keys with more rows than `share`, by default a quarter of a partition's even share, are broadcast, so that
+    their rows need not come together: at that default they are at most four for each partition. All other
+    keys join by shuffle.
+    """
+    if share is None:
+        share = max(64, (names.agg(F.sum("members")).first()[0] or 0) // (4 * parts(rows.sparkSession)))
+    large, small = names.filter(F.col("members") > share).drop("members"), names.filter(F.col("members") <= share).drop("members")
+    first = rows.join(F.broadcast(large), keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys)
+    return first.unionByName(rest)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Ascending unsigned numbers as byte planes of their differences: the width first, then plane after plane."""
     if not len(values):

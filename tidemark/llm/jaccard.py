@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tidemark.llm.common import ascii_lower, mixed, pack, parts, stored, unpack
+from tidemark.llm.common import ascii_lower, attached, mixed, pack, parts, stored, unpack
 from tidemark.llm.components import components
 
 #: A shingle of more documents than RARE is frequent.
@@ -318,9 +318,9 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 def cluster_links(clusters: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect within each cluster what any links in it connect. clusters: rows (node, component)."""
-    per = clusters.join(whole.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
-    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    rows = clusters.join(per.select("component", blocks.alias("blocks")), "component")
+    per = clusters.join(whole.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    rows = attached(clusters, stored(per.select("component", "members", blocks.alias("blocks"))), ["component"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(whole, "node")
 
@@ -357,7 +357,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     its component's ids are null.
     """
     sets = stored(indexed(docs, frequent_shingles(docs, size), size, percent))
-    firsts = stored(sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("first")))
+    firsts = stored(sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")))
     nodes = sets.join(firsts.select(F.col("first").alias("node")), "node", "left_semi")
     found = stored(key_lists(nodes, percent))
     clusters = components(found.filter("long").select("a", "b"))
@@ -366,22 +366,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     whole = whole_sets(docs, sets, wanted, size)
     links = verified(pairs, whole, percent).union(cluster_links(clusters, whole, percent))
     joined = components(stored(links))
-    named = sets.select("doc_id", "n", "d1", "d2", "node").join(firsts, ["d1", "d2"], "left").join(joined.withColumnRenamed("node", "first"), "first", "left")
-    named = stored(named.select("doc_id", "n", F.coalesce("component", "first", "node").alias("root")))
+    names = firsts.join(joined.withColumnRenamed("node", "first"), "first", "left").select("d1", "d2", "members", F.coalesce("component", "first").alias("root"))
+    full = attached(sets.filter("n > 0").select("doc_id", "n", "d1", "d2"), stored(names), ["d1", "d2"])
+    # rows without shingles are each their own
+    named = stored(full.select("doc_id", "n", "root").unionByName(sets.filter("n = 0").select("doc_id", "n", F.col("node").alias("root"))))
     return smallest_ids(named).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def smallest_ids(named: DataFrame) -> DataFrame:
-    """named (root, doc_id, ..) with component_id, the least doc_id of each root.
-
-    Roots with more than a quarter of a partition's share of rows are at most four for each partition:
-    their ids are broadcast, so that their rows need not come together. All others join by shuffle.
-    """
-    n_parts = parts(named.sparkSession)
-    share = max(64, named.count() // (4 * n_parts))
-    least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
-    large = least.filter(F.col("members") > share).select("root", "component_id")
-    small = least.filter(F.col("members") <= share).select("root", "component_id")
-    first = named.join(F.broadcast(large), "root")
-    rest = named.join(F.broadcast(large.select("root")), "root", "left_anti").join(small, "root")
-    return first.unionByName(rest)
+    """named (root, doc_id, ..) with component_id, the least doc_id of each root."""
+    return attached(named, stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))), ["root"])

@@ -26,6 +26,8 @@ LISTS_A_ROOT = 4.0
 #: Queries whose neighbours are found by brute force to learn how many lists must be visited, and the share of neighbours to find there.
 CALIBRATION, RECALL = 128, 0.93
 BLOCK, EPSILON = 16, 1.0
+#: Rows whose distances to all centres stand in memory at once, and pairs that a batch holds before those beyond the bound go.
+SLICE, PAIRS = 1024, 1_000_000
 #: Vectors and queries that one task holds, about, and queries that it scans for at once.
 CHUNK, QUERIES, BATCH = 8192, 65_536, 512
 
@@ -51,7 +53,9 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(n, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
+        size, own = (c * c).sum(1), np.empty(len(x), np.int64)
+        for a in range(0, len(x), SLICE):
+            own[a : a + SLICE] = (size - 2 * (x[a : a + SLICE] @ c.T)).argmin(1)
         order = np.argsort(own, kind="stable")
         used, starts = np.unique(own[order], return_index=True)
         c[used] = np.add.reduceat(x[order], starts) / np.diff(np.append(starts, len(x)))[:, None]
@@ -71,7 +75,7 @@ def scan(rows: np.ndarray, q: np.ndarray, limit: np.ndarray, block: int = BLOCK,
     a batch at once; when few pairs are left, only these are carried on.
     """
     dims = rows.shape[1]
-    slack = 1e-9 * (1 + np.minimum(limit, 1e300))
+    more = slack(limit)
     pairs, part = None, np.zeros((len(q), len(rows)))
     for start in range(0, dims, block):
         r, x, seen = rows[:, start : start + block], q[:, start : start + block], min(start + block, dims)
@@ -80,7 +84,7 @@ def scan(rows: np.ndarray, q: np.ndarray, limit: np.ndarray, block: int = BLOCK,
         else:
             part += ((r[pairs[1]] - x[pairs[0]]) ** 2).sum(1)
         test = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dims else 1.0
-        bound = limit * (seen / dims) * test + slack
+        bound = limit * (seen / dims) * test + more
         if pairs is None:
             alive = part <= bound[:, None]
             if alive.mean() < 0.1:
@@ -96,13 +100,41 @@ def scan(rows: np.ndarray, q: np.ndarray, limit: np.ndarray, block: int = BLOCK,
     return out
 
 
-def merged(best: np.ndarray, at: np.ndarray, more: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest of best (with places at) and of more, whose columns are the places from `first` on."""
-    k = best.shape[1]
-    every = np.concatenate([best, more], axis=1)
-    places = np.concatenate([at, np.broadcast_to(first + np.arange(more.shape[1]), more.shape)], axis=1)
-    keep = np.argpartition(every, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(every, keep, 1), np.take_along_axis(places, keep, 1)
+def slack(bound: np.ndarray) -> np.ndarray:
+    """What rounding may add to a distance."""
+    return 1e-9 * (1 + np.minimum(bound, 1e300))
+
+
+class Best:
+    """Of each query of a batch, the rows whose distances are within rounding of its k-th smallest; ties stay, whatever their number."""
+
+    def __init__(self, queries: int, k: int):
+        self.least = np.full((queries, k), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def bound(self, who: np.ndarray) -> np.ndarray:
+        return self.least[who].max(1)
+
+    def add(self, who: np.ndarray, far: np.ndarray, first: int) -> None:
+        """Distances of queries to the rows from place `first` on; infinite ones are none."""
+        k = self.least.shape[1]
+        self.least[who] = np.partition(np.concatenate([self.least[who], far], axis=1), k - 1, axis=1)[:, :k]
+        bound = self.bound(who)
+        i, c = np.nonzero((far <= (bound + slack(bound))[:, None]) & np.isfinite(far))
+        self.found.append((who[i], first + c, far[i, c]))
+        self.n += len(i)
+        if self.n > PAIRS:
+            self.pairs()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of all that are still within the bound."""
+        i, j, far = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *self.found, strict=True))
+        bound = self.least.max(1)
+        keep = far <= (bound + slack(bound))[i]
+        self.found = [(i[keep], j[keep], far[keep])]
+        self.n = int(keep.sum())
+        return self.found[0][:2]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL, sample: int = SAMPLE, lists_a_root: float = LISTS_A_ROOT, chunk: int = CHUNK, epsilon: float = EPSILON, calibration: int = CALIBRATION) -> DataFrame:
@@ -148,7 +180,8 @@ def searched(base: DataFrame, asked: DataFrame, dims: int, k: int, recall: float
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, center, norm = shared.value
         for b in batches:
-            near = distances(lifted(matrix(b.column("embedding"), dims), norm, turn), center).argmin(1)
+            x = lifted(matrix(b.column("embedding"), dims), norm, turn)
+            near = np.concatenate([np.empty(0, np.int64), *(distances(x[a : a + SLICE], center).argmin(1) for a in range(0, len(x), SLICE))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], ["vec_id", "embedding", "list"])
 
     listed = stored(base.mapInArrow(assign, "vec_id long, embedding array<double>, list int"))
@@ -229,16 +262,14 @@ def searched(base: DataFrame, asked: DataFrame, dims: int, k: int, recall: float
                 for i, blob in enumerate(some.column("lists").to_pylist()):
                     asks[i] = np.isin(names, np.frombuffer(blob, np.int32), assume_unique=True)
                 # one more than k: the query itself may be among them
-                best, at = np.full((len(q), k + 1), np.inf), np.full((len(q), k + 1), -1)
-                for j, (a, z) in enumerate(zip(opens, ends, strict=True)):
-                    who = np.flatnonzero(asks[:, j])
+                best = Best(len(q), k + 1)
+                for c, (a, z) in enumerate(zip(opens, ends, strict=True)):
+                    who = np.flatnonzero(asks[:, c])
                     if len(who):
-                        far = scan(turned[a:z], q_turned[who], best[who].max(1), epsilon=epsilon)
+                        far = scan(turned[a:z], q_turned[who], best.bound(who), epsilon=epsilon)
                         hit = np.isfinite(far).any(1)
-                        who = who[hit]
-                        best[who], at[who] = merged(best[who], at[who], far[hit], a)
-                i, c = np.nonzero(at >= 0)
-                j = at[i, c]
+                        best.add(who[hit], far[hit], a)
+                i, j = best.pairs()
                 # a sum per row, so that equal vectors get equal scores wherever they stand
                 score = (x[first[j]] * q[i]).sum(1)
                 i, score, j = np.repeat(i, copies[j]), np.repeat(score, copies[j]), by[np.repeat(starts[j], copies[j]) + offsets(copies[j])]

@@ -157,6 +157,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
             got = np.array([bins.place(n) for n in b.column("length").to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + got[:, 0]), pa.array(got[:, 1])], [*b.schema.names, "sequence_id", "offset"])
 
-    # the ids' bytes break ties between rows of one id, so that reruns agree
-    dealt = pieces.repartitionByRange(tasks, "at", "doc_id").sortWithinPartitions("at", "doc_id", "piece", "start", F.crc32("ids"))
+    # rows of one id, and the pieces of one row, are told apart by their place in the stored table
+    keys = ("at", "doc_id", "piece", "row")
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
     return dealt.select("doc_id", "piece", "start", "length", "ids").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")

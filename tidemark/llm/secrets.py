@@ -27,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 #: A candidate: a token of the secrets' alphabet, or what stands behind a key word's separator.
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-KEYED = re.compile(r"(?i:key|pwd|pass|auth|bearer|credential|private)[a-z_]*[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})", re.ASCII)
+KEY_WORDS = ("key", "pwd", "pass", "auth", "bearer", "credential", "private")
+KEY_WORD = re.compile("|".join(KEY_WORDS), re.ASCII | re.IGNORECASE)
+KEY_TAIL = re.compile("[a-z_]*", re.ASCII)
+KEY_VALUE = re.compile(r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})", re.ASCII)
 
 LEFT, INSIDE, RIGHT = 16, 48, 8
 WIDTH = LEFT + INSIDE + RIGHT
@@ -68,6 +71,24 @@ def bare(view: str) -> str:
     return "\0" * LEFT + view[LEFT : LEFT + INSIDE] + "\0" * RIGHT
 
 
+def keyed(text: str) -> list[tuple[int, int]]:
+    """Spans of the values behind key words: a key word, lower-case letters that run on, a separator, the value.
+
+    All key words of one run share its end, so where no value follows it, the search goes on near that
+    end: each run is read once, however many key words it holds.
+    """
+    out, at, longest = [], 0, max(map(len, KEY_WORDS))
+    while word := KEY_WORD.search(text, at):
+        end = KEY_TAIL.match(text, word.end()).end()
+        value = KEY_VALUE.match(text, end)
+        if value:
+            out.append(value.span(1))
+            at = value.end()
+        else:  # a key word that begins in the run may still reach beyond it
+            at = max(word.start() + 1, end - longest + 1)
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, kind of the base pattern that found it or -1) of every candidate, base findings first; no two of the others overlap a finding."""
     # of an assignment the network judges the value; the key word is context
@@ -80,7 +101,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             starts.append(s)
             ends.append(e)
     spans = {(m.start(), m.end()) for m in TOKEN.finditer(text)}
-    spans |= {m.span(1) for m in KEYED.finditer(text)}
+    spans |= set(keyed(text))
     last, at = -1, 0
     for s, e in sorted(spans):
         while at < len(ends) and ends[at] <= s:
