@@ -106,7 +106,7 @@ VECTORS = "vec_id long, embedding array<float>, cluster int"
 @pytest.mark.parametrize("bits", [1, 3, 6])
 def test_clusters_equal_a_plain_loop(spark, bits):
     rng = np.random.default_rng(4)
-    x = (rng.normal(size=(300, 64)) + 4 * rng.integers(0, 4, (300, 1))) * (0.12 if bits == 6 else 1)
+    x = rng.normal(size=(300, 64)) * 0.12 if bits == 6 else rng.normal(size=(300, 64)) + 2 * rng.integers(0, 4, (300, 1))
     x = x.astype(np.float32)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5, x[5].tolist(), 0)] * 3 + [(900 + i, [0.5] * 64, 0) for i in range(40)]  # ties and copies
     rows += [(1, None, 0), (2, [1.0] * 63, 0), (3, [float("nan")] * 64, 0), (4, [None] + [1.0] * 63, 0), (6, [float("inf")] * 64, 0), (None, [0.25] * 64, 0), (7, [1e5] * 64, 0)]

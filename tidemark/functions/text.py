@@ -186,17 +186,17 @@ def title_family(title: Column) -> Column:
 
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of a text: not split after initials and abbreviations, furniture and short ones dropped."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x01]+", " "))
     parts = F.split(flat, SENTENCE_END)
 
-    def glued(done: Column, part: Column) -> Column:
-        tail = F.element_at(done, -1)
-        last = F.element_at(F.split(tail, " "), -1)
-        short = F.regexp_like(last, F.lit(INITIALS)) | F.lower(F.rtrim(last, F.lit("."))).isin(ABBREVIATIONS)
-        again = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(tail, F.lit(" "), part)))
-        return F.when((F.size(done) > 0) & short, again).otherwise(F.concat(done, F.array(part)))
+    # a part is joined to the one before it if that ends in an initial or abbreviation, which its own last word shows
+    def short(part: Column) -> Column:
+        last = F.element_at(F.split(part, " "), -1)
+        return F.regexp_like(last, F.lit(INITIALS)) | F.lower(F.rtrim(last, F.lit("."))).isin(ABBREVIATIONS)
 
-    merged = F.aggregate(parts, F.array().cast("array<string>"), glued)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
+    joined = F.zip_with(parts, before, lambda part, last: F.concat(F.when(last.isNull(), "").when(short(last), " ").otherwise("\x01"), part))
+    merged = F.split(F.array_join(joined, ""), "\x01")
     return F.filter(F.transform(merged, F.trim), lambda s: (F.length(s) >= least) & ~F.regexp_like(s, F.lit(CHROME)))
 
 

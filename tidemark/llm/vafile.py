@@ -81,7 +81,7 @@ def first_centroids(vectors: DataFrame, k: int, dimensions: int) -> np.ndarray:
 def boundaries(vectors: DataFrame, bits: int, dimensions: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Per dimension and cell, the least and greatest integer it may hold: (dimensions, cells) each.
 
-    Cells are equally wide over the range of a bounded sample; the outer ones end at the least and greatest value of all rows.
+    Cells are equally wide over the middle of a bounded sample, its far values left out; the outer ones end at the least and greatest value of all rows.
     """
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,10 @@ def boundaries(vectors: DataFrame, bits: int, dimensions: int, sample: int = SAM
     cells = 1 << bits
     low = np.empty((dimensions, cells), np.int64)
     for d in range(dimensions):
-        inner = np.unique(np.round(np.linspace(some[:, d].min(), some[:, d].max() + 1, cells + 1)).astype(np.int64))[1:-1]
+        x = some[:, d]
+        q1, q3 = np.quantile(x, [0.25, 0.75])
+        reach = 4 * max(q3 - q1, 1)  # far values don't widen the cells of the others
+        inner = np.unique(np.round(np.linspace(max(x.min(), q1 - reach), min(x.max(), q3 + reach) + 1, cells + 1)).astype(np.int64))[1:-1]
         low[d] = np.concatenate([[ends[d]["low"]], inner, np.full(cells - 1 - len(inner), ends[d]["high"] + 1)])
     high = np.concatenate([low[:, 1:] - 1, np.array([[e["high"]] for e in ends], np.int64)], axis=1)
     return low, np.maximum(high, low)

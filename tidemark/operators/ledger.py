@@ -166,34 +166,146 @@ def folded(rows: DataFrame, keys: tuple[str, ...], start: dict, step, schema: st
     return rows.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInPandas(run, f"{given}, {schema}")
 
 
-def dead_band(ideals: DataFrame, band: float = 0.18, cap: float = 1.0, always_flat: bool = True, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:
-    """ideals (keys, seq, ideal) with `target`: changes below band * cap keep the position, but going flat is always allowed."""
+def block_folded(rows: DataFrame, keys: tuple[str, ...], start: float, summarise, enter, step, schema: str, block: int = 65536) -> DataFrame:
+    """folded() for rules of one number, a key's blocks in parallel: what a block does to any number it may start with is found alone, blocks are chained, and each is replayed.
 
-    def step(state, row):
-        flat = always_flat and row.ideal == 0.0 and state["p"] != 0.0
-        if abs(row.ideal - state["p"]) >= band * cap or flat:
-            state["p"] = row.ideal
-        return (state["p"],)
+    summarise(rows of a block) -> [(xs, outs), ..], two lists of numbers for each stretch of it;
+    enter(state, xs, outs) -> the state after that stretch; step(state, row) -> (state, values). Only a
+    row for each stretch meets in one task.
+    """
+    parts = [*keys, "_b"]
+    given = rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    named = rows.select(*parts[:-1]).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    cut = rows.withColumn("_b", F.floor(F.col("seq") / block))
+    dealt = cut.repartition(*parts).sortWithinPartitions(*parts, "seq")
 
-    return folded(ideals, keys, {"p": 0.0}, step, "target double")
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(own: tuple, held: list) -> list[tuple]:
+            return [(*own, i, xs, outs) for i, (xs, outs) in enumerate(summarise(held))]
 
+        own, held, out = None, [], []
+        for b in batches:
+            for row in b.itertuples(index=False):
+                at = tuple(getattr(row, k) for k in keys) + (row[-1],)
+                if at != own:
+                    out += told(own, held) if held else []
+                    own, held = at, []
+                held.append(row)
+        out += told(own, held) if held else []
+        yield pd.DataFrame(out, columns=[*parts, "_i", "xs", "outs"])
 
-def admitted(requests: DataFrame, cadence: int = 1, deadline_us: int = 2_000_000, interval_us: int = 1_000_000, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:
-    """requests (keys, seq, latency_us) with status: 'sent', 'busy' (one is in flight), 'off' (not at the cadence) or 'expired'.
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, start
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if tuple(row[: len(keys)]) != key:
+                    key, state = tuple(row[: len(keys)]), start
+                if row[len(keys) + 1] == 0:
+                    out.append((*row[: len(keys) + 1], state))
+                state = enter(state, row.xs, row.outs)
+            yield pd.DataFrame(out, columns=[*parts, "_start"])
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state = None, start
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                at = tuple(getattr(row, k) for k in keys) + (row[-2],)
+                if at != own:
+                    own, state = at, row[-1]
+                state, values = step(state, row)
+                out.append((*row[: len(names)], *values))
+            yield pd.DataFrame(out, columns=[*names, *[c.split()[0] for c in schema.split(", ")]])
+
+    names = rows.columns
+    stretches = dealt.mapInPandas(maps, f"{named}, _b long, _i int, xs array<double>, outs array<double>")
+    states = stretches.repartition(*keys).sortWithinPartitions(*parts, "_i").mapInPandas(chain, f"{named}, _b long, _start double")
+    right = states.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(parts)], "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(parts)]
+    known = cut.join(right, same).select(*names, "_b", "_start")
+    return known.repartition(*parts).sortWithinPartitions(*parts, "seq").mapInPandas(replay, f"{given}, {schema}")
+
+
+#: A stretch of a block ends where its map would have more pieces than this.
+PIECES = 256
 
-    An expired request is dropped at its deadline and frees the line then.
+
+def dead_band(ideals: DataFrame, band: float = 0.18, cap: float = 1.0, always_flat: bool = True, keys: tuple[str, ...] = ("run", "symbol"), block: int = 65536, pieces: int = PIECES) -> DataFrame:
+    """ideals (keys, seq, ideal) with `target`: changes below band * cap keep the position, but going flat is always allowed.
+
+    A start position is kept until the first ideal that it moves to, and only an ideal beyond all before it
+    can be that one. So a block's map is a list of such ideals, each with what the position is at the
+    block's end if it is taken; positions that take the same ideal later on are one from there.
     """
+    width = band * cap
+
+    def moves(x: float, p: float) -> bool:
+        return abs(x - p) >= width or (always_flat and x == 0.0 and p != 0.0)
+
+    def summarise(held: list) -> list:
+        out, firsts, groups, low, high, flat = [], [], {}, None, None, False
+        for row in held:
+            x = float(row.ideal)
+            moving = [v for v in groups if moves(x, v)]
+            if moving:
+                joined = [i for v in moving for i in groups.pop(v)]
+                groups.setdefault(x, []).extend(joined)
+            if low is None or x < low or x > high or (always_flat and x == 0.0 and not flat):
+                groups.setdefault(x, []).append(len(firsts))
+                firsts.append(x)
+                low, high, flat = x if low is None else min(low, x), x if high is None else max(high, x), flat or x == 0.0
+            if len(firsts) >= pieces:
+                out.append((firsts, groups))
+                firsts, groups, low, high, flat = [], {}, None, None, False
+        if firsts:
+            out.append((firsts, groups))
+        return [(xs, [v for _, v in sorted((i, v) for v, own in g.items() for i in own)]) for xs, g in out]
+
+    def enter(p: float, xs, outs) -> float:
+        return next((float(o) for x, o in zip(xs, outs, strict=True) if moves(x, p)), p)
+
+    def step(p: float, row):
+        p = float(row.ideal) if moves(row.ideal, p) else p
+        return p, (p,)
+
+    return block_folded(ideals, keys, 0.0, summarise, enter, step, "target double", block)
+
+
+def admitted(requests: DataFrame, cadence: int = 1, deadline_us: int = 2_000_000, interval_us: int = 1_000_000, keys: tuple[str, ...] = ("run", "symbol"), block: int = 65536) -> DataFrame:
+    """requests (keys, seq, latency_us) with status: 'sent', 'busy' (one is in flight), 'off' (not at the cadence) or 'expired'.
 
-    def step(state, row):
+    An expired request is dropped at its deadline and frees the line then. What a block starts with is for
+    how long the line is still taken, a whole number up to the deadline's; a block's map says for each when
+    the line is free at its end, and soon all agree.
+    """
+    most = max(1, -(-deadline_us // interval_us))
+
+    def taken(seq: int, latency: int) -> int:
+        return seq + max(1, -(-min(latency, deadline_us) // interval_us))
+
+    def summarise(held: list) -> list:
+        first = held[0].seq
+        free = {first + d: [d] for d in range(most + 1)}  # when free -> the starts that lead there
+        for row in held:
+            if row.seq % cadence == 0:
+                ready = [f for f in free if f <= row.seq]
+                if ready:
+                    joined = [d for f in ready for d in free.pop(f)]
+                    free.setdefault(taken(row.seq, row.latency_us), []).extend(joined)
+        return [([float(first)], [float(f) for _, f in sorted((d, f) for f, own in free.items() for d in own)])]
+
+    def enter(state: float, xs, outs) -> float:
+        return float(outs[min(most, max(0, int(state - xs[0])))])
+
+    def step(state: float, row):
         if row.seq % cadence:
-            return ("off",)
-        if row.seq < state["free"]:
-            return ("busy",)
-        late = row.latency_us > deadline_us
-        state["free"] = row.seq + max(1, -(-min(row.latency_us, deadline_us) // interval_us))
-        return ("expired" if late else "sent",)
-
-    return folded(requests, keys, {"free": -1}, step, "status string")
+            return state, ("off",)
+        if row.seq < state:
+            return state, ("busy",)
+        return float(taken(row.seq, row.latency_us)), ("expired" if row.latency_us > deadline_us else "sent",)
+
+    return block_folded(requests, keys, -1.0, summarise, enter, step, "status string", block)
 
 
 def quotes(rows: DataFrame, half_bps: float = 2.0, size: float = 1.0, most: float = 8.0, skew_bps: float = 2.5, widen: float = 0.35) -> DataFrame:

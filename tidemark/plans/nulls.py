@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import clamped
 from tidemark.operators.labels import SIGMAS, excursion
+from tidemark.operators.stats import hit_rate, stat, z_score
 from tidemark.schema import DAY, HOUR, stored
 
 
@@ -87,16 +88,20 @@ def unconditioned(signals: DataFrame, span_us: int = 5 * DAY, exclude_us: int =
     return cand.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "try")
 
 
-def trial_times(span: DataFrame, trials: int, n: int, seed: int = 0) -> DataFrame:
-    """Rows (symbol, trial, draw, when_us): n uniform moments for each trial within a one-row span (symbol, lo, hi)."""
-    ids = span.sparkSession.range(trials * n).select((F.col("id") / n).cast("long").alias("trial"), (F.col("id") % n).alias("draw"))
+def trial_times(spans: DataFrame, trials: int, n: int | Column, seed: int = 0) -> DataFrame:
+    """Rows (symbol, trial, draw, when_us): n uniform moments for each symbol and trial within the symbol's span (symbol, lo, hi).
+
+    n: a number, or a column of spans. A symbol's trials are dealt out before their draws are made.
+    """
+    n = n if isinstance(n, Column) else F.lit(n)
+    rows = spans.withColumn("_draws", n.cast("long")).filter("_draws > 0 AND lo IS NOT NULL").withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    rows = rows.repartition("symbol", "trial").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
     u = uniform(F.lit(seed), F.col("trial"), F.col("draw"))
-    # one row: a span of one symbol's signals
-    return ids.join(F.broadcast(span.limit(1))).withColumn("when_us", (F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo")))).cast("long")).drop("lo", "hi")
+    return rows.select("symbol", "trial", "draw", (F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo")))).cast("long").alias("when_us"))
 
 
 def trial_spread(values: DataFrame, value: Column) -> DataFrame:
-    """One row (null_rate, null_sd): mean and population deviation of the trials' means."""
+    """One row (null_rate, null_sd): mean and population deviation of the trials' means, all symbols' draws of a trial together."""
     return values.groupBy("trial").agg(F.avg(value).alias("m")).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("null_rate"), F.coalesce(F.stddev_pop("m"), F.lit(0.0)).alias("null_sd"))
 
 
@@ -108,3 +113,53 @@ def matched_excursions(bars: DataFrame, span: DataFrame, low: float, high: float
     rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n)
     full = rows.groupBy("trial").agg(F.count(F.lit(1)).alias("k"), F.avg("after").alias("m")).filter(F.col("k") == n)
     return full.agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("null_rate"), F.coalesce(F.stddev_pop("m"), F.lit(0.0)).alias("null_sd"))
+
+
+def arm_scores(selected: DataFrame, labelled_draws: DataFrame, hit: str = "clean") -> DataFrame:
+    """Per symbol and arm: selected, total, movers, rate, null_rate, null_sd, z, fire_rate.
+
+    selected: rows (symbol, arm, chosen, <hit>), every labelled moment once for each arm that could have
+    chosen it. labelled_draws: rows (symbol, trial, draw, <hit>) of random moments, of each trial as
+    many at least as the largest arm chose; moments without a label are absent. An arm of n moments is
+    compared with the first n draws of every trial: draws are counted between the arms' sizes, and an
+    arm's null is a running sum over these counts, so all arms read one table of draws.
+    """
+    arms = stored(selected.groupBy("symbol", "arm").agg(F.count_if("chosen").alias("selected"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("chosen") & F.col(hit)).alias("movers")))
+    # a row for each symbol: the different sizes of its arms, ascending
+    sizes = arms.filter("selected > 0").groupBy(F.col("symbol").alias("_s")).agg(F.sort_array(F.collect_set("selected")).alias("_sizes"))
+    step = F.size(F.filter("_sizes", lambda n: n <= F.col("draw")))
+    cut = labelled_draws.join(sizes, F.col("symbol") == F.col("_s")).withColumn("_step", step).filter(F.col("_step") < F.size("_sizes"))
+    counted = cut.groupBy("symbol", "trial", "_step").agg(F.sum(F.col(hit).cast("long")).alias("_h"), F.count(F.lit(1)).alias("_m"))
+    spread = counted.join(sizes, F.col("symbol") == F.col("_s")).withColumn("selected", F.explode(F.slice("_sizes", F.col("_step") + 1, F.size("_sizes"))))
+    trials = spread.groupBy("symbol", "trial", "selected").agg((F.sum("_h") / F.sum("_m")).alias("r"))
+    null = trials.groupBy("symbol", "selected").agg(F.avg("r").alias("null_rate"), F.stddev_pop("r").alias("null_sd"))
+    out = arms.join(null, ["symbol", "selected"], "left").fillna(0.0, ["null_rate", "null_sd"])
+    rate = F.when(F.col("selected") > 0, F.col("movers") / F.col("selected")).otherwise(0.0)
+    z = F.when(F.col("null_sd") > 0, (F.col("rate") - F.col("null_rate")) / F.col("null_sd")).otherwise(0.0)
+    return out.withColumn("rate", rate).withColumn("z", z).withColumn("fire_rate", F.col("selected") / F.col("total")).select("symbol", "arm", "selected", "total", "movers", "rate", "null_rate", "null_sd", "z", "fire_rate")
+
+
+def conditional_test(bars: DataFrame, moments: DataFrame, quiet_below: float = 0.7, least: int = 5, trials: int = 500, oversample: int = 40, horizon: int = 1, pre_horizon: int = 3, seed: int = 0) -> DataFrame:
+    """Per symbol and condition ('quiet before', 'already moving'): n, after, null, null_sd and z against moments that moved as much before.
+
+    bars: with sigma_bars()' columns. Both conditions read one table of oversample * n draws a trial, n the
+    larger group; of each trial the first n that meet the condition count, and trials with fewer are dropped.
+    """
+    named = F.when(F.col("before") < quiet_below, "quiet before").otherwise("already moving").alias("condition")
+    moved = lambda rows: excursion(clamped(bars, rows, SIGMAS), horizon, pre_horizon).filter("before >= 0 AND before < 99 AND after IS NOT NULL")
+    groups = stored(moved(moments).groupBy("symbol", named).agg(F.count(F.lit(1)).alias("n"), F.avg("after").alias("after")).filter(F.col("n") >= least))
+    spans = moments.groupBy("symbol").agg(F.min("when_us").alias("lo"), F.max("when_us").alias("hi")).join(groups.groupBy("symbol").agg(F.max("n").alias("_most")), "symbol")
+    drawn = moved(trial_times(spans, trials, F.col("_most") * oversample, seed)).select("symbol", "trial", "draw", named, F.col("after").alias("_a")).join(groups.select("symbol", "condition", "n"), ["symbol", "condition"])
+    order = Window.partitionBy("symbol", "condition", "trial").orderBy("draw")
+    means = drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("n")).groupBy("symbol", "condition", "trial", "n").agg(F.count(F.lit(1)).alias("_k"), F.avg("_a").alias("_m")).filter(F.col("_k") == F.col("n"))
+    null = means.groupBy("symbol", "condition").agg(F.avg("_m").alias("null"), F.stddev_pop("_m").alias("null_sd"))
+    out = groups.join(null, ["symbol", "condition"], "left").fillna(0.0, ["null", "null_sd"])
+    return out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("after") - F.col("null")) / F.col("null_sd")).otherwise(0.0))
+
+
+def with_null_figures(real: DataFrame, nulls: DataFrame, by: list[str], value: str = "fwd_bps") -> DataFrame:
+    """Per group: n, mean, se and hit rate of the outcomes, the same of the controls of that group, and z."""
+    got = real.groupBy(*by).agg(*stat(F.col(value), "fwd"), hit_rate(F.col(value)).alias("hit"))
+    own = nulls.groupBy(*by).agg(*stat(F.col(value), "null"))
+    got = got.join(own, by, "left").fillna(0, ["null_n", "null_mean", "null_se"])
+    return got.withColumn("z", z_score(F.col("fwd_mean"), F.col("fwd_se"), F.col("null_mean"), F.col("null_se")))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.schema import stored
+
 COST_PER_TOKEN = 0.042e-6
 ANSWER = "struct<type:string,noul:double,choice:string,probabilities:map<string,double>,confidence:double,score:double,legend:map<string,string>>"
 
@@ -20,9 +22,10 @@ def digest(*seen: Column) -> Column:
 def scored(inputs: DataFrame, cache: DataFrame, scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> tuple[DataFrame, DataFrame]:
     """(all scores, the fresh ones to append): inputs with `digest` that the cache lacks go through mapInPandas(scorer), each digest once.
 
-    schema: the scorer's columns, digest among them, as in the cache.
+    schema: the scorer's columns, digest among them, as in the cache. Fresh scores are stored, so both
+    results hold the same answers and the scorer is paid once.
     """
-    fresh = inputs.join(cache.select("digest"), "digest", "left_anti").dropDuplicates(["digest"]).mapInPandas(scorer, schema)
+    fresh = stored(inputs.join(cache.select("digest"), "digest", "left_anti").dropDuplicates(["digest"]).mapInPandas(scorer, schema))
     return inputs.join(cache.unionByName(fresh), "digest", "left"), fresh
 
 
