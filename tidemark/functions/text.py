@@ -92,6 +92,8 @@ STOP = "UTC AM PM APR APY VIP API P2P NFT ETF KYC FAQ OTC CM UM UID ID TBA TBD G
 ABBREVIATIONS = "mr mrs ms dr jr sr st no vs etc inc corp co approx fig al ca pp vol sen rep gov messrs prof".split()
 SENTENCE_END = r"(?<=[.!?])\s+(?=[\"“‘(\[]?[A-Z0-9])"
 INITIALS = r"^(?:[A-Za-z]\.){1,4}$"
+_SYMBOL = "[A-Z0-9\\u4e00-\\u9fff]{2,12}"
+TICKERS = (rf"\(({_SYMBOL})\)", rf"(?<![A-Z0-9])({_SYMBOL})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(?<![A-Z0-9/])({_SYMBOL}?)(?:USDT|USDC)\b")
 YEARS = r"\b(19|20)\d{2}\b"
 MONTHS = r"\b(january|february|march|april|may|june|july|august|september|october|november|december|q[1-4]|h[12])\b"
 CHAIR, VICE = r"(?i)\bchair(man|woman)?\b", r"(?i)\bvice\b"
@@ -251,24 +253,32 @@ def level_of(label: Column) -> Column:
     return F.coalesce(plain, F.when(first == last, first * 0.25), (low + high) / 2)
 
 
-def tickers(title: Column, body: Column | None = None, limit: int = 24) -> Column:
-    """Unique ticker symbols in order of appearance, title before body: in brackets, before a quote currency's slash, or glued to one."""
-    symbol = "[A-Z0-9\\u4e00-\\u9fff]{2,12}"
-    patterns = (rf"\(({symbol})\)", rf"(?<![A-Z0-9])({symbol})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(?<![A-Z0-9/])({symbol}?)(?:USDT|USDC)\b")
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body names it, also within higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def placed(between: Column, whole: Column, length):
-        return lambda n, i: length(between, i + 1) + length(whole, i)
+def running(numbers: Column, chunk: int = 256) -> Column:
+    """Running sums of an array of whole numbers: those of chunks, and within the chunk."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    start = lambda i: F.floor(i / chunk).cast("int")
+    chunks = lambda d: F.transform(F.sequence(F.lit(0), start(F.greatest(F.size(d) - 1, F.lit(0)))), lambda c: total(F.slice(d, c * chunk + 1, F.lit(chunk))))
+    before = lambda c: F.transform(c, lambda _, k: total(F.slice(c, F.lit(1), k)))
+    sums = lambda d, p: F.transform(d, lambda _, i: F.get(p, start(i)) + total(F.slice(d, start(i) * chunk + 1, i % chunk + 1)))
+    return let(numbers, lambda d: let(chunks(d), lambda c: let(before(c), lambda p: sums(d, p))))
 
+
+def tickers(title: Column, body: Column | None = None, limit: int = 24) -> Column:
+    """Unique ticker symbols in order of appearance, title before body: in brackets, before a quote currency's slash, or glued to one."""
     def found(text: Column) -> Column:
         # splitting at matches gives the text between them, whose lengths give the positions
         rows = []
-        for p in patterns:
-            names, whole = F.regexp_extract_all(text, F.lit(p), 1), F.regexp_extract_all(text, F.lit(p), 0)
-            between = F.split(text, p, -1)
-            length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-            at = F.transform(names, placed(between, whole, length))
-            rows.append(F.arrays_zip(at.alias("at"), F.transform(names, lambda n: F.regexp_replace(n, "^(?:1000000|1000|1M)(?=[A-Z])", "")).alias("name")))
-        return F.transform(F.sort_array(F.concat(*[F.transform(r, lambda x: F.struct(x["at"].alias("at"), x["name"].alias("name"))) for r in rows])), lambda x: x["name"])
+        for p in TICKERS:
+            names, whole, between = F.regexp_extract_all(text, F.lit(p), 1), F.regexp_extract_all(text, F.lit(p), 0), F.split(text, p, -1)
+            steps = F.zip_with(between, F.concat(F.array(F.lit("")), whole), lambda x, y: F.length(x) + F.length(y))
+            bare = F.transform(names, lambda n: F.regexp_replace(n, "^(?:1000000|1000|1M)(?=[A-Z])", ""))
+            rows.append(F.zip_with(F.slice(running(steps), F.lit(1), F.size(names)), bare, lambda at, n: F.struct(at.alias("at"), n.alias("name"))))
+        return F.transform(F.sort_array(F.concat(*rows)), lambda x: x["name"])
 
     every = found(F.coalesce(title, F.lit("")))
     if body is not None:

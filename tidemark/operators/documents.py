@@ -174,6 +174,20 @@ def disagreements(signals: DataFrame, a: str, b: str) -> DataFrame:
     return both.filter(~F.col(a).eqNullSafe(F.col(b)))
 
 
+def disagreements_with_moves(signals: DataFrame, outcomes: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
+    """disagreements() with `moves`, how far the tape went for each symbol that either arm named, without either's sign, and `top_bps`.
+
+    outcomes: (doc, symbol, sign, move_bps), the move signed by the trade; symbols that nothing priced are
+    absent. Largest absolute move first; most: so many rows only.
+    """
+    odd = disagreements(signals, a, b)
+    unsigned = outcomes.groupBy("doc", "symbol").agg(F.max_by(F.col("sign") * F.col("move_bps"), F.struct("sign", "move_bps")).alias("bps"))
+    named = odd.select("doc", F.explode(F.array_distinct(F.transform(F.concat(a, b), lambda x: x["symbol"]))).alias("symbol"))
+    moved = named.join(unsigned, ["doc", "symbol"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("symbol", "bps"))).alias("moves"), F.max(F.abs("bps")).alias("top_bps"))
+    out = odd.join(moved, "doc", "left").orderBy(F.desc_nulls_last("top_bps"), "doc")
+    return out if most is None else out.limit(most)
+
+
 def unpriced(signals: DataFrame, outcomes: DataFrame, keys: list[str], week: Column) -> DataFrame:
     """Per symbol: signals without an outcome, and how many of them fell on a weekday or a weekend."""
     rows = signals.join(outcomes.select(*keys).distinct(), keys, "left_anti")

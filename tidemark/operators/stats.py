@@ -118,6 +118,19 @@ def round_tenth(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * 10.0 + 0.5) / 10.0
 
 
+def agreement(rows: DataFrame, printed: str, computed: str, keys: list[str], most: int = 20) -> DataFrame:
+    """One row: n compared, agree, share, and `mismatches`, the first `most` by keys, of printed figures against computed ones rounded to a tenth, half away from zero.
+
+    A printed figure without a computed one is a mismatch that isn't compared; rows without a printed one don't count.
+    """
+    rounded_ = round_tenth(F.col(computed))
+    both = rows.filter(F.col(printed).isNotNull()).select(*keys, F.col(printed).alias("printed"), F.col(computed).alias("computed"), F.coalesce(F.abs(rounded_ - F.col(printed)) < 1e-9, F.lit(False)).alias("_same"))
+    figures = both.agg(F.count("computed").alias("n"), F.count_if("_same").alias("agree"))
+    odd = both.filter("NOT _same").orderBy(*keys, "printed", "computed").limit(most).agg(F.sort_array(F.collect_list(F.struct(*keys, "printed", "computed"))).alias("mismatches"))
+    # both sides are one row
+    return figures.join(odd).withColumn("share", F.coalesce(F.col("agree") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
+
+
 def stirling_rest(x: Column) -> Column:
     """ln x! less (x + 1/2) ln x - x + ln(2 pi)/2, for x >= 1: a series from 16 on, products of whole numbers below."""
     i = 1.0 / x

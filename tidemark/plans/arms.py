@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.asof import BACKWARD, bounded_asof
 from tidemark.functions.prices import log_bps, mid
-from tidemark.operators.documents import match_calendar
+from tidemark.operators.documents import match_calendar, projection_moves
 from tidemark.plans.pricing import probes
 from tidemark.schema import MINUTE
 
@@ -105,6 +105,66 @@ def title_arm(docs: DataFrame, with_body: bool = False) -> DataFrame:
     return rows.select("id", "ts_us", F.col("_t").alias("symbol"), F.col("_s").alias("sign"), F.lit(1.0).alias("strength"), F.lit("body" if with_body else "title").alias("arm"))
 
 
+def mentions_arm(docs: DataFrame, least: int = 1) -> DataFrame:
+    """Listing notices: a signal, always long, for every ticker that title and body name; no side is read from the words.
+
+    A control for the arms that read a side: what any mention is followed by. least: documents that must name a ticker.
+    """
+    rows = docs.withColumn("_t", F.explode(T.tickers(F.col("title"), F.col("body"))))
+    got = rows.select("id", "ts_us", F.col("_t").alias("symbol"), F.lit(1).alias("sign"), F.lit(1.0).alias("strength"), F.lit("mentions").alias("arm"))
+    if least <= 1:
+        return got
+    often = got.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    return got.join(often.select("symbol"), "symbol", "left_semi")
+
+
+def reader_arm(readings: DataFrame, size: Column, least_strength: float = 0.0, least_confidence: float = 0.5, pairs: dict = PAIRS, arm: str = "reader") -> DataFrame:
+    """Scored documents as signals: readings (id, ts_us, currency, direction, confidence, ...) whose strength `size` and confidence pass the gate.
+
+    The side is the pair's for currency and direction; readings without one, without strength, or below a
+    threshold abstain. Several readings of a document are several signals.
+    """
+    rows = readings.withColumn("_p", signed_pair(F.col("currency"), F.col("direction"), pairs)).withColumn("strength", size)
+    fine = F.col("_p").isNotNull() & (F.col("strength") > 0) & (F.col("strength") >= least_strength) & (F.col("confidence") >= least_confidence)
+    return rows.filter(fine).select("id", "ts_us", F.col("_p.symbol").alias("symbol"), F.col("_p.sign").alias("sign"), "strength", F.lit(arm).alias("arm"))
+
+
+def user_arm(docs: DataFrame, signals: Column, arm: str) -> DataFrame:
+    """A rule of one's own: a column of array<struct<symbol, sign, strength>> over docs, null or empty where it abstains.
+
+    Entries without symbol, side or positive strength are no signals.
+    """
+    rows = docs.withColumn("_x", F.explode(signals)).select("id", "ts_us", F.col("_x.symbol").alias("symbol"), F.signum(F.col("_x.sign")).cast("int").alias("sign"), F.col("_x.strength").cast("double").alias("strength"))
+    return rows.filter("symbol IS NOT NULL AND sign <> 0 AND strength > 0").withColumn("arm", F.lit(arm))
+
+
+#: Which of a projection's year columns, in their order, a variant reads; the first is the meeting's own year.
+PROJECTIONS = {0: "current", 1: "next", 2: "two out"}
+LONGER_RUN = "longer run"
+
+
+def projection_arms(medians: DataFrame, releases: DataFrame, symbol: str = "EURUSD") -> DataFrame:
+    """The five projection variants as signals: medians (meeting, year, median) and releases (meeting, ts_us).
+
+    year is a text, a calendar year or 'longer run'. Every variant compares the same column of a meeting and
+    the one before: the meeting's own year, the next, the one after that, the longer run, or the sum of all
+    calendar years that both have, two at least. A rise is hawkish for the dollar; no move, no signal.
+    Strength: a quarter of full size for each quarter point.
+    """
+    calendar = F.col("year") != LONGER_RUN
+    place = Window.partitionBy("meeting", calendar).orderBy("year")  # a meeting's few columns
+    columns = medians.select(F.col("meeting").alias("_m"), F.col("year").alias("_y"), F.when(calendar, F.row_number().over(place) - 1).alias("_place"))
+    rows = projection_moves(medians).join(columns, (F.col("meeting") == F.col("_m")) & (F.col("year") == F.col("_y")))
+    variant = F.when(~calendar, LONGER_RUN)
+    for at, name in PROJECTIONS.items():
+        variant = variant.when(F.col("_place") == at, name)
+    one = rows.withColumn("variant", variant).filter("variant IS NOT NULL").select("meeting", "variant", (F.col("median") - F.col("prev_median")).alias("delta"))
+    every = rows.filter(calendar).groupBy("meeting").agg((F.sum("median") - F.sum("prev_median")).alias("delta"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("meeting", F.lit("sum").alias("variant"), "delta")
+    both = one.unionByName(every).filter(F.abs("delta") >= 1e-9).join(releases, "meeting")
+    steps = F.bround(F.round(F.col("delta") / 0.25, 9))
+    return both.select(F.col("meeting").alias("id"), "ts_us", F.lit(symbol).alias("symbol"), dollar_side(F.lit(symbol), F.signum("delta").cast("int")).alias("sign"), projection_strength(steps).alias("strength"), F.concat(F.lit("projections: "), "variant").alias("arm"))
+
+
 def sample_arm(docs: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """The wire arm on a fixed-size sample of documents, the same on every run; it abstains where the rules do."""
     picked = docs.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")).cast("binary")), "id").limit(size)

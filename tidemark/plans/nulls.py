@@ -157,9 +157,13 @@ def conditional_test(bars: DataFrame, moments: DataFrame, quiet_below: float = 0
     return out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("after") - F.col("null")) / F.col("null_sd")).otherwise(0.0))
 
 
-def with_null_figures(real: DataFrame, nulls: DataFrame, by: list[str], value: str = "fwd_bps") -> DataFrame:
-    """Per group: n, mean, se and hit rate of the outcomes, the same of the controls of that group, and z."""
+def with_null_figures(real: DataFrame, nulls: DataFrame, by: list[str], shared: list[str] | None = None, value: str = "fwd_bps") -> DataFrame:
+    """Per group: n, mean, se and hit rate of the outcomes, the controls' n, mean and se, and z.
+
+    Controls are those of the same group, or, with `shared`, of all groups with the same values of these columns.
+    """
+    on = by if shared is None else shared
     got = real.groupBy(*by).agg(*stat(F.col(value), "fwd"), hit_rate(F.col(value)).alias("hit"))
-    own = nulls.groupBy(*by).agg(*stat(F.col(value), "null"))
-    got = got.join(own, by, "left").fillna(0, ["null_n", "null_mean", "null_se"])
+    own = nulls.groupBy(*on).agg(*stat(F.col(value), "null"))
+    got = got.join(own, on, "left").fillna(0, ["null_n", "null_mean", "null_se"])
     return got.withColumn("z", z_score(F.col("fwd_mean"), F.col("fwd_se"), F.col("null_mean"), F.col("null_se")))

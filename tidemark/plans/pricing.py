@@ -29,14 +29,15 @@ def tick_outcomes(tape: DataFrame, signals: DataFrame, horizons=HORIZONS, latenc
     pre: mid pre_us before to mid at the moment, unsigned. Entry: the first tick at or after moment +
     latency, at the ask for a long and the bid for a short. Exit: the mid quoted at moment + latency +
     horizon. Quotes may be stale_us old, entries wait_us late. Only signals with an answer to every
-    horizon of a latency have rows for it.
+    horizon of a latency have rows for it. latencies_us None: signals have a latency_us of their own.
     """
-    late = signals.withColumn("latency_us", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in latencies_us])))
+    late = signals if latencies_us is None else signals.withColumn("latency_us", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in latencies_us])))
     when = F.col("when_us")
     looks = {"pre": when - pre_us, "at": when} | {f"x{h}": when + F.col("latency_us") + h * minute_us for h in horizons}
     back = bounded_asof(tape, probes(late, looks, ("latency_us",)), stale_us, BACKWARD, values=("bid", "ask"))
     quoted = back.filter(F.col("q_ts_us").isNotNull()).withColumn("m", mid(F.col("q_bid"), F.col("q_ask")))
     mids = quoted.groupBy("signal_id", "symbol", "latency_us").agg(*[F.max(F.when(F.col("probe") == n, F.col("m"))).alias(f"m_{n}") for n in looks])
+    carry = tuple(c for c in carry if c != "latency_us")
     ahead = bounded_asof(tape, late.select("signal_id", "symbol", "latency_us", "sign", *carry, (when + F.col("latency_us")).alias("when_us")), wait_us, FORWARD, values=("bid", "ask"))
     entry = ahead.filter((F.col("q_ask") >= F.col("q_bid")) & (F.col("q_bid") > 0))
     rows = entry.join(mids, ["signal_id", "symbol", "latency_us"])

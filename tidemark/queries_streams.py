@@ -74,7 +74,7 @@ def changed(stream: DataFrame, keys: list[str], by: list[str] | None = None, red
     return upserted(spark, path + "/out", stream.schema, keys, by)
 
 
-@query(KEPT_SQL + near("symbol start_us", "last volume bid bid_size ask_size", """FROM (SELECT symbol, ts_us // 3600000000 * 3600000000 AS start_us, arg_max(last, {'t': ts_us, 'e': event_id}) AS last, sum(volume) AS volume, arg_max(last, {'t': ts_us, 'e': event_id}) * (1 - 0.000025) AS bid,
+@query(KEPT_SQL + near("symbol start_us", "last volume bid bid_size ask_size", """FROM (SELECT symbol, ts_us // 3600000000 * 3600000000 AS start_us, arg_max(last, {'t': ts_us, 'e': event_id}) AS last, sum(volume) AS volume, arg_max(last, {'t': ts_us, 'e': event_id}) - arg_max(last, {'t': ts_us, 'e': event_id}) * 0.00005::DOUBLE / 2 AS bid,
   greatest(sum(CASE WHEN volume % 2 = 1 THEN volume ELSE 0 END), 1e-6) AS bid_size, greatest(sum(CASE WHEN volume % 2 = 0 THEN volume ELSE 0 END), 1e-6) AS ask_size FROM tape GROUP BY 1, 2)""", 4))
 def str1_trade_bars(spark, sf_dir):
     """Hourly bars of a stream of trades, as they change, in an upserting sink that gets one batch twice."""
