@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, scratch
+from tidemark.llm.common import delete, fold, scratch, temporary_tables
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.line_spread import line_dedup
 from tidemark.llm.mixing import curriculum, training_order
@@ -77,10 +77,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """Applies the stages to documents, each written to the shared folder and read again; what a stage stored goes when the next one's input is written, so only the result stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES:
         path = scratch(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete(spark, before)
+        docs, before = spark.read.parquet(path), [path]
+    return docs

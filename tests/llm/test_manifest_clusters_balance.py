@@ -251,3 +251,14 @@ def test_pieces_of_one_row_spread(spark):
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=16, pieces_a_task=400)
     tasks = {r.sequence_id >> 32 for r in got.filter("doc_id = 1").select("sequence_id").distinct().collect()}
     assert len(tasks) > 3 and got.groupBy("doc_id").agg(F.sum("length").alias("n")).filter("doc_id = 2").first().n == 600
+
+
+def test_the_pipeline_leaves_only_its_result(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        assert got.count() > 0 and len(list(tmp_path.glob("tidemark-*"))) == 1
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)

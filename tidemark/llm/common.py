@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,16 +72,32 @@ def stored(df: DataFrame) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def removed(spark: SparkSession) -> int:
     """Deletes the tables that this application stored so far, for callers whose results are written; returns how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark._jvm
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, paths)
     return len(paths)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables stored within, and no others; results must be written by then."""
+    held = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    try:
+        yield
+    finally:
+        own = held[before:]
+        del held[before:]
+        delete(spark, own)
+
+
 def parts(spark: SparkSession) -> int:
     """How many parts a keyed shuffle should have: the session's own figure."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
