@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import tapes, texts
+from tidemark.sources import tapes, texts, trees
 from tidemark.streaming import tapes as live
 
 
@@ -89,14 +89,63 @@ def test_pages(spark):
     assert sorted((r.year, r.level, r.n) for r in texts.histogram(cells).collect()) == [("2026", 0.5, 2), ("Longer run", 0.875, 3)]
     b = {r.page_id: r for r in texts.body_text(p).collect()}
     assert b[1].body.startswith("long enough") and b[2].short
-    t = spark.createDataFrame([("<p>a</p><div>b<br>c</div>",), ('{"children":[{"text":"x \\"y\\""},{"text":"z"}]}',)], "body string")
-    assert [r.text for r in texts.cms_text(t).collect()] == ["a\nb\nc", 'x "y"\nz']
+    tree = '[{"node":"root","child":[{"tag":"p","child":{"node":"text","text":"x \\"y\\""}},[{"tag":"b","child":[{"node":"text","text":"z &nbsp; q"}]}],{"tag":"br"},7,"s",null]}]'
+    t = spark.createDataFrame([("<p>a</p><div>b<br>c</div>",), (tree,), ("{}",), ("[1, 2",), (None,), ("",)], "body string")
+    got = [r.text for r in texts.cms_text(t).collect()]
+    assert sorted(map(str, got)) == sorted(["a\nb\nc", 'x "y"z q', "", "[1, 2", "None", ""])
+
+
+def test_nested_articles(spark):
+    ld = lambda x: f'<script type="application/ld+json">{json.dumps(x)}</script>'
+    article = {"@type": ["X", "NewsArticle"], "headline": " A <b>bold</b>\n&amp; ", "datePublished": "2026-01-02T03:04:05.1234567Z", "articleBody": ["one", "two"], "keywords": ["k", " "], "articleSection": {"name": "fx"}}
+    pages = {
+        1: ld({"@graph": [{"@type": "WebSite", "headline": "no"}, {"@graph": [article]}]}), 2: ld([{"@type": "Article"}, dict(article, headline="second")]), 3: "<script type='application/ld+json'>{broken</script><title>t</title>",
+        4: ld({"@type": "Article", "alternativeHeadline": "alt", "@graph": {"@type": "Article", "headline": "no list"}}), 5: ld({"@graph": [{"@graph": [dict(article, headline="deep")]}, dict(article, headline="near")]}),
+    }
+    got = {r.page_id: r for r in trees.linked_articles(spark.createDataFrame(list(pages.items()), "page_id int, html string")).collect()}
+    assert {k: r.title for k, r in got.items()} == {1: "A bold &", 2: "second", 4: "alt", 5: "near"}
+    assert got[1].body == "one two" and got[1].keywords == ["k"] and got[1].section == "fx"
+    assert trees.linked_articles(spark.createDataFrame([], "page_id int, html string")).collect() == []
+
+
+def test_balanced_containers(spark):
+    inside = "word " * 50
+    pages = [(1, f'<div class="a col-md-8 b"><div><DIV>{inside}</DIV> <p>and</p></div>tail</div><div>after</div>'), (2, '<div id="content">short<p>' + "a long enough paragraph of text, is it not so?" + "</p><p>we use a cookie, and this paragraph is long enough too</p>"), (3, None), (4, "<p>x</p>"), (5, "<div " * 3000), (6, f'<div id="article">{inside}For media inquiries, call</div>')]
+    got = {r.page_id: r for r in trees.page_body(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert got[1].body == (inside + "and tail").replace("  ", " ") and not got[1].short
+    assert got[2].body.startswith("short a long enough") and got[3].body == "" and got[4].body == "x" and got[6].body == inside.strip()
+    one = lambda h: spark.range(1).select(trees.balanced(F.lit(h), "div", "(?i)<div[^>]*>")).first()[0]
+    assert one("a<div>b<div>c</div>d</div>e") == "b<div>c</div>d" and one("a<div>b<div>c") == "b<div>c" and one("none") is None
+    assert one("<div>" + "<div>x</div>" * 2000 + "y</div>z") == "<div>x</div>" * 2000 + "y"
+
+
+def test_projection_rows(spark):
+    head = "Range 1 Variable 2020 2021 2022 Longer run x Federal funds rate "
+    texts_ = [head + "4 .1 .1 1.1 2.5 0.1 0.3 a March projection 1.0 2.0 2.4 9.9 b", head + "1.0 2.0 3.0 2.5 June projection 1.0 2.0 b", head + "1.0 2.0 b", "none", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string").select("i", trees.projection_rows(F.col("t")).alias("r")).orderBy("i").collect()
+    assert rows[0].r.medians == [0.1, 0.1, 1.1, 2.5] and rows[0].r.previous == [1.0, 2.0, None, 2.4] and rows[0].r.previous_label == "March"
+    assert rows[1].r.previous == [1.0, None, None, 2.0] and [r.r for r in rows[2:]] == [None] * 3
 
 
 def test_permission(spark):
+    from tidemark.sources.permissions import permitted, robots_rules
+
     rules = spark.createDataFrame([("*", False, "/a"), ("*", True, "/a/ok"), ("*", False, "/*.pdf$"), ("bot", False, "/b"), ("*", True, "/t"), ("*", False, "/t")], "agent string, allow boolean, pattern string")
     p = spark.createDataFrame([("/a/x",), ("/a/ok/1",), ("/f.pdf",), ("/f.pdf?x",), ("/b/1",), ("/t",), ("/z",)], "path string")
-    assert [r.allowed for r in texts.permitted(p.withColumnRenamed("path", "u"), rules, F.col("u")).orderBy("u").collect()] == [True, False, False, False, True, True, True]
+    assert [r.allowed for r in permitted(p.withColumnRenamed("path", "u"), rules.withColumn("host", F.lit("h")), F.lit("h"), F.col("u")).orderBy("u").collect()] == [True, False, False, False, True, True, True]
+
+
+def test_robots_of_many_hosts(spark):
+    from tidemark.sources.permissions import permitted, robots_rules
+
+    robots = [("a", "User-agent: X\nUser-agent: y # both\nDisallow: /p\nAllow: /p/ok\n\nUser-agent: z\nDisallow:\n"), ("b", "disallow: /lost\nUser-Agent: *\nDisallow: /"), ("c", None)]
+    rules = robots_rules(spark.createDataFrame(robots, "host string, text string"))
+    assert sorted(map(tuple, rules.collect())) == [("a", "x", False, "/p"), ("a", "x", True, "/p/ok"), ("a", "y", False, "/p"), ("a", "y", True, "/p/ok"), ("b", "*", False, "/")]
+    pages = spark.createDataFrame([("a", "/p1"), ("a", "/p/ok"), ("a", "/q"), ("b", "/x"), ("c", "/x"), (None, "/p"), ("a", None)], "h string, u string")
+    got = permitted(pages, rules, F.col("h"), F.col("u"), ("y", "*"))
+    assert sorted(((r.h or "", r.u or ""), r.allowed, r.blocked_by) for r in got.collect()) == [(("", "/p"), True, None), (("a", ""), True, None), (("a", "/p/ok"), True, None), (("a", "/p1"), False, "y"), (("a", "/q"), True, None), (("b", "/x"), False, "*"), (("c", "/x"), True, None)]
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_ohlcv(spark):

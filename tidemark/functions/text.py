@@ -199,7 +199,7 @@ def sentences(text: Column, least: int = 20) -> Column:
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
     joined = F.zip_with(parts, before, lambda part, last: F.concat(F.when(last.isNull(), "").when(short(last), " ").otherwise("\x01"), part))
     merged = F.split(F.array_join(joined, ""), "\x01")
-    return F.filter(F.transform(merged, F.trim), lambda s: (F.length(s) >= least) & ~F.regexp_like(s, F.lit(CHROME)))
+    return F.filter(F.transform(merged, lambda x: F.trim(x)), lambda s: (F.length(s) >= least) & ~F.regexp_like(s, F.lit(CHROME)))
 
 
 def headline(text: Column, given: Column, limit: int = 120) -> Column:

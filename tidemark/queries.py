@@ -22,6 +22,7 @@ from tidemark.plans import scoring as R
 from tidemark.schema import DAY, HOUR, TAPE_SQL, micros, numbered, stored, table, tape
 from tidemark.sources import tapes as K
 from tidemark.sources import texts as X
+from tidemark.sources.permissions import permitted
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -545,9 +546,9 @@ def src13_articles(spark, sf_dir):
 
 @query("WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1) AS path FROM pages), r(agent, allow, prefix, n) AS (VALUES ('*', false, '/en/', 4), ('*', true, '/en/1', 5), ('bot', false, '/fr/2', 5)), h AS (SELECT page_id, agent, arg_max(allow, n) AS ok FROM p JOIN r ON starts_with(path, prefix) GROUP BY ALL) SELECT p.page_id, coalesce(bool_and(ok), true) AS allowed FROM p LEFT JOIN h USING (page_id) GROUP BY ALL")
 def prj12_permitted(spark, sf_dir):
-    rules = spark.createDataFrame([("*", False, "/en/"), ("*", True, "/en/1*"), ("bot", False, "/fr/2")], "agent string, allow boolean, pattern string")
+    rules = spark.createDataFrame([("s", "*", False, "/en/"), ("s", "*", True, "/en/1*"), ("s", "bot", False, "/fr/2")], "host string, agent string, allow boolean, pattern string")
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)?", 1)
-    return X.permitted(table(spark, sf_dir, "pages"), rules, path).select("page_id", "allowed")
+    return permitted(table(spark, sf_dir, "pages"), rules, F.lit("s"), path).select("page_id", "allowed")
 
 
 def unescape_sql(x: str) -> str:

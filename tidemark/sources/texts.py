@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import iso_week, moment
+from tidemark.schema import stored
+from tidemark.sources.trees import linked_articles, tree_text
 
 
 def _first(*names: str) -> Column:
@@ -85,18 +87,15 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def articles(pages: DataFrame, limit: int = 8000) -> DataFrame:
-    """Per page: page_id, title, published, body, keywords and `from`, JSON-LD of an article type first, meta tags for what it lacks."""
-    ld = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
-    kind = "`@type` string, headline string, datePublished string, articleBody string, keywords string"
-    parsed = F.filter(F.transform(ld, lambda x: F.from_json(x, kind)), lambda a: F.coalesce(a["@type"].endswith("Article"), F.lit(False)))
+    """Per page: page_id, title, published, body, keywords and `from`: JSON-LD of an article type at any depth first, else meta tags."""
     meta = lambda n: F.nullif(F.coalesce(F.nullif(F.regexp_extract("html", rf'(?is)<meta[^>]*(?:property|name)="{n}"[^>]*content="([^"]*)"', 1), F.lit("")), F.regexp_extract("html", rf'(?is)<meta[^>]*content="([^"]*)"[^>]*(?:property|name)="{n}"', 1)), F.lit(""))
-    rows = pages.select("page_id", "html", F.get(parsed, 0).alias("a"))
     plain = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    return rows.select(
-        "page_id", F.coalesce("a.headline", meta("og:title"), plain).alias("title"), F.coalesce("a.datePublished", meta("article:published_time")).alias("published"),
-        F.substring(F.coalesce("a.articleBody", meta("og:description"), F.lit("")), 1, limit).alias("body"), F.split(F.coalesce("a.keywords", meta("article:tag"), F.lit("")), r"\s*,\s*").alias("keywords"),
-        F.when(F.col("a").isNotNull(), "json-ld").otherwise("meta").alias("from"),
-    )
+    tags = pages.select("page_id", F.coalesce(meta("og:title"), plain).alias("m_title"), meta("article:published_time").alias("m_published"), F.substring(F.coalesce(meta("og:description"), F.lit("")), 1, limit).alias("m_body"), F.split(F.coalesce(meta("article:tag"), F.lit("")), r"\s*,\s*").alias("m_keywords"))
+    found = linked_articles(pages, limit).select(F.col("page_id").alias("_p"), F.struct("title", "published", "body", "keywords").alias("a"))
+    rows = tags.join(found, F.col("page_id") == F.col("_p"), "left")
+    linked = F.col("a").isNotNull()
+    pick = lambda n: F.when(linked, F.col(f"a.{n}")).otherwise(F.col(f"m_{n}")).alias(n)
+    return rows.select("page_id", F.when(linked, F.coalesce(F.nullif(F.col("a.title"), F.lit("")), F.col("m_title"))).otherwise(F.col("m_title")).alias("title"), pick("published"), pick("body"), pick("keywords"), F.when(linked, "json-ld").otherwise("meta").alias("from"))
 
 
 TAG, GAP = r"(?s)<[^>]+>", r"\s+"
@@ -116,11 +115,13 @@ def lined_text(html: Column) -> Column:
 
 
 def cms_text(rows: DataFrame, column: str = "body") -> DataFrame:
-    """rows with `text`: of a JSON tree its text nodes, a line for each block, of HTML its lined text."""
-    node = "(?s)\"(?:text|content)\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)\""
-    leaves = F.transform(F.regexp_extract_all(column, F.lit(node), 1), lambda s: F.replace(F.replace(s, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")))
-    tree = F.regexp_like(column, F.lit(r"^\s*[\[{]"))
-    return rows.withColumn("text", F.when(tree, F.array_join(F.filter(leaves, lambda s: F.trim(s) != ""), "\n")).otherwise(lined_text(F.col(column))))
+    """rows with `text`: of a JSON tree its text nodes with a line for each block, of HTML its lined text; rows are stored."""
+    held = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    trees = held.filter(F.regexp_like(column, F.lit(r"^\s*[\[{]"))).select(F.col("_row").alias("id"), F.try_parse_json(column).alias("v")).filter("v IS NOT NULL")
+    told = tree_text(trees).select(F.col("id").alias("_id"), F.col("text").alias("_t"))
+    known = trees.select(F.col("id").alias("_tree"))
+    out = held.join(known, F.col("_row") == F.col("_tree"), "left").join(told, F.col("_row") == F.col("_id"), "left")
+    return out.select(*rows.columns, F.when(F.col("_tree").isNotNull(), F.coalesce("_t", F.lit(""))).otherwise(lined_text(F.col(column))).alias("text"))
 
 
 def body_text(pages: DataFrame, block: str = r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", tails: tuple[str, ...] = ("For media inquiries", "Last Update", "Related information")) -> DataFrame:
@@ -159,15 +160,3 @@ def sitemap_links(maps: DataFrame) -> DataFrame:
     rows = rows.select(F.regexp_extract("u", r"(?s)<loc>\s*(.*?)\s*</loc>", 1).alias("url"), F.nullif(F.regexp_extract("u", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1), F.lit("")).alias("lastmod"))
     rows = rows.filter(F.col("url") != "").groupBy("url").agg(F.max("lastmod").alias("lastmod"))
     return rows.withColumn("year", F.regexp_extract("url", r"(\d{4})-W(\d{2})", 1).try_cast("int")).withColumn("week", F.regexp_extract("url", r"(\d{4})-W(\d{2})", 2).try_cast("int"))
-
-
-def permitted(pages: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
-    """pages with `allowed`: of the rules (agent, allow, pattern) that fit the path the longest wins, Allow wins a tie, every agent must permit.
-
-    Patterns start at the path's start; * is anything and a last $ the end. Rules are a site's own few.
-    """
-    quoted = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*")
-    few = rules.filter(F.col("pattern") != "").select("agent", "allow", F.length("pattern").alias("n"), F.concat(F.lit("^"), F.when(quoted.endswith("$"), quoted).otherwise(F.regexp_replace(quoted, r"\$", r"\\$"))).alias("re"))
-    paths = pages.select(path.alias("path")).distinct()
-    hit = paths.join(F.broadcast(few), F.expr("path RLIKE re")).groupBy("path", "agent").agg(F.max_by("allow", F.struct("n", "allow")).alias("ok")).groupBy("path").agg(F.bool_and("ok").alias("_ok"))
-    return pages.withColumn("path", path).join(hit, "path", "left").withColumn("allowed", F.coalesce("_ok", F.lit(True))).drop("_ok", "path")
