@@ -253,12 +253,11 @@ def test_pieces_of_one_row_spread(spark):
     assert len(tasks) > 3 and got.groupBy("doc_id").agg(F.sum("length").alias("n")).filter("doc_id = 2").first().n == 600
 
 
-def test_the_pipeline_leaves_only_its_result(spark, tmp_path):
+def test_the_pipeline_leaves_only_its_result(spark):
+    from pathlib import Path
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-        assert got.count() > 0 and len(list(tmp_path.glob("tidemark-*"))) == 1
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("tidemark-*"))
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and len(set(shared.glob("tidemark-*")) - before) == 1
