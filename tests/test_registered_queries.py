@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark import queries, queries_tables, queries_words  # noqa: F401
+from tidemark import queries, queries_arms, queries_pages, queries_streams, queries_tables, queries_words  # noqa: F401
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from compare import normal  # noqa: E402
@@ -16,7 +16,7 @@ from compare import normal  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 CHECKED = (
     "study_summary", "evt9_matched_excursions", "fn_tickers", "fn_announced_rate", "led3_ledger", "src2_tick_csv", "src8_posts", "src16_table_cells",
-    "jn11_between_releases", "jn19_confusion", "fn13_sentences", "fn20_moments", "fn36_answers", "evt10_surprise_arm", "led4_marked", "led5_dead_band", "led9_stances", "str3_live_features",
+    "jn11_between_releases", "jn19_confusion", "fn13_sentences", "fn20_moments", "fn36_answers", "evt10_surprise_arm", "led4_marked", "led5_dead_band", "led6_admitted", "led9_stances", "str2_late_rows", "str6_event_quotes", "agg14_percentiles", "agg23_agreement", "evt12_projection_arms", "prj12_hosts", "src13_nested_articles", "src14_balanced", "src15_trees", "fn31_projection_rows",
 )
 
 
