@@ -783,9 +783,17 @@ def evt10_wire_arm(spark, sf_dir):
     return wire_arm(s).select("id", "symbol", "sign")
 
 
-@query("WITH r AS (SELECT p_partkey, p_size / 10.0 AS target, p_retailprice / 397 AS ff, p_retailprice / 397 + ((p_partkey % 9) - 4) * 0.2 AS bill FROM part), z AS (SELECT *, round_even((bill - ff) / 0.25, 0)::INT AS n FROM r) SELECT p_partkey, CASE WHEN n = 0 THEN printf('The six-month bill yields %.2f percent against an overnight rate of %.2f: the market prices roughly no change within six months.', bill, ff) ELSE printf('The six-month bill yields %.2f percent against an overnight rate of %.2f: the market prices roughly ', bill, ff) || abs(n) || ' quarter-point ' || CASE WHEN n > 0 THEN 'hike' ELSE 'cut' END || CASE WHEN abs(n) = 1 THEN '' ELSE 's' END || ' within six months.' END AS priced FROM z WHERE ff > 0.3")
+_PRICED_SQL = """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 17 > 0 THEN (p_retailprice - 900) / 397 END AS ff, CASE WHEN p_partkey % 13 > 0 THEN (p_retailprice - 900) / 397 + ((p_partkey % 9) - 4) * 0.2 END AS bill FROM part),
+z AS (SELECT *, round_even((bill - ff) / 0.25, 0)::INT AS n, CASE WHEN abs(round_even((bill - ff) / 0.25, 0)) = 1 THEN '' ELSE 's' END AS s FROM r)
+SELECT p_partkey, CASE WHEN bill IS NULL THEN NULL WHEN ff IS NULL THEN printf('The six-month bill yields %.2f percent; there is nothing to price it against.', bill)
+  WHEN ff <= 0.30 THEN printf('Policy is at the zero bound and the six-month bill yields %.2f percent, so there is no room to price cuts; the bill prices ', bill) || CASE WHEN n > 0 THEN 'roughly ' || n || ' quarter-point hike' || s || ' within six months.' ELSE 'no move away from the floor within six months.' END
+  ELSE printf('The six-month bill yields %.2f percent against an overnight rate of %.2f: the market prices roughly ', bill, ff) || CASE WHEN n = 0 THEN 'no change' ELSE abs(n) || ' quarter-point ' || CASE WHEN n > 0 THEN 'hike' ELSE 'cut' END || s END || ' within six months.' END AS priced FROM z"""
+
+
+@query(_PRICED_SQL)
 def fn28_priced(spark, sf_dir):
+    """What a bill prices, down to the floor, and without a bill or an overnight rate."""
     from tidemark.functions.sentences import priced_sentence
 
-    p = table(spark, sf_dir, "part").withColumn("ff", F.col("p_retailprice") / 397).filter("ff > 0.3")
-    return p.select("p_partkey", priced_sentence(F.col("ff") + ((F.col("p_partkey") % 9) - 4) * 0.2, F.col("ff")).alias("priced"))
+    k, level = F.col("p_partkey"), (F.col("p_retailprice") - 900) / 397
+    return table(spark, sf_dir, "part").select("p_partkey", priced_sentence(F.when(k % 13 > 0, level + ((k % 9) - 4) * 0.2), F.when(k % 17 > 0, level)).alias("priced"))
\ No newline at end of file

@@ -150,9 +150,12 @@ r AS (SELECT date, unnest([{'t': '2y', 'v': CASE WHEN n % 3 > 0 THEN a END}, {'t
 def rate_lines(spark, sf_dir):
     """Daily figures of orders as the lines of a rate file, with a byte order mark, blanks and ND."""
     d = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.round(F.min("o_totalprice"), 2).alias("a"), F.round(F.max("o_totalprice"), 2).alias("b"), F.count(F.lit(1)).alias("n"))
-    line = F.concat_ws(",", F.col("date").cast("string"), F.when(F.col("n") % 2 > 0, F.format_string("%.2f", "b")).otherwise("ND"), F.when(F.col("n") % 3 > 0, F.format_string("%.2f", "a")).otherwise(""))
-    head = spark.range(1).select(F.lit("﻿\"Series Description\",\"Ten years, constant\",\"Two years\"").alias("value"))
-    rows = d.select(line.alias("value")).unionByName(head)
+    ten, two = F.when(F.col("n") % 2 > 0, F.format_string("%.2f", "b")).otherwise("ND"), F.when(F.col("n") % 3 > 0, F.format_string("%.2f", "a")).otherwise("")
+    # two files, whose columns stand in different places
+    odd = F.dayofyear("date") % 2 > 0
+    line = F.when(odd, F.concat_ws(",", F.col("date").cast("string"), ten, two)).otherwise(F.concat_ws(",", F.col("date").cast("string"), F.lit("7"), two, ten))
+    heads = spark.createDataFrame([("odd", "\ufeff\"Series Description\",\"Ten years, constant\",\"Two years\""), ("even", "Series Description,Other,Two years,\"Ten years, constant\"")], "file string, value string")
+    rows = d.select(F.when(odd, "odd").otherwise("even").alias("file"), line.alias("value")).unionByName(heads)
     return K.rates(rows, {"Two years": "2y", "Ten years, constant": "10y"}, F.col("value").contains("Series Description")), d
 
 

@@ -170,6 +170,44 @@ def fn29_level_sentence(spark, sf_dir):
     return p.select("p_partkey", C.quarter_steps(F.col("effective") - F.col("target")).alias("steps"), N.level_sentence(F.col("target"), F.col("effective"), F.lit("May 1")).alias("level"))
 
 
+_SINCE = "CASE WHEN change IS NULL THEN printf('The {0} is at %.2f percent; there is no reading from the last meeting.', v) ELSE 'The {0} is ' || CASE WHEN change = 0 THEN 'unchanged' ELSE printf('%.0f', round_even(abs(change), 0)) || ' bp ' || CASE WHEN change > 0 THEN 'higher' ELSE 'lower' END END || printf(' than on May 1, at %.2f percent', v) || {1} || '.' END"
+_GLOSS = "': ' || CASE WHEN change >= 10 THEN 'the market has moved hawkish since then' WHEN change <= -10 THEN 'the market has moved dovish since then' ELSE 'little changed either way' END"
+
+
+@query(_PART_SQL.replace("AS effective FROM part", "AS effective, p_retailprice / 500 AS v, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 41 - 20)::DOUBLE END AS change FROM part") + f" SELECT p_partkey, {_SINCE.format('two-year yield', _GLOSS)} AS two, {_SINCE.format('ten-year yield', repr(''))} AS ten FROM q")
+def fn28_yields(spark, sf_dir):
+    """The yield sentences of the pricing list; the two-year one is glossed."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    value, change = F.col("p_retailprice") / 500, F.when(k % 5 > 0, (k % 41 - 20).cast("double"))
+    t = F.col("p_retailprice") / 397
+    got = N.pricing_sentences(t, F.when(k % 4 > 0, t + (k % 11 - 7) * 0.07), F.lit("May 1"), F.lit(None).cast("double"), {"2y": (value, change), "10y": (value, change)}, F.lit("May 1"))
+    return p.select("p_partkey", F.get(got, F.lit(1)).alias("two"), F.get(got, F.lit(2)).alias("ten"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_retailprice / 397 AS was0, p_retailprice / 397 + (p_partkey % 7 - 3) * 0.23 AS now, CASE WHEN p_partkey % 4 = 3 THEN 'longer run' ELSE (2020 + p_partkey % 4)::VARCHAR END AS year FROM part),
+d AS (SELECT *, CASE WHEN p_partkey % 5 > 0 THEN was0 END AS was, CASE WHEN year = 'longer run' THEN 'the longer run' ELSE 'end-' || year END AS place, round_even(abs(now - was0) / 0.25, 0)::INT AS n FROM c)
+SELECT p_partkey, 'Median projection for ' || place || CASE WHEN was IS NULL THEN printf(' is %.1f%%.', now) WHEN abs(now - was) < 1e-9 THEN printf(' is unchanged at %.1f%%.', now)
+  ELSE printf(' moved to %.1f%% from %.1f%%', now, was) || CASE WHEN p_partkey % 3 = 0 THEN ' at the last projection' ELSE ' in March' END || ': ' || CASE WHEN year = 'longer run' THEN CASE WHEN now > was THEN 'a higher' ELSE 'a lower' END || ' neutral rate' WHEN now > was THEN 'fewer cuts' ELSE 'more cuts' END
+    || CASE WHEN n > 0 THEN ' (' || n || ' quarter-point step' || CASE WHEN n = 1 THEN '' ELSE 's' END || ')' ELSE '' END || '.' END AS said FROM d""")
+def fn28_projections(spark, sf_dir):
+    """How each median moved, as a sentence."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    was = F.col("p_retailprice") / 397
+    year = F.when(k % 4 == 3, "longer run").otherwise((2020 + k % 4).cast("string"))
+    said = N.projection_sentence(year, was + (k % 7 - 3) * 0.23, F.when(k % 5 > 0, was), F.when(k % 3 != 0, F.lit("March")))
+    return p.select("p_partkey", said.alias("said"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_retailprice / 1000 AS mid, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 61 - 30 + 0.25 END AS day, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 47 - 23 + 0.25 END AS quarter FROM part)
+SELECT p_partkey, printf('EURUSD is at %.5f', mid) || CASE WHEN day IS NULL THEN '; there is no price 24 hours back.' ELSE printf(', %.0f', round_even(abs(day), 0)) || CASE WHEN day > 0 THEN ' bp higher' ELSE ' bp lower' END || ' than 24 hours before the release.' END AS first,
+  CASE WHEN quarter IS NOT NULL THEN printf('In the fifteen minutes before the release it moved %.0f', round_even(abs(quarter), 0)) || CASE WHEN quarter > 0 THEN ' bp up: ' ELSE ' bp down: ' END || CASE WHEN abs(quarter) < 5 THEN 'the tape was quiet going in' WHEN abs(quarter) < 15 THEN 'some positioning ahead of the release' ELSE 'a large move going in, so something was already being traded' END || '.' END AS second FROM c""")
+def fn28_drift(spark, sf_dir):
+    """The sentences on the day and the quarter of an hour before a release."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    got = N.drift_sentences(F.lit("EURUSD"), F.col("p_retailprice") / 1000, F.when(k % 4 > 0, k % 61 - 30 + 0.25), F.when(k % 3 > 0, k % 47 - 23 + 0.25))
+    return p.select("p_partkey", F.get(got, F.lit(0)).alias("first"), F.get(got, F.lit(1)).alias("second"))
+
+
 # ------------------------------------------------------------------ scores
 
 _SIX_SQL = "WITH s AS (SELECT event_id AS id, (event_id % 11) / 10.0::DOUBLE * 0.987654321::DOUBLE AS a, (event_id % 7) / 6.0::DOUBLE AS b, (event_id % 5) / 4.0::DOUBLE AS c, (event_id % 13) / 12.0::DOUBLE AS d, (event_id % 17) / 16.0::DOUBLE AS e, (event_id % 3) / 2.0::DOUBLE AS f FROM events)"
@@ -289,11 +327,11 @@ m AS (SELECT t.symbol, t.seq, t.mid, coalesce(units, 0)::DOUBLE AS units, coales
 
 def marked_of(spark, sf_dir):
     """Every tick marked against a book with a row at every fifth."""
-    from pyspark.sql import Window
-
     t = ticks_of(spark, sf_dir).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    b = t.filter("seq % 5 = 2").select(F.lit("r").alias("run"), "symbol", "seq", F.sum(F.when(F.col("seq") % 3 == 0, -1.0).otherwise(1.0)).over(w).alias("units"), F.col("last").alias("avg_price"), F.sum("last").over(w).alias("realized"), (0.01 * (F.col("seq") + 1)).alias("fees"))
+    fills = t.filter("seq % 5 = 2").select("symbol", "seq", F.when(F.col("seq") % 3 == 0, -1).otherwise(1).alias("side"), F.lit(1.0).alias("size"), F.col("last").alias("price"))
+    units, paid = B.running_book(fills), B.running_book(fills.withColumn("side", F.lit(-1)))  # running units, and running sums of prices as cash
+    b = units.join(paid.select("symbol", "seq", F.col("cash").alias("realized")), ["symbol", "seq"])
+    b = b.select(F.lit("r").alias("run"), "symbol", "seq", F.col("inventory").alias("units"), F.col("price").alias("avg_price"), "realized", (0.01 * (F.col("seq") + 1)).alias("fees"))
     return B.marked(b, t)
 
 

@@ -132,17 +132,21 @@ def bars_of(ticks: DataFrame, width_us: int = HOUR) -> DataFrame:
 
 
 def rates(lines: DataFrame, described: dict[str, str], header: Column) -> DataFrame:
-    """Rows (date, tenor, value) of rate CSV lines (value): columns are known by their description, blanks and ND are absent.
+    """Rows (date, tenor, value) of rate CSV lines (value, and file where there are several): columns are known by their description, blanks and ND are absent.
 
-    described: description -> tenor. header: which line holds the descriptions.
+    described: description -> tenor. header: which lines hold descriptions; each file's columns are those of
+    its own, the one that names most of the tenors if it has several.
     """
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(""))
     clean = F.regexp_replace("value", "^﻿", "")
     cells = lambda c: F.transform(F.split(c, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
     named = F.create_map(*[F.lit(x) for kv in described.items() for x in kv])
-    heads = lines.filter(header).limit(1).select(F.posexplode(cells(clean)).alias("pos", "name")).select("pos", F.element_at(named, F.col("name")).alias("tenor")).filter(F.col("tenor").isNotNull())
-    body = lines.select(cells(clean).alias("c")).withColumn("date", F.to_date(F.get("c", 0).try_cast("date"))).filter(F.col("date").isNotNull())
-    # one row for each column of the file
-    rows = body.select("date", F.posexplode("c").alias("pos", "cell")).join(F.broadcast(heads), "pos")
+    tenors = F.transform(cells(clean), lambda x: F.element_at(named, x))
+    best = lines.filter(header).groupBy("file").agg(F.max_by(tenors, F.struct(F.size(F.array_compact(tenors)), "value")).alias("t"))
+    heads = best.select(F.col("file").alias("_f"), F.posexplode("t").alias("_pos", "tenor")).filter(F.col("tenor").isNotNull())
+    body = lines.select("file", cells(clean).alias("c")).withColumn("date", F.to_date(F.get("c", 0).try_cast("date"))).filter(F.col("date").isNotNull())
+    rows = body.select("file", "date", F.posexplode("c").alias("pos", "cell")).join(heads, (F.col("file") == F.col("_f")) & (F.col("pos") == F.col("_pos")))
     return rows.select("date", "tenor", F.col("cell").try_cast("double").alias("value")).filter(F.col("value").isNotNull())
 
 

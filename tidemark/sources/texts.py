@@ -82,8 +82,9 @@ def add_calendar(rows: DataFrame, path: str, taken: Column) -> None:
 def calendar(spark: SparkSession, path: str) -> DataFrame:
     """The latest snapshot's row of each (title, country, ts)."""
     rows = spark.read.parquet(path)
-    w = Window.partitionBy("title", "country", "ts").orderBy(F.col("taken").desc())
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    keys = ["title", "country", "ts"]
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("taken", *[c for c in rest if c != "taken"])).alias("_r")).select(*keys, "_r.*")
 
 
 def articles(pages: DataFrame, limit: int = 8000) -> DataFrame:
