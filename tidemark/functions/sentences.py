@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # The sentences below, word for word, and the rate up to which policy is at its floor.
 ZERO_BOUND = 0.30
 
@@ -17,14 +19,17 @@ def half_even(x: Column, places: int) -> Column:
     The product's rounding error is found by splitting x, so that 1.815, which is a little less, becomes 1.81
     and 4.125, which isn't, 4.12. For values below 2^40; -0.004 becomes -0.0.
     """
-    scale, a = 10.0**places, F.abs(x)
-    high = a * 134217729.0 - (a * 134217729.0 - a)
-    p = a * scale
-    error = (high * scale - p) + (a - high) * scale
-    k = F.floor(p).cast("double")
-    rest = (p - k) + error
-    m = (k + F.when((rest > 0.5) | ((rest == 0.5) & (k % 2 == 1)), 1.0).otherwise(0.0)) / scale
-    return F.when(x < 0, -m).otherwise(m)
+    scale = 10.0**places
+
+    def parts(a: Column) -> Column:
+        high = a * 134217729.0 - (a * 134217729.0 - a)
+        return F.struct((a * scale).alias("p"), ((high * scale - a * scale) + (a - high) * scale).alias("error"))
+
+    def nearest(s: Column) -> Column:
+        k = F.floor(s["p"]).cast("double")
+        return let((s["p"] - k) + s["error"], lambda rest: (k + F.when((rest > 0.5) | ((rest == 0.5) & (k % 2 == 1)), 1.0).otherwise(0.0)) / scale)
+
+    return let(x, lambda v: let(let(parts(F.abs(v)), nearest), lambda m: F.when(v < 0, -m).otherwise(m)))
 
 
 def told(pattern: str, *values: Column) -> Column:
