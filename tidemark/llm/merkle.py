@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import parts, stored
 
 FANOUT, TOP = 8, 40
 #: Nodes of the upper levels that are broadcast: their number is counted, a node takes some 400 bytes.
@@ -186,6 +186,8 @@ def merkle_proofs(docs: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> Da
         cut = k
     under_top = F.col("parent").isNull() | (F.col("parent") >= (TOP + 1) << 50)
     rows = levels[1].select("parent", "pos", "hash", F.when(under_top, F.col("hash")).alias("subroot"), "leaves", F.lit("").cast("binary").alias("siblings"))
+    # a recursion's result has as many parts as its start, which is a tenth of its size
+    rows = rows.repartition(parts(docs.sparkSession))
     for part, end, small in (([k for k in inner if k < cut], cut, False), ([k for k in inner if k >= cut], 2 * TOP, True)):
         if part:
             nodes = reduce(DataFrame.unionByName, [inner[k] for k in part])
