@@ -113,7 +113,7 @@ def test_clusters_equal_a_plain_loop(spark, bits):
     report = []
     got = vafile.vafile_clusters(spark.createDataFrame(rows, VECTORS).repartition(5), bits=bits, report=report)
     assert by_all(got.collect()) == by_all(plain_clusters([r[:2] for r in rows]))
-    assert len(report) == 3 and (bits < 6 or max(report) < 150)
+    assert len(report) == 3 and (bits < 6 or max(report) < 300)  # cells alone decide the others
 
 
 def test_few_vectors(spark):
