@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts, stored
+from tidemark.llm.common import stored
 
 FANOUT, TOP = 8, 40
 #: Nodes of the upper levels that are broadcast: their number is counted, a node takes some 400 bytes.
@@ -117,15 +117,21 @@ def level_above(below: DataFrame, level: int, languages: int, base: int = 0) ->
 
 
 @contextmanager
-def unlimited_rows(spark: SparkSession) -> Iterator[None]:
-    """Without Spark's limit on a recursion's rows, which is meant for recursions that don't end; ours end at the root."""
-    key = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "-1")
+def climbing(spark: SparkSession) -> Iterator[None]:
+    """The settings of a climb: no limit on a recursion's rows (meant for recursions that don't end; ours end at the root), and as many parts as a shuffle has.
+
+    A recursion's result gets the parts of its last step, which is empty: left to be put together, that
+    would bring all rows into a few tasks.
+    """
+    own = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: One step up: the siblings to the left and right of a node come from its parent's row.
@@ -145,7 +151,7 @@ SELECT * FROM climb WHERE parent IS NULL OR parent >= {cut}"""
 def climbed(start: DataFrame, nodes: DataFrame, cut: int) -> DataFrame:
     """The rows of start where they leave the given nodes, stored: at the root, or below a node of id `cut` or more."""
     spark = start.sparkSession
-    with unlimited_rows(spark):
+    with climbing(spark):
         return stored(spark.sql(CLIMB, start=start, nodes=nodes.select("id", "parent", "pos", "hash", "children"), cut=cut, top=(TOP + 1) << 50))
 
 
@@ -186,8 +192,6 @@ def merkle_proofs(docs: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> Da
         cut = k
     under_top = F.col("parent").isNull() | (F.col("parent") >= (TOP + 1) << 50)
     rows = levels[1].select("parent", "pos", "hash", F.when(under_top, F.col("hash")).alias("subroot"), "leaves", F.lit("").cast("binary").alias("siblings"))
-    # a recursion's result has as many parts as its start, which is a tenth of its size
-    rows = rows.repartition(parts(docs.sparkSession))
     for part, end, small in (([k for k in inner if k < cut], cut, False), ([k for k in inner if k >= cut], 2 * TOP, True)):
         if part:
             nodes = reduce(DataFrame.unionByName, [inner[k] for k in part])
