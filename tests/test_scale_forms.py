@@ -203,3 +203,15 @@ def test_disagreements_and_agreement(spark):
     p = spark.createDataFrame([(1, 2.5, 2.45), (2, 2.5, 2.44), (3, 1.0, None), (4, None, 1.0)], "m long, printed double, computed double")
     r = stats.agreement(p, "printed", "computed", ["m"]).first()
     assert (r.n, r.agree, r.share, [x.m for x in r.mismatches]) == (2, 1, 0.5, [2, 3])
+
+
+def test_temporary_tables_go(spark):
+    from pathlib import Path
+
+    from tidemark.schema import stored, temporary_tables
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    kept, before = stored(spark.range(3)), set(shared.glob("tidemark-*"))
+    with temporary_tables(spark):
+        assert stored(spark.range(5)).count() == 5 and len(set(shared.glob("tidemark-*")) - before) == 1
+    assert set(shared.glob("tidemark-*")) == before and kept.count() == 3

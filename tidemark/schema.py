@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,28 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared folder and read again: made once, however often it is used."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that stored() made within, and no others; results must be written by then."""
+    held = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    try:
+        yield
+    finally:
+        own = held[before:]
+        del held[before:]
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(rows: DataFrame, key: str, order: list[str], bucket: Column, name: str = "seq") -> DataFrame:
     """rows with a dense number from 0 per key in the given order; bucket must be monotone in the order.
 
