@@ -739,7 +739,7 @@ def fn34_decisions(spark, sf_dir):
 # ----------------------------------------------------- further study forms
 
 
-@query(SIGNALS_SQL + NULL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY try) AS n FROM cand WHERE try < 20) SELECT source_id AS signal_id, when_us FROM r WHERE n = 1")
+@query(SIGNALS_SQL + NULL_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY try) AS n FROM cand WHERE try < {TRIES}) SELECT source_id AS signal_id, when_us FROM r WHERE n = 1")
 def evt7_unconditioned(spark, sf_dir):
     return N.unconditioned(signals_of(spark, sf_dir), SPAN, EXCLUDE, 0, TRIES).select("signal_id", "when_us")
 
