@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import clamped
+from tidemark.operators.asof import clamped, stepped
 
 H = 3
 #: What sigma_bars adds to a bar: neighbours' closes within H bars, and sigma.
@@ -40,17 +40,24 @@ def excursion(rows: DataFrame, horizon: int = 1, pre_horizon: int = 3, p: str =
     return rows.withColumn("before", before).withColumn("after", after)
 
 
-def labelled(bars: DataFrame, moments: DataFrame, threshold: float = 2.0, horizon: int = H) -> DataFrame:
+def own_labels(rows: DataFrame, horizon: int = H) -> DataFrame:
+    """sigma_bars() with pre, post and post_signed in sigmas and the price, for a moment in each bar; all null too near an edge."""
+    c, s = F.col("close"), F.col("sigma")
+    fine = (c > 0) & (s > 0) & F.col(f"b{horizon}").isNotNull() & F.col(f"a{horizon}").isNotNull()
+    post = F.greatest(*[F.abs(in_sigmas(c, F.col(f"a{h}"), h, s)) for h in range(1, horizon + 1)], F.lit(0.0))
+    pre, signed = F.abs(in_sigmas(F.col(f"b{horizon}"), c, horizon, s)), in_sigmas(c, F.col(f"a{horizon}"), horizon, s)
+    return rows.select("symbol", "ts_us", "seq", *[F.when(fine, x).alias(n) for n, x in (("pre", pre), ("post", post), ("post_signed", signed), ("price", c))])
+
+
+def labelled(bars: DataFrame, moments: DataFrame, threshold: float = 2.0, horizon: int = H, many: bool = False) -> DataFrame:
     """moments (symbol, when_us, ...) with pre, post, post_signed in sigmas and moved, reactive, clean; moments too near an edge have no row.
 
-    post is the largest move at any step up to the horizon, each scaled by its own root of time.
+    post is the largest move at any step up to the horizon, each scaled by its own root of time. many: the
+    moments far outnumber the bars, which are looked up without sorting them.
     """
-    rows = clamped(sigma_bars(bars), moments, SIGMAS)
-    c, s = F.col("q_close"), F.col("q_sigma")
-    rows = rows.filter((c > 0) & (s > 0) & F.col(f"q_b{horizon}").isNotNull() & F.col(f"q_a{horizon}").isNotNull())
-    post = F.greatest(*[F.abs(in_sigmas(c, F.col(f"q_a{h}"), h, s)) for h in range(1, horizon + 1)], F.lit(0.0))
-    pre, signed = F.abs(in_sigmas(F.col(f"q_b{horizon}"), c, horizon, s)), in_sigmas(c, F.col(f"q_a{horizon}"), horizon, s)
-    out = rows.select(*moments.columns, pre.alias("pre"), post.alias("post"), signed.alias("post_signed"), c.alias("price"))
+    names = ("pre", "post", "post_signed", "price")
+    rows = (stepped if many else clamped)(own_labels(sigma_bars(bars), horizon), moments, names).filter("q_price IS NOT NULL")
+    out = rows.select(*moments.columns, *[F.col("q_" + n).alias(n) for n in names])
     moved, reactive = F.col("post") >= threshold, F.col("pre") >= threshold
     return out.withColumn("moved", moved).withColumn("reactive", reactive).withColumn("clean", moved & ~reactive)
 

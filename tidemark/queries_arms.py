@@ -43,7 +43,7 @@ def agg25_arm_scores(spark, sf_dir):
     named = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("chosen")) for a, c in (("all", F.lit(True)), ("long", F.col("sign") > 0), ("large", F.col("arm") == "large"))]))
     selected = got.select("symbol", "clean", named.alias("x")).select("symbol", "x.arm", "x.chosen", "clean")
     spans = got.groupBy("symbol").agg(F.min("when_us").alias("lo"), F.max("when_us").alias("hi"), F.count(F.lit(1)).alias("n"))
-    draws = L.labelled(bars, N.trial_times(spans, 400, F.col("n")), 1.0)
+    draws = L.labelled(bars, N.trial_times(stored(spans), 400, F.col("n")), 1.0, many=True)
     return rounded(N.arm_scores(selected, draws))
 
 
