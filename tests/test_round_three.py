@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import labels as L
 from tidemark.operators.asof import clamped, stepped
+from tidemark.operators import ledger as B
+from tidemark.operators import stats as S
+from tidemark.plans import arms as A
 from tidemark.plans import nulls as N
+from tidemark.plans import pricing as E
+from tidemark.queries import rounded
 
 
 def made_bars(spark, n=300, seed=1):
@@ -53,3 +58,47 @@ def test_conditional_test_draws_in_rounds(spark):
     for c, r in got.items():
         means = [sum(v[: r["n"]]) / r["n"] for (k, _), v in want.items() if k == c and len(v) >= r["n"]]
         assert len(means) == 20 and abs(r["null"] - sum(means) / 20) < 1e-12
+
+
+def zero_tape(spark):
+    """A tick every minute, the seventh at a price of zero."""
+    rows = [("A", i * 60_000_000, i, 0.0 if i == 6 else 99.0 + i, 0.0 if i == 6 else 101.0 + i) for i in range(12)]
+    return spark.createDataFrame(rows, "symbol string, ts_us long, seq long, bid double, ask double")
+
+
+def test_a_price_of_zero_is_a_price_where_asked(spark):
+    minute, inf = 60_000_000, float("inf")
+    s = spark.createDataFrame([(n, "A", at * minute, 1) for n, at in (("into", 4), ("from", 6), ("clear", 8))], "signal_id string, symbol string, when_us long, sign int")
+    look = lambda **k: {r["signal_id"]: r for r in E.tick_outcomes(zero_tape(spark), s, (2,), (0,), minute, minute, 90_000_000, 90_000_000, **k).collect()}
+    assert set(look()) == {"clear"}
+    got = look(zero=True)
+    assert set(got) == {"into", "from", "clear"} and got["into"]["fwd_bps"] == -inf and got["from"]["fwd_bps"] == inf and got["from"]["pre_bps"] == -inf and math.isnan(got["from"]["spread_bps"])
+    assert got["clear"]["fwd_bps"] == look()["clear"]["fwd_bps"]
+    d = {r["signal_id"]: r["drift_0"] for r in E.drift(zero_tape(spark), s.withColumn("when_us", F.col("when_us") + 1000), (2 * minute,), 90_000_000, zero=True).collect()}
+    assert d["from"] == -inf and d["clear"] == inf
+    r = s.select(F.col("signal_id").alias("id"), "symbol", (F.col("when_us") - 2 * minute).alias("statement_us"), F.col("when_us").alias("start_us"), F.lit("more_hawkish").alias("remarks_vs_statement"), F.lit("consistent").alias("qa_vs_remarks"))
+    m = {x["id"]: x for x in A.reversals(r, zero_tape(spark), 2 * minute, 90_000_000, zero=True).collect()}
+    assert m["from"]["statement_bps"] == -inf and m["from"]["presser_bps"] == inf and m["into"]["presser_bps"] == -inf
+
+
+def test_decisions_at_a_price_of_zero_count_where_asked(spark):
+    t = zero_tape(spark).select("symbol", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
+    d = t.select("symbol", "seq", (F.col("seq") + 1).alias("arrival"), F.lit(0.6).alias("p_up"), F.lit(0.2).alias("p_down"), F.lit(0.4).alias("edge"))
+    scored = lambda **k: S.direction_scores(d, t, 2, **k).filter("p IS NOT NULL").count()
+    assert scored(zero=True) == scored() + 1
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    values = [16.5 * (1 - 5 / 1e6), 0.1234565, 2.0000005, -1.0000015, 5e-7, float("-inf"), 1.5]
+    got = [r["x"] for r in rounded(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0", [v]).fetchone()[0] for v in values]
+
+
+def test_an_entry_at_zero_has_no_excursion(spark):
+    """Its move once was divided by zero."""
+    curve = spark.createDataFrame([(1.0, 5.0, 5.0, 0.0), (2.0, 4.0, -4.0, 4.0), (0.0, 3.0, 0.0, None)], "units double, mid double, unrealized double, avg_price double")
+    want = [(0.0, False), (0.0, False), (0.0, False)]
+    assert [tuple(r) for r in B.excursion_flags(curve, F.lit(2.0)).select("excursion_bps", "stop").collect()] == want
+    assert B.excursion_flags(curve.drop("avg_price").filter("units = 1"), F.lit(2.0)).first()["excursion_bps"] == 0.0

@@ -137,13 +137,16 @@ def marked(book: DataFrame, ticks: DataFrame, keys: tuple[str, ...] = ("run", "s
     both = both.join(ends, [*keys, "_b"]).withColumn("_s", F.coalesce(F.last("_s", ignorenulls=True).over(own), F.col("_carry"))).filter("_k = 1")
     unrealized = F.coalesce((F.col("mid") - F.col("_s.avg_price")) * F.col("_s.units"), F.lit(0.0))
     gross = F.coalesce(F.col("_s.realized"), F.lit(0.0)) + unrealized
-    return both.select(*keys, "seq", "mid", F.coalesce(F.col("_s.units"), F.lit(0.0)).alias("units"), unrealized.alias("unrealized"), gross.alias("gross"), (gross - F.coalesce(F.col("_s.fees"), F.lit(0.0))).alias("equity"))
+    return both.select(*keys, "seq", "mid", F.coalesce(F.col("_s.units"), F.lit(0.0)).alias("units"), unrealized.alias("unrealized"), gross.alias("gross"), (gross - F.coalesce(F.col("_s.fees"), F.lit(0.0))).alias("equity"), F.col("_s.avg_price").alias("avg_price"))
 
 
 def excursion_flags(equity: DataFrame, vol_bps: Column, stop_bps: float = 25.0) -> DataFrame:
-    """A marked curve with the open position's move in bps of its entry, in vols, and the stop flag."""
-    entry = F.col("mid") - F.col("unrealized") / F.nullif(F.col("units"), F.lit(0.0))
-    bps = F.coalesce((F.col("mid") - entry) / entry * 1e4 * F.signum("units"), F.lit(0.0))
+    """A marked curve with the open position's move in bps of its entry, in vols, and the stop flag; no move is told of an entry at zero.
+
+    The entry is the curve's avg_price; without that column it follows from what is unrealized.
+    """
+    entry = F.col("avg_price") if "avg_price" in equity.columns else F.col("mid") - F.col("unrealized") / F.nullif(F.col("units"), F.lit(0.0))
+    bps = F.coalesce(F.when(F.col("units") != 0, (F.col("mid") - entry) / F.nullif(entry, F.lit(0.0)) * 1e4 * F.signum("units")), F.lit(0.0))
     return equity.withColumn("excursion_bps", bps).withColumn("excursion_vols", bps / F.greatest(vol_bps, F.lit(1e-9))).withColumn("stop", F.col("excursion_bps") <= -stop_bps)
 
 
