@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.asof import BACKWARD, bounded_asof
-from tidemark.functions.prices import log_bps, mid
+from tidemark.functions.prices import full_log_bps, log_bps, mid
 from tidemark.operators.documents import match_calendar, projection_moves
 from tidemark.plans.pricing import probes
 from tidemark.schema import MINUTE
@@ -176,10 +176,11 @@ def carried(signals: DataFrame, starts: DataFrame) -> DataFrame:
     return signals.join(starts, "id").withColumn("ts_us", F.col("start_us")).drop("start_us")
 
 
-def reversals(readings: DataFrame, tape: DataFrame, after_us: int = 60 * MINUTE, stale_us: int = 300_000_000) -> DataFrame:
-    """readings (id, symbol, statement_us, start_us, remarks_vs_statement, qa_vs_remarks) that aren't consistent throughout, with the moves before and after the start."""
+def reversals(readings: DataFrame, tape: DataFrame, after_us: int = 60 * MINUTE, stale_us: int = 300_000_000, zero: bool = False) -> DataFrame:
+    """readings (id, symbol, statement_us, start_us, remarks_vs_statement, qa_vs_remarks) that aren't consistent throughout, with the moves before and after the start. zero: as in tick_outcomes()."""
+    bps = full_log_bps if zero else log_bps
     odd = readings.filter((F.col("remarks_vs_statement") != "consistent") | (F.col("qa_vs_remarks") != "consistent"))
     looks = {"release": F.col("statement_us"), "start": F.col("start_us"), "later": F.col("start_us") + after_us}
     got = bounded_asof(tape, probes(odd.withColumn("signal_id", F.col("id")), looks), stale_us, BACKWARD, values=("bid", "ask")).withColumn("m", mid(F.col("q_bid"), F.col("q_ask")))
     m = got.groupBy(F.col("signal_id").alias("id")).agg(*[F.max(F.when(F.col("probe") == n, F.col("m"))).alias(n) for n in looks])
-    return odd.join(m.select("id", log_bps(F.col("release"), F.col("start")).alias("statement_bps"), log_bps(F.col("start"), F.col("later")).alias("presser_bps")), "id", "left").orderBy("start_us")
+    return odd.join(m.select("id", bps(F.col("release"), F.col("start")).alias("statement_bps"), bps(F.col("start"), F.col("later")).alias("presser_bps")), "id", "left").orderBy("start_us")

@@ -75,7 +75,7 @@ def agg27_latency_null(spark, sf_dir):
     """The same signals entered later and later, each latency against draws of its own, all priced by one set of look-ups."""
     t = stored(ticks_of(spark, sf_dir))
     late = signals_of(spark, sf_dir).withColumn("latency_us", F.explode(F.array(*[F.lit(x).cast("long") for x in LATENCIES]))).withColumn("signal_id", F.concat_ws(":", "signal_id", "latency_us"))
-    real, nulls = N.with_nulls(late, lambda s, carry: E.tick_outcomes(t, s, HZ, None, PRE, H, STALE, WAIT, carry), PER, TRIES, SPAN, EXCLUDE)
+    real, nulls = N.with_nulls(late, lambda s, carry: E.tick_outcomes(t, s, HZ, None, PRE, H, STALE, WAIT, carry, zero=True), PER, TRIES, SPAN, EXCLUDE)
     return rounded(N.with_null_figures(real, nulls, ["latency_us", "horizon"]).select("latency_us", "horizon", "fwd_n", "fwd_mean", "fwd_se", "hit", "null_n", "null_mean", "null_se", "z"))
 
 
