@@ -2,9 +2,11 @@
 
 import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import features as W
 from tidemark.operators import labels as L
 from tidemark.operators.asof import clamped, stepped
 from tidemark.operators import ledger as B
@@ -142,3 +144,23 @@ def test_an_event_meets_one_quote(spark):
     assert got[["event_id", "quote_us", "quote_seq", "bid"]].values.tolist() == [[7, 10, 2, 3.0]]
     got = fold.fold("A", rows((160, True, 8, nan, nan), (161, True, 9, nan, nan)))
     assert got[["event_id", "quote_us", "quote_seq", "bid"]].values.tolist() == [[8, 60, 3, 5.0]]
+
+
+def test_typical_volatility_is_the_median_of_known_means(spark):
+    """No percentile is kept for each row's frame any more; prices of zero leave gaps."""
+    rnd = random.Random(5)
+    px = [0.0 if 100 <= i < 140 or i % 97 == 0 else rnd.uniform(90, 110) for i in range(5000)]
+    ticks = spark.createDataFrame([("A", i, p, p) for i, p in enumerate(px)], "symbol string, seq long, bid double, ask double")
+    out = W.volatility_spikes(ticks)
+    assert "percentile" not in out._jdf.queryExecution().toString().lower()
+    got = {r["seq"]: r for r in out.collect()}
+    moved = [abs(math.log(b / a)) if a > 0 and b > 0 else None for a, b in zip(px, px[1:])]
+    moved = [None, *moved]
+    recent = [[m for m in moved[max(0, i - 23) : i + 1] if m is not None] if i >= 23 else [] for i in range(len(px))]
+    recent = [sum(m) / len(m) if m else None for m in recent]
+    assert set(got) == {i for i, m in enumerate(recent) if m is not None} and len(got) < 4977
+    for i in (23, 60, 123, 150, 421, 422, 600, 4095, 4096, 4300, 4999):
+        if i in got:
+            past = [m for m in recent[max(0, i - 399) : i + 1] if m is not None]
+            assert abs(got[i]["typical"] - statistics.median(past)) < 1e-12
+            assert got[i]["spike"] == (len(past) >= 120 and got[i]["recent"] > 2 * got[i]["typical"])

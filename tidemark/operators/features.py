@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,28 @@ def volatility_spikes(ticks: DataFrame, window: int = 24, trigger: float = 2.0,
     w = Window.partitionBy("symbol", "block").orderBy("seq")
     rows = blocked(ticks).withColumn("mid", mid(F.col("bid"), F.col("ask"))).withColumn("a", F.abs(log_bps(F.lag("mid").over(w), F.col("mid"))) / 1e4)
     rows = rows.withColumn("recent", F.when(F.col("seq") >= window - 1, F.avg("a").over(w.rowsBetween(1 - window, 0))))
-    past = w.rowsBetween(1 - history, 0)
-    rows = rows.withColumn("typical", F.percentile("recent", F.lit(0.5)).over(past)).withColumn("known", F.count("recent").over(past))
+    rows = rows.select("symbol", "block", "seq", "recent", "halo")
+
+    def medians(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("seq", ignore_index=True)
+        x = np.concatenate([np.full(history - 1, np.nan), held["recent"].to_numpy(float)])
+        missing = np.isnan(x)
+        typical, known = np.full(len(held), np.nan), np.zeros(len(held), np.int64)
+        for i in range(0, len(held), 1024):
+            part = np.lib.stride_tricks.sliding_window_view(x[i : i + 1023 + history], history)
+            n = history - np.lib.stride_tricks.sliding_window_view(missing[i : i + 1023 + history], history).sum(axis=1)
+            known[i : i + len(part)], at = n, np.arange(i, i + len(part))
+            whole, some = n == history, (n > 0) & (n < history)
+            typical[at[whole]] = np.median(part[whole], axis=1) if whole.any() else 0.0
+            # missing ones sort last
+            own, m = np.sort(part[some], axis=1), n[some]
+            line = np.arange(len(m))
+            typical[at[some]] = (own[line, (m - 1) // 2] + own[line, m // 2]) / 2
+        return held.assign(typical=typical, known=known)[["symbol", "seq", "recent", "halo", "typical", "known"]]
+
+    kind = rows.schema["symbol"].dataType.simpleString()
+    rows = rows.groupBy("symbol", "block").applyInPandas(medians, f"symbol {kind}, seq long, recent double, halo boolean, typical double, known long")
+    rows = rows.withColumn("typical", F.nanvl("typical", F.lit(None).cast("double"))).withColumn("recent", F.nanvl("recent", F.lit(None).cast("double")))
     spike = (F.col("known") >= least) & (F.col("typical") > 0) & (F.col("recent") > trigger * F.col("typical"))
     return rows.filter(~F.col("halo") & F.col("recent").isNotNull()).select("symbol", "seq", "recent", "typical", spike.alias("spike"))
 
