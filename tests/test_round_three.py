@@ -164,3 +164,14 @@ def test_typical_volatility_is_the_median_of_known_means(spark):
             past = [m for m in recent[max(0, i - 399) : i + 1] if m is not None]
             assert abs(got[i]["typical"] - statistics.median(past)) < 1e-12
             assert got[i]["spike"] == (len(past) >= 120 and got[i]["recent"] > 2 * got[i]["typical"])
+
+
+def test_histogram_takes_pages_apart_once(spark):
+    """The cells once were made three times, for each side of two joins."""
+    from tidemark.sources import texts as X
+
+    page = "<table><tr><th>Level</th><th>2024</th></tr><tr><td>4.00</td><td>3</td></tr></table>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string").withColumn("html", F.concat("html", F.lit("")))
+    out = X.histogram(X.table_cells(pages))
+    assert "html" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["page_id"], r["year"], r["n"]) for r in out.collect()] == [(1, "2024", 3)]

@@ -149,6 +149,7 @@ def histogram(cells: DataFrame) -> DataFrame:
     """Rows (page_id, table, year, level, n): tables whose first column is rate levels and whose header names years."""
     from tidemark.functions.text import level_of
 
+    cells = stored(cells)  # read three times, the pages taken apart once
     head = cells.filter((F.col("row") == 0) & F.regexp_like("text", F.lit(r"^(19|20)\d{2}$|(?i)^longer[\s-]*run$"))).select("page_id", "table", "col", F.col("text").alias("year"))
     stub = cells.filter(F.col("col") == 0).select("page_id", "table", "row", level_of(F.col("text")).alias("level")).filter(F.col("level").isNotNull())
     counts = cells.filter(F.col("col") > 0).select("page_id", "table", "row", "col", F.col("text").try_cast("int").alias("n")).filter(F.col("n") > 0)
