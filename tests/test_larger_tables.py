@@ -15,3 +15,11 @@ def test_lexicons_take_texts_one_at_a_time(spark):
     df = spark.createDataFrame([(1, "the fed raised rates"), (2, None)], "id long, t string").select("id", V.lexicon_counts(F.col("t"), V.RULES)["hawks"].alias("n"))
     assert ", 251" in plan_of(df)  # an iterator of Arrow arrays
     assert sorted(map(tuple, df.collect())) == [(1, 1), (2, 0)]
+
+
+def test_wire_arm_reads_texts_in_one_pass(spark):
+    """It once ran some thirteen regular expressions over every text, several of them twice."""
+    df = A.wire_arm(spark.createDataFrame([(1, 0, "ecb: euro jumps", ""), (2, 0, "bitcoin jumps, dollar too", ""), (3, 0, "yen", "nothing")], "id long, ts_us long, title string, body string"))
+    plan = plan_of(df)
+    assert plan.count("ArrowEvalPython") == 1 and "rlike" not in plan.lower() and "regexp" not in plan.lower()
+    assert [tuple(r) for r in df.collect()] == [(1, 0, "EURUSD", 1, 1.0, "wire keyword")]

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicons as V
 from tidemark.functions import text as T
 from tidemark.operators.asof import BACKWARD, bounded_asof
 from tidemark.functions.prices import full_log_bps, log_bps, mid
@@ -83,9 +84,16 @@ def all_text_arm(docs: DataFrame) -> DataFrame:
 
 
 def wire_arm(docs: DataFrame) -> DataFrame:
-    """Keyword rules on a wire: the currency and direction of each headline that is about one."""
-    said = T.text_of(F.col("title"), F.col("body"))
-    return _signals(docs.filter(T.about_fx(said)), signed_pair(T.currency(said), T.wire_direction(said), WIRE_PAIRS), "wire keyword")
+    """Keyword rules on a wire: the currency and direction of each headline that is about one. All lexicons read a text in one pass."""
+    rules = {k: V.RULES[k] for k in V.RULES if k in ("up", "down", "not_fx") or k.startswith("currency_")}
+    rows = docs.withColumn("_c", V.lexicon_counts(T.text_of(F.col("title"), F.col("body")), rules))
+    c = F.col("_c")
+    currency = V.first_named(c, [(f"currency_{i}", name) for i, (name, _) in enumerate(T.CURRENCIES)], "none")
+    direction = F.when(c["up"] > c["down"], "stronger").when(c["up"] < c["down"], "weaker").otherwise("none")
+    pair = F.when(c["not_fx"] == 0, signed_pair(currency, direction, WIRE_PAIRS))
+    # exploded, not filtered: a filter on counts would be moved below them and count every text once more
+    rows = rows.withColumn("_p", F.explode(F.array_compact(F.array(pair))))
+    return _signals(rows, F.col("_p"), "wire keyword")
 
 
 def surprise_arm(docs: DataFrame, calendar: DataFrame, rate_title: str = RATE_TITLE) -> DataFrame:
