@@ -1,9 +1,16 @@
 """Tests for what the third review projected on larger tables."""
 
+import json
+
 from pyspark.sql import functions as F
 
+import tidemark.queries_pages  # noqa: F401
 from tidemark.functions import lexicons as V
 from tidemark.plans import arms as A
+from tidemark.queries import QUERIES
+from tidemark.sources import texts, trees
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def plan_of(df) -> str:
@@ -23,3 +30,34 @@ def test_wire_arm_reads_texts_in_one_pass(spark):
     plan = plan_of(df)
     assert plan.count("ArrowEvalPython") == 1 and "rlike" not in plan.lower() and "regexp" not in plan.lower()
     assert [tuple(r) for r in df.collect()] == [(1, 0, "EURUSD", 1, 1.0, "wire keyword")]
+
+
+def test_trees_stay_one_row(spark, monkeypatch):
+    """Each level of a tree was once stored as rows of its nodes; now only trees of more levels than a step takes need another."""
+    calls, keep = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df: calls.append(1) or keep(df))
+    text = lambda t: {"node": "text", "text": t}
+    flat = json.dumps([{"tag": "div", "child": [{"tag": "p", "child": [text("a &nbsp; b"), {"tag": "b", "child": text("c")}, None, 7, []]}, {"tag": "p", "child": [text("d")]}]}])
+    deep = text("end")
+    for i in range(40):
+        deep = {"tag": "p", "child": [text(str(i)), deep]} if i % 8 == 0 else {"tag": "span", "child": deep}
+    rows = [(1, flat), (2, json.dumps(deep)), (3, "<p>x</p><p>y</p>"), (4, '{"a": '), (5, "{}"), (6, None)]
+    df = spark.createDataFrame(rows, "id int, body string")
+    assert dict(texts.cms_text(df.filter("id <> 2")).select("id", "text").collect()) == {1: "a bc\nd", 3: "x\ny", 4: '{"a":', 5: "", 6: None}
+    assert len(calls) == 1
+    assert texts.cms_text(df.filter("id = 2")).first().text == "32\n24\n16\n8\n0end"
+    assert len(calls) > 2
+
+
+def test_projection_rows_are_dealt_out(spark):
+    """One task once read and worked through the whole file."""
+    assert QUERIES["fn31_projection_rows"](spark, SMALL).rdd.getNumPartitions() > 1
+
+
+def test_containers_are_looked_for_only_where_needed(spark):
+    """All containers, paragraphs and the plain page were once made of every page."""
+    pages = spark.createDataFrame([(1, '<div class="col-xs-12 col-sm-8 col-md-8">' + "word " * 60 + '</div><div id="content">other</div>'), (2, '<div id="content">' + "more " * 60 + "</div>")], "page_id int, html string")
+    df = trees.page_body(pages)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("(coalesce(length(_c0" in plan[: plan.index(f" AS {n}#")].rsplit("\n", 1)[-1] for n in ("_c1", "_c2", "_p", "_all"))
+    assert dict(df.select("page_id", "body").collect()) == {1: ("word " * 60).strip(), 2: ("more " * 60).strip()}

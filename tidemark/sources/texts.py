@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import iso_week, moment
 from tidemark.schema import stored
-from tidemark.sources.trees import linked_articles, tree_text
+from tidemark.sources.trees import linked_articles, told
 
 
 def _first(*names: str) -> Column:
@@ -117,12 +117,8 @@ def lined_text(html: Column) -> Column:
 
 def cms_text(rows: DataFrame, column: str = "body") -> DataFrame:
     """rows with `text`: of a JSON tree its text nodes with a line for each block, of HTML its lined text; rows are stored."""
-    held = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-    trees = held.filter(F.regexp_like(column, F.lit(r"^\s*[\[{]"))).select(F.col("_row").alias("id"), F.try_parse_json(column).alias("v")).filter("v IS NOT NULL")
-    told = tree_text(trees).select(F.col("id").alias("_id"), F.col("text").alias("_t"))
-    known = trees.select(F.col("id").alias("_tree"))
-    out = held.join(known, F.col("_row") == F.col("_tree"), "left").join(told, F.col("_row") == F.col("_id"), "left")
-    return out.select(*rows.columns, F.when(F.col("_tree").isNotNull(), F.coalesce("_t", F.lit(""))).otherwise(lined_text(F.col(column))).alias("text"))
+    got = told(rows.withColumn("v", F.when(F.regexp_like(column, F.lit(r"^\s*[\[{]")), F.try_parse_json(column))), "_told")
+    return got.select(*rows.columns, F.coalesce("_told", lined_text(F.col(column))).alias("text"))
 
 
 def body_text(pages: DataFrame, block: str = r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", tails: tuple[str, ...] = ("For media inquiries", "Last Update", "Related information")) -> DataFrame:

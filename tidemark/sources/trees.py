@@ -43,14 +43,41 @@ def walked(trees: DataFrame, down: str, lists_only: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else trees.select("id", F.lit(0).alias("hops"), F.array().cast("array<int>").alias("path"), "v").limit(0)
 
 
-def tree_text(trees: DataFrame) -> DataFrame:
-    """Rows (id, text) of content trees (id, v): text nodes in reading order, a new line before each block tag, blanks and empty lines squeezed."""
-    node = walked(trees, "$.child")
-    said = F.when(F.try_variant_get("v", "$.node", "string") == "text", F.coalesce(F.try_variant_get("v", "$.text", "string"), F.lit(""))).otherwise("")
-    piece = F.concat(said, F.when(F.coalesce(F.try_variant_get("v", "$.tag", "string").isin(*BLOCK_TAGS), F.lit(False)), "\n").otherwise(""))
-    got = node.select("id", "path", piece.alias("p")).filter("p <> ''").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "p"))), lambda x: x["p"]), "").alias("t"))
-    flat = F.regexp_replace(F.regexp_replace(F.replace("t", F.lit("&nbsp;"), F.lit(" ")), "[ \\t\u00a0]+", " "), " *\n *", "\n")
-    return got.select("id", F.btrim(F.regexp_replace(flat, "\n{2,}", "\n"), F.lit(" \n\t\r")).alias("text"))
+#: Levels of a tree that one step takes apart.
+LEVELS = 12
+
+
+def told(rows: DataFrame, name: str = "text") -> DataFrame:
+    """rows (v: variant, ...) without v, with the column `name`: a content tree's text nodes in reading order, a new line before each block tag, blanks and empty lines squeezed.
+
+    A tree stays one row: each node of its list is replaced, where it stands, by its own piece of text and what it
+    holds, so the list stays in reading order. Twelve levels of all trees are one step, and only deeper trees go into a
+    further one; every step's rows are stored. Null where v is, and '' where no node says anything.
+    """
+    kept, n = [c for c in rows.columns if c != "v"], F.col("_n")
+    node = lambda p, v: F.struct(p.alias("p"), v.alias("v"))
+
+    def inside(v: Column) -> Column:
+        said = F.when(F.try_variant_get(v, "$.node", "string") == "text", F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))).otherwise("")
+        piece = F.concat(said, F.when(F.coalesce(F.try_variant_get(v, "$.tag", "string").isin(*BLOCK_TAGS), F.lit(False)), "\n").otherwise(""))
+        listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: node(F.lit(""), e))
+        return F.coalesce(listed, F.array(node(piece, F.lit(None).cast("variant")), node(F.lit(""), F.try_variant_get(v, "$.child", "variant"))))
+
+    def expanded(nodes: Column) -> Column:
+        below = F.flatten(F.transform(nodes, lambda x: F.when(x["v"].isNull(), F.array(x)).otherwise(inside(x["v"]))))
+        return F.filter(below, lambda x: (x["p"] != "") | x["v"].isNotNull())
+
+    flat = F.regexp_replace(F.regexp_replace(F.replace(F.array_join(F.transform(n, lambda x: x["p"]), ""), F.lit("&nbsp;"), F.lit(" ")), "[ \\t\u00a0]+", " "), " *\n *", "\n")
+    text = F.btrim(F.regexp_replace(flat, "\n{2,}", "\n"), F.lit(" \n\t\r"))
+    open_ = F.coalesce(F.exists(n, lambda x: x["v"].isNotNull()), F.lit(False))
+    level, out = rows.select(*kept, F.when(F.col("v").isNotNull(), F.array(node(F.lit(""), F.col("v")))).alias("_n")), []
+    while True:
+        level = level.select(*kept, reduce(lambda x, _: expanded(x), range(LEVELS), n).alias("_n"))
+        level = stored(level.select(*kept, F.when(~open_, text).alias(name), F.when(open_, n).alias("_n")))
+        out.append(level.filter("_n IS NULL").drop("_n"))
+        level = level.filter("_n IS NOT NULL")
+        if not level.take(1):
+            return reduce(DataFrame.unionByName, out)
 
 
 def _cleaned(v: Column, key: str) -> Column:
