@@ -122,7 +122,7 @@ def balanced(html: Column, tag: str, opening: str) -> Column:
     """
     edge = rf"(?i)<{tag}\b[^>]*>|</{tag}\s*>"
     start = F.regexp_instr(html, F.lit(opening)) + F.length(F.regexp_extract(html, opening, 0))
-    rest = F.when(F.regexp_like(html, F.lit(opening)), F.substring(html, start, F.length(html)))
+    rest = F.substring(html, start, F.length(html))
 
     def closed(r: Column) -> Column:
         tags, between = F.regexp_extract_all(r, F.lit(edge), 0), F.split(r, edge, -1)
@@ -131,7 +131,7 @@ def balanced(html: Column, tag: str, opening: str) -> Column:
         end = F.array_position(running(steps), F.lit(-1)).cast("int")  # the opening itself is depth one
         return let(end, lambda e: F.when(e > 0, F.substring(r, F.lit(1), F.get(running(place), e - 1))).otherwise(r))
 
-    return F.when(rest.isNotNull(), let(rest, closed))
+    return F.when(F.regexp_like(html, F.lit(opening)), let(rest, closed))
 
 
 def page_body(pages: DataFrame, containers=CONTAINERS, tails: tuple[str, ...] = TAILS) -> DataFrame:
@@ -143,17 +143,25 @@ def page_body(pages: DataFrame, containers=CONTAINERS, tails: tuple[str, ...] =
     """
     from tidemark.sources.texts import plain_text
 
-    html = F.coalesce(F.col("html"), F.lit(""))
+    html = F.col("_h")
 
     def trimmed(text: Column) -> Column:
+        cut = lambda t: lambda x: F.when(F.locate(t, x) > 1, F.substring_index(x, t, 1)).otherwise(x)
         for t in tails:
-            text = F.when(F.locate(t, text) > 1, F.substring_index(text, t, 1)).otherwise(text)
+            text = let(text, cut(t))
         return F.trim(text)
 
+    rows = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).alias("_h"))
+    # each is looked for only in pages that the ones before don't settle
+    found, wanted = [f"_c{i}" for i in range(len(containers))], F.lit(True)
+    for name, (tag, opening) in zip(found, containers, strict=True):
+        rows = rows.withColumn(name, F.when(wanted, trimmed(plain_text(balanced(html, tag, opening)))))
+        wanted = wanted & (F.coalesce(F.length(name), F.lit(0)) < LEAST_BODY)
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     paragraphs = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), plain_text), lambda s: (F.length(s) >= LEAST_PARAGRAPH) & ~F.regexp_like(s, F.lit(FURNITURE)))
-    found = {f"_c{i}": trimmed(plain_text(balanced(html, tag, opening))) for i, (tag, opening) in enumerate(containers)}
-    rows = pages.select("page_id", *[x.alias(n) for n, x in found.items()], F.when(F.regexp_like(html, F.lit(LAST_UPDATE)), trimmed(plain_text(F.substring(html, F.lit(1), F.regexp_instr(html, F.lit(LAST_UPDATE)) - 1)))).alias("_last"), paragraphs.alias("_p"), F.substring(plain_text(html), 1, MOST_PLAIN).alias("_all"))
+    last = F.when(wanted & F.regexp_like(html, F.lit(LAST_UPDATE)), trimmed(plain_text(F.substring(html, F.lit(1), F.regexp_instr(html, F.lit(LAST_UPDATE)) - 1))))
+    rows = rows.withColumn("_last", last).withColumn("_p", F.when(wanted, paragraphs))
+    rows = rows.withColumn("_all", F.when(wanted & (F.size("_p") == 0), F.substring(plain_text(html), 1, MOST_PLAIN)))
     generic = trimmed(F.when(F.size("_p") > 0, F.array_join("_p", " ")).otherwise(F.col("_all")))
     every = [*found, "_last"]
     enough = [F.when(F.length(n) >= LEAST_BODY, F.col(n)) for n in found]
