@@ -186,7 +186,10 @@ def projection_rows(text: Column) -> Column:
     before has no cell for the newest year, and blank cells are lost in text: the longest reading of it
     whose last value, the longer run, is near this table's is taken, short ones filled from both ends.
     """
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), _projection)
+
+
+def _projection(flat: Column) -> Column:
     words = lambda s: F.filter(F.split(F.trim(s), " "), lambda w: w != "")
 
     def numbers(tokens: Column, columns: Column) -> Column:
@@ -195,11 +198,12 @@ def projection_rows(text: Column) -> Column:
         drop = F.least(notes, F.greatest(F.size(tokens) - columns, F.lit(0)))
         return F.transform(F.slice(tokens, drop + 1, F.greatest(F.size(tokens) - drop, F.lit(0))), lambda t: t.cast("double"))
 
-    heads, row = F.regexp_extract(flat, SEP_YEARS, 1), F.regexp_extract(flat, SEP_RATE, 1)
-    end = F.regexp_instr(flat, F.lit(SEP_RATE)) + F.length(F.regexp_extract(flat, SEP_RATE, 0)) - 1
-    tail = F.substring(flat, end, F.lit(SEARCHED + 1))
-    label, before = F.regexp_extract(tail, SEP_PREVIOUS, 1), F.regexp_extract(tail, SEP_PREVIOUS, 2)
-    raw = F.struct(F.concat(words(heads), F.array(F.lit("longer run"))).alias("years"), words(row).alias("row"), label.alias("label"), words(before).alias("before"), ((heads != "") & (row != "")).alias("there"))
+    # every expression is matched once: in a struct that the next one reads
+    seen = F.struct(F.regexp_extract(flat, SEP_YEARS, 1).alias("heads"), F.regexp_extract(flat, SEP_RATE, 1).alias("row"), F.regexp_extract(flat, SEP_RATE, 0).alias("whole"), F.regexp_instr(flat, F.lit(SEP_RATE)).alias("at"))
+
+    def told_before(x: Column) -> Column:
+        tail = F.substring(flat, x["at"] + F.length(x["whole"]) - 1, F.lit(SEARCHED + 1))
+        return let(tail, lambda t: F.struct(F.regexp_extract(t, SEP_PREVIOUS, 1).alias("label"), words(F.regexp_extract(t, SEP_PREVIOUS, 2)).alias("before"), F.concat(words(x["heads"]), F.array(F.lit("longer run"))).alias("years"), words(x["row"]).alias("row")))
 
     def rows(x: Column) -> Column:
         n = F.size(x["years"])
@@ -215,6 +219,6 @@ def projection_rows(text: Column) -> Column:
             previous = F.when(take.isNotNull(), filled)
             return F.when(F.size(y["medians"]) >= n, F.struct(y["years"].alias("years"), F.slice(y["medians"], F.lit(1), n).alias("medians"), F.when(previous.isNotNull(), y["label"]).otherwise("").alias("previous_label"), F.coalesce(previous, F.array().cast("array<double>")).alias("previous")))
 
-        return F.when(x["there"], let(parts, aligned))
+        return let(parts, aligned)
 
-    return let(raw, rows)
+    return let(seen, lambda x: F.when((x["heads"] != "") & (x["row"] != ""), let(told_before(x), rows)))
