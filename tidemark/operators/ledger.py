@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.prices import clamp
+from tidemark.schema import parts_for, stored
 
 LEAST = 1e-9
 
@@ -38,7 +39,7 @@ def target_fills(targets: DataFrame, ticks: DataFrame, impact_bps: float = 2.0,
     return rows.select(*keys, "seq", "ts_us", "delta", "price", (F.col("price") * F.abs("delta") * fee_bps / 1e4).alias("fee"))
 
 
-def cost_fold(rows: DataFrame, parts: tuple[str, ...], every: bool) -> DataFrame:
+def cost_fold(rows: DataFrame, parts: tuple[str, ...], every: bool, tasks: int | None = None) -> DataFrame:
     """rows (parts, seq, delta, price, fee, and the state before a part: u, avg, realized0, fees0) in order of seq through the average-cost step, each part for itself.
 
     With u given, every step is affine in the average price before the part: the average is
@@ -80,10 +81,10 @@ def cost_fold(rows: DataFrame, parts: tuple[str, ...], every: bool) -> DataFrame
     given = rows.select(*names if every else parts).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
     added = "units double, avg_price double, realized double, fees double" if every else "a double, b double, r0 double, r1 double, fees double"
     before = ["u", "avg", "realized0", "fees0"] if every else ["u"]
-    return rows.select(*names, *before).repartition(*parts).sortWithinPartitions(*parts, "seq").mapInPandas(run, f"{given}, {added}")
+    return rows.select(*names, *before).repartition(*([tasks] if tasks else []), *parts).sortWithinPartitions(*parts, "seq").mapInPandas(run, f"{given}, {added}")
 
 
-def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: int = 65536) -> DataFrame:
+def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: int = 65536, last: bool = False) -> DataFrame:
     """fills (keys, seq, delta, price, fee) with units, avg_price, realized and fees after each: average cost.
 
     Adding averages the price, reducing realises against it, going through flat starts again at the
@@ -91,20 +92,21 @@ def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: i
     give the units before each block, a first fold each block's effect on the average price and the
     realised sum (but for a key's last block), those are chained, one row a block, and a second fold
     starts each block from its state. Deltas are summed as decimals of twelve places, so that blocks
-    agree on where a position is flat.
+    agree on where a position is flat. last: the rows of each key's last block only.
     """
     rows = fills.select(*keys, "seq", "delta", "price", "fee").withColumn("_b", F.floor(F.col("seq") / block))
     parts, order = (*keys, "_b"), Window.partitionBy(*keys).orderBy("_b")
     sums = rows.groupBy(*parts).agg(F.sum(F.col("delta").cast("decimal(38,12)")).alias("_d"))
     units = F.coalesce(F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
-    blocks = sums.select(*parts, F.when(F.abs(units) < LEAST, 0.0).otherwise(units).alias("u"), F.lead("_b").over(order).isNull().alias("_last"))
+    blocks = stored(sums.select(*parts, F.when(F.abs(units) < LEAST, 0.0).otherwise(units).alias("u"), F.lead("_b").over(order).isNull().alias("_last")))
+    tasks = parts_for(fills.sparkSession, blocks.count() * block)  # a part holds some eight blocks
 
     def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         right = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(parts)], *[c for c in right.columns if c not in parts])
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(parts)]
         return left.join(right, same, how).drop(*[f"_k{i}" for i in range(len(parts))])
 
-    effects = cost_fold(joined(rows, blocks.filter(~F.col("_last"))), parts, every=False)
+    effects = cost_fold(joined(rows, blocks.filter(~F.col("_last"))), parts, every=False, tasks=tasks)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, avg, realized, fees = None, 0.0, 0.0, 0.0
@@ -122,7 +124,9 @@ def ledger(fills: DataFrame, keys: tuple[str, ...] = ("run", "symbol"), block: i
     linked = joined(blocks, effects, "left").select(*parts, "u", F.col("_last").alias("last"), "a", "b", "r0", "r1", "fees")
     given = blocks.select(*parts).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
     states = linked.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(chain, f"{given}, u double, avg double, realized0 double, fees0 double")
-    return cost_fold(joined(rows, states), parts, every=True).drop("_b")
+    if last:
+        states = joined(states, blocks.filter("_last").select(*parts))
+    return cost_fold(joined(rows, states), parts, every=True, tasks=tasks).drop("_b")
 
 
 def marked(book: DataFrame, ticks: DataFrame, keys: tuple[str, ...] = ("run", "symbol")) -> DataFrame:
