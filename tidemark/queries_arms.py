@@ -12,7 +12,7 @@ from tidemark.plans import arms as A
 from tidemark.plans import nulls as N
 from tidemark.plans import pricing as E
 from tidemark.queries import (
-    DOCS_SQL, EXCLUDE, H, HIT_SQL, HZ, LATENCIES, NULL_PICK_SQL, NULL_SQL, PER, PRE, SALTED_SQL, SIGMA_SQL, SIGNALS_SQL, SPAN, STALE, TICKERS_SQL, TRIES, WAIT, bars_of, docs_of, near, outcome_sql, outcomes_of, query, rounded,
+    DOCS_SQL, EXCLUDE, H, HIT_SQL, HZ, LATENCIES, NULL_PICK_SQL, NULL_SQL, PER, PRE, SALTED_SQL, SIGMA_SQL, SIGNALS_SQL, SPAN, STALE, TICKERS_SQL, TRIES, WAIT, bars_of, docs_of, near, outcome_sql, outcomes_of, probe_parts, query, rounded,
     salted_of, signals_of, stat_sql, ticks_of, with_nulls_of,
 )
 from tidemark.queries_tables import medians_of
@@ -75,7 +75,8 @@ def agg27_latency_null(spark, sf_dir):
     """The same signals entered later and later, each latency against draws of its own, all priced by one set of look-ups."""
     t = stored(ticks_of(spark, sf_dir))
     late = signals_of(spark, sf_dir).withColumn("latency_us", F.explode(F.array(*[F.lit(x).cast("long") for x in LATENCIES]))).withColumn("signal_id", F.concat_ws(":", "signal_id", "latency_us"))
-    real, nulls = N.with_nulls(late, lambda s, carry: E.tick_outcomes(t, s, HZ, None, PRE, H, STALE, WAIT, carry, zero=True), PER, TRIES, SPAN, EXCLUDE)
+    parts = probe_parts(late)
+    real, nulls = N.with_nulls(late, lambda s, carry: E.tick_outcomes(t, s, HZ, None, PRE, H, STALE, WAIT, carry, zero=True, parts=parts), PER, TRIES, SPAN, EXCLUDE)
     return rounded(N.with_null_figures(real, nulls, ["latency_us", "horizon"]).select("latency_us", "horizon", "fwd_n", "fwd_mean", "fwd_se", "hit", "null_n", "null_mean", "null_se", "z"))
 
 
