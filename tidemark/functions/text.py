@@ -90,8 +90,9 @@ TARGET = r"(?i)(?:target range|target rate|federal funds rate|bank rate|policy r
 QUOTE = "USDT USDC FDUSD BUSD TUSD USD1 USDP DAI USDE USDS USD EUR TRY BRL ARS JPY GBP ZAR UAH PLN RON CZK MXN COP NGN KRW IDR VND AUD CAD CHF RUB BIDR BVND USDⓈ".split()
 STOP = "UTC AM PM APR APY VIP API P2P NFT ETF KYC FAQ OTC CM UM UID ID TBA TBD GMT NA AI USDS-M COIN-M LP TGE IPO IEO DEX CEX FDV ATH ATL EST PST CET SGT HKT JST KST PDT".split()
 ABBREVIATIONS = "mr mrs ms dr jr sr st no vs etc inc corp co approx fig al ca pp vol sen rep gov messrs prof".split()
-SENTENCE_END = r"(?<=[.!?])\s+(?=[\"“‘(\[]?[A-Z0-9])"
-INITIALS = r"^(?:[A-Za-z]\.){1,4}$"
+# Runs of whitespace other than a single space; a stop, with all dots that follow it, before a space and a new sentence.
+BLANKS = r"[\s\x01](?:(?<! )[\s\x01]*|[\s\x01]+)"
+SENTENCE_END = rf"([.!?](?<!\.\.|(?<![^ ])(?i:{'|'.join(ABBREVIATIONS)})\.)\.*+)(?<!(?<![^ ])(?:[A-Za-z]\.){{1,4}}) (?=[\"“‘(\[]?[A-Z0-9])"
 _SYMBOL = "[A-Z0-9\\u4e00-\\u9fff]{2,12}"
 TICKERS = (rf"\(({_SYMBOL})\)", rf"(?<![A-Z0-9])({_SYMBOL})/(?:USDT|USDC|USD|BTC|ETH|BNB|FDUSD|USD1|TRY|EUR|BRL|TUSD|USDE)\b", rf"(?<![A-Z0-9/])({_SYMBOL}?)(?:USDT|USDC)\b")
 YEARS = r"\b(19|20)\d{2}\b"
@@ -187,19 +188,14 @@ def title_family(title: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 20) -> Column:
-    """Sentences of a text: not split after initials and abbreviations, furniture and short ones dropped."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x01]+", " "))
-    parts = F.split(flat, SENTENCE_END)
-
-    # a part is joined to the one before it if that ends in an initial or abbreviation, which its own last word shows
-    def short(part: Column) -> Column:
-        last = F.element_at(F.split(part, " "), -1)
-        return F.regexp_like(last, F.lit(INITIALS)) | F.lower(F.rtrim(last, F.lit("."))).isin(ABBREVIATIONS)
-
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
-    joined = F.zip_with(parts, before, lambda part, last: F.concat(F.when(last.isNull(), "").when(short(last), " ").otherwise("\x01"), part))
-    merged = F.split(F.array_join(joined, ""), "\x01")
-    return F.filter(F.transform(merged, lambda x: F.trim(x)), lambda s: (F.length(s) >= least) & ~F.regexp_like(s, F.lit(CHROME)))
+    """Sentences of a text: not split after initials and abbreviations, furniture and short ones dropped.
+
+    The ends are marked in one pass: behind a stop, where the last word before it is no initial and no
+    abbreviation, so that nothing is split that would have to be joined again.
+    """
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
+    parts = F.split(F.regexp_replace(flat, SENTENCE_END, "$1\x01"), "\x01")
+    return F.filter(parts, lambda s: (F.length(s) >= least) & ~F.regexp_like(F.left(s, F.lit(24)), F.lit(CHROME)))  # furniture opens a sentence
 
 
 def headline(text: Column, given: Column, limit: int = 120) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +31,26 @@ def _latest_before(rows: DataFrame, keys: list[str], held: Column, name: str, bu
 
 
 def _with_values(docs: DataFrame, found: DataFrame, value: str) -> DataFrame:
-    """docs with prev_id, prev_ts_us and prev_<value> from found (_row id, _p): texts meet by id, once each, after all order is known."""
+    """docs with prev_id, prev_ts_us and prev_<value> from found (_row id, _p): texts meet by id, once each, after all order is known.
+
+    An earlier text is taken to those who follow it first; docs are dealt by (id, ts_us) for that and for what
+    it meets there, so where both need the same columns Spark makes and shuffles them once.
+    """
     bodies = docs.select(F.col("id").alias("_pid"), F.col("ts_us").alias("_pts"), F.col(value).alias("prev_" + value))
-    got = docs.join(found.select(F.col("id").alias("_id"), F.col("ts_us").alias("_ts"), "_p"), F.col("id").eqNullSafe(F.col("_id")) & F.col("ts_us").eqNullSafe(F.col("_ts")), "left")
-    got = got.join(bodies, (F.col("_p.id") == F.col("_pid")) & (F.col("_p.ts_us") == F.col("_pts")), "left")
+    pairs = found.filter("_p IS NOT NULL").select(F.col("id").alias("_id"), F.col("ts_us").alias("_ts"), "_p")
+    pairs = pairs.join(bodies, F.col("_p.id").eqNullSafe(F.col("_pid")) & F.col("_p.ts_us").eqNullSafe(F.col("_pts")), "left")
+    got = docs.join(pairs, F.col("id").eqNullSafe(F.col("_id")) & F.col("ts_us").eqNullSafe(F.col("_ts")), "left")
     return got.select(*docs.columns, F.col("_p.id").alias("prev_id"), F.col("_p.ts_us").alias("prev_ts_us"), "prev_" + value)
 
 
-def previous_edition(docs: DataFrame, keys: tuple[str, ...] = ("issuer", "kind"), title: str = "title", value: str = "body") -> DataFrame:
+def previous_edition(docs: DataFrame, keys: tuple[str, ...] = ("issuer", "kind"), title: str = "title", value: str = "body", carried: str | None = None) -> DataFrame:
     """docs (id, ts_us, ...) with prev_id, prev_ts_us and prev_<value>: the latest earlier one of the same keys and title family that has a body.
 
     Earlier means a smaller stamp: documents of one stamp share their predecessor. (id, ts_us) must be unique.
+    carried: a column made from the body, such as its sentences, that is brought along in the body's place.
     """
     rows = docs.select("id", "ts_us", *keys, title_family(F.col(title)).alias("_family"), (F.coalesce(F.length(value), F.lit(0)) > 0).alias("_has"))
-    return _with_values(docs, _latest_before(rows, [*keys, "_family"], F.col("_has"), "_p"), value)
+    return _with_values(docs, _latest_before(rows, [*keys, "_family"], F.col("_has"), "_p"), carried or value)
 
 
 def previous_with_fallback(docs: DataFrame, statement: Column, keys: tuple[str, ...] = ("issuer",), value: str = "body") -> DataFrame:
@@ -56,25 +62,48 @@ def previous_with_fallback(docs: DataFrame, statement: Column, keys: tuple[str,
     return _with_values(docs, rows, value)
 
 
-def changed_sentences(docs: DataFrame, old: str = "prev_body", new: str = "body", limit: int = 12) -> DataFrame:
-    """docs with `changes`, at most `limit` (was, now) pairs of the slots that differ, in order; '' where one side has none.
+def changed_slots(a: list, b: list, limit: int) -> list[tuple[int, int]]:
+    """The first `limit` places (in a, in b) at which difflib's alignment of two lists differs; -1 where one side has none.
 
-    Sentences are split in the JVM; only the alignment of one pair of lists runs in Python.
+    What lies left of a longest match is aligned before what lies right of it, so nothing beyond the last
+    slot told is aligned; the slots are those of get_opcodes().
     """
-    given = docs.withColumn("_old", sentences(F.col(old))).withColumn("_new", sentences(F.col(new)))
+    matcher, out, spans = difflib.SequenceMatcher(a=a, b=b, autojunk=False), [], [(0, len(a), 0, len(b))]
+    while spans and len(out) < limit:
+        i1, i2, j1, j2 = spans.pop()
+        i, j, n = matcher.find_longest_match(i1, i2, j1, j2)
+        if n:
+            spans += [(i + n, i2, j + n, j2), (i1, i, j1, j)]
+        else:
+            out += [(i1 + k if i1 + k < i2 else -1, j1 + k if j1 + k < j2 else -1) for k in range(max(i2 - i1, j2 - j1))]
+    return out[:limit]
 
-    def pairs(a, b) -> list[dict]:
-        a, b, out = list(a), list(b), []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
-            if tag != "equal":
-                out += [{"was": a[i1 + k] if i1 + k < i2 else "", "now": b[j1 + k] if j1 + k < j2 else ""} for k in range(max(i2 - i1, j2 - j1))]
-        return out[:limit]
 
-    @F.pandas_udf("array<struct<was:string,now:string>>")
-    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([pairs(x, y) for x, y in zip(a, b, strict=True)])
+def changed_sentences(docs: DataFrame, old: str = "prev_body", new: str = "body", limit: int = 12) -> DataFrame:
+    """docs with `changes`, at most `limit` (was, now) pairs of the slots that differ, in order; '' where one side has none.
 
-    return given.withColumn("changes", diff("_old", "_new")).drop("_old", "_new")
+    old, new: texts, or arrays of their sentences. Sentences are split in the JVM, where two lists without a
+    common sentence are paired slot by slot, which is their alignment; only other pairs of lists are aligned
+    in Python, on numbers that stand for equal sentences.
+    """
+    kind = pa.list_(pa.struct([("was", pa.string()), ("now", pa.string())]))
+    types = dict(docs.dtypes)
+    split = lambda c: sentences(F.col(c)) if types[c] == "string" else F.coalesce(F.col(c), F.array().cast("array<string>"))
+
+    def pairs(a: pa.Array, b: pa.Array) -> list[dict]:
+        codes = pa.concat_arrays([a, b]).dictionary_encode().indices.to_pylist()
+        told = lambda x, i: x[i].as_py() if i >= 0 else ""
+        return [{"was": told(a, i), "now": told(b, j)} for i, j in changed_slots(codes[: len(a)], codes[len(a) :], limit)]
+
+    @F.arrow_udf("array<struct<was:string,now:string>>")
+    def diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:  # a pair at a time, so a worker holds the batch itself and one pair's numbers
+            yield pa.array((pairs(x.values, y.values) if x.is_valid else None for x, y in zip(a, b, strict=True)), kind)
+
+    given = docs.withColumns({"_old": split(old), "_new": split(new)}).withColumn("_meet", F.coalesce(F.arrays_overlap("_old", "_new"), F.lit(True)))
+    slots = F.zip_with(F.slice("_old", 1, limit), F.slice("_new", 1, limit), lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("was"), F.coalesce(y, F.lit("")).alias("now")))
+    aligned = diff(F.when(F.col("_meet"), F.col("_old")), F.when(F.col("_meet"), F.col("_new")))
+    return given.withColumn("changes", F.when(F.col("_meet"), aligned).otherwise(slots)).drop("_old", "_new", "_meet")
 
 
 def merged(rows: DataFrame, key: str = "id", order: str = "ord", fields: tuple[str, ...] = ("text", "url", "headline", "published")) -> DataFrame:

@@ -61,8 +61,10 @@ def fn13_sentences(spark, sf_dir):
 @query()
 def fn15_changed_sentences(spark, sf_dir):
     """What changed between a document and the issuer's edition before: sequence alignment, which SQL can't say (tests compare with difflib)."""
-    d = D.previous_edition(docs_of(spark, sf_dir).withColumn("title", F.lit("edition")), ("issuer",))
-    return D.changed_sentences(d.filter("prev_id IS NOT NULL")).select("id", "prev_id", F.size("changes").alias("n"), F.md5(F.to_json("changes").cast("binary")).alias("digest"))
+    docs = docs_of(spark, sf_dir).withColumn("title", F.lit("edition")).withColumn("sentences", T.sentences(F.col("body")))
+    d = D.previous_edition(docs, ("issuer",), carried="sentences").filter("prev_id IS NOT NULL")
+    got = D.changed_sentences(d.select("id", "prev_id", "prev_sentences", "sentences"), "prev_sentences", "sentences")
+    return got.select("id", "prev_id", F.size("changes").alias("n"), F.md5(F.to_json("changes").cast("binary")).alias("digest"))
 
 
 _HEADING = "(?i) (the|der|le|el) "
