@@ -14,11 +14,11 @@ from tidemark.operators.asof import carried_asof
 from tidemark.schema import DAY, SECOND
 
 
-def _latest_before(rows: DataFrame, keys: list[str], held: Column, name: str, bucket_us: int = 365 * DAY) -> DataFrame:
+def _latest_before(rows: DataFrame, keys: list[str], held: Column, name: str, bucket_us: int = DAY) -> DataFrame:
     """rows with `name` = (ts_us, id) of the latest row of the same keys with a smaller stamp for which `held` is true.
 
     Only stamps and ids are carried, over buckets of time, so an issuer with most of the documents spreads
-    over its years; equal stamps share their predecessor.
+    over its days, of which each leaves one row to be carried on; equal stamps share their predecessor.
     """
     rows = rows.withColumn("_found", F.when(held, F.struct("ts_us", "id"))).withColumn("_bucket", F.coalesce(F.floor(F.col("ts_us") / bucket_us), F.lit(0)))
     ends = rows.groupBy(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b")).agg(F.max("_found").alias("_end"))
